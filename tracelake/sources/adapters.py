@@ -114,3 +114,56 @@ ev0 AS (
     'w' || k%3 AS wait_key
   FROM ev2
 )"""
+
+
+def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invocations of the derived journal; the event mode follows the user."""
+    e = numbered_events(spark, sf_dir)
+    told = F.when(F.col("event_name").startswith("invocation."), F.substring_index("event_name", ".", -1)).when(F.col("event_name") == "wait.created", "waiting")
+    out = e.groupBy("invocation_id", "user_id").agg(
+        F.coalesce(F.max_by(told, F.when(told.isNotNull(), F.col("sequence"))), F.lit("created")).alias("state"),
+        F.max("sequence").alias("durable_sequence"), (F.min("ms") - 5).alias("created_at_ms"), F.max("ms").alias("updated_at_ms"),
+    )
+    u = F.col("user_id")
+    return out.select(
+        F.col("invocation_id").alias("id"), u.cast("string").alias("session_id"), F.concat(F.lit("v"), (u % 5).cast("string")).alias("workflow_version_id"), F.lit("n0").alias("entry_node_id"), "state",
+        F.when(u % 2 == 0, "live").otherwise("test").alias("execution_mode"), F.when(u % 3 == 0, "minimal").when(u % 3 == 1, "standard").otherwise("full").alias("event_mode"),
+        "durable_sequence", F.lit(None).cast("string").alias("input_json"), F.lit(None).cast("string").alias("result_json"), F.lit(None).cast("string").alias("error_json"),
+        F.when(u % 3 == 2, "{}").alias("genesis_state_json"), "created_at_ms", "updated_at_ms",
+    )
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session for each user; the current invocation is the newest by (created_at_ms, id)."""
+    out = invocations(spark, sf_dir).groupBy("session_id", "workflow_version_id").agg(
+        F.max_by("id", F.struct("created_at_ms", "id")).alias("current_invocation_id"), F.min("created_at_ms").alias("created_at_ms"), F.max("updated_at_ms").alias("updated_at_ms"))
+    key = F.col("session_id")
+    return out.select(
+        key.alias("id"), F.concat(F.lit("wf"), (key.cast("long") % 5 % 3).cast("string")).alias("workflow_id"), F.col("workflow_version_id").alias("workflow_revision_id"),
+        F.concat(F.lit("s"), key).alias("session_key"), "current_invocation_id", F.lit("{}").alias("context_json"), "created_at_ms", "updated_at_ms",
+    )
+
+
+def workflow_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version for each nation key below 5."""
+    n = F.col("n_nationkey").cast("long")
+    s = n.cast("string")
+    return table(spark, sf_dir, "nation").filter(n < 5).select(
+        F.concat(F.lit("v"), s).alias("id"), F.concat(F.lit("wf"), (n % 3).cast("string")).alias("workflow_id"), F.lit("1").alias("workflow_version"), F.lit("ir1").alias("ir_version"),
+        F.lit("c1").alias("compiler_version"), F.concat(F.lit("h"), s).alias("definition_hash"), F.concat(F.lit('{"n":'), s, F.lit("}")).alias("definition_json"), (n * 1000).alias("created_at_ms"))
+
+
+#: SQL of the three tables: `iv`, `se`, `ve`. Follows EVENTS_SQL.
+JOURNAL_SQL = f"""{EVENTS_SQL},
+iv AS (
+  SELECT invocation_id AS id, CAST(user_id AS VARCHAR) AS session_id, 'v' || user_id%5 AS workflow_version_id,
+    COALESCE(arg_max(CASE WHEN event_name = 'wait.created' THEN 'waiting' ELSE status END, sequence) FILTER (event_name LIKE 'invocation.%' OR event_name = 'wait.created'), 'created') AS state,
+    CASE WHEN user_id%2=0 THEN 'live' ELSE 'test' END AS execution_mode, CASE user_id%3 WHEN 0 THEN 'minimal' WHEN 1 THEN 'standard' ELSE 'full' END AS event_mode,
+    max(sequence) AS durable_sequence, min(ms) - 5 AS created_at_ms, max(ms) AS updated_at_ms, user_id
+  FROM ev GROUP BY invocation_id, user_id),
+se AS (
+  SELECT session_id AS id, 'wf' || CAST(session_id AS BIGINT)%5%3 AS workflow_id, workflow_version_id AS workflow_revision_id, 's' || session_id AS session_key,
+    arg_max(id, (created_at_ms, id)) AS current_invocation_id, min(created_at_ms) AS created_at_ms, max(updated_at_ms) AS updated_at_ms
+  FROM iv GROUP BY session_id, workflow_version_id),
+ve AS (
+  SELECT 'v' || n_nationkey AS id, 'wf' || n_nationkey%3 AS workflow_id, 'h' || n_nationkey AS definition_hash, CAST(n_nationkey AS BIGINT)*1000 AS created_at_ms FROM nation WHERE n_nationkey < 5)"""
