@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import map_arrow, mix64, written
 from .components import components
 
 #: Fingerprints of a bucket that a task compares with each other; larger buckets are split by further masks.
@@ -148,29 +148,53 @@ def near_links(fps: DataFrame, radius: int = 3, seed: int = 1) -> DataFrame:
             return links
 
 
-def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of each row, fp as a signed long; null texts have no words and fingerprint 0."""
+def word_prints(words: list[bytes], prints: int) -> list[int]:
+    """Independent fingerprints of the set of words; fingerprint k mixes k into each word's XXH64."""
+    if not words:
+        return [0] * prints
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in sorted(set(words))], np.uint64)
+    return [majority(mix64(hashes, k)) for k in range(prints)]
+
+
+def fingerprints(docs: DataFrame, width: int | None, prints: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp0, fp1, ...) of each row, as signed longs; null texts have no words and fingerprint 0. With a width there is
+    one fingerprint, of the word shingles; without one there are `prints`, of the words."""
+    names = [f"fp{k}" for k in range(prints)]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([simhash(words_of(x), width) for x in batch.column("text").to_pylist()], np.uint64)
-        return pa.record_batch([batch.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
+        words = map(words_of, batch.column("text").to_pylist())
+        rows = [[simhash(w, width)] if width else word_prints(w, prints) for w in words]
+        fps = np.array(rows, np.uint64).reshape(len(rows), prints).view(np.int64)
+        return pa.record_batch([batch.column("id"), *(pa.array(fps[:, k]) for k in range(prints))], ["id", *names])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return map_arrow(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int | None = 3, radius: int = 3, prints: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) of each row: SimHash of word shingles, and the smallest id that links of at most
     `radius` differing bits reach.
 
+    With `width` None the fingerprints are of the words instead of shingles, and there are `prints` of them, each with
+    its own bits: rows are linked if they are near in any. Edits change few words, but up to five of five-word shingles,
+    so word fingerprints stay near for texts whose five-word shingles agree to 0.8 or more, and several of them miss few.
+
     Copies share a fingerprint, so masks, buckets and links work on distinct fingerprints; the ids are joined at the end
     (a join that Spark can split where a fingerprint is hot). Rows with no words have fingerprint zero and are linked
     like others. Repeated rows give a row each, an empty table none. Null ids are the smallest only where no other is.
     """
-    prints = written(fingerprints(docs, width, id_col, text_col), "fps")
-    firsts = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "firsts")
-    roots = written(components(near_links(firsts.select("fp"), radius)), "roots")
-    rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    prints = 1 if width else prints
+    rows = written(fingerprints(docs, width, prints, id_col, text_col), "fps")
+    firsts = written(rows.groupBy("fp0").agg(F.min("id").alias("first")), "firsts")
+    links = near_links(firsts.select(F.col("fp0").alias("fp")), radius)
+    for k in range(1, prints):  # equal fp0 are one node; a value of another fingerprint stands for its smallest node
+        pairs = rows.select("fp0", F.col(f"fp{k}").alias("fp")).distinct()
+        node = written(pairs.groupBy("fp").agg(F.min("fp0").alias("node")), "nodes")
+        found = near_links(node.select("fp"), radius, seed=1 + 100 * k)
+        ends = found.join(node.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(node.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+        links = links.union(ends.select("x", "y")).union(pairs.join(node, "fp").filter("fp0 <> node").select("fp0", "node"))
+    roots = written(components(links), "roots")
+    rooted = firsts.join(roots, firsts["fp0"] == roots["node"], "left").select("fp0", "first", F.coalesce("root", "fp0").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = written(rooted.join(lowest, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = written(rooted.join(lowest, "root").select("fp0", "component_id"), "classes")
+    return rows.join(classes, "fp0", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
