@@ -177,7 +177,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def page_captures(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each capture in the archives, revisits resolved."""
     slim = assemble(read_archives(spark, path, with_payload=False)).filter("capture IS NOT NULL")
-    field = lambda name: F.expr(f"filter(flatten(transform(metadata, m -> m.entries)), e -> e.key = '{name}')[0].value")
+    field = lambda name: F.expr(f"get(filter(flatten(transform(metadata, m -> m.entries)), e -> e.key = '{name}'), 0).value")
     slim = slim.select("capture_id", field("page-id").cast("long").alias("page_id"), "capture.type", "capture.refers_to", "capture.payload_bytes", "capture.payload_digest")
     slim = written(slim, "captures")
     firsts = written(slim.filter("type = 'response'").groupBy(F.col("capture_id").alias("first_id")).agg(F.min("page_id").alias("first_page"), F.max("payload_bytes").alias("first_bytes")), "firsts")
