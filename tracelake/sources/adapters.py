@@ -167,3 +167,55 @@ se AS (
   FROM iv GROUP BY session_id, workflow_version_id),
 ve AS (
   SELECT 'v' || n_nationkey AS id, 'wf' || n_nationkey%3 AS workflow_id, 'h' || n_nationkey AS definition_hash, CAST(n_nationkey AS BIGINT)*1000 AS created_at_ms FROM nation WHERE n_nationkey < 5)"""
+
+
+#: Characters of a delta that the adapter cuts assistant turns into.
+DELTA_CHARS = 40
+
+
+def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User events derived from conversations: assistant turns are deltas, at times with reasoning, and mostly a completed
+    message; user turns are tool requests, results or custom events; system turns are outputs or failures."""
+    c, t, n = F.col("conv_id"), F.col("turn"), F.length("text")
+    m = c + t
+    js = lambda **f: _json(**f)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / DELTA_CHARS)), lambda i: F.struct(F.lit("message_delta").alias("type"), F.to_json(F.struct(F.substring("text", (i * DELTA_CHARS + 1).cast("int"), F.lit(DELTA_CHARS)).alias("delta"))).alias("data")))
+    one = lambda kind, data: F.array(F.struct(F.lit(kind).alias("type"), data.alias("data")))
+    none = F.array().cast("array<struct<type:string,data:string>>")
+    done = F.struct(F.when(m % 4 == 1, F.concat(F.lit("C:"), "text")).alias("content"), F.when(m % 3 == 0, F.lit("told")).alias("reasoning_content"))
+    assistant = F.concat(F.when(m % 3 == 1, one("reasoning_delta", js(delta=F.lit("think ")))).otherwise(none), F.when(n > 0, cut).otherwise(none), F.when(m % 4 != 0, one("message_completed", js(message=done))).otherwise(none))
+    call = F.array(F.struct(F.concat(F.lit("t"), t.cast("string")).alias("tool_call_id"), F.concat(F.lit("tool"), (c % 3).cast("string")).alias("name"), F.concat(F.lit('{"n":'), t.cast("string"), F.lit("}")).alias("raw_arguments")))
+    pieces = F.concat(one("tool_call_delta", js(tool_call_index=F.lit(0), tool_name=F.lit("streamed"), arguments_delta=F.lit("{"))), one("tool_call_delta", js(tool_call_index=F.lit(0), tool_call_id=F.concat(F.lit("t"), t.cast("string")), arguments_delta=F.lit("}"))))
+    result = F.array(F.struct(F.concat(F.lit("t"), (t - t % 2).cast("string")).alias("tool_call_id"), F.concat(F.lit("o"), t.cast("string")).alias("output"), F.when(m % 5 == 0, F.lit("bad")).alias("error")))
+    user = F.when(m % 3 == 0, F.concat(F.when(m % 2 == 0, pieces).otherwise(none), one("tool_call_requested", js(calls=call, reasoning_content=F.when(m % 9 == 0, F.lit("asked")))))).when(m % 3 == 1, one("tool_result", js(results=result))).otherwise(one("note", js(v=t)))
+    system = F.when(c % 5 == 0, one("agent_output", js(output=t))).when(c % 5 == 1, one("agent_failed", js(e=t))).otherwise(one("note", js(v=t)))
+    rows = table(spark, sf_dir, "conversations").withColumn("e", F.when(F.col("role") == "assistant", assistant).when(F.col("role") == "user", user).otherwise(system))
+    rows = rows.select("conv_id", "turn", F.posexplode("e").alias("pos", "e"))
+    seq = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "pos")).cast("long")
+    inv = c.cast("string")
+    return rows.select(
+        F.concat_ws("-", F.lit("u"), inv, seq.cast("string")).alias("id"), (c % 50).cast("string").alias("session_id"), inv.alias("invocation_id"), seq.alias("sequence"), F.lit(1).alias("schema_version"), F.col("e.type").alias("type"), F.col("e.data").alias("data_json"),
+        F.lit("n0").alias("node_id"), F.when(c % 4 == 0, '["a","b"]').otherwise("[]").alias("workflow_path_json"), F.concat(F.lit("x"), inv).alias("node_execution_id"),
+        F.when(t % 7 != 3, F.concat_ws("-", F.lit("c"), inv, t.cast("string"))).alias("operator_call_id"), (c * 100000 + t * 100 + F.col("pos")).alias("occurred_at_ms"),
+    )
+
+
+#: SQL of the same rows: `ue`, with the fields of the data as columns.
+USER_EVENTS_SQL = f"""
+ct AS (SELECT *, conv_id + turn AS m FROM conversations),
+u0 AS (
+  SELECT conv_id, turn, m, 0 AS pos, 'reasoning_delta' AS type, 'think ' AS delta, NULL AS content, NULL AS thought FROM ct WHERE role = 'assistant' AND m%3=1
+  UNION ALL SELECT conv_id, turn, m, 1 + i, 'message_delta', substring(text, CAST(i*{DELTA_CHARS} + 1 AS BIGINT), {DELTA_CHARS}), NULL, NULL FROM (SELECT *, unnest(range(CAST(CASE WHEN length(text) > 0 THEN (length(text)-1)//{DELTA_CHARS} + 1 ELSE 0 END AS BIGINT))) AS i FROM ct WHERE role = 'assistant')
+  UNION ALL SELECT conv_id, turn, m, 1000000, 'message_completed', NULL, CASE WHEN m%4=1 THEN 'C:' || text END, CASE WHEN m%3=0 THEN 'told' END FROM ct WHERE role = 'assistant' AND m%4<>0
+  UNION ALL SELECT conv_id, turn, m, i, 'tool_call_delta', CASE i WHEN 0 THEN '{{' ELSE '}}' END, NULL, NULL FROM (SELECT *, unnest([0, 1]) AS i FROM ct WHERE role = 'user' AND m%3=0 AND m%2=0)
+  UNION ALL SELECT conv_id, turn, m, 2, 'tool_call_requested', NULL, NULL, CASE WHEN m%9=0 THEN 'asked' END FROM ct WHERE role = 'user' AND m%3=0
+  UNION ALL SELECT conv_id, turn, m, 0, CASE WHEN m%3=1 THEN 'tool_result' ELSE 'note' END, NULL, NULL, NULL FROM ct WHERE role = 'user' AND m%3<>0
+  UNION ALL SELECT conv_id, turn, m, 0, CASE conv_id%5 WHEN 0 THEN 'agent_output' WHEN 1 THEN 'agent_failed' ELSE 'note' END, NULL, NULL, NULL FROM ct WHERE role NOT IN ('assistant', 'user')),
+ue AS (
+  SELECT *, CAST(conv_id AS VARCHAR) AS invocation_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS BIGINT) AS sequence,
+    CASE WHEN turn%7<>3 THEN 'c-' || conv_id || '-' || turn END AS call_id, 'x' || conv_id AS exec_id,
+    CAST(conv_id*100000 + turn*100 + row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) - 1 AS BIGINT) AS at_ms,
+    'u-' || conv_id || '-' || row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS id,
+    CASE WHEN conv_id%4=0 THEN 'a/b' ELSE '<root>' END AS path,
+    (conv_id%4=0 OR bool_or(type IN ('agent_output', 'agent_failed')) OVER (PARTITION BY conv_id)) AS react, type <> 'note' AS known
+  FROM u0)"""
