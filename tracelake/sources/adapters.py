@@ -219,3 +219,31 @@ ue AS (
     CASE WHEN conv_id%4=0 THEN 'a/b' ELSE '<root>' END AS path,
     (conv_id%4=0 OR bool_or(type IN ('agent_output', 'agent_failed')) OVER (PARTITION BY conv_id)) AS react, type <> 'note' AS known
   FROM u0)"""
+
+
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph for every twelve customers: a chain, and jumps from every fourth node. Some edges lead to
+    nodes that are not there; `known_edges` leaves those out."""
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 12).alias("i"), F.floor(F.col("c_custkey") / 12).alias("r"))
+    rev = F.concat(F.lit("r"), F.col("r").cast("string"))
+    letters = [F.lit(x) for x in "ab"]
+    path = F.when(F.col("i") < 4, F.array().cast("array<string>")).when(F.col("i") < 8, F.array(letters[0])).when(F.col("i") < 10, F.array(*letters)).otherwise(F.array(F.lit("c")))
+    nodes = c.select(rev.alias("revision_id"), F.concat(F.lit("n"), F.lpad(F.col("i").cast("string"), 2, "0")).alias("node_id"), F.col("i").alias("ord"), path.alias("workflow_path"))
+    one = lambda to, o: F.struct(to.alias("to"), o.alias("ord"))
+    arcs = F.array_compact(F.array(F.when(F.col("i") < 11, one(F.col("i") + 1, F.col("i") * 2)), F.when((F.col("i") + F.col("r")) % 4 == 0, one((F.col("i") * 5 + F.col("r")) % 11 + 1, F.col("i") * 2 + 1))))
+    edges = c.select(rev.alias("revision_id"), F.concat(F.lit("n"), F.lpad(F.col("i").cast("string"), 2, "0")).alias("from"), path.alias("workflow_path"), F.explode(arcs).alias("a"))
+    return nodes, edges.select("revision_id", F.concat(F.lit("e"), F.col("a.ord").cast("string")).alias("edge_id"), "from", F.concat(F.lit("n"), F.lpad(F.col("a.to").cast("string"), 2, "0")).alias("to"), F.col("a.ord").alias("ord"), "workflow_path")
+
+
+def known_edges(nodes: DataFrame, edges: DataFrame, forward: bool = False) -> DataFrame:
+    out = edges.join(nodes.select("revision_id", F.col("node_id").alias("to")), ["revision_id", "to"], "left_semi")
+    return out.filter(F.col("from") < F.col("to")) if forward else out
+
+
+#: SQL of the graph: `gn`, all edges `ga`, those between known nodes `ge`.
+GRAPH_SQL = """
+g0 AS (SELECT c_custkey%12 AS i, c_custkey//12 AS r FROM customer),
+gn AS (SELECT 'r' || r AS revision_id, 'n' || lpad(CAST(i AS VARCHAR), 2, '0') AS node_id, i AS ord, CASE WHEN i < 4 THEN '' WHEN i < 8 THEN 'a' WHEN i < 10 THEN 'a/b' ELSE 'c' END AS path, r FROM g0),
+g1 AS (SELECT r, i, i+1 AS t, 2*i AS o FROM g0 WHERE i < 11 UNION ALL SELECT r, i, (5*i+r)%11+1, 2*i+1 FROM g0 WHERE (i+r)%4=0),
+ga AS (SELECT 'r' || r AS revision_id, 'e' || o AS edge_id, 'n' || lpad(CAST(i AS VARCHAR), 2, '0') AS f, 'n' || lpad(CAST(t AS VARCHAR), 2, '0') AS t, o AS ord, CASE WHEN i < 4 THEN '' WHEN i < 8 THEN 'a' WHEN i < 10 THEN 'a/b' ELSE 'c' END AS path FROM g1),
+ge AS (SELECT ga.* FROM ga JOIN gn ON gn.revision_id = ga.revision_id AND gn.node_id = ga.t)"""
