@@ -20,6 +20,8 @@ PROFILE = 300
 CODES = 1 << 18
 #: Documents that one sort handles; their number is in the key beside the code.
 MOST_DOCS = 1 << 12
+#: Text bytes that one sort handles; it takes about 60 bytes for each.
+SORTED_BYTES = 1 << 19
 UNKNOWN = "und"
 _letter = re.compile(r"[^\W\d_]")
 _symbols = np.zeros(256, np.uint8)
@@ -83,7 +85,7 @@ class Profiles:
 def pieces(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Chunks of a batch of at most MOST_DOCS rows."""
     for lo in range(0, batch.num_rows, MOST_DOCS):
-        yield from text_chunks(batch.slice(lo, MOST_DOCS), column)
+        yield from text_chunks(batch.slice(lo, MOST_DOCS), column, SORTED_BYTES)
 
 
 def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang") -> Profiles:
