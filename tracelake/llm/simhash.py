@@ -195,6 +195,6 @@ def near_duplicates(docs: DataFrame, width: int | None = 3, radius: int = 3, pri
         links = links.union(ends.select("x", "y")).union(pairs.join(node, "fp").filter("fp0 <> node").select("fp0", "node"))
     roots = written(components(links), "roots")
     rooted = firsts.join(roots, firsts["fp0"] == roots["node"], "left").select("fp0", "first", F.coalesce("root", "fp0").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    lowest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")  # so that a hot root's rows can be split
     classes = written(rooted.join(lowest, "root").select("fp0", "component_id"), "classes")
     return rows.join(classes, "fp0", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
