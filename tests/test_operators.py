@@ -1,0 +1,233 @@
+"""Hand-written cases of scalar rules, ingest, state, graphs, workflows, agents and streams."""
+
+import json
+import random
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracelake.functions import events as H
+from tracelake.operators import agent, audit, graph, ingest, pages, state, workflow
+from tracelake.schemas import TABLES
+from tracelake.streaming import streams
+
+
+def test_backoff(spark):
+    rows = [("fixed", 2.0, None, "none", i) for i in range(3)] + [("linear", 2.0, None, "none", i) for i in range(3)] + [("exponential", 2.0, None, "none", i) for i in range(3)] + [("exponential", 3.0, 250.0, "full", 2), ("fixed", 2.0, None, "equal", 0)]
+    df = spark.createDataFrame(rows, "mode string, m double, most double, jitter string, i int")
+    got = [(r.d.low, r.d.high) for r in df.select(H.retry_delay_ms(F.col("mode"), F.lit(100.0), F.col("m"), F.col("most"), F.col("jitter"), F.col("i")).alias("d")).collect()]
+    assert got == [(100, 100)] * 3 + [(100, 100), (300, 300), (500, 500)] + [(100, 100), (200, 200), (400, 400)] + [(0, 250), (50, 100)]
+
+
+def test_revision_ids_are_name_based_uuids(spark):
+    rows = [("wf", "h1"), ("", ""), ("ä", "x" * 99)]
+    got = [r.r for r in spark.createDataFrame(rows, "w string, h string").select(H.revision_id(F.col("w"), F.col("h")).alias("r")).collect()]
+    assert got == [str(uuid.uuid5(uuid.UUID(H.REVISION_NAMESPACE), f"{w}\0{h}")) for w, h in rows]
+
+
+def test_timestamps(spark):
+    cases = {"5": 5, "-7": -7, "1.9": 1, '"2024-01-01T00:00:00Z"': 1704067200000, '"2024-01-01T02:00:00+02:00"': 1704067200000, '"2024-01-01T00:00:00.250"': 1704067200250, "true": None, '"junk"': None}
+    df = spark.createDataFrame([(k,) for k in cases], "v string").select("v", H.coerce_timestamp_ms(F.col("v")).alias("t"))
+    assert {r.v: r.t for r in df.collect()} == cases
+
+
+def test_append_is_idempotent(spark):
+    fields = TABLES["runtime_events"]
+    row = lambda s, **k: tuple({**dict(id=f"e{s}", invocation_id="i", sequence=s, schema_version=1, event_type="t", event_name="n", subject_type="s", subject_id="x", occurred_at_ms=s, elapsed_ns=None, status=None, timing_json="{}", payload_json="{}", input_json=None, output_json=None, operations_json=None), **k}.values())
+    journal = spark.createDataFrame([row(1), row(2)], fields)
+    batch = spark.createDataFrame([row(1), row(2, status="other"), row(3), row(3), row(4), row(4, status="z")], fields)
+    new, same, conflicts = ingest.append(journal, batch)
+    assert sorted(r.sequence for r in new.collect()) == [3, 4] and sorted(r.sequence for r in same.collect()) == [1, 3] and sorted(r.sequence for r in conflicts.collect()) == [2, 4]
+    again, _, _ = ingest.append(journal.union(new), batch)
+    assert again.count() == 0
+
+
+def test_sequences_start_at_one_for_each_key(spark):
+    batch = spark.createDataFrame([("a", 5), ("a", 6), ("b", 1)], "k string, o int")
+    stored = spark.createDataFrame([("a", 4)], "k string, sequence long")
+    assert {(r.k, r.sequence) for r in pages.assign_sequences(batch, stored, "k", ["o"]).collect()} == {("a", 5), ("a", 6), ("b", 1)}
+
+
+def test_large_values_become_one_artifact(spark):
+    big = "x" * 10_240
+    df = spark.createDataFrame([("i", 1, big), ("i", 2, big), ("j", 3, big), ("i", 4, "small")], "owner string, id int, v string")
+    rows, artifacts = ingest.externalize(df, "owner", "v")
+    assert artifacts.count() == 2
+    store = artifacts.select(F.col("sha256").alias("id"), F.to_json(F.struct("payload")).alias("payload")).distinct()
+    back = state.hydrate_artifacts(rows.select("id", "v"), "id", "v", store, rounds=2).collect()
+    assert all(json.loads(r.v)["payload"] == big if r.id != 4 else r.v == "small" for r in back)
+
+
+def tree(rng, depth=3):
+    kind = rng.randrange(4 if depth else 2)
+    if kind == 0:
+        return rng.choice([None, True, 1, 2.5, "s", "é"])
+    if kind == 1:
+        return rng.randrange(5)
+    if kind == 2:
+        return [tree(rng, depth - 1) for _ in range(rng.randrange(4))]
+    return {rng.choice("abcd/~"): tree(rng, depth - 1) for _ in range(rng.randrange(4))}
+
+
+def test_edits_lead_from_one_tree_to_the_other():
+    rng = random.Random(3)
+    for _ in range(500):
+        a, b = {"r": tree(rng), "k": 1}, {"r": tree(rng), "z": tree(rng)}
+        assert state.apply_edits(json.loads(json.dumps(a)), state.edits(a, b)) == b
+    assert state.differing({"a/b": 1, "l": [1]}, {"a/b": 2, "l": [2], "~": 1}) == ["/a~1b", "/l", "/~0"]
+
+
+def test_replay_and_its_errors(spark):
+    rng = random.Random(4)
+    trees = [{"l": [], "n": {}}]
+    for _ in range(12):
+        trees.append({"l": [rng.randrange(3) for _ in range(rng.randrange(5))], "n": {rng.choice("abc"): tree(rng)}})
+    ops = [json.dumps(state.edits(a, b)) for a, b in zip(trees, trees[1:], strict=False)]
+    events = [("i", s, o) for s, o in enumerate(ops, 1)] + [("gap", 1, ops[0]), ("gap", 3, ops[2]), ("none", 1, None)]
+    rng.shuffle(events)
+    snapshots = [("i", 0, json.dumps(trees[0])), ("i", 5, json.dumps(trees[5])), ("gap", 0, json.dumps(trees[0])), ("none", 0, "{}")]
+    got = state.replay_state(
+        spark.createDataFrame(snapshots, "invocation_id string, event_sequence long, state_json string"),
+        spark.createDataFrame(events, "invocation_id string, sequence long, operations_json string").repartition(3),
+        spark.createDataFrame([("i", s) for s in range(13)] + [("gap", 3), ("none", 1), ("unknown", 1)], "invocation_id string, target_sequence long"),
+    ).collect()
+    for r in got:
+        if r.invocation_id == "i":
+            assert json.loads(r.state_json) == trees[r.target_sequence] and r.error is None
+        else:
+            assert r.error.startswith({"gap": "gap: expected 2, got 3", "none": "no_operations", "unknown": "no_snapshot"}[r.invocation_id])
+
+
+def test_views_of_tagged_values(spark):
+    v = {"a": {"$type": "decimal", "value": "1.5"}, "b": {"$type": "tuple", "value": [{"$type": "set", "value": [1]}]}, "c": {"$type": "artifact", "value": {"id": 1}}}
+    assert state.view(v) == {"a": "1.5", "b": [[1]], "c": {"$artifact": {"id": 1}}}
+    r = spark.createDataFrame([(json.dumps(v),), ('{"$type":"who"}',), ("junk",), (None,)], "v string").select(state.json_view("v").alias("x")).collect()
+    assert json.loads(r[0].x.view) == state.view(v) and all(x.x.view is None and x.x.error for x in r[1:])
+
+
+def test_context_conflicts(spark):
+    rows = [("c", 1, 0, 1, "a/b"), ("c", 2, 0, 2, "a/b/c"), ("c", 3, 2, 3, "a"), ("c", 4, 0, 4, "x"), ("c", 5, 4, 5, "ab")]
+    got = {(r.write_id, r.other_id) for r in audit.context_conflicts(spark.createDataFrame(rows, "context_id string, write_id long, base_revision long, revision long, path string")).collect()}
+    assert got == {(2, 1)}
+
+
+def graph_tables(spark, arcs, names="abcdefgh"):
+    nodes = spark.createDataFrame([("r", n, i, []) for i, n in enumerate(names)], "revision_id string, node_id string, ord int, workflow_path array<string>")
+    edges = spark.createDataFrame([("r", f"e{i}", a, b, i, []) for i, (a, b) in enumerate(arcs)], "revision_id string, edge_id string, from string, to string, ord int, workflow_path array<string>")
+    return nodes, edges
+
+
+def test_nested_loops(spark):
+    nodes, edges = graph_tables(spark, ["ab", "bc", "cd", "dc", "de", "eb", "ef"], "abcdef")
+    loops = {r.header: r for r in graph.natural_loops(nodes, edges).collect()}
+    assert set(loops) == {"b", "c"} and loops["b"].node_ids == list("bcde") and loops["c"].node_ids == list("cd")
+    assert loops["c"].parent == loops["b"].loop_id and (loops["b"].depth, loops["c"].depth) == (0, 1)
+    assert (loops["b"].back_edges, loops["b"].exit_edges, loops["b"].entry_edges, loops["c"].exit_edges) == (["e5"], ["e6"], ["e0"], ["e4"])
+    assert graph.loop_diagnostics(nodes, edges).count() == 0
+
+
+def test_irreducible_cycle(spark):
+    nodes, edges = graph_tables(spark, ["ab", "ac", "bc", "cb"], "abc")
+    assert [tuple(r) for r in graph.loop_diagnostics(nodes, edges).collect()] == [("r", "CYCLE_ENTRIES", "b")]
+
+
+def test_levels_and_components(spark):
+    nodes, edges = graph_tables(spark, ["ab", "ac", "bd", "cd", "ef", "fe", "fg"], "abcdefg")
+    assert {r.node_id: r.level for r in graph.topological_levels(nodes, edges).collect()} == dict(a=0, b=1, c=1, d=2, e=None, f=None, g=None)
+    assert {r.node_id: (r.component_id, r.is_cycle) for r in graph.strong_components(nodes, edges).collect() if r.is_cycle} == dict(e=("e", True), f=("e", True))
+
+
+def test_skips_stop_at_a_fan_in(spark):
+    _, edges = graph_tables(spark, ["ab", "ac", "bd", "cd", "be", "ef"], "abcdef")
+    decisions = spark.createDataFrame([("run", "e0", False), ("run", "e1", True)], "run_id string, edge_id string, selected boolean")
+    none = spark.createDataFrame([], "run_id string, node_id string")
+    assert {r.node_id for r in graph.propagate_skips(edges, decisions, none).collect()} == set("bef")
+
+
+def test_loop_conflict(spark):
+    loops = spark.createDataFrame([("l", "back", "back"), ("l", "exit", "exit")], "loop_id string, edge_id string, role string")
+    d = spark.createDataFrame([("s1", "back", True), ("s1", "exit", True), ("s2", "back", True), ("s2", "exit", False), ("s3", "back", False), ("s3", "exit", False), ("s4", "back", True)], "scope_key string, edge_id string, selected boolean")
+    assert {r.scope_key: r.outcome for r in audit.loop_outcomes(loops, d).collect()} == dict(s1="conflict", s2="continue", s3="dead_end", s4="incomplete")
+
+
+def test_deltas_merge_to_32_characters(spark):
+    rows = [("c", i, 0, "text_delta", "x", None, None, None) for i in range(100)] + [("d", 0, 0, "text_delta", "ab", None, None, None), ("d", 1, 9, "text_delta", "c", None, None, None), ("d", 2, 9, "completed", "abc", None, None, None), ("t", 0, 0, "tool_call_delta", "{", 0, None, "f"), ("t", 1, 0, "tool_call_delta", "}", 0, "id", None), ("t", 2, 0, "tool_call_delta", "{", 1, None, None)]
+    df = spark.createDataFrame(rows, "call_id string, seq long, at_ms long, type string, text string, tool_index int, tool_id string, tool_name string")
+    out = {}
+    for r in agent.coalesce_deltas(df.repartition(4)).orderBy("call_id", "position").collect():
+        out.setdefault(r.call_id, []).append(r.text)
+    assert [len(x) for x in out["c"]] == [32, 32, 32, 4] and out["d"] == ["ab", "c", "abc"] and out["t"] == ["{}", "{"]
+
+
+def user_event(seq, kind, call="c", path="[]", **data):
+    return (f"u{seq}", "s", "i", seq, 1, kind, json.dumps(data), "n", path, "x", call, seq * 10)
+
+
+def test_messages_tools_and_items(spark):
+    df = spark.createDataFrame([
+        user_event(1, "reasoning_delta", delta="thi"), user_event(2, "reasoning_delta", delta="nk"), user_event(3, "message_delta", delta="par"), user_event(4, "message_completed", message={"content": "whole", "reasoning_content": "other"}),
+        user_event(5, "tool_call_delta", tool_call_index=0, tool_name="f", arguments_delta="{"), user_event(6, "tool_call_delta", tool_call_index=0, tool_call_id="t1", arguments_delta="}"), user_event(7, "tool_call_requested", calls=[{"tool_call_id": "t1", "name": "f", "raw_arguments": ""}]),
+        user_event(8, "tool_result", results=[{"tool_call_id": "t1", "output": "o"}, {"tool_call_id": "t9", "error": "e"}]), user_event(9, "message_completed", call=None, message={"content": "late"}), user_event(10, "odd_type", v=1),
+    ], TABLES["user_events"]).repartition(3)
+    m = {r.message_key: r for r in agent.messages(df).collect()}
+    assert (m["c"].content, m["c"].reasoning, m["c"].completed, m["c"].first_sequence, m["c"].message_sequence) == ("whole", "think", True, 1, 3) and m["x"].content == "late"
+    t = {r.tool_key: r for r in agent.tool_calls(df).collect()}
+    assert (t["t1"].name, t["t1"].raw_arguments, t["t1"].output, t["t1"].requested_at_ms, t["t1"].first_sequence) == ("f", "{}", "o", 70, 5) and t["t9"].error == "e"
+    assert {(r.kind, r.sequence) for r in agent.activity_items(df).filter("block_key = 'llm:c'").collect()} == {("thinking", 1), ("message", 3), ("tool", 5), ("tool", 8)}
+    shown = df.union(spark.createDataFrame([user_event(11, "agent_output", output="x")], TABLES["user_events"]))
+    assert "message" not in {r.kind for r in agent.activity_items(shown).collect()} and {r.block_kind for r in agent.activity_blocks(shown).collect()} == {"react", "custom"}
+    zero = spark.createDataFrame([("i", 6)], "invocation_id string, read_through long")
+    assert agent.unread_counts(shown, zero).first().unread == 6
+
+
+def test_retries_then_fallbacks(spark):
+    def flaky(x):
+        raise RuntimeError("down")
+
+    df = spark.createDataFrame([("1",)], "x string")
+    r = workflow.call_with_retry(df, "x", [flaky, lambda x: x + "!"], 2).first()
+    assert r.output == "1!" and [a.reason for a in r.attempts] == ["normal", "retry", "fallback"]
+    r = workflow.call_with_retry(df, "x", [flaky, lambda x: x], 2, budget=2).first()
+    assert (r.output, r.error, len(r.attempts)) == (None, "attempt_budget_exhausted", 2)
+
+
+def test_routes_are_inclusive(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "x int")
+    rows, decisions = workflow.route(df, {"a": F.col("x") > 0, "b": F.col("x") > 1, "c": None})
+    assert sorted((r.x, r.edge_id) for r in rows.collect()) == [(1, "a"), (1, "c"), (2, "a"), (2, "b"), (2, "c")]
+    assert decisions.filter("state = 'failed'").count() == 2
+
+
+def test_limits_of_rows(spark):
+    out = workflow.validate_rows(spark.createDataFrame([('{"a":1}',), ('{"a":1.5}',), ('{"a":true,"z":1}',), (None,), ("{}",)], "v string"), "v", {"a": ("integer", True)})
+    assert [r.problems for r in out.collect()] == [[], ["type:a"], ["type:a", "extra:z"], ["not_an_object"], ["missing:a"]]
+
+
+def test_stream_gap_holds_events_back(spark, tmp_path):
+    fields = TABLES["runtime_events"]
+    row = lambda s, name: (f"e{s}", "i", s, 1, "state_change", name, "n", "n", s, None, name.rpartition(".")[2], "{}", "{}", None, None, None)
+    write = lambda rows, n: spark.createDataFrame(rows, fields).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    run = lambda: streams.run_to_end(streams.live_projection(spark.readStream.schema(fields).parquet(f"{tmp_path}/in/*")), f"{tmp_path}/out", f"{tmp_path}/ck", "update")
+    last = lambda: spark.read.parquet(f"{tmp_path}/out").orderBy(F.desc("batch_id")).first()
+    write([row(3, "invocation.completed"), row(1, "node.running")], 1)
+    run()
+    assert (last().state, last().through_sequence) == ("created", 1)
+    write([row(2, "invocation.running"), row(1, "node.running")], 2)
+    run()
+    assert (last().state, last().through_sequence, last().node_events) == ("completed", 3, 1)
+
+
+def test_stuck_gap_degrades(spark, tmp_path):
+    fields = TABLES["runtime_events"]
+    rows = [(f"e{s}", "i", s, 1, "t", "node.running", "n", "n", s, None, "running", "{}", "{}", None, None, None) for s in (1, 3)]
+    spark.createDataFrame(rows, fields).write.parquet(f"{tmp_path}/in")
+    stream = streams.detect_gaps(spark.readStream.schema(fields).parquet(f"{tmp_path}/in"), timeout_ms=1000)
+    q = stream.writeStream.format("memory").queryName("gaps").outputMode("update").option("checkpointLocation", f"{tmp_path}/ck").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            if (got := spark.sql("select * from gaps").collect()) or q.awaitTermination(1):
+                break
+    finally:
+        q.stop()
+    assert tuple(got[0]) == ("i", 2, 3, "degraded")

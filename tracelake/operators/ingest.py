@@ -54,10 +54,10 @@ def append(journal: DataFrame, batch: DataFrame, fields: tuple[str, ...] = EVENT
     numbered = batch.withColumn("_first", first).withColumn("_n", n)
     stored = journal.join(batch.select("invocation_id").distinct(), "invocation_id", "left_semi").select(*key, whole.alias("_stored"))
     seen = numbered.join(stored, key, "left").withColumn("_against", F.coalesce("_stored", F.when(F.col("_n") > 1, F.col("_first"))))
-    clean = lambda df: df.drop("_first", "_n", "_stored", "_against")
+    clean = lambda df: df.select(*batch.columns)
     new = clean(seen.filter(F.col("_against").isNull()))
     old = seen.filter(F.col("_against").isNotNull()).withColumn("_same", whole.eqNullSafe(F.col("_against")))
-    return new, clean(old.filter("_same")).drop("_same"), clean(old.filter("NOT _same")).drop("_same")
+    return new, clean(old.filter("_same")), clean(old.filter("NOT _same"))
 
 
 def append_artifacts(artifacts: DataFrame, batch: DataFrame) -> DataFrame:
