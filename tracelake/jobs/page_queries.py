@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from ..operators import ingest as I
 from ..operators import pages as G
 from ..operators import projection as P
 from ..sources.adapters import JOURNAL_SQL, invocations, numbered_events, runtime_events, sessions, workflow_versions
+from ..schemas import TABLES
+from ..sources.journal import load_journal, write_events
+from ..sources.scratch import shared_folder
 from .projection_queries import EXEC_SQL, prepared
 from .registry import query
 
@@ -326,3 +331,14 @@ def i7_advance_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = invocations(spark, sf_dir).filter("durable_sequence % 2 = 0").select(F.col("id").alias("invocation_id"), F.expr("durable_sequence div 2").alias("event_sequence"))
     e = runtime_events(spark, sf_dir).join(numbered_events(spark, sf_dir).select("invocation_id", "sequence", "k"), ["invocation_id", "sequence"]).filter("k % 3 <> 0")
     return I.advance_checkpoints(stored, e, 4)
+
+
+@query(f"{WITH} SELECT id, invocation_id, sequence, event_type FROM ev")
+def a1_load_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived events written as a journal and read back."""
+    path = f"{shared_folder(spark)}/journal-{uuid.uuid4().hex}"
+    for name, schema in TABLES.items():
+        if name != "runtime_events":
+            spark.createDataFrame([], schema).write.parquet(f"{path}/{name}")
+    write_events(runtime_events(spark, sf_dir), f"{path}/runtime_events")
+    return load_journal(spark, path)["runtime_events"].select("id", "invocation_id", "sequence", "event_type")

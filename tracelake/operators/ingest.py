@@ -4,22 +4,17 @@ from __future__ import annotations
 
 
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schemas import ACTIVE_INVOCATION, DELTA_TYPES, TABLES, TERMINAL_NODE
+from ..schemas import ACTIVE_INVOCATION, DELTA_TYPES, TERMINAL_NODE
 
 #: The fields that decide whether two events of one key are the same event.
 EVENT_FIELDS = ("schema_version", "event_type", "event_name", "subject_type", "subject_id", "occurred_at_ms", "elapsed_ns", "status", "timing_json", "payload_json", "input_json", "output_json", "operations_json", "id")
 USER_EVENT_FIELDS = ("id", "session_id", "schema_version", "type", "data_json", "node_id", "workflow_path_json", "node_execution_id", "operator_call_id", "occurred_at_ms")
 
 
-def load_journal(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A1: the journal's tables with their declared schemas, from Parquet folders under a path."""
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()}
-
-
 def upsert_versions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """A2: by (workflow_id, definition_hash): the first id and creation stay, all else is overwritten. Of several rows of
     a key in a batch the last by creation and id counts."""
