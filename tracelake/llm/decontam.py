@@ -144,8 +144,12 @@ def edit_span(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]
     """(distance, end) of the part of `text` with the smallest word edit distance to the item, if it is `most` or less.
 
     The usual table, one row for each item word, starting and ending anywhere in the text; equal distances take the
-    first end. Rows are numpy operations: the moves along a row are a running minimum.
+    first end. Rows are numpy operations: the moves along a row are a running minimum. Each item word that the text lacks
+    costs one edit at least, so too many of them decide at once.
     """
+    there = (item[:, None] == text).any(1) if len(item) * len(text) < 1 << 18 else np.isin(item, text)
+    if len(item) - np.count_nonzero(there) > most:
+        return None
     along = np.arange(len(text) + 1)
     row = np.zeros(len(text) + 1, np.int64)
     for i, w in enumerate(item):
