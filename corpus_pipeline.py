@@ -14,11 +14,11 @@ from tracelake.llm.decontam import leaks
 from tracelake.llm.langid import UNKNOWN, identify, learn
 from tracelake.llm.packing import pack
 from tracelake.llm.queries import words
-from tracelake.llm.simhash import near_duplicates
+from tracelake.llm.simhash import near_copies
 
 #: Documents below this share of rank agreement with every language are rejected.
 LEAST_SCORE = 0.05
-#: Word fingerprints of a document; with four, about nine of ten pairs at a five-word similarity of 0.8 are linked.
+#: Word fingerprints of a document, for candidates; with four, about nine of ten pairs at a five-word similarity of 0.8 are candidates.
 WORD_PRINTS = 4
 
 
@@ -30,8 +30,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates: texts whose five-word shingles agree to 0.8."""
-    found = near_duplicates(docs, width=None, prints=WORD_PRINTS)
+    """Keeps the document with the smallest id of each group of near-duplicates: texts whose five-word shingles agree to 0.8,
+    each link checked, and what such links reach."""
+    found = near_copies(docs, prints=WORD_PRINTS)
     return docs.join(found.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
 
 

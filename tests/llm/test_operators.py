@@ -364,6 +364,31 @@ def test_word_prints_link_near_copies(spark):
     assert sum(r.component_id == r.doc_id // 2 * 2 for r in out) >= 78 and {r.component_id for r in out} <= {r.doc_id for r in out}
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_copies_are_checked_by_shingles(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+    rng = random.Random(14)
+    rows = []
+    for k in range(20):
+        w = prose(rng, 200).split()
+        turned = list(w)
+        rng.shuffle(turned)
+        e = list(w)
+        e[100] = "changed"
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(turned)), (10 * k + 2, " ".join(e)), (10 * k + 3, " ".join(w).upper())]
+    rows += [(500, ""), (501, None), (502, "few words"), (503, "words few")]
+    hot = prose(rng, 100).split()
+    for i in range(30):
+        rows.append((600 + i, " ".join([*hot[:50], f"w{i}", *hot[50:]])))
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = lambda a, b: a == b or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(any(near(i, j) for j in got if j != i and got[j] == c) for i, c in got.items() if i != c)
+    assert all(got[10 * k + d] == 10 * k for k in range(20) for d in (2, 3)) and all(got[10 * k + 1] == 10 * k + 1 for k in range(20))
+    assert got[501] == 500 and got[503] == 503 and {got[600 + i] for i in range(30)} == {600}
+    assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_simple8b_blocks():
     rng = np.random.default_rng(3)
     for ids in ([], [0], [1] * 70, [0] * 1000, [token_files.ESCAPE, token_files.ESCAPE - 1, token_files.ESCAPE + 1, 2**32 - 1], rng.integers(0, 50257, 5000), rng.integers(0, 4, 777), rng.geometric(0.001, 3000)):

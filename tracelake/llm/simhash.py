@@ -15,6 +15,9 @@ from .components import components
 
 #: Fingerprints of a bucket that a task compares with each other; larger buckets are split by further masks.
 BUCKET = 4096
+#: Texts and shingles of a block; a task compares two blocks of a candidate group. Larger groups have more blocks.
+BLOCK_TEXTS = 512
+BLOCK_SHINGLES = 1 << 19
 
 
 def simhash(words: list[bytes], width: int) -> int:
@@ -156,19 +159,57 @@ def word_prints(words: list[bytes], prints: int) -> list[int]:
     return [majority(mix64(hashes, k)) for k in range(prints)]
 
 
+def shingles_of(words: list[bytes], width: int) -> np.ndarray:
+    """The set of XXH64 values of the word shingles; of the whole text where it is shorter, nothing without words."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    runs = [b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))]
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in runs], np.uint64))
+
+
+def same_words(words: list[bytes]) -> int:
+    """A digest of the words in order, as a signed long; zero without words."""
+    x = xxhash.xxh64_intdigest(b" ".join(words), 42) if words else 0
+    return x - (1 << 64) if x >> 63 else x
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the smallest index that pairs of at least this Jaccard similarity reach. All pairs count that share a member."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    label = np.arange(n)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    held, owner = np.unique(flat, return_inverse=True)[1], owner[order]
+    count = np.bincount(held)
+    first, off = np.cumsum(count) - count, np.concatenate([[0], np.cumsum(sizes)])
+    for i in range(1, n):
+        own = held[off[i] : off[i + 1]]
+        own = own[count[own] > 1]
+        if not len(own):
+            continue
+        per = count[own]
+        at = np.repeat(first[own] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+        both = np.bincount(owner[at], minlength=n)[:i]
+        near = (both > 0) & (both + 1e-9 >= similarity * (sizes[:i] + sizes[i] - both))
+        roots = np.unique(np.append(label[:i][near], label[i]))
+        if len(roots) > 1:
+            label[np.isin(label, roots)] = roots[0]
+    return label
+
+
 def fingerprints(docs: DataFrame, width: int | None, prints: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp0, fp1, ...) of each row, as signed longs; null texts have no words and fingerprint 0. With a width there is
-    one fingerprint, of the word shingles; without one there are `prints`, of the words."""
+    """(id, fp0, fp1, ..., node) of each row, as signed longs; null texts have no words and fingerprint 0. With a width there
+    is one fingerprint, of the word shingles; without one there are `prints`, of the words. `node` is the digest of the words in order."""
     names = [f"fp{k}" for k in range(prints)]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = map(words_of, batch.column("text").to_pylist())
+        words = list(map(words_of, batch.column("text").to_pylist()))
         rows = [[simhash(w, width)] if width else word_prints(w, prints) for w in words]
         fps = np.array(rows, np.uint64).reshape(len(rows), prints).view(np.int64)
-        return pa.record_batch([batch.column("id"), *(pa.array(fps[:, k]) for k in range(prints))], ["id", *names])
+        return pa.record_batch([batch.column("id"), *(pa.array(fps[:, k]) for k in range(prints)), pa.array([same_words(w) for w in words], pa.int64())], ["id", *names, "node"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}")
+    return map_arrow(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, {', '.join(f'{n} long' for n in [*names, 'node'])}")
 
 
 def near_duplicates(docs: DataFrame, width: int | None = 3, radius: int = 3, prints: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,8 +225,17 @@ def near_duplicates(docs: DataFrame, width: int | None = 3, radius: int = 3, pri
     like others. Repeated rows give a row each, an empty table none. Null ids are the smallest only where no other is.
     """
     prints = 1 if width else prints
-    rows = written(fingerprints(docs, width, prints, id_col, text_col), "fps")
+    rows = written(fingerprints(docs, width, prints, id_col, text_col).drop("node"), "fps")
     firsts = written(rows.groupBy("fp0").agg(F.min("id").alias("first")), "firsts")
+    roots = written(components(print_links(rows, firsts, radius, prints)), "roots")
+    rooted = firsts.join(roots, firsts["fp0"] == roots["node"], "left").select("fp0", "first", F.coalesce("root", "fp0").alias("root"))
+    lowest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")  # so that a hot root's rows can be split
+    classes = written(rooted.join(lowest, "root").select("fp0", "component_id"), "classes")
+    return rows.join(classes, "fp0", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def print_links(rows: DataFrame, firsts: DataFrame, radius: int, prints: int) -> DataFrame:
+    """Links between the values of fp0 whose rows are near in any fingerprint; firsts has each value of fp0 once."""
     links = near_links(firsts.select(F.col("fp0").alias("fp")), radius)
     for k in range(1, prints):  # equal fp0 are one node; a value of another fingerprint stands for its smallest node
         pairs = rows.select("fp0", F.col(f"fp{k}").alias("fp")).distinct()
@@ -193,8 +243,51 @@ def near_duplicates(docs: DataFrame, width: int | None = 3, radius: int = 3, pri
         found = near_links(node.select("fp"), radius, seed=1 + 100 * k)
         ends = found.join(node.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(node.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
         links = links.union(ends.select("x", "y")).union(pairs.join(node, "fp").filter("fp0 <> node").select("fp0", "node"))
-    roots = written(components(links), "roots")
-    rooted = firsts.join(roots, firsts["fp0"] == roots["node"], "left").select("fp0", "first", F.coalesce("root", "fp0").alias("root"))
-    lowest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")  # so that a hot root's rows can be split
-    classes = written(rooted.join(lowest, "root").select("fp0", "component_id"), "classes")
-    return rows.join(classes, "fp0", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+    return links
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, prints: int = 4, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of each row: the smallest id that links of texts reach whose sets of word shingles have a Jaccard
+    similarity of `similarity` or more.
+
+    The groups of near word fingerprints (see near_duplicates) are only candidates: every pair of texts inside such a
+    group is compared by its shingles, and what agrees less is no link. Equal words are one node, so copies are compared
+    once. A group above BLOCK_TEXTS or BLOCK_SHINGLES is dealt into blocks, and each pair of blocks is a task's group,
+    so a large group spreads over tasks and no pair is left out. Rows without words are copies of each other.
+    """
+    rows = written(fingerprints(docs, None, prints, id_col, text_col), "fps")
+    firsts = written(rows.groupBy("fp0").agg(F.min("id").alias("first")), "firsts")
+    near = written(components(print_links(rows, firsts, radius, prints)), "roots").select(F.col("node").alias("fp0"), F.col("root").alias("group"))
+    nodes = written(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("fp0").alias("fp0")), "texts")
+    grouped = written(nodes.join(near, "fp0", "left").select("node", "first", F.coalesce("group", "fp0").alias("group")), "groups")
+    several = written(grouped.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1"), "several")
+    suspects = grouped.join(several.select("group"), "group").select(F.col("first").alias("id"), "node", "group")
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = list(map(words_of, batch.column("text").to_pylist()))
+        own = [same_words(w) for w in words]
+        keep = np.flatnonzero(np.array(own, np.int64) == np.asarray(batch.column("node")))  # another text of a repeated id is no suspect here
+        shingles = [shingles_of(words[i], width).view(np.int64) for i in keep.tolist()]
+        took = batch.take(pa.array(keep))
+        return pa.record_batch([took.column("node"), took.column("group"), pa.array(map(len, shingles), pa.int64()), pa.array(shingles, pa.list_(pa.int64()))], ["node", "group", "size", "shingles"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(suspects, "id").select("node", "group", "text")
+    held = written(map_arrow(texts, sets, "node long, group long, size long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    dealt = held.join(written(held.groupBy("group").agg(F.greatest(blocks, F.lit(1)).alias("blocks")), "blocks"), "group")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+
+    def verified(t: pa.Table) -> pa.Table:
+        node = t.column("node").to_numpy()
+        label = alike([np.asarray(x, np.int64).view(np.uint64) for x in t.column("shingles").to_numpy(zero_copy_only=False)], similarity)
+        own = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": node[own], "b": node[label[own]]})
+
+    links = written(dealt.groupBy("group", "i", "j").applyInArrow(verified, "a long, b long"), "verified")
+    roots = written(components(links), "roots").withColumnRenamed("root", "_root")
+    rooted = written(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("_root", "node").alias("root")), "rooted")
+    lowest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
+    classes = written(rooted.join(lowest, "root").select("node", "component_id"), "classes")
+    return rows.join(classes, "node", "left").select(F.col("id").alias(id_col), "component_id")
