@@ -137,6 +137,22 @@ def test_leaks_recall_and_precision(spark, empty):
     assert decontam.leaks(empty, b).count() == 0 and decontam.leaks(d, b.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edits_at", ["even", "front", "back"])
+def test_leaks_at_the_limit(spark, edits_at):
+    rng = random.Random(13)
+    items = [(i, prose(rng, n)) for i, n in enumerate([8, 15, 45, 59, 63, 64, 120] * 20)]
+    rows = []
+    for i, text in items:
+        w = text.split()
+        most = int(0.2 * len(w) + 1e-9)
+        at = {"even": [int((k + 0.5) * len(w) / most) for k in range(most)], "front": range(most), "back": range(len(w) - most, len(w))}[edits_at]
+        for k in at:
+            w[k] = prose(rng, 1, "xyz")
+        rows.append((i, f"{prose(rng, rng.randint(0, 37))} {' '.join(w)} {prose(rng, 30)}"))
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {i for i, _ in items} == {r.doc_id for r in got if r.doc_id == r.item_id}
+
+
 def test_leak_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "ITEMS_A_PASS", 2)
     rng = random.Random(2)

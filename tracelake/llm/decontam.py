@@ -1,14 +1,12 @@
 """Benchmark decontamination by edit distance (operator 2).
 
-Edit distance is over words (letters, digits and bytes from 128 on; A to Z in lower case). The CGK random walk reads a
-text from some word on: at step j it emits the word at its place and moves on if a random bit of (j, word) is set. Two
-texts within a small edit distance soon walk in step again, so their walks differ in few places: edit distance becomes
-Hamming distance. Bit sampling then hashes a few sampled steps of a walk; several walks with other random bits repeat it.
+Edit distance is over words (letters, digits and bytes from 128 on; A to Z in lower case). An item for which `most` edits
+are accepted is cut into most + 1 runs of words. Each edit touches one run at most, so a passage within the distance holds
+one of the runs unchanged, wherever the edits lie: hashes of the runs find all passages, and each hit is verified exactly.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,25 +17,15 @@ from pyspark.sql import functions as F
 
 from .common import mix64, text_chunks
 
-#: Steps sampled of each walk for one hash.
-SAMPLES = 4
 #: Shortest items, in words; shorter ones name no passage and match nothing.
 LEAST_WORDS = 8
 #: Items whose hashes are broadcast at once; more items are handled in blocks, each in a pass over the documents.
 ITEMS_A_PASS = 20_000
-#: Chance that one walk's sampled steps agree for a passage at the limit of similarity 0.8, from trials; see repetitions().
-AGREES = 0.35
 _word_bytes = np.zeros(256, np.uint8)
 _word_bytes[np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)] = np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)
 _word_bytes[ord("A") : ord("Z") + 1] = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
 _word_bytes[128:] = np.arange(128, 256)
 _odd = np.uint64(0x9E3779B97F4A7C15)
-_inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-def repetitions(recall: float, agrees: float = AGREES) -> int:
-    """Walks that make one hash agree with probability `recall`, if each does so with probability `agrees`."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agrees)))
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,77 +56,59 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, np.concatenate([[0], np.cumsum(per + 1)])
 
 
-def walk_steps(size: int) -> int:
-    """Steps after which a walk has read about five eighths of `size` words."""
-    return size * 5 // 4
-
-
-def class_of(words: int) -> int:
-    """Item sizes share their windows by powers of two: the largest power that is not above the size."""
-    return 1 << (words.bit_length() - 1)
-
-
-def stride_of(size: int) -> int:
-    return max(1, size // 4)
-
-
-def samples(size: int, repetition: int) -> np.ndarray:
-    """The steps that are hashed, in order; from a quarter of the walk on."""
-    steps = walk_steps(size)
-    draw = np.random.default_rng([size, repetition]).choice(np.arange(steps // 4, steps), SAMPLES, replace=False)
-    return np.sort(draw)
-
+def cuts(words: int, most: int) -> list[tuple[int, int]]:
+    """(start, length) of the most + 1 runs of an item: the whole item, in lengths that differ by one at most."""
+    at = [words * k // (most + 1) for k in range(most + 2)]
+    return list(zip(at[:-1], np.diff(at).tolist(), strict=True))
 
-def walks(hashes: np.ndarray, starts: np.ndarray, size: int, repetition: int, bits: list[np.ndarray]) -> np.ndarray:
-    """The hash of the sampled steps of one walk from each start. bits: for each 64 steps, the words' random bits.
 
-    A zero (a text's end) has no bit set, so a walk stays there.
-    """
-    at, key = starts.copy(), np.full(len(starts), np.uint64(repetition * 1000 + size))
-    wanted = set(samples(size, repetition).tolist())
-    one = np.uint64(1)
-    for j in range(max(wanted) + 1):
-        if j in wanted:
-            key = mix64(key * _odd + hashes[at])
-        at += ((bits[j >> 6][at] >> np.uint64(j & 63)) & one).astype(at.dtype)
+def runs(hashes: np.ndarray, length: int) -> np.ndarray:
+    """The hash of the `length` words from each place on."""
+    n = max(0, len(hashes) - length + 1)
+    key = np.full(n, np.uint64(length))
+    for k in range(length):
+        key = mix64(key * _odd + hashes[k : k + n])
     return key
 
 
-def random_bits(hashes: np.ndarray, repetition: int, steps: int) -> list[np.ndarray]:
-    out = [mix64(hashes, 1 + repetition * 4096 + k) for k in range(-(-steps // 64))]
-    for x in out:
-        x[hashes == 0] = 0
-    return out
-
-
 @dataclass
 class Items:
-    """A block of benchmark items and the hashes of their walks."""
+    """A block of benchmark items and the hashes of their runs."""
 
     ids: list
     words: list[np.ndarray]
     most: list[int]  # largest accepted edit distance
-    tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]  # (size, repetition): keys, item, offset
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: keys in order, item, start in the item
 
     @staticmethod
-    def of(ids: list, texts: list[str | None], similarity: float, reps: int) -> Items:
+    def of(ids: list, texts: list[str | None], similarity: float) -> Items:
         words = []
         for x in texts:
             data = np.frombuffer((x or "").encode(), np.uint8)
             words.append(word_hashes(data, np.array([0, len(data)]))[0][:-1])
-        items = Items(ids, words, [int((1 - similarity) * len(w) + 1e-9) for w in words], {})
-        for size in sorted({class_of(len(w)) for w in words if len(w) >= LEAST_WORDS}):
-            own = [i for i, w in enumerate(words) if len(w) >= LEAST_WORDS and class_of(len(w)) == size]
-            flat = np.concatenate([np.append(words[i], np.uint64(0)) for i in own])
-            first = np.cumsum([0] + [len(words[i]) + 1 for i in own])[:-1]
-            starts = (first[:, None] + np.arange(stride_of(size))).ravel()
-            item, offset = np.repeat(own, stride_of(size)), np.tile(np.arange(stride_of(size)), len(own))
-            for r in range(reps):
-                keys = walks(flat, starts, size, r, random_bits(flat, r, walk_steps(size)))
-                order = np.argsort(keys)
-                items.tables[size, r] = keys[order], item[order], offset[order]
+        items, rows = Items(ids, words, [int((1 - similarity) * len(w) + 1e-9) for w in words], {}), {}
+        for i, w in enumerate(words):
+            if len(w) >= LEAST_WORDS:
+                for start, length in cuts(len(w), items.most[i]):
+                    rows.setdefault(length, []).append((int(runs(w[start : start + length], length)[0]), i, start))
+        for length, own in rows.items():
+            keys, item, offset = (np.array(x, t) for x, t in zip(zip(*own, strict=True), (np.uint64, np.int64, np.int64), strict=True))
+            order = np.argsort(keys)
+            items.tables[length] = keys[order], item[order], offset[order]
         return items
 
+    def filters(self) -> dict[int, np.ndarray]:
+        """For each length, which leading bits its keys have."""
+        out = {}
+        for length, (keys, _, _) in self.tables.items():
+            out[length] = np.zeros(1 << min(24, max(16, (len(keys) * 16).bit_length())), bool)
+            out[length][leading(keys, out[length])] = True
+        return out
+
+
+def leading(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(65 - len(table).bit_length())).astype(np.int64)
+
 
 def edit_span(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int] | None:
     """(distance, end) of the part of `text` with the smallest word edit distance to the item, if it is `most` or less.
@@ -162,75 +132,58 @@ def edit_span(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]
     return (int(row[end]), end) if row[end] <= most else None
 
 
-def matches(items: Items, filters: dict, hashes: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(document, item, distance, place of the end in words) of the best match of each pair whose walks meet."""
-    found: set[tuple[int, int, int]] = set()
-    reps = sorted({r for _, r in items.tables})
-    sizes = sorted({s for s, _ in items.tables})
-    lengths = np.diff(off) - 1
-    starts = {}
-    for size in sizes:
-        stride = stride_of(size)
-        per = -(-lengths // stride)
-        starts[size] = np.repeat(off[:-1] - (np.cumsum(per) - per) * stride, per) + np.arange(per.sum()) * stride
-    for r in reps:
-        bits = random_bits(hashes, r, walk_steps(sizes[-1]))
-        for size in sizes:
-            keys = walks(hashes, starts[size], size, r, bits)
-            hit = np.flatnonzero(filters[size, r][(keys >> np.uint64(44)).astype(np.int64)])
-            if not len(hit):
-                continue
-            table, item, offset = items.tables[size, r]
-            lo, hi = np.searchsorted(table, keys[hit], "left"), np.searchsorted(table, keys[hit], "right")
-            for h, a, b in zip(hit[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                place = int(starts[size][h])
-                found |= {(int(item[k]), place - int(offset[k]), int(size)) for k in range(a, b)}
+def matches(items: Items, filters: dict[int, np.ndarray], hashes: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(document, item, distance, place of the end in words) of the best match of each pair that shares a run."""
+    found: list[np.ndarray] = []
+    most = np.array(items.most, np.int64)
+    for length, (table, item, offset) in sorted(items.tables.items()):
+        keys = runs(hashes, length)
+        hit = np.flatnonzero(filters[length][leading(keys, filters[length])])
+        lo, hi = np.searchsorted(table, keys[hit], "left"), np.searchsorted(table, keys[hit], "right")
+        hit, lo, per = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        if len(hit):  # a run holds no zero, so it lies in one text
+            k = np.repeat(lo - (np.cumsum(per) - per), per) + np.arange(per.sum())
+            place = np.repeat(hit, per)
+            found.append(np.stack([np.searchsorted(off, place, "right") - 1, item[k], place - offset[k]]))
+    if not found:
+        return []
+    doc, k, begin = np.concatenate(found, axis=1)
+    slack = np.maximum(4, most[k])
+    # Hits of the same alignment within the slack are tried once, from the first of them.
+    order = np.lexsort((begin, begin // (slack + 1), k, doc))
+    doc, k, begin, slack = doc[order], k[order], begin[order], slack[order]
+    cell = begin // (slack + 1)
+    new = np.append(True, (doc[1:] != doc[:-1]) | (k[1:] != k[:-1]) | (cell[1:] != cell[:-1]))
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    done: set[tuple[int, int]] = set()
-    for k, begin, size in sorted(found):
-        doc = int(np.searchsorted(off, begin + stride_of(size), "right")) - 1
-        doc = min(max(doc, 0), len(off) - 2)
-        while begin + len(items.words[k]) <= off[doc] and doc:
-            doc -= 1
-        slack = max(4, items.most[k])
-        cell = (k, begin // (slack + 1))
-        if cell in done:  # the same alignment, tried within the slack
-            continue
-        done.add(cell)
-        lo, hi = max(int(off[doc]), begin - 2 * slack - 1), min(int(off[doc + 1]) - 1, begin + len(items.words[k]) + 2 * slack + 1)
-        if span := edit_span(items.words[k], hashes[lo:hi], items.most[k]):
-            value = (span[0], lo + span[1] - int(off[doc]))
-            best[doc, k] = min(best.get((doc, k), value), value)
-    return [(d, k, *v) for (d, k), v in sorted(best.items())]
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    for d, i, at, room in zip(*(x[new].tolist() for x in (doc, k, begin, slack)), strict=True):
+        lo, hi = max(int(off[d]), at - 2 * room - 1), min(int(off[d + 1]) - 1, at + len(items.words[i]) + 2 * room + 1)
+        if span := edit_span(items.words[i], hashes[lo:hi], items.most[i]):
+            value = (span[0], lo + span[1] - int(off[d]))
+            best[d, i] = min(best.get((d, i), value), value)
+    return [(d, i, *v) for (d, i), v in sorted(best.items())]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, distance, item_words, end_word): a row for each document row and benchmark item of which it holds a
     passage within an edit distance of (1 - similarity) of the item's words.
 
-    Documents are read in place: windows start at every quarter of an item's size, item walks at each word of their
-    first quarter, so that some pair starts at the same word. `recall` is reached at the limit of similarity by enough
-    repeated walks; closer passages agree more often, and an exact one always. Each hit is verified exactly, so there
-    are no false rows. Nothing is shuffled. The benchmark is the query set: its items go to the tasks ITEMS_A_PASS at a
+    Documents are read in place: a passage within the distance holds one of the item's runs unchanged (see cuts), so all
+    are found. Each hit is verified exactly, so there are no false rows. Nothing is shuffled. The benchmark is the query set: its items go to the tasks ITEMS_A_PASS at a
     time, and each such block takes a pass over the documents.
 
     Null and empty texts match nothing, nor do items of fewer than LEAST_WORDS words. Repeated rows of documents or
     items give rows each. Other columns are ignored.
     """
-    reps = repetitions(recall)
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {id_type}, item_id {item_type}, distance int, item_words int, end_word int"
 
     def search(ids: list, texts: list[str | None]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(Items.of(ids, texts, similarity, reps))
+        shared = docs.sparkSession.sparkContext.broadcast(Items.of(ids, texts, similarity))
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items, filters = shared.value, {}
-            for k, (keys, _, _) in items.tables.items():
-                filters[k] = np.zeros(1 << 20, bool)
-                filters[k][(keys >> np.uint64(44)).astype(np.int64)] = True
-            if not filters:
+            items = shared.value
+            if not (filters := items.filters()):
                 return
             for whole in batches:
                 for batch, data, off in text_chunks(whole, "text", 1 << 20):
