@@ -153,6 +153,15 @@ def test_leaks_at_the_limit(spark, edits_at):
     assert {i for i, _ in items} == {r.doc_id for r in got if r.doc_id == r.item_id}
 
 
+def test_leaks_of_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "人工智能的发展改变了世界各地人们的生活方式。"), (2, "吾輩は猫である。名前はまだ無い。"), (3, "ภาษาไทยไม่มีช่องว่างระหว่างคำ"), (4, "Paris is lovely"), (5, "one two three four five"), (6, "Zürich"), (7, "…"), (8, "很好")]
+    rows = [(i, f"some words, {t} and more") for i, t in items]
+    rows += [(11, "前言，人工智能的发展改变过世界各地人们的生活方式后记"), (12, "我说吾輩は猫である名前はまだ無いと"), (13, "กขภาษาไทยไม่มีช่องว่างระหว่างคำกข"), (14, "Paris is «lovely»"), (15, "zero one two 3 four five six"), (16, "Zürichs"), (18, "不很好吃 very"), (19, "Paris was lovely")]
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(i, i): 0 for i in (1, 2, 3, 4, 5, 6, 8)} | {(11, 1): 1, (12, 2): 0, (13, 3): 0, (14, 4): 0, (15, 5): 1, (18, 8): 0}
+    assert {(r.doc_id, r.item_id): r.distance for r in got} == want
+
+
 def test_leak_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "ITEMS_A_PASS", 2)
     rng = random.Random(2)

@@ -1,12 +1,14 @@
 """Benchmark decontamination by edit distance (operator 2).
 
-Edit distance is over words (letters, digits and bytes from 128 on; A to Z in lower case). An item for which `most` edits
+Edit distance is over words (ASCII letters and digits, and characters beyond ASCII but for punctuation, symbols and spaces;
+A to Z in lower case). In scripts that put no spaces between words each character is a word. An item for which `most` edits
 are accepted is cut into most + 1 runs of words. Each edit touches one run at most, so a passage within the distance holds
 one of the runs unchanged, wherever the edits lie: hashes of the runs find all passages, and each hit is verified exactly.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,24 +19,45 @@ from pyspark.sql import functions as F
 
 from .common import mix64, text_chunks
 
-#: Shortest items, in words; shorter ones name no passage and match nothing.
-LEAST_WORDS = 8
 #: Items whose hashes are broadcast at once; more items are handled in blocks, each in a pass over the documents.
 ITEMS_A_PASS = 20_000
 _word_bytes = np.zeros(256, np.uint8)
 _word_bytes[np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)] = np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)
 _word_bytes[ord("A") : ord("Z") + 1] = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
 _word_bytes[128:] = np.arange(128, 256)
+#: Characters beyond ASCII that end words (1), and of scripts without spaces (2): Thai to Tibetan, Myanmar, Khmer, Tai Le to Khmer symbols, Tai Tham, kana, Han.
+_kinds = np.array([0 if c < 128 else 1 if unicodedata.category(chr(c))[0] in "PSZ" or c == 0x200B else 0 for c in range(0x40000)], np.uint8)
+for _a, _b in ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x30FF), (0x3105, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)):
+    _kinds[_a : _b + 1] = np.where(_kinds[_a : _b + 1] == 1, 1, 2)
 _odd = np.uint64(0x9E3779B97F4A7C15)
 
 
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, bytes, kind) of the characters beyond ASCII of UTF-8 texts, see _kinds."""
+    lead = np.flatnonzero(data >= 0xC2)
+    first, more = data[lead].astype(np.int32), np.append(data, np.zeros(3, np.uint8)).astype(np.int32) & 63
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    two = (first & 31) << 6 | more[lead + 1]
+    three = (first & 15) << 12 | more[lead + 1] << 6 | more[lead + 2]
+    four = (first & 7) << 18 | more[lead + 1] << 12 | more[lead + 2] << 6 | more[lead + 3]
+    code = np.where(size == 2, two, np.where(size == 3, three, four))
+    return lead, size, np.where(code < len(_kinds), _kinds[np.minimum(code, len(_kinds) - 1)], 0)
+
+
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): 64-bit hashes of the words of texts that lie end to end. A zero follows each text's words."""
     n = len(off) - 1
     norm = _word_bytes[data]
+    lead, size, kind = characters(data)
+    for k in range(4):
+        norm[lead[(kind == 1) & (size > k)] + k] = 0
     inside = norm > 0
     start = inside.copy()
     start[1:] &= ~inside[:-1]
+    alone, after = lead[kind == 2], (lead + size)[kind == 2]
+    start[alone] = True
+    after = after[after < len(data)]
+    start[after] = inside[after]
     heads = off[:-1][np.diff(off) > 0]
     start[heads] = inside[heads]
     starts = np.flatnonzero(start)
@@ -88,9 +111,8 @@ class Items:
             words.append(word_hashes(data, np.array([0, len(data)]))[0][:-1])
         items, rows = Items(ids, words, [int((1 - similarity) * len(w) + 1e-9) for w in words], {}), {}
         for i, w in enumerate(words):
-            if len(w) >= LEAST_WORDS:
-                for start, length in cuts(len(w), items.most[i]):
-                    rows.setdefault(length, []).append((int(runs(w[start : start + length], length)[0]), i, start))
+            for start, length in cuts(len(w), items.most[i]) if len(w) else ():
+                rows.setdefault(length, []).append((int(runs(w[start : start + length], length)[0]), i, start))
         for length, own in rows.items():
             keys, item, offset = (np.array(x, t) for x, t in zip(zip(*own, strict=True), (np.uint64, np.int64, np.int64), strict=True))
             order = np.argsort(keys)
@@ -150,12 +172,15 @@ def matches(items: Items, filters: dict[int, np.ndarray], hashes: np.ndarray, of
     doc, k, begin = np.concatenate(found, axis=1)
     slack = np.maximum(4, most[k])
     # Hits of the same alignment within the slack are tried once, from the first of them.
-    order = np.lexsort((begin, begin // (slack + 1), k, doc))
+    order = np.lexsort((begin, k, doc))
     doc, k, begin, slack = doc[order], k[order], begin[order], slack[order]
-    cell = begin // (slack + 1)
+    cell = np.where(most[k] > 0, begin // (slack + 1), 0)  # where no edit is accepted, the whole item is the run: the first hit is the best
     new = np.append(True, (doc[1:] != doc[:-1]) | (k[1:] != k[:-1]) | (cell[1:] != cell[:-1]))
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for d, i, at, room in zip(*(x[new].tolist() for x in (doc, k, begin, slack)), strict=True):
+        if not items.most[i]:
+            best[d, i] = (0, at + len(items.words[i]) - int(off[d]))
+            continue
         lo, hi = max(int(off[d]), at - 2 * room - 1), min(int(off[d + 1]) - 1, at + len(items.words[i]) + 2 * room + 1)
         if span := edit_span(items.words[i], hashes[lo:hi], items.most[i]):
             value = (span[0], lo + span[1] - int(off[d]))
@@ -171,7 +196,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col
     are found. Each hit is verified exactly, so there are no false rows. Nothing is shuffled. The benchmark is the query set: its items go to the tasks ITEMS_A_PASS at a
     time, and each such block takes a pass over the documents.
 
-    Null and empty texts match nothing, nor do items of fewer than LEAST_WORDS words. Repeated rows of documents or
+    Null texts and those without words match nothing. Items of any length count; those of fewer than 1 / (1 - similarity)
+    words accept no edit, so a document holds them word by word or not at all. Repeated rows of documents or
     items give rows each. Other columns are ignored.
     """
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
