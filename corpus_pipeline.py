@@ -11,22 +11,24 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import held_out, table, written
 from tracelake.llm.decontam import leaks
-from tracelake.llm.langid import UNKNOWN, identify, learn
+from tracelake.llm.langid import UNKNOWN, identify, learn, least_scores
 from tracelake.llm.packing import pack
 from tracelake.llm.queries import words
 from tracelake.llm.simhash import near_copies
 
-#: Documents below this share of rank agreement with every language are rejected.
+#: Documents below this share of rank agreement with every language are rejected, whatever the labelled documents score.
 LEAST_SCORE = 0.05
 #: Word fingerprints of a document, for candidates; with four, about nine of ten pairs at a five-word similarity of 0.8 are candidates.
 WORD_PRINTS = 4
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those whose n-grams agree with no learned language."""
-    profiles = learn(docs, ~held_out("doc_id", 4, 2))
-    told = identify(docs, profiles, keep=docs.columns, lang="_lang_pred", score="_lang_score")
-    return told.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    """Drops documents without a letter, and those whose n-grams agree with no learned language as its labelled documents
+    of the same length do."""
+    train = ~held_out("doc_id", 4, 2)
+    told = written(identify(docs, learn(docs, train), keep=docs.columns, lang="_lang_pred", score="_lang_score"), "told")
+    least = least_scores(told, train, LEAST_SCORE, lang="_lang_pred", score="_lang_score")
+    return told.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,18 @@ def test_stages(spark, planted):
     assert ids(P.length_buckets(spark, docs, folder)) == ids(docs)
 
 
+def test_language_rejects_junk(spark):
+    rng = random.Random(22)
+    words = {x: ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(200)] for x, letters in (("aa", "ghijkkkklmnop"), ("bb", "opqrstttuvwxy"))}
+    clean = [(i, " ".join(rng.choices(words[x], k=rng.randint(40, 300))), x) for i in range(300) for x in ["aa", "bb"][i % 2 : i % 2 + 1]]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = [(1000 + i, "".join(rng.choices(letters, k=rng.choice([300, 3000]))), None) for i in range(20)]
+    junk += [(1100 + i, prose(rng, 200, letters), None) for i in range(20)] + [(1200 + i, rng.randbytes(600).hex(), None) for i in range(20)]
+    docs = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in P.known_language(spark, docs, "").collect()}
+    assert kept == {i for i, *_ in clean}
+
+
 def test_run(spark, planted):
     folder, clean, *_ = planted
     assert {r.doc_id for r in entry.queries()["pipeline"](spark, folder).collect()} == clean

@@ -23,6 +23,12 @@ MOST_DOCS = 1 << 12
 #: Text bytes that one sort handles; it takes about 60 bytes for each.
 SORTED_BYTES = 1 << 19
 UNKNOWN = "und"
+#: A text is taken for a language if its score is at least this share of the median of the language's labelled texts of its length.
+SHARE = 0.5
+#: Labelled texts that a median needs.
+LEAST_TEXTS = 20
+#: Lengths are classed by their number of bits.
+LENGTHS = 64
 _letter = re.compile(r"[^\W\d_]")
 _symbols = np.zeros(256, np.uint8)
 _symbols[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -153,3 +159,31 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep:
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     return rows.mapInArrow(each, f"{fields}{', ' if fields else ''}{lang} string, {score} double")
+
+
+def length_class(col: str | Column) -> Column:
+    """The number of binary digits of a text's bytes."""
+    return F.length(F.bin(F.coalesce(F.octet_length(col), F.lit(0)).cast("long"))).cast("int")
+
+
+def least_scores(told: DataFrame, train: Column, floor: float, text_col: str = "text", lang_col: str = "lang", lang: str = "lang_pred", score: str = "score") -> Column:
+    """The smallest score at which a row of `told` agrees with its predicted language: SHARE of the median score of the rows
+    of that language and length class where `train` holds and label and prediction are the same.
+
+    A length class of under LEAST_TEXTS such rows takes the median of all languages together; if these have too few as well,
+    the smaller value of its measured neighbours; if it is shorter than all measured ones, `floor`. What reaches the driver is a row for each language and length class.
+    """
+    right = told.filter(train & (F.col(lang_col) == F.col(lang)))
+    each = F.explode(F.array(F.col(lang), F.lit("")))  # no language has an empty name here: it stands for all
+    rows = right.filter(F.col(lang) != "").select(each.alias("lang"), length_class(text_col).alias("c"), F.col(score).alias("s")).groupBy("lang", "c").agg(F.count("*").alias("n"), F.percentile_approx("s", 0.5).alias("m"))
+    known: dict[str, dict[int, float]] = {}
+    for r in rows.filter(F.col("n") >= LEAST_TEXTS).collect():
+        known.setdefault(r["lang"], {})[r["c"]] = max(floor, SHARE * r["m"])
+    least, pooled = F.lit(floor), known.pop("", {})
+    for name, own in known.items():
+        own, values = pooled | own, []
+        for c in range(1, LENGTHS + 1):
+            below, above = max((x for x in own if x <= c), default=None), min((x for x in own if x >= c), default=None)
+            values.append(floor if below is None else own[below] if above is None else min(own[below], own[above]))
+        least = F.when(F.col(lang) == name, F.element_at(F.array(*map(F.lit, values)), length_class(text_col))).otherwise(least)
+    return least
