@@ -2,7 +2,7 @@
 
 from tracelake.schemas import TABLES
 from tracelake.sources.adapters import runtime_events
-from tracelake.sources.journal import load_journal, write_events
+from tracelake.sources.journal import load_events, load_journal, write_events
 
 
 def test_round_trip(spark, tmp_path):
@@ -12,5 +12,17 @@ def test_round_trip(spark, tmp_path):
     events = runtime_events(spark, "/root/testdata/sf0.001")
     write_events(events, f"{tmp_path}/runtime_events")
     back = load_journal(spark, str(tmp_path))
+    assert back["runtime_events"].columns == events.columns
     assert set(back) == set(TABLES) and back["runtime_events"].exceptAll(events.select(*back["runtime_events"].columns)).count() == 0
     assert back["runtime_events"].count() == events.count()
+
+
+def test_days_are_pruned(spark, tmp_path):
+    events = runtime_events(spark, "/root/testdata/sf0.001")
+    write_events(events, f"{tmp_path}/e")
+    days = sorted(r.event_date for r in spark.read.parquet(f"{tmp_path}/e").select("event_date").distinct().collect())
+    some = load_events(spark, f"{tmp_path}/e", str(days[1]), str(days[1]))
+    assert some.columns == events.columns
+    assert some.count() == spark.read.parquet(f"{tmp_path}/e/event_date={days[1]}").count() < events.count()
+    assert "PartitionFilters: [isnotnull(event_date" in some._jdf.queryExecution().toString()
+    assert load_events(spark, f"{tmp_path}/e").count() == events.count()

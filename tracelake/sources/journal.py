@@ -9,17 +9,25 @@ from ..schemas import TABLES
 
 
 def load_journal(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A1: the journal's tables with their declared schemas, from Parquet folders under a path."""
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()}
+    """A1: the journal's tables with their declared schemas, from Parquet folders under a path. Folders of days, as
+    write_events makes them, are read whole; load_events reads some of them."""
+    return {name: spark.read.schema(schema).parquet(f"{path}/{name}").select(*_columns(schema)) for name, schema in TABLES.items()}
 
 
-def load_journal_jdbc(spark: SparkSession, url: str, properties: dict[str, str]) -> dict[str, DataFrame]:
-    """A1: the same tables of a database, cast to the declared schemas."""
-    out = {}
-    for name, schema in TABLES.items():
-        table = spark.read.jdbc(url, name, properties=properties)
-        out[name] = table.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", "))])
-    return out
+def load_events(spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+    """A1: the events that write_events has put under `path`, of the days (inclusive, as yyyy-mm-dd). Other days' folders are
+    not read."""
+    schema = TABLES["runtime_events"]
+    events = spark.read.schema(f"{schema}, event_date date").parquet(path)
+    if first_day:
+        events = events.filter(F.col("event_date") >= F.lit(first_day).cast("date"))
+    if last_day:
+        events = events.filter(F.col("event_date") <= F.lit(last_day).cast("date"))
+    return events.select(*_columns(schema))
+
+
+def _columns(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def write_events(events: DataFrame, path: str) -> None:
