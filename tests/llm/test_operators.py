@@ -426,9 +426,11 @@ def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    manifest = token_files.write_token_files(docs, tokenizer("byte_bpe_50k.json"), new_path(spark, "ids"), end_id=2)
+    manifest = token_files.write_token_files(docs, tokenizer("byte_bpe_50k.json"), new_path(spark, "ids"), end_id=2, file_bytes=1 << 14)
+    files = manifest.collect()
+    assert len(files) > 3 and sum(r.n_docs for r in files) == docs.count()
     got = sorted(map(tuple, token_files.read_token_files(manifest).collect()), key=lambda r: r[1])
-    rows = sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rows = sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))  # equal ids have equal texts here
     want, start = [], 0
     for i, t in rows:
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
@@ -446,8 +448,9 @@ def test_token_file_in_small_blocks(tmp_path, monkeypatch):
     docs = [(i, rng.integers(0, 50257, rng.integers(0, 300)).astype(np.int32)) for i in range(50)] + [(None, np.array([2], np.int32))]
     fs = LocalFileSystem()
     writer = token_files.Writer(fs.open_output_stream(str(tmp_path / "x.s8b")))
-    for i, ids in docs:
-        writer.add(i, ids)
+    for at in range(0, len(docs), 7):
+        some = docs[at : at + 7]
+        writer.add([i for i, _ in some], np.concatenate([x for _, x in some]), np.array([len(x) for _, x in some]))
     writer.close()
     with fs.open_input_file(str(tmp_path / "x.s8b")) as f:
         for (i, ids), (j, _, back) in zip(docs, token_files.read(f), strict=True):

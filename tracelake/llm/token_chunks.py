@@ -13,9 +13,13 @@ import string
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks that one worker keeps.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
+#: Chunks whose ids are put in place at once.
+PLACED = 1 << 18
 #: Longer chunks are not kept.
 CACHE_CHARS = 64
 #: Marks that the pattern takes as one part behind a word; the apostrophe can begin other parts.
@@ -117,12 +121,35 @@ class ByteBpe:
         return array("i", self.lib.encode(space + word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
+
+    def _begin(self, text: str) -> tuple[bytes, bool]:
+        """The ids of a text's first chunk; those of the whole text where its chunks can't be told apart by spaces."""
         if not text:
-            return b""
-        if not _plain_space(text) or any(s in text for s in self.special):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
-        head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+            return b"", False
+        if _plain_space(text) and not any(s in text for s in self.special):
+            return self.first[text.partition(" ")[0]], True
+        return array("i", self.lib.encode(text, add_special_tokens=False).ids).tobytes(), False
+
+    def encode_all(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of ids of each). Each distinct chunk of the texts is looked up once."""
+        begins = [self._begin(x or "") for x in texts.to_pylist()]
+        split = pc.split_pattern(pc.if_else(pa.array([b for _, b in begins], pa.bool_()), texts, ""), " ")
+        first = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
+        first -= first[0]
+        codes, n = coded.indices.to_numpy().copy(), len(coded.dictionary)
+        codes[first[:-1]] = n + np.arange(len(begins))
+        values = [*map(self.later.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), *[b for b, _ in begins]]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        pool, start = np.frombuffer(b"".join(values), "<i4"), np.cumsum(sizes) - sizes
+        parts, counts = [], np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(sizes[codes], out=counts[1:])
+        for lo in range(0, len(codes), PLACED):
+            own = codes[lo : lo + PLACED]
+            n_ids = sizes[own]
+            parts.append(pool[np.repeat(start[own] - (np.cumsum(n_ids) - n_ids), n_ids) + np.arange(n_ids.sum())])
+        return np.concatenate(parts) if parts else pool, np.diff(counts[first])
 
     @staticmethod
     def of(path: str) -> ByteBpe:

@@ -11,6 +11,7 @@ escapes. The offsets let a reader decode any block by itself, with a few numpy o
 from __future__ import annotations
 
 import io
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,46 +23,60 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, offsets, written
+from .common import map_arrow, offsets, text_chunks, written
 from .token_chunks import ByteBpe
 
 MAGIC = b"TLAKES8B"
 BLOCK = 1 << 16
+#: Text bytes of a file, on average.
+FILE_BYTES = 64 << 20
+#: Text bytes that are encoded at once, so that their distinct chunks are looked up once.
+ENCODED_BYTES = 8 << 20
 ESCAPE = (1 << 15) - 1
 #: Selector: (slots, bits). Most slots first; a fixed rule of 60 payload bits.
 SLOTS = [(60 // b, b) for b in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15)]
 
 
+#: For each number below ESCAPE + 1 the first selector whose slots are wide enough.
+_selector = np.searchsorted([b for _, b in SLOTS], [x.bit_length() for x in range(ESCAPE + 1)]).astype(np.uint8)
+_slots = np.array([s for s, _ in SLOTS])
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The Simple-8b words of one block, greedily with the most slots that fit, and its escaped ids."""
-    n, low = len(ids), np.minimum(ids, ESCAPE).astype(np.int64)
-    best = np.full(n, len(SLOTS) - 1, np.int64)
-    index = np.arange(n)
+    n, low = len(ids), np.minimum(ids, ESCAPE).astype(np.uint64)
+    # The widest selector that the ids from each place on need, over 1, 2, 4, ... places; past the end there is room for padding.
+    widest = [np.concatenate([_selector[low], np.zeros(64, np.uint8)])]
+    for k in range(5):
+        widest.append(np.maximum(widest[-1], np.append(widest[-1][1 << k :], np.zeros(1 << k, np.uint8))))
+    best = np.full(n, len(SLOTS) - 1, np.uint8)
     for k in reversed(range(len(SLOTS) - 1)):
-        slots, bits = SLOTS[k]
-        wide = np.where(low >> bits > 0, index, n + slots)  # past the end there is room for padding
-        reach = np.minimum.accumulate(wide[::-1])[::-1]
-        best[reach - index >= slots] = k
-    jump = (index + np.array([s for s, _ in SLOTS])[best]).tolist()
+        slots = SLOTS[k][0]
+        p = slots.bit_length() - 1
+        over = slots - (1 << p)
+        best[np.maximum(widest[p][:n], widest[p][over : over + n]) <= k] = k
+    jump = (np.arange(n) + _slots[best]).tolist()
     at, starts = 0, []
     while at < n:
         starts.append(at)
         at = jump[at]
     starts = np.array(starts, np.int64)
-    padded = np.concatenate([low, np.zeros(60, np.int64)]).astype(np.uint64)
-    words = np.zeros(len(starts), np.uint64)
+    padded, kind = np.concatenate([low, np.zeros(60, np.uint64)]), best[starts]
+    words = kind.astype(np.uint64) << np.uint64(60)
     for k, (slots, bits) in enumerate(SLOTS):
-        own = np.flatnonzero(best[starts] == k)
+        own = np.flatnonzero(kind == k)
         if len(own):
-            shifts = np.arange(slots, dtype=np.uint64) * np.uint64(bits)
-            words[own] = np.bitwise_or.reduce(padded[starts[own][:, None] + np.arange(slots)] << shifts, axis=1) | np.uint64(k << 60)
+            word, at = words[own], starts[own]
+            for j in range(slots):
+                word |= padded[at + j] << np.uint64(bits * j)
+            words[own] = word
     return words, ids[ids >= ESCAPE].astype("<u4")
 
 
 def unpack(words: np.ndarray, n: int, escapes: np.ndarray) -> np.ndarray:
     """The n ids of one block."""
     kind = (words >> np.uint64(60)).astype(np.int64)
-    slots = np.array([s for s, _ in SLOTS])[kind]
+    slots = _slots[kind]
     start = np.cumsum(slots) - slots
     out = np.zeros(n + 60, np.uint32)
     for k, (s, bits) in enumerate(SLOTS):
@@ -82,12 +97,13 @@ class Writer:
         self.doc_ids, self.ends, self.words, self.escapes = [], [], [0], [0]
         self.kept_escapes, self.n = [], 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Documents whose ids lie end to end."""
         self.rest.append(ids)
         self.held += len(ids)
+        self.doc_ids += doc_ids
+        self.ends += (self.n + np.cumsum(counts)).tolist()
         self.n += len(ids)
-        self.doc_ids.append(doc_id)
-        self.ends.append(self.n)
         if self.held >= BLOCK:
             held = np.concatenate(self.rest)
             for lo in range(0, len(held) - BLOCK + 1, BLOCK):
@@ -143,31 +159,36 @@ def read(file) -> Iterator[tuple[int | None, int, np.ndarray]]:
         held, lo = held[end - lo :], end
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encodes each text with a byte-level BPE file of the tokenizers library and writes the ids under `folder`, in
     ascending order of the document ids over the files. Returns the manifest (part, file, n_docs, n_ids, start), one row
     a file: `start` counts the ids of all files before it.
 
-    Texts are dealt out by ranges of ids, so each task writes one file. A file's name is new in each attempt, and only
-    those in the written manifest count: a lost executor or a repeated task leaves at most an unlisted file.
+    Texts are dealt out by ranges of (id, hash of the text), as many as hold `file_bytes` of text each, so a file has a
+    bounded size at any size of the table, and rows of one id spread over files. Each task writes one file. A file's
+    name is new in each attempt, and only those in the written manifest count: a lost executor or a repeated task leaves
+    at most an unlisted file.
 
-    A null text is empty and has only the end id; null ids come first; equal ids follow each other, ordered by text. An
-    empty table gives an empty manifest. Other columns are ignored.
+    A null text is empty and has only the end id; null ids come first; equal ids follow each other in the order of their
+    texts' hashes. An empty table gives an empty manifest. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    end = np.array([] if end_id is None else [end_id], np.int32)
+    files = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) / file_bytes))
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(files, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, writer = ByteBpe.of(tokenizer), None
-        for b in batches:
-            for doc, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+        for whole in batches:
+            for b, _, _ in text_chunks(whole, "text", ENCODED_BYTES):
                 if writer is None:
                     name = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.s8b"
                     fs, path = FileSystem.from_uri(name)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     writer = Writer(fs.open_output_stream(path))
-                writer.add(doc, np.concatenate([np.frombuffer(bpe.encode(text), "<i4"), end]))
+                ids, counts = bpe.encode_all(b.column("text"))
+                if end_id is not None:
+                    ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                writer.add(b.column("id").to_pylist(), ids, counts)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "file": name, "n_docs": len(writer.ends), "n_ids": writer.n}])
