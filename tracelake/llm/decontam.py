@@ -1,26 +1,45 @@
 """Benchmark decontamination by edit distance (operator 2).
 
 Edit distance is over words (ASCII letters and digits, and characters beyond ASCII but for punctuation, symbols and spaces;
-A to Z in lower case). In scripts that put no spaces between words each character is a word. An item for which `most` edits
-are accepted is cut into most + 1 runs of words. Each edit touches one run at most, so a passage within the distance holds
-one of the runs unchanged, wherever the edits lie: hashes of the runs find all passages, and each hit is verified exactly.
+A to Z in lower case). In scripts that put no spaces between words each character is a word.
+
+The CGK random walk embeds a window of words: at step t it emits the word at its place, and moves on if a random bit of
+(t, word) is set. Two windows within a small edit distance soon walk in step again, so their embeddings differ in few
+places: edit distance becomes Hamming distance. Bit sampling hashes a few sampled steps of a walk, and REPEATS walks with
+other random bits and samples repeat it. Windows have three quarters of an item's size class. An item is embedded from each
+of its words on, so it is found wherever its edits lie; a document from every word, or every stride_of(class) words.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_chunks
-
-#: Items whose hashes are broadcast at once; more items are handled in blocks, each in a pass over the documents.
-ITEMS_A_PASS = 20_000
+from .common import mix64, text_chunks, written
+
+#: Steps sampled of each walk for one hash.
+SAMPLES = 3
+#: Walks with other bits and samples. In trials with all accepted edits used up (1,200 a size, edits at the front, middle
+#: and back, even and random; see recall_trial in the tests) they find 0.95 or more of the passages of each size.
+REPEATS = 8
+REPEATS_LARGE = 16  # of classes from LARGE on
+LARGE = 128
+#: Items of fewer words are found by runs of words that their edits must leave unchanged (see cuts).
+SHORT = 8
+#: Item words whose hashes are broadcast at once (a longer item makes a block of its own); more are handled in blocks,
+#: each in a pass over the documents.
+WORDS_A_PASS = 250_000
+#: Text bytes that are searched at once.
+SEARCHED_BYTES = 1 << 20
 _word_bytes = np.zeros(256, np.uint8)
 _word_bytes[np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)] = np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)
 _word_bytes[ord("A") : ord("Z") + 1] = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
@@ -94,40 +113,118 @@ def runs(hashes: np.ndarray, length: int) -> np.ndarray:
     return key
 
 
+def class_of(words: int) -> int:
+    """The largest of 8, 12, 16, 24, 32, ... that is not above the size: two classes an octave share their windows."""
+    octave = 1 << (words.bit_length() - 1)
+    return octave * 3 // 2 if words >= octave * 3 // 2 else octave
+
+
+def stride_of(size: int) -> int:
+    """Words from one document window of a class to the next, a power of two; a passage holds 16 windows at least, or one at each word."""
+    return 1 << max(0, (size // 16).bit_length() - 1)
+
+
+def repeats_of(size: int) -> int:
+    return REPEATS_LARGE if size >= LARGE else REPEATS
+
+
+def samples(size: int, repeat: int) -> np.ndarray:
+    """The steps that are hashed, in order. A walk moves on at every other step, so it reads 3/4 * size words in 3/2 * size steps."""
+    return np.sort(np.random.default_rng([size, repeat]).choice(size * 3 // 2, SAMPLES, replace=False))
+
+
+def random_bits(hashes: np.ndarray, repeat: int, step: int) -> np.ndarray:
+    """The words' bits of the 64 steps from `step` on, as 8 bytes each; none are set for the end of a text."""
+    bits = mix64(hashes, 1 + repeat * 4096 + step // 64).astype("<u8")
+    bits[hashes == 0] = 0
+    return bits.view(np.uint8).reshape(-1, 8)
+
+
+def walks(hashes: np.ndarray, sizes: list[int], repeat: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, starts, key) of the walks of one repeat from every stride_of(size) words on, for each size.
+
+    Walks of all sizes share their bits, so each step is taken once. A zero (a text's end) has no bit set: a walk stays there.
+    """
+    places = np.arange(len(hashes))
+    wanted = {size: samples(size, repeat) for size in sizes}
+    keys = {size: np.full(-(-len(hashes) // stride_of(size)), np.uint64(repeat * 4096 + size)) for size in sizes}
+    at, every = places.copy(), 1
+    for t in range(max((w[-1] for w in wanted.values()), default=-1) + 1):
+        for size in [x for x, w in wanted.items() if t in w]:
+            own = at[:: stride_of(size) // every] if stride_of(size) > every else at
+            keys[size] = keys[size] * _odd + np.take(hashes, own, mode="clip")
+            if t == wanted[size][-1]:
+                yield size, places[:: stride_of(size)], mix64(keys.pop(size))
+                del wanted[size]
+        if not wanted:
+            return
+        more = math.gcd(*(stride_of(x) for x in wanted))
+        if more > every:
+            at, every = at[:: more // every].copy(), more
+        if t % 64 == 0:
+            bits = random_bits(hashes, repeat, t)
+        if t % 8 == 0:
+            eight = np.ascontiguousarray(bits[:, t % 64 // 8])
+        at += np.take(eight >> np.uint8(t % 8) & np.uint8(1), at, mode="clip")
+
+
 @dataclass
 class Items:
-    """A block of benchmark items and the hashes of their runs."""
+    """A block of benchmark items and the hashes of their walks, or of their runs if they are short."""
 
     ids: list
     words: list[np.ndarray]
     most: list[int]  # largest accepted edit distance
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by length: keys in order, item, start in the item
+    #: By length of the runs, or by (size, repeat) of the walks: keys in order, item, place in the item.
+    tables: dict[int | tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
-    def of(ids: list, texts: list[str | None], similarity: float) -> Items:
-        words = []
-        for x in texts:
-            data = np.frombuffer((x or "").encode(), np.uint8)
-            words.append(word_hashes(data, np.array([0, len(data)]))[0][:-1])
+    def of(ids: list, words: list[np.ndarray], similarity: float) -> Items:
         items, rows = Items(ids, words, [int((1 - similarity) * len(w) + 1e-9) for w in words], {}), {}
         for i, w in enumerate(words):
-            for start, length in cuts(len(w), items.most[i]) if len(w) else ():
+            for start, length in cuts(len(w), items.most[i]) if 0 < len(w) < SHORT else ():
                 rows.setdefault(length, []).append((int(runs(w[start : start + length], length)[0]), i, start))
         for length, own in rows.items():
-            keys, item, offset = (np.array(x, t) for x, t in zip(zip(*own, strict=True), (np.uint64, np.int64, np.int64), strict=True))
-            order = np.argsort(keys)
-            items.tables[length] = keys[order], item[order], offset[order]
+            items._add(length, *(np.array(x, t) for x, t in zip(zip(*own, strict=True), (np.uint64, np.int32, np.int32), strict=True)))
+        for size in sorted({class_of(len(w)) for w in words if len(w) >= SHORT}):
+            own = [i for i, w in enumerate(words) if len(w) >= SHORT and class_of(len(w)) == size]
+            first = np.cumsum([0, *[len(words[i]) + 1 for i in own]])
+            item = np.repeat(np.array(own, np.int32), np.diff(first))
+            offset = (np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))).astype(np.int32)
+            flat = np.concatenate([np.append(words[i], np.uint64(0)) for i in own])
+            for r in range(repeats_of(size)):
+                key, last, told = every_walk(flat, size, r)
+                inside = (flat[last] != 0) & (told == SAMPLES)  # a walk that ends outside the item, or tells a word twice, says too little
+                items._add((size, r), key[inside], item[inside], offset[inside])
         return items
 
-    def filters(self) -> dict[int, np.ndarray]:
-        """For each length, which leading bits its keys have."""
+    def _add(self, table: int | tuple[int, int], keys: np.ndarray, item: np.ndarray, offset: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.tables[table] = keys[order], item[order], offset[order]
+
+    def filters(self) -> dict[int | tuple[int, int], np.ndarray]:
+        """For each table, which leading bits its keys have."""
         out = {}
-        for length, (keys, _, _) in self.tables.items():
-            out[length] = np.zeros(1 << min(24, max(16, (len(keys) * 16).bit_length())), bool)
-            out[length][leading(keys, out[length])] = True
+        for name, (keys, _, _) in self.tables.items():
+            out[name] = np.zeros(1 << min(24, max(16, (len(keys) * 16).bit_length())), bool)
+            out[name][leading(keys, out[name])] = True
         return out
 
 
+def every_walk(hashes: np.ndarray, size: int, repeat: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, last place, number of places told) of the walk of a class from each word on."""
+    at, key, wanted = np.arange(len(hashes)), np.full(len(hashes), np.uint64(repeat * 4096 + size)), samples(size, repeat)
+    last, told = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+    for t in range(wanted[-1]):
+        if t in wanted:
+            key = key * _odd + hashes[at]
+            last, told = at, told + (at != last)
+        if t % 64 == 0:
+            bits = random_bits(hashes, repeat, t)
+        at = at + (bits[at, t % 64 // 8] >> np.uint8(t % 8) & np.uint8(1))
+    return mix64(key * _odd + hashes[at]), at, told + (at != last)
+
+
 def leading(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(65 - len(table).bit_length())).astype(np.int64)
 
@@ -154,22 +251,36 @@ def edit_span(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]
     return (int(row[end]), end) if row[end] <= most else None
 
 
-def matches(items: Items, filters: dict[int, np.ndarray], hashes: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(document, item, distance, place of the end in words) of the best match of each pair that shares a run."""
-    found: list[np.ndarray] = []
-    most = np.array(items.most, np.int64)
-    for length, (table, item, offset) in sorted(items.tables.items()):
-        keys = runs(hashes, length)
-        hit = np.flatnonzero(filters[length][leading(keys, filters[length])])
+def hits(items: Items, filters: dict, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(item, place of the item's first word, place of the hash) of the windows and runs of a text that share a hash with an item."""
+
+    def met(name: int | tuple[int, int], keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        table, item, offset = items.tables[name]
+        hit = np.flatnonzero(filters[name][leading(keys, filters[name])])
         lo, hi = np.searchsorted(table, keys[hit], "left"), np.searchsorted(table, keys[hit], "right")
         hit, lo, per = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        if len(hit):  # a run holds no zero, so it lies in one text
-            k = np.repeat(lo - (np.cumsum(per) - per), per) + np.arange(per.sum())
-            place = np.repeat(hit, per)
-            found.append(np.stack([np.searchsorted(off, place, "right") - 1, item[k], place - offset[k]]))
+        k = np.repeat(lo - (np.cumsum(per) - per), per) + np.arange(per.sum())
+        return item[k].astype(np.int64), np.repeat(starts[hit], per) - offset[k], np.repeat(starts[hit], per)
+
+    for length in [x for x in items.tables if isinstance(x, int)]:
+        keys = runs(hashes, length)
+        yield met(length, keys, np.arange(len(keys)))
+    sizes: dict[int, list[int]] = {}
+    for size, r in [x for x in items.tables if not isinstance(x, int)]:
+        sizes.setdefault(r, []).append(size)
+    for r, own in sizes.items():
+        for size, starts, keys in walks(hashes, own, r):
+            yield met((size, r), keys, starts)
+
+
+def matches(items: Items, filters: dict, hashes: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(document, item, distance, place of the end in words) of the best match of each pair that shares a hash."""
+    found = [np.stack(x) for x in hits(items, filters, hashes) if len(x[0])]
     if not found:
         return []
-    doc, k, begin = np.concatenate(found, axis=1)
+    k, begin, place = np.concatenate(found, axis=1)
+    most = np.array(items.most, np.int64)
+    doc = np.searchsorted(off, place, "right") - 1  # a hash of an item holds no text's end, so it lies in one text
     slack = np.maximum(4, most[k])
     # Hits of the same alignment within the slack are tried once, from the first of them.
     order = np.lexsort((begin, k, doc))
@@ -188,13 +299,35 @@ def matches(items: Items, filters: dict[int, np.ndarray], hashes: np.ndarray, of
     return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
 
+def search_text(items: Items, filters: dict, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """matches() of texts that lie end to end. A text above SEARCHED_BYTES is hashed and searched piece by piece: pieces of
+    the text end at ASCII breaks, and pieces of its words overlap by more than any match and its slack."""
+    if len(off) != 2 or len(data) <= 2 * SEARCHED_BYTES:
+        return matches(items, filters, *word_hashes(data, off))
+    parts, lo = [], 0
+    while lo < len(data):
+        breaks = np.flatnonzero(_word_bytes[data[lo + SEARCHED_BYTES : lo + 2 * SEARCHED_BYTES]] == 0)
+        hi = lo + SEARCHED_BYTES + int(breaks[0]) if len(breaks) else len(data)
+        parts.append(word_hashes(data[lo:hi], np.array([0, hi - lo]))[0][:-1])
+        lo = hi
+    words = np.concatenate(parts)
+    room = max((len(w) + 4 * max(4, m) + 4 for w, m in zip(items.words, items.most, strict=True)), default=0)
+    step, best = max(SEARCHED_BYTES // 6, 4 * room), {}
+    for lo in range(0, max(1, len(words) - room), step):
+        own = np.append(words[lo : lo + step + 2 * room], np.uint64(0))
+        for _, i, distance, end in matches(items, filters, own, np.array([0, len(own)])):
+            best[i] = min(best.get(i, (distance, lo + end)), (distance, lo + end))
+    return [(0, i, *v) for i, v in sorted(best.items())]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, distance, item_words, end_word): a row for each document row and benchmark item of which it holds a
     passage within an edit distance of (1 - similarity) of the item's words.
 
-    Documents are read in place: a passage within the distance holds one of the item's runs unchanged (see cuts), so all
-    are found. Each hit is verified exactly, so there are no false rows. Nothing is shuffled. The benchmark is the query set: its items go to the tasks ITEMS_A_PASS at a
-    time, and each such block takes a pass over the documents.
+    Documents are read in place and nothing is shuffled. Each hit of a hash is verified exactly, so there are no false
+    rows; an exact copy is found by every walk, and of the passages at the limit of similarity the share that REPEATS
+    tells. The benchmark is the query set: its items go to the tasks WORDS_A_PASS words at a time, and each such block
+    takes a pass over the documents. With several blocks each is written and its broadcast is dropped before the next.
 
     Null texts and those without words match nothing. Items of any length count; those of fewer than 1 / (1 - similarity)
     words accept no edit, so a document holds them word by word or not at all. Repeated rows of documents or
@@ -203,33 +336,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {id_type}, item_id {item_type}, distance int, item_words int, end_word int"
+    kind = benchmark.select(item_id).limit(0).toArrow().schema.field(0).type
 
-    def search(ids: list, texts: list[str | None]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(Items.of(ids, texts, similarity))
+    def search(ids: list, words: list[np.ndarray]) -> tuple[DataFrame, Broadcast]:
+        shared = docs.sparkSession.sparkContext.broadcast(Items.of(ids, words, similarity))
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
             if not (filters := items.filters()):
                 return
             for whole in batches:
-                for batch, data, off in text_chunks(whole, "text", 1 << 20):
-                    found = matches(items, filters, *word_hashes(data, off))
+                for batch, data, off in text_chunks(whole, "text", SEARCHED_BYTES):
+                    found = search_text(items, filters, data, off)
                     if found:
                         doc, item, distance, end = zip(*found, strict=True)
                         of = batch.column("id").take(pa.array(doc))
                         sizes = [len(items.words[k]) for k in item]
                         yield pa.record_batch([of, pa.array([items.ids[k] for k in item], kind), *(pa.array(x, pa.int32()) for x in (distance, sizes, end))], ["id", "item_id", "distance", "item_words", "end_word"])
 
-        return rows.mapInArrow(each, schema)
+        return rows.mapInArrow(each, schema), shared
 
-    kind = pa.int64() if item_type == "bigint" else None
-    out, ids, texts = None, [], []
+    out, ids, words, held = [], [], [], 0
     for row in benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).toLocalIterator():
+        data = np.frombuffer((row["t"] or "").encode(), np.uint8)
+        own = word_hashes(data, np.array([0, len(data)]))[0][:-1]
+        if ids and held + len(own) > WORDS_A_PASS:
+            found, shared = search(ids, words)
+            out.append(written(found, "leaks"))
+            shared.destroy()
+            ids, words, held = [], [], 0
         ids.append(row["i"])
-        texts.append(row["t"])
-        if len(ids) == ITEMS_A_PASS:
-            part = search(ids, texts)
-            out, ids, texts = part if out is None else out.union(part), [], []
-    part = search(ids, texts) if ids or out is None else None
-    out = out.union(part) if out is not None and part is not None else part if out is None else out
-    return out.withColumnsRenamed({"id": id_col, "item_id": item_id if item_id != id_col else f"item_{item_id}"})
+        words.append(own)
+        held += len(own)
+    out.append(search(ids, words)[0])
+    return reduce(DataFrame.union, out).withColumnsRenamed({"id": id_col, "item_id": item_id if item_id != id_col else f"item_{item_id}"})
