@@ -305,24 +305,47 @@ def test_binned_rounds_up_by_little(spark):
     assert all(r.n <= r.b <= r.n * 1.001 + 1 for r in got) and all(r.n == r.b for r in got if r.n <= 2048)
 
 
-def test_lattice_is_the_sum_over_segmentations():
+@pytest.mark.parametrize("few", [0, 40, 10_000])
+def test_lattice_is_the_sum_over_segmentations(monkeypatch, few):
+    monkeypatch.setattr(lattice, "FEW", few)
     pieces = sorted({b" ", b" a", b"a", b"b", b"ab", b"ba", b" ab", b"aba"})
-    logp = np.log(np.random.default_rng(1).dirichlet(np.ones(len(pieces))))
-    of = dict(zip(pieces, logp, strict=True))
-    model = lattice.Lattice(pieces, logp)
+    laws = np.log(np.random.default_rng(1).dirichlet(np.ones(len(pieces)), 2))
+    model = lattice.Lattice(pieces, laws)
 
     def ways(s):
         return [[]] if not s else [[p, *rest] for p in pieces if s.startswith(p) for rest in ways(s[len(p) :])]
 
     strings = [bytes(x) for n in range(1, 7) for x in itertools.product(b"ab", repeat=n)]
-    want = [np.logaddexp.reduce([sum(of[p] for p in w) for w in ways(b" " + s)]) for s in strings]
-    assert np.allclose(model.word_logp(strings), want)
-    uses, total = np.zeros(len(pieces)), np.arange(1, len(strings) + 1)
-    for s, c, z in zip(strings, total, want, strict=True):
-        for w in ways(b" " + s):
-            for p in w:
-                uses[pieces.index(p)] += c * math.exp(sum(of[q] for q in w) - z)
-    assert np.allclose(model.expected(strings, total), uses)
+    logp, used = model.word_logp(strings)
+    for law, got, pieces_used in zip(laws, logp, used, strict=True):
+        of = dict(zip(pieces, law, strict=True))
+        each = [[(sum(of[p] for p in w), len(w)) for w in ways(b" " + s)] for s in strings]
+        want = [np.logaddexp.reduce([p for p, _ in x]) for x in each]
+        assert np.allclose(got, want)
+        assert np.allclose(pieces_used, [sum(math.exp(p - z) * k for p, k in x) for x, z in zip(each, want, strict=True)])
+
+
+def test_lattice_takes_the_vocabularys_scores(spark):
+    path = tokenizer("piece_bpe_32k.model")
+    pieces, scores = lattice.vocabulary(path)
+    assert len(set(pieces)) == len(pieces) and all(bytes([b]) in set(pieces) for b in range(256))
+    words = spark.createDataFrame([(b"the", 10), (b"lattice", 3), (b"unseen", 0)], "word binary, c long")
+    got, logp, log_end = lattice.fit(words, 4, path)
+    assert got == pieces and abs(np.exp(logp).sum() + math.exp(log_end) - 1) < 1e-9
+    assert (np.argsort(-logp, kind="stable") == np.argsort(-scores, kind="stable")).all()  # in the order of the vocabulary
+    single = [lattice.Lattice(pieces, lattice.weights(scores, s, 0.0)).word_logp([b"the", b"lattice"])[0][0] @ [10, 3] for s in lattice.SCALES]
+    best = lattice.SCALES[int(np.argmax(single))]
+    assert np.allclose(np.diff(logp), best * np.diff(scores))
+
+
+def test_very_long_words_are_scored_in_time():
+    import time
+
+    pieces, scores = lattice.vocabulary(tokenizer("piece_bpe_32k.model"))
+    model, start = lattice.Lattice(pieces, lattice.weights(scores, 1.0, 0.1)), time.process_time()
+    word = bytes(random.Random(1).choices(b"abcdefghijklmnopqrstuvwxyz0123456789\xc3\xa9", k=1_000_000))
+    assert math.isfinite(model.word_logp([word])[0][0, 0]) and time.process_time() - start < 20
+    assert np.allclose(model.word_logp([word[:300]] * 50)[0], model.word_logp([word[:300]])[0])
 
 
 @pytest.mark.parametrize("head", [0, 50, 100_000])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,9 +20,10 @@ LOG10 = float(np.log(10))
 COUNTED = 200_000
 #: Most frequent words that documents look up without a shuffle; all other words are joined.
 HEAD = 100_000
-#: Rounds in which the pieces' probabilities are fitted to the training words, and the weight of the vocabulary's own
-#: scores in them, as a number of pieces.
-ROUNDS, PRIOR = 2, 1e4
+#: Factors of the vocabulary's scores that are tried on the training words; the likeliest is taken.
+SCALES = (0.7, 1.0, 1.3, 1.6)
+#: Words of one length below which each is scored by itself and not beside the others.
+FEW = 40
 _odd = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -30,37 +32,45 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
-    """Pieces that can be part of a word, as bytes with a space for the space mark, and their own log probabilities.
+    """Pieces that can be part of a word, as bytes with a space for the space mark, and the vocabulary's own scores for them.
 
-    A unigram model's scores are log probabilities. Those of a merge vocabulary are ranks (0, -1, -2, ...), which become
-    a harmonic law: probability in proportion to 1 / (rank + 10). Single bytes are pieces too, with the lowest weight.
+    A unigram model's scores are log probabilities and are taken as they are. Those of a merge vocabulary are ranks (0, -1,
+    -2, ...), which stand for a frequency by Zipf's law: the score of a piece is the log of 1 / (rank + 10). Single bytes
+    are pieces too, a hundredth as likely as the last piece where the vocabulary doesn't list them.
     """
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
-    weights: dict[bytes, float] = {}
-    scores = [(lib.id_to_piece(i).replace("▁", " "), lib.get_score(i)) for i in range(lib.get_piece_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
-    scores = [(p, s) for p, s in scores if " " not in p[1:]]
-    ranks = all(s == int(s) for _, s in scores)
-    for piece, score in scores:
-        weights[piece.encode()] = 1 / (10 - score) if ranks else float(np.exp(score))
-    low = min(weights.values(), default=1.0)
+    own = [(lib.id_to_piece(i).replace("▁", " "), lib.get_score(i)) for i in range(lib.get_piece_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
+    own = [(p, s) for p, s in own if " " not in p[1:]]
+    ranks = all(s == int(s) for _, s in own)
+    scores = {p.encode(): -float(np.log(10 - s)) if ranks else s for p, s in own}
+    low = min(scores.values(), default=0.0) - float(np.log(100))
     for b in range(256):
-        weights.setdefault(bytes([b]), low / 100)
-    pieces = sorted(weights)
-    p = np.array([weights[x] for x in pieces])
-    return pieces, np.log(p / p.sum())
+        scores.setdefault(bytes([b]), low)
+    pieces = sorted(scores)
+    return pieces, np.array([scores[x] for x in pieces])
+
+
+def weights(scores: np.ndarray, scale: float, end: float) -> np.ndarray:
+    """Log probabilities of the pieces: the scaled scores, made to sum to what the probability of an end leaves."""
+    x = scores * scale
+    top = x.max()
+    return x - top - np.log(np.exp(x - top).sum()) + np.log1p(-end)
 
 
 @dataclass
 class Lattice:
-    """Finds pieces by a hash of their bytes; scores are natural logs."""
+    """Finds pieces by a hash of their bytes. logp: natural logs of their probabilities, a row for each law that is tried."""
 
     pieces: list[bytes]
     logp: np.ndarray
 
     def __post_init__(self):
+        self.logp = np.atleast_2d(self.logp)
         self.most = max(map(len, self.pieces))
+        self.at = {p: i for i, p in enumerate(self.pieces)}
+        self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         hashes = self._hashes([p for p in self.pieces])
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], order
@@ -97,53 +107,64 @@ class Lattice:
                         ends[j + 1].append((j + 1 - i, rows[ok], self.ids[at[ok]]))
         return ends
 
-    def forward(self, block: np.ndarray, ends) -> np.ndarray:
-        """Log of the summed probability of all segmentations of each prefix: (length + 1) x words."""
-        n = block.shape[1]
-        alpha = np.full((n + 1, len(block)), -np.inf)
+    def forward(self, block: np.ndarray, ends) -> tuple[np.ndarray, np.ndarray]:
+        """For each law and word: the log of the summed probability of all segmentations, and the expected number of pieces."""
+        laws, n, rows_in = len(self.logp), block.shape[1], len(block)
+        alpha, used = np.full((n + 1, laws, rows_in), -np.inf), np.zeros((n + 1, laws, rows_in))
         alpha[0] = 0
         for j in range(1, n + 1):
-            terms = np.full((len(ends[j]), len(block)), -np.inf)
+            terms, before = np.full((len(ends[j]), laws, rows_in), -np.inf), np.zeros((len(ends[j]), laws, rows_in))
             for k, (size, rows, ids) in enumerate(ends[j]):
-                terms[k, rows] = alpha[j - size, rows] + self.logp[ids]
+                terms[k][:, rows] = alpha[j - size][:, rows] + self.logp[:, ids]
+                before[k] = used[j - size]
             top = terms.max(0)
-            alpha[j] = top + np.log(np.exp(terms - top).sum(0))
-        return alpha
+            shares = np.exp(terms - top)
+            total = shares.sum(0)
+            alpha[j] = top + np.log(total)
+            used[j] = (shares * before).sum(0) / total + 1
+        return alpha[-1], used[-1]
+
+    def forward_one(self, word: bytes) -> tuple[list[float], list[float]]:
+        """forward() of one word, for words that are long or alone in their length: a lookup for each piece there is."""
+        out, n = ([], []), len(word)
+        found: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(i + 1, min(n, i + self.most) + 1):
+                piece = word[i:j]
+                if piece not in self.starts:
+                    break
+                if (at := self.at.get(piece)) is not None:
+                    found[j].append((i, at))
+        for law in self.logp.tolist():
+            alpha, used = [0.0] * (n + 1), [0.0] * (n + 1)
+            for j in range(1, n + 1):
+                terms = [alpha[i] + law[at] for i, at in found[j]]
+                top = max(terms)
+                shares = [math.exp(t - top) for t in terms]
+                total = sum(shares)
+                alpha[j] = top + math.log(total)
+                used[j] = sum(x * used[i] for x, (i, _) in zip(shares, found[j], strict=True)) / total + 1
+            out[0].append(alpha[n])
+            out[1].append(used[n])
+        return out
 
-    def blocks(self, words: list[bytes], most: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(indexes, bytes) of words of equal length, a bounded number at a time, each led by a space."""
+    def word_logp(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(laws x words) log probability of each word over all its segmentations, and its expected number of pieces."""
+        logp, used = np.zeros((len(self.logp), len(words))), np.zeros((len(self.logp), len(words)))
         size = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(size, kind="stable")
-        cuts = np.flatnonzero(np.diff(size[order])) + 1
-        for own in np.split(order, cuts) if len(order) else []:
-            n = int(size[own[0]]) + 1
-            step = max(1, min(most, (1 << 20) // n))
+        for own in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else []:
+            n = int(size[own[0]]) + 1  # each word is led by a space
+            if len(own) < FEW:
+                for i in own:
+                    logp[:, i], used[:, i] = self.forward_one(b" " + words[i])
+                continue
+            step = min(1 << 13, max(FEW, (1 << 20) // n))
             for lo in range(0, len(own), step):
                 at = own[lo : lo + step]
-                yield at, np.frombuffer(b"".join(b" " + words[i] for i in at), np.uint8).reshape(len(at), n).astype(np.uint64)
-
-    def word_logp(self, words: list[bytes]) -> np.ndarray:
-        """Log probability of each word, over all its segmentations."""
-        out = np.zeros(len(words))
-        for at, block in self.blocks(words):
-            out[at] = self.forward(block, self.edges(block))[-1]
-        return out
-
-    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected number of uses of each piece over all segmentations of the words, each counted so often."""
-        uses = np.zeros(len(self.pieces))
-        for at, block in self.blocks(words):
-            ends = self.edges(block)
-            alpha = self.forward(block, ends)
-            beta = np.full(alpha.shape, -np.inf)
-            beta[-1] = 0
-            for j in range(len(ends) - 1, 0, -1):
-                for size, rows, ids in ends[j]:
-                    step = beta[j, rows] + self.logp[ids]
-                    use = np.exp(alpha[j - size, rows] + step - alpha[-1, rows]) * counts[at[rows]]
-                    uses += np.bincount(ids, use, len(uses))
-                    beta[j - size, rows] = np.logaddexp(beta[j - size, rows], step)
-        return uses
+                block = np.frombuffer(b"".join(b" " + words[i] for i in at), np.uint8).reshape(len(at), n).astype(np.uint64)
+                logp[:, at], used[:, at] = self.forward(block, self.edges(block))
+        return logp, used
 
 
 def word_counts(docs: DataFrame, train: Column, text_col: str) -> DataFrame:
@@ -171,29 +192,27 @@ def word_counts(docs: DataFrame, train: Column, text_col: str) -> DataFrame:
     return rows.mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit(words: DataFrame, end_count: int, model: str, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray, float]:
-    """(pieces, log probabilities, log probability of the end), by expectation and maximisation over the training words.
+def fit(words: DataFrame, end_count: int, model: str, scales: tuple[float, ...] = SCALES) -> tuple[list[bytes], np.ndarray, float]:
+    """(pieces, log probabilities, log probability of an end): the vocabulary's own scores, by the factor under which the training words are
+    likeliest, beside an end whose probability is its share of all pieces and ends in the training rows.
 
-    The vocabulary and its scores are given; they start the fit and stay in it with PRIOR's weight. A round sums
-    32-thousand-odd expected uses over all distinct words; only those sums, bounded by the vocabulary, reach the driver.
+    One pass over all distinct words scores them under every factor; two sums for each factor reach the driver.
     """
-    pieces, prior = vocabulary(model)
-    logp, log_end = prior, float(np.log(1e-3))
-    for _ in range(rounds):
+    pieces, scores = vocabulary(model)
+    laws = np.stack([weights(scores, s, 0.0) for s in scales])
 
-        def uses(batches: Iterator[pa.RecordBatch], logp=logp) -> Iterator[pa.RecordBatch]:
-            lattice, total = Lattice(pieces, logp), np.zeros(len(pieces))
-            for b in batches:
-                total += lattice.expected(b.column("word").to_pylist(), b.column("c").to_numpy())
-            at = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(at), pa.array(total[at])], ["piece", "n"])
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, total = Lattice(pieces, laws), np.zeros((2, len(scales)))
+        for b in batches:
+            c = b.column("c").to_numpy()
+            total += [x @ c for x in lattice.word_logp(b.column("word").to_pylist())]
+        yield pa.record_batch([pa.array(np.arange(len(scales))), pa.array(total[0]), pa.array(total[1])], ["law", "logp", "pieces"])
 
-        got = words.filter("c > 0").mapInArrow(uses, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).orderBy("piece").toArrow()
-        n = np.exp(prior) * PRIOR
-        n[got.column("piece").to_numpy()] += got.column("n").to_numpy()
-        end = end_count + 1
-        logp, log_end = np.log(n / (n.sum() + end)), float(np.log(end / (n.sum() + end)))
-    return pieces, logp, log_end
+    found = {r["law"]: r for r in words.filter("c > 0").mapInArrow(sums, "law long, logp double, pieces double").groupBy("law").agg(F.sum("logp").alias("logp"), F.sum("pieces").alias("pieces")).collect()}
+    best = max(range(len(scales)), key=lambda k: (found[k]["logp"], -k) if k in found else (0.0, -abs(scales[k] - 1)))
+    used = found[best]["pieces"] if found else 0.0
+    end = (end_count + 1) / (end_count + used + 2)
+    return pieces, weights(scores, scales[best], end), float(np.log(end))
 
 
 def score(docs: DataFrame, train: Column, model: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
@@ -201,7 +220,7 @@ def score(docs: DataFrame, train: Column, model: str, id_col: str = "doc_id", te
 
     `score` is log10 of the probability that a source of independent pieces and an end makes the text's words, summed
     over all segmentations: pieces never cross a space, so it is the sum over words, each by a forward recursion in log
-    space. `base_score` is the add-half word unigram of the same training rows. Counts, vocabulary and lattice scores
+    space. The pieces' weights are the vocabulary's own scores; the training rows give their scale and the end (see fit). `base_score` is the add-half word unigram of the same training rows. Counts, vocabulary and lattice scores
     are tables over all distinct words; a document's words among the `head` most frequent (a bounded broadcast) are
     added up where it is read, and all its others are joined to the table.
 
@@ -222,7 +241,7 @@ def score(docs: DataFrame, train: Column, model: str, id_col: str = "doc_id", te
         lattice = Lattice(*shared.value)
         for b in batches:
             c = b.column("c").to_numpy()
-            yield pa.record_batch([b.column("word"), b.column("c"), pa.array(base(c)), pa.array(lattice.word_logp(b.column("word").to_pylist()) / LOG10)], ["word", "c", "base", "lp"])
+            yield pa.record_batch([b.column("word"), b.column("c"), pa.array(base(c)), pa.array(lattice.word_logp(b.column("word").to_pylist())[0][0] / LOG10)], ["word", "c", "base", "lp"])
 
     words = written(counts.mapInArrow(each, "word binary, c long, base double, lp double"), "scores")
     top = words.orderBy(F.desc("c"), "word").limit(head).toArrow()
