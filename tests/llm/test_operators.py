@@ -224,26 +224,49 @@ def test_token_counts_beyond_a_broadcast(spark, docs, monkeypatch):
     assert token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model"), new_path(spark, "cache")).filter("n_tokens IS NULL").count() == 0
 
 
+def bmp(width, height, depth, body, coding=0, between=b"", colours=0):
+    u = lambda v, n: v.to_bytes(n, "little", signed=v < 0)
+    return b"BM" + u(54 + len(between) + len(body), 4) + bytes(4) + u(54 + len(between), 4) + u(40, 4) + u(width, 4) + u(height, 4) + u(1, 2) + u(depth, 2) + u(coding, 4) + bytes(12) + u(colours, 4) + bytes(4) + between + body
+
+
 def test_image_formats():
     rng = np.random.default_rng(1)
     rgb = rng.integers(0, 256, (5, 7, 3), dtype=np.uint8)
-    assert (media.decode(media.encode_ppm(bytes(range(192)))) == np.arange(192, dtype=np.uint8).reshape(1, 64, 3)).all()
+    image = lambda data: media.decode(data)[0]
+    assert (image(media.encode_ppm(bytes(range(192)))) == np.arange(192, dtype=np.uint8).reshape(1, 64, 3)).all()
     p3 = b"P3 # c\n7 5\n255\n" + b" ".join(str(v).encode() for v in rgb.ravel())
-    assert (media.decode(p3) == rgb).all()
+    assert (image(p3) == rgb).all()
     grey16 = rng.integers(0, 65536, (5, 7)).astype(np.uint16)
-    assert (media.decode(b"P5\n7 5\n65535\n" + grey16.astype(">u2").tobytes())[:, :, 0] == grey16).all()
+    assert (image(b"P5\n7 5\n65535\n" + grey16.astype(">u2").tobytes())[:, :, 0] == grey16).all()
     bits = rng.integers(0, 2, (5, 11)).astype(np.uint8)
-    assert (media.decode(b"P4\n11 5\n" + np.packbits(1 - bits, axis=1).tobytes())[:, :, 0] == bits).all()
-    assert (media.decode(b"P1\n11 5\n" + b"".join(b"%d" % (1 - v) for v in bits.ravel()))[:, :, 0] == bits).all()
-    stride = -(-7 * 3 // 4) * 4
-    body = b"".join(r[:, ::-1].tobytes().ljust(stride, b"\0") for r in rgb[::-1])
-    bmp = b"BM" + (54 + len(body)).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + (7).to_bytes(4, "little") + (5).to_bytes(4, "little") + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(24)
-    assert (media.decode(bmp + body) == rgb).all()
-    for bad in (b"", b"P9 1 1", b"P6\n", b"P6\n9 9\n255\nx", b"BMx"):
+    assert (image(b"P4\n11 5\n" + np.packbits(1 - bits, axis=1).tobytes())[:, :, 0] == bits).all()
+    assert (image(b"P1\n11 5\n" + b"".join(b"%d" % (1 - v) for v in bits.ravel()))[:, :, 0] == bits).all()
+    padded = lambda rows, size: b"".join(r.tobytes().ljust(size, b"\0") for r in rows)
+    assert (image(bmp(7, 5, 24, padded(rgb[::-1, :, ::-1], 24))) == rgb).all()
+    assert (image(bmp(7, -5, 24, padded(rgb[:, :, ::-1], 24))) == rgb).all()
+    wide = rgb.astype(np.uint32)
+    assert (image(bmp(7, -5, 32, padded((wide[:, :, 0] << 16 | wide[:, :, 1] << 8 | wide[:, :, 2]).astype("<u4"), 28))) == rgb).all()
+    masks = b"".join(m.to_bytes(4, "little") for m in (0xFF, 0xFF00, 0xFF0000))
+    assert (image(bmp(7, -5, 32, padded((wide[:, :, 2] << 16 | wide[:, :, 1] << 8 | wide[:, :, 0]).astype("<u4"), 28), 3, masks)) == rgb).all()
+    five = rgb >> 3
+    assert (image(bmp(7, -5, 16, padded((five[:, :, 0].astype("<u2") << 10 | five[:, :, 1].astype("<u2") << 5 | five[:, :, 2]).astype("<u2"), 16))) == np.rint(five.astype(int) * 255 / 31)).all()
+    palette = rng.integers(0, 256, (4, 3), dtype=np.uint8)
+    index = rng.integers(0, 4, (5, 7), dtype=np.uint8)
+    table = b"".join(bytes([*c[::-1], 0]) for c in palette.tolist())
+    assert (image(bmp(7, -5, 8, padded(index, 8), between=table, colours=4)) == palette[index]).all()
+    beyond = bmp(7, -5, 8, padded(index + 3, 8), between=table, colours=4)
+    for bad in (b"", b"P9 1 1", b"P6\n", b"P6\n9 9\n255\nx", b"BMx", beyond, b"P5 0 3 255 ", b"P2 1 1 7 9", b"P5 2 2 0 aaaa", bmp(0, 5, 24, b""), bmp(5, 5, 3, b"")):
         with pytest.raises(ValueError):
             media.decode(bad)
 
 
+def test_tiles_are_scaled_to_white():
+    for data in (b"P5 9 8 15\n" + b"\x0f" * 72, b"P5 9 8 1000\n" + b"\x03\xe8" * 72, b"P4 9 8\n" + bytes(16), b"P1 9 8 " + b"0" * 72, b"P5 9 8 255 " + b"\xff" * 72):
+        assert (media.tile_of(*media.decode(data)) == 255).all()
+    half = b"P5 18 8 3\n" + b"\x00\x03" * 72
+    assert (media.tile_of(*media.decode(half)) == 128).all()
+
+
 def test_area_resize():
     rng = np.random.default_rng(2)
     for h, w in ((8, 9), (16, 27), (1, 64), (3, 5), (50, 64)):
@@ -268,8 +291,11 @@ def test_media_tiles(spark, docs, empty):
         assert tile.shape == media.TILE and media.difference_hash(tile) == r.feature and r.error is None
     assert all(len(v) == 1 for v in of.values())
     assert media.store_and_tile(empty).count() == 0
-    bad = media.media_tiles(spark.createDataFrame([(1, 0, None), (2, 0, bytearray(b"P6"))], "id long, n_bytes long, media binary")).collect()
-    assert all(r.error and r.feature is None for r in bad)
+    broken = [None, b"P6", b"BM" + b"\1" * 60, bmp(2, 2, 8, b"\7" * 8, colours=1, between=bytes(4)), b"P6 99999999999999999999999 9 255 x", b"P1 2 2 01"]
+    bad = media.media_tiles(spark.createDataFrame([(i, 0, x and bytearray(x)) for i, x in enumerate(broken)], "id int, n_bytes int, media binary"))
+    assert bad.schema["id"].dataType.simpleString() == "int"
+    assert all(r.error and r.feature is None for r in bad.collect()) and bad.count() == len(broken)
+    assert [r.id for r in media.store_and_tile(spark.createDataFrame([("a", "x")], "doc_id string, text string")).collect()] == ["a"]
 
 
 def test_best_bounds_is_optimal():
@@ -529,6 +555,46 @@ def test_language_profiles(spark, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs, nothing, keep=["doc_id"]).collect()} == {"und"} and langid.identify(empty, profiles, keep=["doc_id"]).count() == 0
 
 
+def plain_profile(texts):
+    """The n-grams of texts in the order of their rank, by counting one at a time."""
+    n = collections.Counter()
+    for t in texts:
+        s = [0, *[int(langid._symbols[b]) for b in t.encode()], 0]
+        for i in range(len(s)):
+            if s[i]:
+                n[s[i]] += 1
+            if i + 1 < len(s) and (s[i] or s[i + 1]):
+                n[s[i] << 6 | s[i + 1] | 63 << 12] += 1
+            if i + 2 < len(s) and s[i + 1]:
+                n[s[i] << 12 | s[i + 1] << 6 | s[i + 2]] += 1
+    return {g: k for k, g in enumerate(sorted(n, key=lambda g: (-n[g], g))[: langid.PROFILE])}
+
+
+@pytest.mark.parametrize("long_bytes", [1 << 22, 10])
+def test_out_of_place_distance(spark, monkeypatch, long_bytes):
+    """Predictions and scores against sums of rank differences taken one by one."""
+    monkeypatch.setattr(langid, "LONG_BYTES", long_bytes)
+    monkeypatch.setattr(langid, "SORTED_BYTES", 64)
+    rng = random.Random(16)
+    letters = {"aa": "abcdefgh", "bb": "abcdefghklmn", "cc": "efghéè", "dd": "abcdefgh"}
+    rows = [(i, prose(rng, rng.randint(1, 80), letters[x]), x) for i in range(120) for x in [rng.choice(list(letters))]]
+    rows += [(900, "a", None), (901, "same same", None), (902, "²½ 3", None), (903, "²½ é", None), (904, "漢字", None), (905, "ª", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"_text": F.lit("clash"), "_lang_pred": F.lit("clash")})
+    train = F.col("doc_id") % 3 > 0
+    profiles = {x: plain_profile([t for i, t, y in rows if y == x and i % 3 > 0]) for x in letters}
+    assert langid.PROFILE == 300
+    want = {}
+    for i, t, _ in rows:
+        own = plain_profile([t])
+        far = {x: sum(abs(p[g] - k) if g in p else langid.PROFILE for g, k in own.items()) for x, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        ok = any(map(str.isalpha, t))
+        want[i] = (best if ok else "und", round(1 - far[best] / (len(own) * langid.PROFILE), 9) if ok else 0.0)
+    out = langid.identify(d, langid.learn(d, train)).collect()
+    assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in out} == want and all(r["_text"] == "clash" for r in out)
+    assert want[902][0] == "und" and want[903][0] != "und" and want[905][0] != "und"
+
+
 def test_n_grams_match_a_plain_count():
     texts = ["Ab c", "", "é-x", "  ", "zz"]
     data = "".join(texts).encode()

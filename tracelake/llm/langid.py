@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import text_chunks, unclashed
 
 #: Most frequent n-grams of a profile.
 PROFILE = 300
@@ -22,6 +21,8 @@ CODES = 1 << 18
 MOST_DOCS = 1 << 12
 #: Text bytes that one sort handles; it takes about 60 bytes for each.
 SORTED_BYTES = 1 << 19
+#: Longer texts are counted by pieces.
+LONG_BYTES = 1 << 22
 UNKNOWN = "und"
 #: A text is taken for a language if its score is at least this share of the median of the language's labelled texts of its length.
 SHARE = 0.5
@@ -29,7 +30,6 @@ SHARE = 0.5
 LEAST_TEXTS = 20
 #: Lengths are classed by their number of bits.
 LENGTHS = 64
-_letter = re.compile(r"[^\W\d_]")
 _symbols = np.zeros(256, np.uint8)
 _symbols[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _symbols[ord("A") : ord("Z") + 1] = np.arange(1, 27)
@@ -48,11 +48,26 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sym, owner = np.zeros(len(data) + 2 * n + 2, np.int32), np.zeros(len(data) + 2 * n + 2, np.int32)
     sym[at], owner[at] = _symbols[data], doc
     owner[off[:-1] + 2 * np.arange(n)] = np.arange(n)  # the break before a text
+    (one, two, three), codes = coded(sym)
+    return np.concatenate([owner[one], owner[two], owner[three]]), codes
+
+
+def coded(sym: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """(places of the n-grams of 1, 2 and 3 symbols, all codes in this order), as far as three symbols reach from the place."""
     a, b, c = sym[:-2], sym[1:-1], sym[2:]
     one, two, three = np.flatnonzero(a), np.flatnonzero(a | b), np.flatnonzero(b)
     codes = np.concatenate([a[one], a[two] << 6 | b[two], a[three] << 12 | b[three] << 6 | c[three]])
     codes[len(one) : len(one) + len(two)] |= 63 << 12  # no symbol is 63: apart from the n-grams of other lengths
-    return np.concatenate([owner[one], owner[two], owner[three]]), codes
+    return (one, two, three), codes
+
+
+def gram_counts(data: np.ndarray) -> np.ndarray:
+    """How often each n-gram code occurs in one text, counted SORTED_BYTES places at a time: for long texts."""
+    sym, total = np.zeros(len(data) + 4, np.uint8), np.zeros(CODES, np.int64)
+    sym[1 : len(data) + 1] = _symbols[data]
+    for lo in range(0, len(sym) - 2, SORTED_BYTES):
+        total += np.bincount(coded(sym[lo : lo + SORTED_BYTES + 2].astype(np.int32))[1], minlength=CODES)
+    return total
 
 
 def ranked(docs: np.ndarray, codes: np.ndarray, n: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,7 +91,15 @@ class Profiles:
     def predict(self, docs: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(language index, score) of n documents: the language with the smallest sum of rank differences. The score is
         1 less the share of the largest sum there could be; 0 without n-grams."""
-        doc, code, rank = ranked(docs, codes, n, PROFILE)
+        return self.nearest(*ranked(docs, codes, n, PROFILE), n)
+
+    def predict_long(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """predict() of one text from the counts of its codes."""
+        code = np.flatnonzero(counts)
+        code = code[np.lexsort((code, -counts[code]))][:PROFILE]
+        return self.nearest(np.zeros(len(code), np.int64), code, np.arange(len(code)), 1)
+
+    def nearest(self, doc: np.ndarray, code: np.ndarray, rank: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         total = np.zeros((n, len(self.languages)))
         for k, own in enumerate(self.ranks):
             there = own[code].astype(np.int64)
@@ -113,13 +136,14 @@ def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str
         for whole in batches:
             for batch, data, off in pieces(whole, "text"):
                 names, index = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True)
-                doc, code = grams(data, off)
+                long = len(off) == 2 and len(data) > LONG_BYTES
+                doc, code = (None, None) if long else grams(data, off)
                 for k, lang in enumerate(names):
                     if lang not in sums:
                         if len(sums) >= 64:
                             yield from out()
                         sums[lang] = np.zeros(CODES, np.int64)
-                    sums[lang] += np.bincount(code[index[doc] == k], minlength=CODES)
+                    sums[lang] += gram_counts(data) if long else np.bincount(code[index[doc] == k], minlength=CODES)
         yield from out()
 
     rows = docs.filter(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -133,30 +157,42 @@ def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str
     return Profiles(languages, ranks)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter (a general category of L)."""
+    return any(map(str.isalpha, text or ""))
+
+
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: list[str] | None = None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """The columns `keep` (all by default) of each row, with the predicted language and a score from 0 to 1.
 
-    Texts that are null or have no letter are `und` with score 0. Texts are taken whole. With no profile all are `und`.
+    Texts that are null or have no letter (general category L) are `und` with score 0. Texts are taken whole; the n-grams of
+    long ones are counted by pieces. Languages at the same distance: the first by name. With no profile all are `und`.
     Repeated rows give a row each, an empty table none.
     """
     keep = docs.columns if keep is None else keep
+    own = unclashed(docs, "_text")
     shared = docs.sparkSession.sparkContext.broadcast((profiles.languages, profiles.ranks))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Profiles(*shared.value)
         names = np.array([*known.languages, UNKNOWN], object)
         for whole in batches:
-            for batch, data, off in pieces(whole, "_text"):
-                docs_of, codes = grams(data, off)
-                best, points = known.predict(docs_of, codes, batch.num_rows)
-                ascii_letters = np.bincount(docs_of[(codes > 0) & (codes <= 26)], minlength=batch.num_rows) > 0
-                texts = batch.column("_text")
-                ok = np.array([a or bool(_letter.search(texts[i].as_py() or "")) for i, a in enumerate(ascii_letters.tolist())], bool) & bool(known.languages)
+            for batch, data, off in pieces(whole, own):
+                if len(off) == 2 and len(data) > LONG_BYTES:
+                    counts = gram_counts(data)
+                    best, points = known.predict_long(counts)
+                    ascii_letters = np.array([counts[1:27].any()])
+                else:
+                    docs_of, codes = grams(data, off)
+                    best, points = known.predict(docs_of, codes, batch.num_rows)
+                    ascii_letters = np.bincount(docs_of[(codes > 0) & (codes <= 26)], minlength=batch.num_rows) > 0
+                texts = batch.column(own)
+                ok = np.array([a or has_letter(texts[i].as_py()) for i, a in enumerate(ascii_letters.tolist())], bool) & bool(known.languages)
                 best, points = np.where(ok, best, len(known.languages)), np.where(ok, points, 0.0)
                 columns = [batch.column(i) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best], pa.string()), pa.array(points, pa.float64())], [*batch.schema.names[:-1], lang, score])
 
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    rows = docs.select(*keep, F.col(text_col).alias(own))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     return rows.mapInArrow(each, f"{fields}{', ' if fields else ''}{lang} string, {score} double")
 
