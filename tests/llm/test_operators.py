@@ -447,7 +447,9 @@ def test_links_of_dense_groups(spark, monkeypatch, bucket):
     fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(150)} | {0, (1 << 64) - 1, 7}
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3))
+    links = simhash.near_links(spark.createDataFrame([(f, x) for x in signed for f in (0, 7)], "family int, fp long").repartition(3))
+    assert {r.family for r in links.select("family").distinct().collect()} == {0, 7}
+    links = links.filter("family = 7").drop("family")
     root = {r.node: r.root for r in simhash.components(links).collect()}
     got = [root.get(x, x) for x in signed]
     want = brute_components(fps, list(range(len(fps))), 3)
@@ -493,6 +495,19 @@ def test_near_copies_are_checked_by_shingles(spark, monkeypatch, block):
     assert all(got[10 * k + d] == 10 * k for k in range(20) for d in (2, 3)) and all(got[10 * k + 1] == 10 * k + 1 for k in range(20))
     assert got[501] == 500 and got[503] == 503 and {got[600 + i] for i in range(30)} == {600}
     assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {i for i, c in got.items() if i == c}
+
+
+def test_one_of_each_keeps_null_ids_and_drops_repeats(spark):
+    rng = random.Random(15)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a, "x"), (1, a, "y"), (None, a, "z"), (None, b, "x"), (None, b, "y"), (None, b.upper(), "w"), (2, c, "x"), (2, d, "x"), (None, None, "x"), (7, "", "x"), (3, d, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    kept = sorted((str(r.doc_id), (r.text or "").lower()) for r in simhash.one_of_each(docs).collect())
+    assert kept == sorted([("1", a), ("None", b), ("2", c), ("2", d), ("7", "")])
+    assert simhash.one_of_each(docs).columns == docs.columns
+    found = {(r.doc_id, r.component_id) for r in simhash.near_copies(docs).collect()}
+    assert found == {(1, 1), (None, 1), (None, None), (2, 2), (None, 7), (7, 7), (3, 2)}
 
 
 def test_simple8b_blocks():
@@ -614,6 +629,11 @@ def test_n_grams_match_a_plain_count():
     assert got == want
 
 
+def shard_bounds(n, shards):
+    low, more = divmod(n, shards)
+    return [low + (k < more) for k in range(shards)]
+
+
 def test_shards(spark, docs, empty):
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     out = sharding.shuffle_into_shards(docs, new_path(spark, "shards"), 7, size, bucket_bytes=4096)
@@ -622,15 +642,37 @@ def test_shards(spark, docs, empty):
     shards = collections.defaultdict(list)
     for r in rows:
         shards[r["shard_"]].append(r["slot_"])
-    counts = [len(v) for v in shards.values()]
-    assert len(shards) == 7 and max(counts) - min(counts) <= 1 and all(sorted(v) == list(range(len(v))) for v in shards.values())
+    assert [len(shards[k]) for k in range(7)] == shard_bounds(len(rows), 7) and all(sorted(v) == list(range(len(v))) for v in shards.values())
     order = [r.doc_id for r in sorted(rows, key=lambda r: (r["shard_"], r["slot_"])) if r.doc_id is not None]
     assert order != sorted(order) and abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.4
+    again = sharding.shuffle_into_shards(docs.repartition(2), new_path(spark, "shards"), 7, size, bucket_bytes=4096)
+    same(again.collect(), rows)  # the order doesn't hang on how the rows came
     few = sharding.shuffle_into_shards(docs.limit(3), new_path(spark, "shards"), 16, size).collect()
     assert sorted(r["shard_"] for r in few) == [0, 1, 2] and {r["slot_"] for r in few} == {0}
     assert sharding.shuffle_into_shards(empty, new_path(spark, "shards"), 4, size).count() == 0
 
 
+def test_shards_split_hot_rows(spark):
+    rows = [(None, "the same row")] * 400 + [(None, f"text {i}") for i in range(300)] + [(5, f"t {i}") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.shuffle_into_shards(d, new_path(spark, "shards"), 3, F.octet_length("text").cast("long"), bucket_bytes=200)
+    got = out.collect()
+    same([(r.doc_id, r.text) for r in got], rows)
+    assert {k: sum(r.shard == k for r in got) for k in range(3)} == dict(enumerate(shard_bounds(1000, 3)))
+    at = [i for i, r in enumerate(sorted(got, key=lambda r: (r.shard, r.slot))) if r.text == "the same row"]
+    assert max(np.diff(at)) < 60 and np.std(at) > 200  # the repeats aren't next to each other
+
+
+def test_op10_query(spark, docs, tmp_path):
+    from tracelake.llm.queries import op10_two_pass_shuffle
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op10_two_pass_shuffle(spark, str(tmp_path)).collect()
+    data = lambda t: (t or "").encode()
+    same([(r.doc_id, r.size, r.text_crc32) for r in rows], [(i, len(data(t)) + 1, zlib.crc32(data(t))) for i, t in pairs(docs)])
+    assert {(r.law, r.grown_shard) for r in rows} == {("rows", None)} and [sum(r.shard == k for r in rows) for k in range(16)] == shard_bounds(len(rows), 16)
+
+
 def test_offsets(spark):
     counts = spark.createDataFrame([(k, "ab"[k % 2], k % 5) for k in range(500)], "k long, g string, n long")
     rows = offsets(counts, "k", "n", block=16).collect()

@@ -76,8 +76,9 @@ def op9_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 1
     shards = shuffle_into_shards(table(spark, sf_dir, "documents"), new_path(spark, "shards"), 16, size("text"))
+    *_, shard, slot = shards.columns
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    return shards.select("doc_id", size("text").alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return shards.select("doc_id", size("text").alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), F.col(shard).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES = {

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix64, written
+from .common import map_arrow, mix64, unclashed, written
 from .components import components
 
 #: Fingerprints of a bucket that a task compares with each other; larger buckets are split by further masks.
@@ -61,7 +61,7 @@ def covering_masks(radius: int, seed: int) -> list[int]:
 
 
 def bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links inside the buckets of rows (mask, key, fp) sorted by mask and key; rows of larger buckets come back as they are.
+    """Links inside the buckets of rows (family, mask, key, fp) sorted by these; rows of larger buckets come back as they are.
 
     A bucket of up to BUCKET fingerprints gives the links that join what is within the radius (a forest, not all pairs).
     Only one bucket is held, and of a larger one no more than BUCKET rows.
@@ -70,7 +70,7 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
     at, n_held, large = None, 0, False
 
     def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "a", "b"])
+        return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), pa.array(np.full(len(a), at[0], np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "family", "a", "b"])
 
     def ended() -> Iterator[pa.RecordBatch]:
         if n_held > 1 and not large:
@@ -82,12 +82,13 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         mask, key, fp = (np.asarray(batch.column(c)).view(np.uint64) for c in ("mask", "key", "fp"))
         if not len(fp):
             continue
-        new = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
+        family = np.asarray(batch.column("family"))
+        new = np.flatnonzero((family[1:] != family[:-1]) | (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
         starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(fp)]])
         for first in (True, False):  # the bucket that goes on from the batch before; then those that aren't alone
             if first:
                 spans = [(0, ends[0])]
-                if at is not None and (mask[0], key[0]) != at:
+                if at is not None and (family[0], mask[0], key[0]) != at:
                     yield from ended()
                     held, n_held, large = [], 0, False
                 elif at is None:
@@ -100,13 +101,13 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
                 if not first:
                     yield from ended()
                     held, n_held, large = [], 0, False
-                at = (mask[lo], key[lo])
+                at = (family[lo], mask[lo], key[lo])
                 held.append(fp[lo:hi])
                 n_held += hi - lo
                 if large or n_held > BUCKET:
                     large, deep = True, np.concatenate(held)
                     held = []
-                    yield out(1, np.full(len(deep), at[0]), deep)
+                    yield out(1, np.full(len(deep), at[1]), deep)
     yield from ended()
 
 
@@ -132,23 +133,27 @@ def forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_links(fps: DataFrame, radius: int = 3, seed: int = 1) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp, long) whose closure is that of all pairs within the radius.
+    """Links (family, a, b) between distinct fingerprints (columns family int, fp long) of one family whose closure is that
+    of all pairs within the radius.
 
     Each round masks the fingerprints by all covering masks, so each pair within the radius meets in a bucket. Buckets
     above BUCKET go to the next round, where each is covered again on the bits that its mask left free; as fingerprints
-    are distinct and each round halves the free bits, no bucket is large after a few rounds.
+    are distinct and each round about halves the free bits, no bucket is large after a few rounds. Rounds go on until
+    none is; that they don't end can't happen, and would be an error.
     """
-    rows, links, depth = fps.select(F.lit(0).cast("long").alias("mask"), "fp"), None, 0
+    rows, links, depth = fps.select("family", F.lit(0).cast("long").alias("mask"), "fp"), None, 0
     while True:
         masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius, seed + depth)]
-        masked = rows.select(F.explode(F.array(*[F.col("mask").bitwiseOR(F.lit(m)) for m in masks])).alias("mask"), "fp").distinct() if depth else rows.select(F.explode(F.array(*map(F.lit, masks))).alias("mask"), "fp")
-        keyed = masked.withColumn("key", F.col("mask").bitwiseAND(F.col("fp"))).repartition("mask", "key").sortWithinPartitions("mask", "key")
-        found = written(keyed.mapInArrow(lambda it: bucket_links(it, radius), "kind int, a long, b long"), "links")
-        own = found.filter("kind = 0").select("a", "b")
+        masked = rows.select("family", F.explode(F.array(*[F.col("mask").bitwiseOR(F.lit(m)) for m in masks])).alias("mask"), "fp")
+        keyed = (masked.distinct() if depth else masked).withColumn("key", F.col("mask").bitwiseAND(F.col("fp"))).repartition("family", "mask", "key").sortWithinPartitions("family", "mask", "key")
+        found = written(keyed.mapInArrow(lambda it: bucket_links(it, radius), "kind int, family int, a long, b long"), "links")
+        own = found.filter("kind = 0").select("family", "a", "b")
         links = own if links is None else links.union(own)
-        rows, depth = found.filter("kind = 1").select(F.col("a").alias("mask"), F.col("b").alias("fp")), depth + 1
-        if depth == 8 or rows.isEmpty():
+        rows, depth = found.filter("kind = 1").select("family", F.col("a").alias("mask"), F.col("b").alias("fp")), depth + 1
+        if rows.isEmpty():
             return links
+        if depth == 64:
+            raise RuntimeError("buckets of distinct fingerprints stay large")
 
 
 def word_prints(words: list[bytes], prints: int) -> list[int]:
@@ -198,18 +203,19 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int | None, prints: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp0, fp1, ..., node) of each row, as signed longs; null texts have no words and fingerprint 0. With a width there
-    is one fingerprint, of the word shingles; without one there are `prints`, of the words. `node` is the digest of the words in order."""
+    """(id, t, fp0, fp1, ..., node) of each row, as signed longs; null texts have no words and fingerprint 0. With a width there
+    is one fingerprint, of the word shingles; without one there are `prints`, of the words. `t` is the text's hash, `node`
+    the digest of the words in order."""
     names = [f"fp{k}" for k in range(prints)]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = list(map(words_of, batch.column("text").to_pylist()))
         rows = [[simhash(w, width)] if width else word_prints(w, prints) for w in words]
         fps = np.array(rows, np.uint64).reshape(len(rows), prints).view(np.int64)
-        return pa.record_batch([batch.column("id"), *(pa.array(fps[:, k]) for k in range(prints)), pa.array([same_words(w) for w in words], pa.int64())], ["id", *names, "node"])
+        return pa.record_batch([batch.column("id"), batch.column("t"), *(pa.array(fps[:, k]) for k in range(prints)), pa.array([same_words(w) for w in words], pa.int64())], ["id", "t", *names, "node"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, {', '.join(f'{n} long' for n in [*names, 'node'])}")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    return map_arrow(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, {', '.join(f'{n} long' for n in ['t', *names, 'node'])}")
 
 
 def near_duplicates(docs: DataFrame, width: int | None = 3, radius: int = 3, prints: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,7 +231,7 @@ def near_duplicates(docs: DataFrame, width: int | None = 3, radius: int = 3, pri
     like others. Repeated rows give a row each, an empty table none. Null ids are the smallest only where no other is.
     """
     prints = 1 if width else prints
-    rows = written(fingerprints(docs, width, prints, id_col, text_col).drop("node"), "fps")
+    rows = written(fingerprints(docs, width, prints, id_col, text_col).drop("node", "t"), "fps")
     firsts = written(rows.groupBy("fp0").agg(F.min("id").alias("first")), "firsts")
     roots = written(components(print_links(rows, firsts, radius, prints)), "roots")
     rooted = firsts.join(roots, firsts["fp0"] == roots["node"], "left").select("fp0", "first", F.coalesce("root", "fp0").alias("root"))
@@ -236,42 +242,35 @@ def near_duplicates(docs: DataFrame, width: int | None = 3, radius: int = 3, pri
 
 def print_links(rows: DataFrame, firsts: DataFrame, radius: int, prints: int) -> DataFrame:
     """Links between the values of fp0 whose rows are near in any fingerprint; firsts has each value of fp0 once."""
-    links = near_links(firsts.select(F.col("fp0").alias("fp")), radius)
-    for k in range(1, prints):  # equal fp0 are one node; a value of another fingerprint stands for its smallest node
-        pairs = rows.select("fp0", F.col(f"fp{k}").alias("fp")).distinct()
-        node = written(pairs.groupBy("fp").agg(F.min("fp0").alias("node")), "nodes")
-        found = near_links(node.select("fp"), radius, seed=1 + 100 * k)
-        ends = found.join(node.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(node.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
-        links = links.union(ends.select("x", "y")).union(pairs.join(node, "fp").filter("fp0 <> node").select("fp0", "node"))
-    return links
-
-
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, prints: int = 4, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of each row: the smallest id that links of texts reach whose sets of word shingles have a Jaccard
-    similarity of `similarity` or more.
-
-    The groups of near word fingerprints (see near_duplicates) are only candidates: every pair of texts inside such a
-    group is compared by its shingles, and what agrees less is no link. Equal words are one node, so copies are compared
-    once. A group above BLOCK_TEXTS or BLOCK_SHINGLES is dealt into blocks, and each pair of blocks is a task's group,
-    so a large group spreads over tasks and no pair is left out. Rows without words are copies of each other.
-    """
+    if prints == 1:
+        return near_links(firsts.select(F.lit(0).alias("family"), F.col("fp0").alias("fp")), radius).select("a", "b")
+    # Equal fp0 are one node; a value of another fingerprint stands for its smallest node.
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.col(f"fp{k}").alias("fp")) for k in range(prints)]))
+    pairs = written(rows.select("fp0", values.alias("v")).select("fp0", "v.family", "v.fp").distinct(), "prints")
+    node = written(pairs.groupBy("family", "fp").agg(F.min("fp0").alias("node")), "nodes")
+    found = near_links(node.select("family", "fp"), radius)
+    ends = found.join(node.select("family", F.col("fp").alias("a"), F.col("node").alias("x")), ["family", "a"]).join(node.select("family", F.col("fp").alias("b"), F.col("node").alias("y")), ["family", "b"])
+    return ends.select("x", "y").union(pairs.join(node, ["family", "fp"]).filter("fp0 <> node").select("fp0", "node")).toDF("a", "b")
+
+
+def _verified(docs: DataFrame, similarity: float, width: int, prints: int, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, lowest): the fingerprints' rows, and for each node (digest of words) the row `low` (none, id, t) that stands for
+    its class: the smallest id, a null one only where no other is; of one id the smallest hash of the text."""
     rows = written(fingerprints(docs, None, prints, id_col, text_col), "fps")
     firsts = written(rows.groupBy("fp0").agg(F.min("id").alias("first")), "firsts")
     near = written(components(print_links(rows, firsts, radius, prints)), "roots").select(F.col("node").alias("fp0"), F.col("root").alias("group"))
-    nodes = written(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("fp0").alias("fp0")), "texts")
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "t")
+    nodes = written(rows.groupBy("node").agg(F.min(own).alias("first"), F.first("fp0").alias("fp0")), "texts")
     grouped = written(nodes.join(near, "fp0", "left").select("node", "first", F.coalesce("group", "fp0").alias("group")), "groups")
     several = written(grouped.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1"), "several")
-    suspects = grouped.join(several.select("group"), "group").select(F.col("first").alias("id"), "node", "group")
+    suspects = grouped.join(several.select("group"), "group").select(F.col("first.id").alias("_id"), F.col("first.t").alias("_t"), "node", "group")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = list(map(words_of, batch.column("text").to_pylist()))
-        own = [same_words(w) for w in words]
-        keep = np.flatnonzero(np.array(own, np.int64) == np.asarray(batch.column("node")))  # another text of a repeated id is no suspect here
-        shingles = [shingles_of(words[i], width).view(np.int64) for i in keep.tolist()]
-        took = batch.take(pa.array(keep))
-        return pa.record_batch([took.column("node"), took.column("group"), pa.array(map(len, shingles), pa.int64()), pa.array(shingles, pa.list_(pa.int64()))], ["node", "group", "size", "shingles"])
+        shingles = [shingles_of(words_of(x), width).view(np.int64) for x in batch.column("text").to_pylist()]
+        return pa.record_batch([batch.column("node"), batch.column("group"), pa.array(map(len, shingles), pa.int64()), pa.array(shingles, pa.list_(pa.int64()))], ["node", "group", "size", "shingles"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(suspects, "id").select("node", "group", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    texts = texts.join(suspects, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("node", "group", "text")
     held = written(map_arrow(texts, sets, "node long, group long, size long, shingles array<long>").dropDuplicates(["node"]), "shingles")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES)).cast("int")
     dealt = held.join(written(held.groupBy("group").agg(F.greatest(blocks, F.lit(1)).alias("blocks")), "blocks"), "group")
@@ -282,12 +281,41 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, prints
     def verified(t: pa.Table) -> pa.Table:
         node = t.column("node").to_numpy()
         label = alike([np.asarray(x, np.int64).view(np.uint64) for x in t.column("shingles").to_numpy(zero_copy_only=False)], similarity)
-        own = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"a": node[own], "b": node[label[own]]})
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": node[linked], "b": node[label[linked]]})
 
     links = written(dealt.groupBy("group", "i", "j").applyInArrow(verified, "a long, b long"), "verified")
     roots = written(components(links), "roots").withColumnRenamed("root", "_root")
     rooted = written(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("_root", "node").alias("root")), "rooted")
-    lowest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
-    classes = written(rooted.join(lowest, "root").select("node", "component_id"), "classes")
-    return rows.join(classes, "node", "left").select(F.col("id").alias(id_col), "component_id")
+    lowest = written(rooted.groupBy("root").agg(F.min("first").alias("low")), "lowest")
+    return rows, written(rooted.join(lowest, "root").select("node", "low"), "classes")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, prints: int = 4, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of each row: the smallest id that links of texts reach whose sets of word shingles have a Jaccard
+    similarity of `similarity` or more.
+
+    The groups of near word fingerprints (see near_duplicates) are only candidates: every pair of texts inside such a
+    group is compared by its shingles, and what agrees less is no link. Equal words are one node, so copies are compared
+    once. A group above BLOCK_TEXTS or BLOCK_SHINGLES is dealt into blocks, and each pair of blocks is a task's group,
+    so a large group spreads over tasks and no pair is left out. Rows without words are copies of each other. Rows with
+    null ids are compared like others; a class of null ids only has a null component_id.
+    """
+    rows, classes = _verified(docs, similarity, width, prints, radius, id_col, text_col)
+    return rows.join(classes, "node", "left").select(F.col("id").alias(id_col), F.col("low.id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, prints: int = 4, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without near copies (see near_copies): one row of each class, that with the smallest id; a null id
+    stays only where its class has no other, and of repeated rows one stays. All columns are kept."""
+    rows, classes = _verified(docs, similarity, width, prints, radius, id_col, text_col)
+    stay = classes.select(F.col("low.id").alias("id"), F.col("low.t").alias("t")).distinct()
+    again = rows.groupBy("id", "t").agg(F.count("*").alias("n")).filter("n > 1")  # the same text under the same id
+    of = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & F.col(f"{a}.t").eqNullSafe(F.col(f"{b}.t"))
+    stay = written(stay.alias("s").join(again.alias("r"), of("s", "r"), "left").select("s.id", "s.t", F.col("n").isNotNull().alias("repeated")), "stay")
+    id_, t, found = unclashed(docs, "_id"), unclashed(docs, "_t"), unclashed(docs, "_repeated")
+    kept = docs.join(stay.toDF(id_, t, found), F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(t)))
+    once = kept.filter(~F.col(found))
+    if not stay.filter("repeated").isEmpty():
+        once = once.union(kept.filter(F.col(found)).dropDuplicates([id_, t]))
+    return once.select(*docs.columns)
