@@ -14,12 +14,12 @@ from tracelake.llm.decontam import leaks
 from tracelake.llm.langid import UNKNOWN, identify, learn, least_scores
 from tracelake.llm.packing import pack
 from tracelake.llm.queries import words
-from tracelake.llm.simhash import near_copies
+from tracelake.llm.simhash import one_of_each
 
 #: Documents below this share of rank agreement with every language are rejected, whatever the labelled documents score.
 LEAST_SCORE = 0.05
-#: Word fingerprints of a document, for candidates; with four, about nine of ten pairs at a five-word similarity of 0.8 are candidates.
-WORD_PRINTS = 4
+#: Word fingerprints of a document, for candidates; with six, nearly all pairs at a five-word similarity of 0.8 are candidates.
+WORD_PRINTS = 6
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,16 +32,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates: texts whose five-word shingles agree to 0.8,
-    each link checked, and what such links reach."""
-    found = near_copies(docs, prints=WORD_PRINTS)
-    return docs.join(found.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    """Keeps one document of each group of near-duplicates (the smallest id; a null one where there is no other): texts whose
+    five-word shingles agree to 0.8, each link checked, and what such links reach."""
+    return one_of_each(docs, prints=WORD_PRINTS)
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
     found = written(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
 
 
 def length_buckets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
