@@ -21,9 +21,9 @@ COUNTED = 200_000
 #: Most frequent words that documents look up without a shuffle; all other words are joined.
 HEAD = 100_000
 #: Factors of the vocabulary's scores that are tried on the training words; the likeliest is taken.
-SCALES = (0.7, 1.0, 1.3, 1.6)
+SCALES = (0.8, 1.0, 1.25)
 #: Words of one length below which each is scored by itself and not beside the others.
-FEW = 40
+FEW = 10
 _odd = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,15 +68,23 @@ class Lattice:
 
     def __post_init__(self):
         self.logp = np.atleast_2d(self.logp)
+        self.laws_of = self.logp.T.tolist()
         self.most = max(map(len, self.pieces))
         self.at = {p: i for i, p in enumerate(self.pieces)}
         self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
-        hashes = self._hashes([p for p in self.pieces])
+        # Starts of pieces: a table for two bytes, hashes for more; each tells the piece's id, or -1 if it is only a start.
+        self.single = np.array([self.at.get(bytes([b]), -1) for b in range(256)])
+        self.double, self.alive = np.full(1 << 16, -1), np.zeros(1 << 16, bool)
+        for x in self.starts:
+            if len(x) == 2:
+                self.double[x[0] << 8 | x[1]], self.alive[x[0] << 8 | x[1]] = self.at.get(x, -1), True
+        longer = [x for x in self.starts if len(x) > 2]
+        hashes = self._hashes(longer)
         order = np.argsort(hashes)
-        self.keys, self.ids = hashes[order], order
+        self.keys, self.ids = hashes[order], np.array([self.at.get(longer[i], -1) for i in order], np.int64)
         assert len(np.unique(self.keys)) == len(self.keys)
-        self.there = np.zeros(1 << 18, bool)
-        self.there[(self.keys >> np.uint64(46)).astype(np.int64)] = True
+        self.there = np.zeros(1 << 20, bool)
+        self.there[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
     def _hashes(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros(len(words), np.uint64)
@@ -90,55 +98,74 @@ class Lattice:
         return out
 
     def edges(self, block: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
-        """For each end in words of equal length (rows of bytes): (length, rows, piece ids) of the pieces that end there."""
+        """For each end in words of equal length (rows of bytes): (length, rows, piece ids) of the pieces that end there.
+        From each place on, only the words go on whose bytes so far begin some piece."""
         n = block.shape[1]
         ends: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]
-        h = [np.zeros(len(block), np.uint64) for _ in range(n)]
-        for j in range(n):
-            for i in range(max(0, j + 1 - self.most), j + 1):
-                h[i] = h[i] * _odd + block[:, j] + np.uint64(1)
-                key = mix64(h[i], j + 1 - i)
-                rows = np.flatnonzero(self.there[(key >> np.uint64(46)).astype(np.int64)])
-                if len(rows):
-                    key = key[rows]
-                    at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                    ok = self.keys[at] == key
-                    if ok.any():
-                        ends[j + 1].append((j + 1 - i, rows[ok], self.ids[at[ok]]))
+        columns = np.ascontiguousarray(block.T)
+        every = np.arange(len(block))
+
+        def add(end: int, size: int, rows: np.ndarray, ids: np.ndarray) -> None:
+            own = np.flatnonzero(ids >= 0)
+            if len(own):
+                ends[end].append((size, rows[own], ids[own]))
+
+        for i in range(n):
+            add(i + 1, 1, every, self.single[columns[i]])
+            if i + 1 == n:
+                break
+            two = columns[i].astype(np.int64) << 8 | columns[i + 1]
+            rows = np.flatnonzero(self.alive[two])
+            add(i + 2, 2, rows, self.double[two[rows]])
+            h = (columns[i][rows].astype(np.uint64) + np.uint64(1)) * _odd + columns[i + 1][rows] + np.uint64(1)
+            for j in range(i + 2, min(n, i + self.most)):
+                h = h * _odd + columns[j][rows] + np.uint64(1)
+                key = mix64(h, j + 1 - i)
+                near = np.flatnonzero(self.there[(key >> np.uint64(44)).astype(np.int64)])
+                key = key[near]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                ok = self.keys[at] == key
+                rows, h = rows[near[ok]], h[near[ok]]
+                if not len(rows):
+                    break
+                add(j + 1, j + 1 - i, rows, self.ids[at[ok]])
         return ends
 
-    def forward(self, block: np.ndarray, ends) -> tuple[np.ndarray, np.ndarray]:
-        """For each law and word: the log of the summed probability of all segmentations, and the expected number of pieces."""
-        laws, n, rows_in = len(self.logp), block.shape[1], len(block)
-        alpha, used = np.full((n + 1, laws, rows_in), -np.inf), np.zeros((n + 1, laws, rows_in))
-        alpha[0] = 0
+    def forward(self, block: np.ndarray, ends, law: int, count: bool = True) -> tuple[np.ndarray, np.ndarray | float]:
+        """For each word: the log of the summed probability of all segmentations under a law, and the expected number of
+        pieces (0 unless they are to be counted)."""
+        n, logp = block.shape[1], self.logp[law]
+        alpha, used = np.zeros((n + 1, len(block))), np.zeros((n + 1, len(block) if count else 0))
         for j in range(1, n + 1):
-            terms, before = np.full((len(ends[j]), laws, rows_in), -np.inf), np.zeros((len(ends[j]), laws, rows_in))
-            for k, (size, rows, ids) in enumerate(ends[j]):
-                terms[k][:, rows] = alpha[j - size][:, rows] + self.logp[:, ids]
-                before[k] = used[j - size]
-            top = terms.max(0)
-            shares = np.exp(terms - top)
-            total = shares.sum(0)
+            terms = [alpha[j - size][rows] + logp[ids] for size, rows, ids in ends[j]]
+            top, total = np.full(len(block), -np.inf), np.zeros(len(block))
+            for (_, rows, _), term in zip(ends[j], terms, strict=True):
+                top[rows] = np.maximum(top[rows], term)
+            for (size, rows, _), term in zip(ends[j], terms, strict=True):
+                share = np.exp(term - top[rows])
+                total[rows] += share
+                if count:
+                    used[j][rows] += share * used[j - size][rows]
             alpha[j] = top + np.log(total)
-            used[j] = (shares * before).sum(0) / total + 1
-        return alpha[-1], used[-1]
+            if count:
+                used[j] = used[j] / total + 1
+        return alpha[-1], used[-1] if count else 0.0
 
     def forward_one(self, word: bytes) -> tuple[list[float], list[float]]:
-        """forward() of one word, for words that are long or alone in their length: a lookup for each piece there is."""
+        """forward() of one word under each law, for words that are long or alone in their length: a lookup for each piece there is."""
         out, n = ([], []), len(word)
-        found: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        found: list[list[tuple[int, list[float]]]] = [[] for _ in range(n + 1)]
         for i in range(n):
             for j in range(i + 1, min(n, i + self.most) + 1):
                 piece = word[i:j]
                 if piece not in self.starts:
                     break
                 if (at := self.at.get(piece)) is not None:
-                    found[j].append((i, at))
-        for law in self.logp.tolist():
+                    found[j].append((i, self.laws_of[at]))
+        for law in range(len(self.logp)):
             alpha, used = [0.0] * (n + 1), [0.0] * (n + 1)
             for j in range(1, n + 1):
-                terms = [alpha[i] + law[at] for i, at in found[j]]
+                terms = [alpha[i] + p[law] for i, p in found[j]]
                 top = max(terms)
                 shares = [math.exp(t - top) for t in terms]
                 total = sum(shares)
@@ -148,7 +175,7 @@ class Lattice:
             out[1].append(used[n])
         return out
 
-    def word_logp(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def word_logp(self, words: list[bytes], count: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(laws x words) log probability of each word over all its segmentations, and its expected number of pieces."""
         logp, used = np.zeros((len(self.logp), len(words))), np.zeros((len(self.logp), len(words)))
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -162,8 +189,10 @@ class Lattice:
             step = min(1 << 13, max(FEW, (1 << 20) // n))
             for lo in range(0, len(own), step):
                 at = own[lo : lo + step]
-                block = np.frombuffer(b"".join(b" " + words[i] for i in at), np.uint8).reshape(len(at), n).astype(np.uint64)
-                logp[:, at], used[:, at] = self.forward(block, self.edges(block))
+                block = np.frombuffer(b"".join(b" " + words[i] for i in at), np.uint8).reshape(len(at), n)
+                ends = self.edges(block)
+                for law in range(len(self.logp)):
+                    logp[law, at], used[law, at] = self.forward(block, ends, law, count)
         return logp, used
 
 
@@ -241,7 +270,7 @@ def score(docs: DataFrame, train: Column, model: str, id_col: str = "doc_id", te
         lattice = Lattice(*shared.value)
         for b in batches:
             c = b.column("c").to_numpy()
-            yield pa.record_batch([b.column("word"), b.column("c"), pa.array(base(c)), pa.array(lattice.word_logp(b.column("word").to_pylist())[0][0] / LOG10)], ["word", "c", "base", "lp"])
+            yield pa.record_batch([b.column("word"), b.column("c"), pa.array(base(c)), pa.array(lattice.word_logp(b.column("word").to_pylist(), count=False)[0][0] / LOG10)], ["word", "c", "base", "lp"])
 
     words = written(counts.mapInArrow(each, "word binary, c long, base double, lp double"), "scores")
     top = words.orderBy(F.desc("c"), "word").limit(head).toArrow()
