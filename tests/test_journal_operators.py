@@ -55,7 +55,7 @@ def test_large_values_become_one_artifact(spark):
     rows, artifacts = ingest.externalize(df, "owner", "v")
     assert artifacts.count() == 2
     store = artifacts.select(F.col("sha256").alias("id"), F.to_json(F.struct("payload")).alias("payload")).distinct()
-    back = state.hydrate_artifacts(rows.select("id", "v"), "id", "v", store, rounds=2).collect()
+    back = state.hydrate_artifacts(rows.select("id", "v"), "id", "v", store).collect()
     assert all(json.loads(r.v)["payload"] == big if r.id != 4 else r.v == "small" for r in back)
 
 
@@ -208,7 +208,7 @@ def test_stream_gap_holds_events_back(spark, tmp_path):
     fields = TABLES["runtime_events"]
     row = lambda s, name: (f"e{s}", "i", s, 1, "state_change", name, "n", "n", s, None, name.rpartition(".")[2], "{}", "{}", None, None, None)
     write = lambda rows, n: spark.createDataFrame(rows, fields).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
-    run = lambda: streams.run_to_end(streams.live_projection(spark.readStream.schema(fields).parquet(f"{tmp_path}/in/*")), f"{tmp_path}/out", f"{tmp_path}/ck", "update")
+    run = lambda: streams.run_to_end(streams.live_projection(spark.readStream.schema(fields).parquet(f"{tmp_path}/in/*"), timers=False), f"{tmp_path}/out", f"{tmp_path}/ck", "update")
     last = lambda: spark.read.parquet(f"{tmp_path}/out").orderBy(F.desc("batch_id")).first()
     write([row(3, "invocation.completed"), row(1, "node.running")], 1)
     run()
@@ -231,3 +231,81 @@ def test_stuck_gap_degrades(spark, tmp_path):
     finally:
         q.stop()
     assert tuple(got[0]) == ("i", 2, 3, "degraded")
+
+
+def stream_row(s, name, **k):
+    return tuple({**dict(id=f"e{s}", invocation_id="i", sequence=s, schema_version=1, event_type="t", event_name=name, subject_type="n", subject_id="n", occurred_at_ms=s, elapsed_ns=None, status=name.rpartition(".")[2], timing_json="{}", payload_json="{}", input_json=None, output_json=None, operations_json=None), **k}.values())
+
+
+def test_stream_end_is_told_once_and_only_when_nothing_is_missing(spark, tmp_path):
+    fields = TABLES["runtime_events"]
+    write = lambda rows, n: spark.createDataFrame(rows, fields).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    run = lambda: streams.run_to_end(streams.detect_stream_end(spark.readStream.schema(fields).parquet(f"{tmp_path}/in/*"), timers=False), f"{tmp_path}/out", f"{tmp_path}/ck")
+    told = lambda: [(r.invocation_id, r.state, r.final_sequence) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    write([stream_row(1, "invocation.running"), stream_row(3, "invocation.completed"), stream_row(1, "invocation.failed", invocation_id="j")], 1)
+    run()
+    assert told() == [("j", "failed", 1)]  # i lacks event 2
+    write([stream_row(2, "node.running")], 2)
+    run()
+    assert sorted(told()) == [("i", "completed", 3), ("j", "failed", 1)]
+    write([stream_row(3, "invocation.completed"), stream_row(9, "node.running"), stream_row(1, "invocation.failed", invocation_id="j")], 3)
+    run()
+    assert len(told()) == 2
+
+
+def test_a_gap_degrades_although_events_go_on(spark, tmp_path):
+    """The timeout counts from the gap's start, not from the last event."""
+    import time
+
+    fields = TABLES["runtime_events"]
+    write = lambda rows, n: spark.createDataFrame(rows, fields).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    run = lambda: streams.run_to_end(streams.detect_gaps(spark.readStream.schema(fields).parquet(f"{tmp_path}/in/*"), timeout_ms=4000, timers=False), f"{tmp_path}/out", f"{tmp_path}/ck", "update")
+    told = lambda: [tuple(r)[:4] for r in spark.read.parquet(f"{tmp_path}/out").orderBy("batch_id").collect()]
+    write([stream_row(1, "node.running"), stream_row(3, "node.running")], 1)
+    run()
+    assert told() == []
+    for n in (4, 5):
+        time.sleep(2.2)
+        write([stream_row(n, "node.running")], n)
+        run()
+    assert told() == [("i", 2, 3, "degraded")]
+    write([stream_row(2, "node.running")], 9)
+    run()
+    assert told() == [("i", 2, 3, "degraded"), ("i", 6, None, "healthy")]
+
+
+def test_states_of_ended_invocations_are_removed(spark, tmp_path):
+    import time
+
+    fields = TABLES["runtime_events"]
+    rows = [stream_row(1, "invocation.completed"), stream_row(1, "invocation.running", invocation_id="k")]
+    spark.createDataFrame(rows, fields).coalesce(1).write.parquet(f"{tmp_path}/in")
+    made = {"m2": (streams.live_projection, "update"), "m4": (streams.detect_stream_end, "append"), "m8": (streams.waits_open, "append"), "m5": (streams.detect_gaps, "update")}
+    queries = [f(spark.readStream.schema(fields).parquet(f"{tmp_path}/in"), keep_ms=500).writeStream.format("noop").outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(processingTime="1 second").start() for name, (f, mode) in made.items()]
+    left = lambda name: sorted(r.key[0] for r in spark.read.format("statestore").load(f"{tmp_path}/{name}").collect())
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if all(q.lastProgress and q.lastProgress["batchId"] > 2 for q in queries):
+                break
+    finally:
+        for q in queries:
+            q.stop()
+    assert [left(name) for name in made] == [["k"]] * 4
+
+
+def test_stream_append_replays_and_reads_near_days_only(spark, tmp_path):
+    fields, day = TABLES["runtime_events"], 86_400_000
+    row = lambda i, s, d, **k: stream_row(s, "node.running", invocation_id=i, id=f"{i}{s}", occurred_at_ms=d * day + s, **k)
+    write = lambda rows, n: spark.createDataFrame(rows, fields).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    run = lambda ck: streams.stream_append(spark.readStream.schema(fields).parquet(f"{tmp_path}/in/*"), f"{tmp_path}/journal", f"{tmp_path}/conflicts", f"{tmp_path}/{ck}", days=2).trigger(availableNow=True).start().awaitTermination()
+    write([row("a", 1, 100), row("a", 2, 100), row("b", 1, 300)], 1)
+    run("ck")
+    write([row("a", 2, 100), row("a", 3, 101), row("a", 1, 101, status="other"), row("b", 2, 300)], 2)
+    run("ck")
+    keys = lambda: sorted((r.invocation_id, r.sequence) for r in spark.read.parquet(f"{tmp_path}/journal").collect())
+    conflicts = lambda: [(r.invocation_id, r.sequence, r.status) for r in spark.read.parquet(f"{tmp_path}/conflicts").collect()]
+    want = [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)]
+    assert keys() == want and conflicts() == [("a", 1, "other")]
+    run("another")  # all batches once more, as after a lost checkpoint
+    assert keys() == want and set(conflicts()) == {("a", 1, "other")}

@@ -286,7 +286,8 @@ def h7_definition_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", H.definition_hash(F.col("text")).alias("definition_hash"), F.lit(None).cast("string").alias("none"))
 
 
-@query()
+@query(f"""WITH h AS (SELECT doc_id, sha1(unhex('{H.REVISION_NAMESPACE.replace("-", "")}') || encode(source) || unhex('00') || encode(sha256(text))) AS h FROM documents)
+SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1)%4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS revision_id FROM h""")
 def h7_revision_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", H.revision_id(F.col("source"), F.sha2("text", 256)).alias("revision_id"))

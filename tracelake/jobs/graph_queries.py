@@ -14,6 +14,23 @@ WITH = f"WITH RECURSIVE {GRAPH_SQL}"
 CLOSURE_SQL = "pc AS (SELECT DISTINCT revision_id, f, t FROM ge UNION SELECT pc.revision_id, pc.f, ge.t FROM pc JOIN ge ON ge.revision_id = pc.revision_id AND ge.f = pc.t)"
 ENTRY_SQL = "en AS (SELECT revision_id, node_id FROM gn WHERE NOT EXISTS (SELECT 1 FROM ge WHERE ge.revision_id = gn.revision_id AND ge.t = gn.node_id))"
 
+DOMINATORS_SQL = """re AS (SELECT * FROM en UNION SELECT re.revision_id, ge.t FROM re JOIN ge ON ge.revision_id = re.revision_id AND ge.f = re.node_id),
+wo AS (SELECT en.revision_id, d.node_id AS d, en.node_id AS n FROM en JOIN re d ON d.revision_id = en.revision_id AND d.node_id <> en.node_id UNION SELECT wo.revision_id, d, ge.t FROM wo JOIN ge ON ge.revision_id = wo.revision_id AND ge.f = wo.n AND ge.t <> wo.d),
+dm AS (SELECT a.revision_id, a.node_id, d.node_id AS dominator FROM re a JOIN re d ON a.revision_id = d.revision_id WHERE a.node_id = d.node_id OR NOT EXISTS (SELECT 1 FROM wo WHERE wo.revision_id = a.revision_id AND wo.d = d.node_id AND wo.n = a.node_id))"""
+#: hd: loops by header; bo: their bodies; ed: edges with their place in a loop; pa: parents; de: depths.
+LOOPS_SQL = """be AS (SELECT DISTINCT ge.revision_id, f, t FROM ge JOIN dm ON dm.revision_id = ge.revision_id AND dm.node_id = ge.f AND dm.dominator = ge.t),
+bo AS (SELECT revision_id, t AS h, f AS n FROM be UNION SELECT bo.revision_id, bo.h, ge.f FROM bo JOIN ge ON ge.revision_id = bo.revision_id AND ge.t = bo.n AND bo.n <> bo.h JOIN re ON re.revision_id = ge.revision_id AND re.node_id = ge.f),
+bd AS (SELECT * FROM bo UNION SELECT revision_id, t, t FROM be),
+hd AS (SELECT b.revision_id, b.h, gn.ord, 'loop_' || row_number() OVER (PARTITION BY b.revision_id ORDER BY gn.ord) AS loop_id, (SELECT count(*) FROM bd WHERE bd.revision_id = b.revision_id AND bd.h = b.h) AS size
+  FROM (SELECT DISTINCT revision_id, t AS h FROM be) b JOIN gn ON gn.revision_id = b.revision_id AND gn.node_id = b.h),
+cm AS (SELECT x.revision_id, x.h, y.h AS o, count(*) AS common FROM bd x JOIN bd y ON x.revision_id = y.revision_id AND x.n = y.n AND x.h <> y.h GROUP BY ALL),
+pa AS (SELECT cm.revision_id, cm.h, arg_min(cm.o, (o.size, o.ord)) AS parent FROM cm JOIN hd c ON c.revision_id = cm.revision_id AND c.h = cm.h JOIN hd o ON o.revision_id = cm.revision_id AND o.h = cm.o WHERE common = c.size AND o.size > c.size GROUP BY 1, 2),
+de AS (SELECT revision_id, h, h AS up, 0 AS depth FROM hd UNION SELECT de.revision_id, de.h, pa.parent, depth + 1 FROM de JOIN pa ON pa.revision_id = de.revision_id AND pa.h = de.up),
+ed AS (SELECT hd.revision_id, hd.h, ge.edge_id, ge.ord, ge.f, ge.t, (ge.revision_id, hd.h, ge.f) IN (SELECT (revision_id, h, n) FROM bd) AS fi, (ge.revision_id, hd.h, ge.t) IN (SELECT (revision_id, h, n) FROM bd) AS ti FROM hd JOIN ge ON ge.revision_id = hd.revision_id),
+es AS (SELECT revision_id, h, COALESCE(string_agg(edge_id, ',' ORDER BY ord) FILTER (fi AND ti), '') AS internal_edges, COALESCE(string_agg(edge_id, ',' ORDER BY ord) FILTER (NOT fi AND ti), '') AS entry_edges,
+  COALESCE(string_agg(edge_id, ',' ORDER BY ord) FILTER (fi AND t = h AND (revision_id, f, h) IN (SELECT (revision_id, node_id, dominator) FROM dm)), '') AS back_edges, COALESCE(string_agg(edge_id, ',' ORDER BY ord) FILTER (fi AND NOT ti), '') AS exit_edges FROM ed GROUP BY 1, 2)"""
+MUTUAL_SQL = "mu AS (SELECT a.revision_id, a.f AS node_id, min(a.t) AS low FROM pc a JOIN pc b ON a.revision_id = b.revision_id AND a.f = b.t AND a.t = b.f GROUP BY 1, 2), sc AS (SELECT revision_id, node_id, least(node_id, low) AS c FROM mu)"
+
 
 def known(spark: SparkSession, sf_dir: str, forward: bool = False) -> tuple[DataFrame, DataFrame]:
     nodes, edges = graph(spark, sf_dir)
@@ -59,19 +76,26 @@ def j3_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.strong_components(*known(spark, sf_dir))
 
 
-@query(f"""{WITH}, {ENTRY_SQL}, re AS (SELECT * FROM en UNION SELECT re.revision_id, ge.t FROM re JOIN ge ON ge.revision_id = re.revision_id AND ge.f = re.node_id),
-wo AS (SELECT en.revision_id, d.node_id AS d, en.node_id AS n FROM en JOIN re d ON d.revision_id = en.revision_id AND d.node_id <> en.node_id UNION SELECT wo.revision_id, d, ge.t FROM wo JOIN ge ON ge.revision_id = wo.revision_id AND ge.f = wo.n AND ge.t <> wo.d)
-SELECT a.revision_id, a.node_id, d.node_id AS dominator FROM re a JOIN re d ON a.revision_id = d.revision_id WHERE a.node_id = d.node_id OR NOT EXISTS (SELECT 1 FROM wo WHERE wo.revision_id = a.revision_id AND wo.d = d.node_id AND wo.n = a.node_id)""")
+@query(f"{WITH}, {ENTRY_SQL}, {DOMINATORS_SQL} SELECT * FROM dm")
 def j4_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.dominators(*known(spark, sf_dir))
 
 
-@query()
+@query(f"""{WITH}, {ENTRY_SQL}, {DOMINATORS_SQL}, {LOOPS_SQL}
+SELECT hd.revision_id, hd.loop_id, hd.h AS header, (SELECT string_agg(n, ',' ORDER BY gn.ord) FROM bd JOIN gn ON gn.revision_id = bd.revision_id AND gn.node_id = bd.n WHERE bd.revision_id = hd.revision_id AND bd.h = hd.h) AS node_ids, internal_edges, entry_edges, back_edges, exit_edges, up.loop_id AS parent,
+  (SELECT max(depth) FROM de WHERE de.revision_id = hd.revision_id AND de.h = hd.h) AS depth
+FROM hd JOIN es ON es.revision_id = hd.revision_id AND es.h = hd.h LEFT JOIN pa ON pa.revision_id = hd.revision_id AND pa.h = hd.h LEFT JOIN hd up ON up.revision_id = hd.revision_id AND up.h = pa.parent""")
 def j5_natural_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(G.natural_loops(*known(spark, sf_dir)), "node_ids", "internal_edges", "entry_edges", "back_edges", "exit_edges")
 
 
-@query()
+@query(f"""{WITH}, {ENTRY_SQL}, {DOMINATORS_SQL}, {LOOPS_SQL}, {CLOSURE_SQL}, {MUTUAL_SQL},
+p1 AS (SELECT ge.revision_id, 1 AS p, 'CYCLE_ENTRIES' AS code, b.c AS subject FROM ge JOIN sc b ON b.revision_id = ge.revision_id AND b.node_id = ge.t LEFT JOIN sc a ON a.revision_id = ge.revision_id AND a.node_id = ge.f WHERE a.c IS DISTINCT FROM b.c GROUP BY ALL HAVING count(DISTINCT ge.t) > 1),
+p2 AS (SELECT DISTINCT revision_id, 2 AS p, 'IRREDUCIBLE_CYCLE' AS code, c AS subject FROM sc WHERE (revision_id, c) NOT IN (SELECT (sc.revision_id, sc.c) FROM sc JOIN hd ON hd.revision_id = sc.revision_id AND hd.h = sc.node_id)),
+p3 AS (SELECT cm.revision_id, 3 AS p, 'LOOPS_OVERLAP' AS code, x.loop_id AS subject FROM cm JOIN hd x ON x.revision_id = cm.revision_id AND x.h = cm.h JOIN hd y ON y.revision_id = cm.revision_id AND y.h = cm.o WHERE x.loop_id < y.loop_id AND common < least(x.size, y.size)),
+p4 AS (SELECT revision_id, 4 AS p, 'LOOP_ENTRY_INVALID' AS code, edge_id AS subject FROM ed WHERE NOT fi AND ti AND t <> h),
+al AS (SELECT * FROM p1 UNION SELECT * FROM p2 UNION SELECT * FROM p3 UNION SELECT * FROM p4)
+SELECT DISTINCT revision_id, code, subject FROM al WHERE p = (SELECT min(p) FROM al b WHERE b.revision_id = al.revision_id)""")
 def j6_loop_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.loop_diagnostics(*known(spark, sf_dir))
 
@@ -101,14 +125,17 @@ def j9_graph_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.graph_integrity(nodes.union(twice), edges.union(edges.filter("ord = 8")))
 
 
-@query()
+@query(f"""{WITH}, fe AS (SELECT * FROM ge WHERE f < t), sk AS (SELECT revision_id, node_id FROM gn WHERE ord = 0 AND r%3=0),
+li AS (SELECT revision_id, node_id FROM gn WHERE (revision_id, node_id) NOT IN (SELECT (revision_id, t) FROM fe) AND (revision_id, node_id) NOT IN (SELECT (revision_id, node_id) FROM sk)
+  UNION SELECT li.revision_id, fe.t FROM li JOIN fe ON fe.revision_id = li.revision_id AND fe.f = li.node_id WHERE fe.ord%5 <> 2 AND (fe.revision_id, fe.t) NOT IN (SELECT (revision_id, node_id) FROM sk))
+SELECT revision_id AS run_id, node_id FROM gn WHERE (revision_id, node_id) NOT IN (SELECT (revision_id, node_id) FROM li)""")
 def j11_propagate_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each revision is a run of its own graph, so edge and node ids carry it."""
+    """Each revision has one run, of its name. The SQL turns the rule round: a node lives if some edge from a living node is selected."""
     nodes, edges = known(spark, sf_dir, forward=True)
-    e = edges.select(F.concat_ws("/", "revision_id", "edge_id").alias("edge_id"), F.concat_ws("/", "revision_id", "from").alias("from"), F.concat_ws("/", "revision_id", "to").alias("to"), "revision_id", "ord")
-    decisions = e.filter("ord % 5 = 2").select(F.col("revision_id").alias("run_id"), "edge_id", F.lit(False).alias("selected"))
-    entries = nodes.filter("ord = 0").select(F.col("revision_id").alias("run_id"), F.concat_ws("/", "revision_id", "node_id").alias("node_id")).filter(F.substring("run_id", 2, 9).cast("long") % 3 == 0)
-    return G.propagate_skips(e, decisions, entries)
+    decisions = edges.filter("ord % 5 = 2").select(F.col("revision_id").alias("run_id"), "edge_id", F.lit(False).alias("selected"))
+    entries = nodes.filter("ord = 0").select(F.col("revision_id").alias("run_id"), "node_id").filter(F.substring("run_id", 2, 9).cast("long") % 3 == 0)
+    runs = nodes.select("revision_id", F.col("revision_id").alias("run_id")).distinct()
+    return G.propagate_skips(edges, decisions, entries, runs)
 
 
 @query("""WITH c AS (SELECT p_partkey AS pair_id, 'x' || i AS name, CASE i%3 WHEN 0 THEN 'int' WHEN 1 THEN 'str' END AS an, (p_partkey + i)%2=0 AS rq, CAST(i AS VARCHAR) AS df FROM part, range(4) t(i)), o AS (SELECT p_partkey AS pair_id, 'x' || i AS name, CASE WHEN (p_size + i)%4=0 THEN NULL WHEN i%3=0 THEN 'int' ELSE 'str' END AS an, (p_size + i)%3=0 AS rq, CAST(i + p_size%2 AS VARCHAR) AS df FROM part, range(1, 6) t(i)), e AS (SELECT p_partkey AS pair_id, p_size%5=0 AS ex FROM part),

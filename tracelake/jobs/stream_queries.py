@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.adapters import JOURNAL_SQL, invocations, runtime_events
+from ..sources.adapters import JOURNAL_SQL, invocations, runtime_events, user_events
+from ..sources.journal import load_events
 from ..sources.scratch import shared_folder
 from ..streaming import streams as M
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 WITH = f"WITH {JOURNAL_SQL}"
 
@@ -43,24 +44,43 @@ def m1_tail_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ran(M.tail_events(spark, f"{base}/events", cursors, 2), base).select("invocation_id", "sequence", "event_name")
 
 
+@query(ORACLE_SQL["d18_unread_counts"])
+def m1_live_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    user_events(spark, sf_dir).repartition(4, F.xxhash64("id", F.lit(1))).write.parquet(f"{base}/events")
+    read = spark.read.parquet(f"{base}/events").select("invocation_id").distinct().withColumn("read_through", F.col("invocation_id").cast("long") % 6).filter(F.col("invocation_id").cast("long") % 3 != 0)
+    stream = M.tail_events(spark, f"{base}/events", files_per_trigger=2, table="user_events")
+    return last_batch(ran(M.live_unread(stream, read), base, "update"), "invocation_id")
+
+
 @query(f"""{WITH}, w AS (SELECT invocation_id, string_agg(wait_key, ',' ORDER BY wait_key) AS o FROM (SELECT invocation_id, wait_key, arg_max(event_name, sequence) AS l FROM ev WHERE event_name LIKE 'wait.%' GROUP BY 1, 2) WHERE l = 'wait.created' GROUP BY 1)
 SELECT iv.id AS invocation_id, state, durable_sequence AS through_sequence, (SELECT count(*) FROM ev WHERE ev.invocation_id = iv.id AND event_name LIKE 'node.%') AS node_events, COALESCE(o, '') AS open_waits FROM iv LEFT JOIN w ON w.invocation_id = iv.id""")
 def m2_live_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, stream = journal(spark, sf_dir, repeats=True)
-    return last_batch(ran(M.live_projection(stream), base, "update"), "invocation_id")
+    return last_batch(ran(M.live_projection(stream, timers=False), base, "update"), "invocation_id")
 
 
 @query(f"{WITH} SELECT id, invocation_id, sequence FROM ev")
 def m3_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, stream = journal(spark, sf_dir, repeats=True)
     M.stream_append(stream, f"{base}/journal", f"{base}/conflicts", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/journal").select("id", "invocation_id", "sequence")
+    return load_events(spark, f"{base}/journal").select("id", "invocation_id", "sequence")
 
 
-@query()
+@query(f"{WITH} SELECT id AS invocation_id, state, durable_sequence AS final_sequence FROM iv WHERE state IN ('completed', 'failed', 'cancelled', 'interrupted')")
 def m4_detect_stream_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, stream = journal(spark, sf_dir)
-    return ran(M.detect_stream_end(stream), base).select("invocation_id", "state", "final_sequence")
+    return ran(M.detect_stream_end(stream, timers=False), base).select("invocation_id", "state", "final_sequence")
+
+
+@query(f"""{WITH}, kept AS (SELECT invocation_id, sequence FROM ev WHERE ms % 5 <> 3), n AS (SELECT *, row_number() OVER (PARTITION BY invocation_id ORDER BY sequence) AS place FROM kept)
+SELECT invocation_id, min(place) AS expected, min(sequence) AS got, 'degraded' AS status FROM n WHERE sequence <> place GROUP BY 1""")
+def m5_detect_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A journal that lacks about a fifth of its events; a gap counts at once, and what is told last holds."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    runtime_events(spark, sf_dir).filter("occurred_at_ms % 5 <> 3").repartition(4, F.xxhash64("id", F.lit(1))).write.parquet(f"{base}/events")
+    out = ran(M.detect_gaps(M.tail_events(spark, f"{base}/events", files_per_trigger=2), timeout_ms=0, timers=False), base, "update")
+    return last_batch(out, "invocation_id").filter("status = 'degraded'")
 
 
 @query(f"{WITH} SELECT session_id, CAST(count(*) AS BIGINT) AS events, max(ms) AS last_at_ms FROM ev JOIN iv ON iv.id = invocation_id GROUP BY 1")
@@ -80,4 +100,4 @@ def m7_dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT invocation_id, wait_key, TRUE AS is_open, ms AS created_at_ms, CAST(NULL AS BIGINT) AS waited_ms FROM x WHERE event_name = 'wait.created' UNION ALL SELECT invocation_id, wait_key, FALSE, since, ms - since FROM x WHERE event_name = 'wait.resumed' AND since IS NOT NULL""")
 def m8_waits_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, stream = journal(spark, sf_dir, repeats=True)
-    return ran(M.waits_open(stream), base).drop("batch_id")
+    return ran(M.waits_open(stream, timers=False), base).drop("batch_id")

@@ -118,12 +118,15 @@ def edit_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runtime_events(spark, sf_dir).withColumn("operations_json", F.coalesce("operations_json", F.lit("[]")))
 
 
-@query(f"""{WITH}, n AS (SELECT invocation_id, node, arg_max(k, sequence) AS v FROM ev WHERE event_name LIKE 'node.%' AND sequence <= 9 GROUP BY 1, 2), t AS (SELECT id AS invocation_id, least(durable_sequence, 9) AS target_sequence FROM iv),
-g AS (SELECT invocation_id, string_agg('"' || node || '":' || v, ',' ORDER BY node) AS s FROM n GROUP BY 1) SELECT t.invocation_id, t.target_sequence, '{{"nodes":{{' || COALESCE(s, '') || '}}}}' AS state_json, CAST(NULL AS VARCHAR) AS error FROM t LEFT JOIN g USING (invocation_id)""")
+@query(f"""{WITH}, n AS (SELECT invocation_id, node, arg_max(k, sequence) AS v FROM ev WHERE event_name LIKE 'node.%' GROUP BY 1, 2),
+g AS (SELECT invocation_id, string_agg('"' || node || '":' || v, ',' ORDER BY node) AS s FROM n GROUP BY 1) SELECT iv.id AS invocation_id, durable_sequence AS target_sequence, '{{"nodes":{{' || COALESCE(s, '') || '}}}}' AS state_json, CAST(NULL AS VARCHAR) AS error FROM iv LEFT JOIN g ON g.invocation_id = iv.id""")
 def i1_replay_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = invocations(spark, sf_dir)
-    snapshots = i.select(F.col("id").alias("invocation_id"), F.lit(0).cast("long").alias("event_sequence"), F.lit('{"nodes":{}}').alias("state_json"))
-    return S.replay_state(snapshots, edit_journal(spark, sf_dir), i.select(F.col("id").alias("invocation_id"), F.least("durable_sequence", F.lit(9).cast("long")).alias("target_sequence")))
+    """All events of each invocation, from snapshots at each eighth of them."""
+    i, e = invocations(spark, sf_dir), edit_journal(spark, sf_dir)
+    genesis = i.select(F.col("id").alias("invocation_id"), F.lit(0).cast("long").alias("event_sequence"), F.lit('{"nodes":{}}').alias("state_json"))
+    eighths = e.filter("sequence % 8 = 0").select("invocation_id", F.col("sequence").alias("target_sequence"))
+    made = S.replay_state(genesis, e, eighths).select("invocation_id", F.col("target_sequence").alias("event_sequence"), "state_json")
+    return S.replay_state(S.snapshots_with_genesis(genesis, made), e, i.select(F.col("id").alias("invocation_id"), F.col("durable_sequence").alias("target_sequence")))
 
 
 @query("""WITH d AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderstatus AS s FROM orders) SELECT id, CASE WHEN c%3=0 THEN '[{"op":"remove","path":["b"],"value":null},' ELSE '[' END || '{"op":"add","path":["n"],"value":' || c || '},{"op":"add","path":["l",2],"value":"' || s || '"}]' AS edits, CASE WHEN c%3=0 THEN '/b,/l,/n' ELSE '/l,/n' END AS changed FROM d""")
@@ -165,8 +168,8 @@ def c8_hydrate_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 100).cast("string").alias("n")).distinct()
     outer = n.select(F.concat(F.lit("o"), "n").alias("id"), F.concat(F.lit('{"n":'), "n", F.lit(',"in":{"$artifact":"i'), "n", F.lit('"}}')).alias("payload"))
     inner = n.select(F.concat(F.lit("i"), "n").alias("id"), F.concat(F.lit("["), "n", F.lit("]")).alias("payload"))
-    out = S.hydrate_artifacts(o.select(F.col("o_orderkey").alias("id"), v.alias("v")), "id", "v", outer.union(inner), rounds=3)
-    return out.withColumn("missing", F.array_join("missing", ","))
+    out = S.hydrate_artifacts(o.select(F.col("o_orderkey").alias("id"), v.alias("v")), "id", "v", outer.union(inner))
+    return out.withColumn("missing", F.array_join("missing", ",")).drop("cyclic")
 
 
 @query("SELECT p_partkey AS id, '{\"a\":[1,\"' || p_partkey || '\"],\"k\":{\"$artifact\":{\"id\":' || p_size || '}},\"t\":\"x\"}' AS view, CAST(NULL AS VARCHAR) AS error FROM part WHERE p_size%2=0 UNION ALL SELECT p_partkey, NULL, 'unknown tag odd' FROM part WHERE p_size%2<>0")

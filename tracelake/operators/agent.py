@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,8 +105,8 @@ def activity_items(user_events: DataFrame) -> DataFrame:
     return thinking.union(shown).union(tools).union(other)
 
 
-def unread_counts(user_events: DataFrame, read_through: DataFrame) -> DataFrame:
-    """Distinct logical keys past each invocation's cursor (invocation_id, read_through; 0 where there is none)."""
+def unread_keys(user_events: DataFrame, read_through: DataFrame) -> DataFrame:
+    """(invocation_id, key): the logical keys past each invocation's cursor (invocation_id, read_through; 0 where there is none)."""
     n = F.col("id")
     numbered = lambda path, kind: F.transform(F.from_json(field(path), CALL if path == "calls" else RESULT), lambda c, i: F.concat(F.lit(kind), F.coalesce(F.nullif(c["tool_call_id"], F.lit("")), F.concat(n, F.lit(":"), i.cast("string")))))
     kind = F.col("type")
@@ -116,7 +119,12 @@ def unread_counts(user_events: DataFrame, read_through: DataFrame) -> DataFrame:
         .otherwise(F.array(F.concat(F.lit("event:"), n)))
     )
     rows = user_events.join(read_through, "invocation_id", "left").filter(F.col("sequence") > F.coalesce("read_through", F.lit(0)))
-    return rows.select("invocation_id", F.explode(keys).alias("key")).groupBy("invocation_id").agg(F.countDistinct("key").alias("unread"))
+    return rows.select("invocation_id", F.explode(keys).alias("key"))
+
+
+def unread_counts(user_events: DataFrame, read_through: DataFrame) -> DataFrame:
+    """Distinct logical keys past each invocation's cursor."""
+    return unread_keys(user_events, read_through).groupBy("invocation_id").agg(F.countDistinct("key").alias("unread"))
 
 
 def session_history(messages: DataFrame) -> DataFrame:
@@ -226,30 +234,54 @@ def coalesce_deltas(chunks: DataFrame, chars: int = 32, delay_ms: int = 8) -> Da
     """Adjacent deltas of a call merged while they are compatible, until they have `chars` characters or the first is
     `delay_ms` old; a completed chunk flushes. chunks (call_id, seq, at_ms, type, text, tool_index, tool_id, tool_name).
 
-    The merge starts anew after each flush, so it is a fold over the ordered chunks of a call, which end with the call.
+    The merge starts anew after each flush, so it is a fold over the ordered chunks of a call, which end with the call. A
+    task reads its calls in order and holds what one merge has so far, so calls of any length take linear time. Chunks
+    without a type or time merge with none; a null text counts as empty where it is merged.
     """
-    kind = "struct<seq:bigint,at_ms:bigint,type:string,text:string,tool_index:int,tool_id:string,tool_name:string>"
-    state = f"struct<done:array<{kind}>,pending:{kind}>"
-    item = F.struct(*[F.col(c).cast(t).alias(c) for c, t in (p.split(":") for p in kind[7:-1].split(","))])
-    ordered = chunks.groupBy("call_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.from_json(F.lit('{"done":[]}'), state)
-
-    def step(acc: Column, c: Column) -> Column:
-        pending, done = acc["pending"], acc["done"]
-        null = F.lit(None).cast(kind)
-        plus = lambda d, p: F.when(p.isNotNull(), F.concat(d, F.array(p))).otherwise(d)
-        free = lambda name: pending[name].isNull() | c[name].isNull() | (pending[name] == c[name])
-        fits = (pending["type"] == c["type"]) & ((c["type"] != "tool_call_delta") | ((pending["tool_index"] == c["tool_index"]) & free("tool_id") & free("tool_name"))) & (c["at_ms"] - pending["at_ms"] < delay_ms)
-        both = F.struct(pending["seq"].alias("seq"), pending["at_ms"].alias("at_ms"), pending["type"].alias("type"), F.concat(F.coalesce(pending["text"], F.lit("")), F.coalesce(c["text"], F.lit(""))).alias("text"), pending["tool_index"].alias("tool_index"), F.coalesce(pending["tool_id"], c["tool_id"]).alias("tool_id"), F.coalesce(pending["tool_name"], c["tool_name"]).alias("tool_name"))
-        merge = F.coalesce(fits, F.lit(False))
-        now = F.when(merge, both).otherwise(c)
-        base = F.when(merge, done).otherwise(plus(done, pending))
-        full = F.length(F.coalesce(now["text"], F.lit(""))) >= chars
-        flushed = F.struct(plus(plus(done, pending), c).alias("done"), null.alias("pending"))
-        return F.when(c["type"] == "completed", flushed).when(full, F.struct(plus(base, now).alias("done"), null.alias("pending"))).otherwise(F.struct(base.alias("done"), now.alias("pending"))).cast(state)
-
-    merged = F.aggregate("items", start, step, lambda acc: F.when(acc["pending"].isNotNull(), F.concat(acc["done"], F.array(acc["pending"]))).otherwise(acc["done"]))
-    return ordered.select("call_id", F.posexplode(merged).alias("position", "c")).select("call_id", F.col("position").cast("long"), "c.type", "c.text", F.col("c.seq").alias("first_seq"))
+    columns = ("call_id", "seq", "at_ms", "type", "text", "tool_index", "tool_id", "tool_name")
+    kinds = ("string", "bigint", "bigint", "string", "string", "int", "string", "string")
+    rows = chunks.select(*[F.col(c).cast(k).alias(c) for c, k in zip(columns, kinds, strict=True)]).repartition("call_id").sortWithinPartitions(*columns)
+
+    def fits(a: dict, c: dict) -> bool:
+        free = lambda name: a[name] is None or c[name] is None or a[name] == c[name]
+        tool = c["type"] != "tool_call_delta" or (a["tool_index"] is not None and a["tool_index"] == c["tool_index"] and free("tool_id") and free("tool_name"))
+        return c["type"] is not None and a["type"] == c["type"] and tool and None not in (a["at_ms"], c["at_ms"]) and c["at_ms"] - a["at_ms"] < delay_ms
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call, position, pending, size, out = None, 0, None, 0, []
+
+        def flush() -> None:
+            nonlocal pending, position
+            if pending:
+                parts = pending["text"]
+                out.append((call, position, pending["type"], parts[0] if len(parts) == 1 else "".join(x or "" for x in parts), pending["seq"]))
+                pending, position = None, position + 1
+
+        def told() -> pa.RecordBatch:
+            names = ("call_id", "position", "type", "text", "first_seq")
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            out.clear()
+            return pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names)
+
+        for b in batches:
+            for c in b.to_pylist():
+                if c["call_id"] != call:
+                    flush()
+                    call, position = c["call_id"], 0
+                if c["type"] == "completed" or not (pending and fits(pending, c)):
+                    flush()
+                    pending, size = {**c, "text": [c["text"]]}, len(c["text"] or "")
+                else:
+                    pending["text"].append(c["text"])
+                    pending["tool_id"], pending["tool_name"] = pending["tool_id"] or c["tool_id"], pending["tool_name"] or c["tool_name"]
+                    size += len(c["text"] or "")
+                if size >= chars or c["type"] == "completed":
+                    flush()
+            yield told()
+        flush()
+        yield told()
+
+    return rows.mapInArrow(merged, "call_id string, position bigint, type string, text string, first_seq bigint")
 
 
 def stream_reduce(chunks: DataFrame) -> DataFrame:

@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 #: The counters of a resource usage, in nanoseconds.
 USAGE = ("duration_ns", "execution_ns", "thread_pool_queue_ns", "retry_backoff_ns", "stream_consumption_ns", "stream_reduction_ns", "waiting_ns")
 
 
 def snapshot_asof(genesis: DataFrame, recovery: DataFrame, targets: DataFrame) -> DataFrame:
     """The newest snapshot (invocation_id, event_sequence, state_json) at or before each target (invocation_id,
-    target_sequence); the genesis state counts as sequence 0. A target without a snapshot has nulls."""
-    both = genesis.select("invocation_id", F.lit(0).cast("long").alias("event_sequence"), "state_json").unionByName(recovery.select("invocation_id", "event_sequence", "state_json"))
-    t = targets.select("invocation_id", "target_sequence").distinct()
-    hit = t.join(both, "invocation_id").filter("event_sequence <= target_sequence").groupBy("invocation_id", "target_sequence").agg(F.max_by(F.struct("event_sequence", "state_json"), "event_sequence").alias("s"))
-    return t.join(hit, ["invocation_id", "target_sequence"], "left").select("invocation_id", "target_sequence", F.col("s.event_sequence").alias("snapshot_sequence"), "s.state_json")
+    target_sequence); the genesis state counts as sequence 0. A target without a snapshot has nulls. Snapshots and targets
+    are read once in order, so no target meets all snapshots."""
+    snap = lambda df, at: df.select("invocation_id", at.alias("at"), F.lit(0).alias("kind"), F.struct(at.alias("event_sequence"), "state_json").alias("s"))
+    both = snap(genesis, F.lit(0).cast("long")).union(snap(recovery, F.col("event_sequence").cast("long")))
+    t = targets.select("invocation_id", F.col("target_sequence").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(both.schema["s"].dataType).alias("s")).distinct()
+    newest = F.last("s", ignorenulls=True).over(W.partitionBy("invocation_id").orderBy("at", "kind", "s").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = both.union(t).withColumn("s", newest).filter("kind = 1")
+    return rows.select("invocation_id", F.col("at").alias("target_sequence"), F.col("s.event_sequence").alias("snapshot_sequence"), "s.state_json")
 
 
 def incoming_outputs(activations: DataFrame, executions: DataFrame) -> DataFrame:
@@ -50,15 +55,19 @@ def parallel_summary(attempts: DataFrame, units: DataFrame) -> DataFrame:
     """A summary of each execution's parallel calls. attempts (execution_id, seq, operator_id, reason, error_code,
     duration_ns, streaming, chunks, started_at_ms, ended_at_ms); units (execution_id, unit_id, state)."""
     u = units.groupBy("execution_id").agg(F.count("*").alias("call_count"), F.count_if(F.col("state") == "completed").alias("success_count"), F.count_if(F.col("state") == "failed").alias("failure_count"))
-    failed = F.when(F.col("error_code").isNotNull(), F.struct("seq", "error_code", "operator_id"))
-    a = attempts.groupBy("execution_id").agg(
+    one = attempts.groupBy("execution_id", "operator_id").agg(
         F.count("*").alias("attempt_count"), F.count_if(F.col("reason") == "retry").alias("retry_count"), F.count_if(F.col("reason") == "fallback").alias("fallback_count"),
         F.sum("duration_ns").alias("total_duration_ns"), F.min("duration_ns").alias("min_duration_ns"), F.max("duration_ns").alias("max_duration_ns"),
         F.count_if("streaming").alias("streaming_call_count"), F.sum("chunks").alias("stream_chunk_count"),
-        F.slice(F.array_sort(F.collect_list(failed)), 1, 8).alias("failure_samples"), F.min("started_at_ms").alias("started_at_ms"), F.max(F.coalesce("ended_at_ms", "started_at_ms")).alias("ended_at_ms"),
+        F.min("started_at_ms").alias("started_at_ms"), F.max(F.coalesce("ended_at_ms", "started_at_ms")).alias("ended_at_ms"), F.min("seq").alias("s"),
     )
-    ids = attempts.groupBy("execution_id", "operator_id").agg(F.min("seq").alias("s")).groupBy("execution_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "operator_id"))), lambda x: x["operator_id"]).alias("operator_ids"))
-    rows = u.join(a, "execution_id", "full").join(ids, "execution_id", "left")
+    of = {"min": F.min, "max": F.max, "sta": F.min, "end": F.max}
+    a = one.groupBy("execution_id").agg(*[of.get(c[:3], F.sum)(c).alias(c) for c in one.columns[2:-1]], F.transform(F.array_sort(F.collect_list(F.struct("s", "operator_id"))), lambda x: x["operator_id"]).alias("operator_ids"))
+    n = F.row_number().over(W.partitionBy("execution_id").orderBy("seq", "error_code", "operator_id"))
+    eight = attempts.filter("error_code IS NOT NULL").select("execution_id", "seq", "error_code", "operator_id").withColumn("n", n).filter("n <= 8")
+    first = eight.groupBy("execution_id").agg(F.array_sort(F.collect_list(F.struct("seq", "error_code", "operator_id"))).alias("failure_samples"))
+    none = F.array().cast(first.schema["failure_samples"].dataType)
+    rows = u.join(a.join(first, "execution_id", "left").withColumn("failure_samples", F.coalesce("failure_samples", none)), "execution_id", "full")
     zero = {c: 0 for c in ("call_count", "success_count", "failure_count", "attempt_count", "retry_count", "fallback_count", "streaming_call_count", "stream_chunk_count", "total_duration_ns")}
     return rows.fillna(zero).withColumn("cancelled_count", F.greatest(F.lit(0), F.col("call_count") - F.col("success_count") - F.col("failure_count")))
 
@@ -96,13 +105,31 @@ def journal_size(events: DataFrame, columns: tuple[str, ...] = ("timing_json", "
     return events.withColumn("_size", size).rollup("event_type").agg(F.count("*").alias("rows"), F.sum("_size").alias("json_chars"))
 
 
+#: Blocks that the range of a group's values is cut into.
+VALUE_BLOCKS = 4096
+
+
 def latency_stats(runs: DataFrame, group: str, value: str, p: float = 0.95) -> DataFrame:
-    """Count, median, lower-index percentile (element int((n-1)*p) in order) and runs per second of each group."""
-    w = W.partitionBy(group)
-    rows = runs.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    at = F.floor((F.col("_n") - 1) * p)
-    out = rows.groupBy(group).agg(F.count("*").alias("runs"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.max(F.when(F.col("_i") == at, F.col(value))).alias("p95"), F.sum(value).alias("total"))
-    return out.withColumn("runs_per_s", F.when(F.col("total") > 0, F.col("runs") * 1000 / F.col("total"))).drop("total")
+    """Count, median, lower-index percentile (element int((n-1)*p) in order) and runs per second of each group.
+
+    Exact, without ordering a group: equal values are counted, the counts are summed by blocks of the group's range, and
+    only the blocks that hold a wanted element are ordered. Rows without a value are left out.
+    """
+    counts = cut(runs.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c")))
+    sums = cut(counts.groupBy("g").agg(F.sum("c").alias("runs"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(F.col("v") * F.col("c")).alias("total")))
+    same = lambda a, b: F.col(f"{a}.g").eqNullSafe(F.col(f"{b}.g"))
+    block = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * VALUE_BLOCKS)).otherwise(0)
+    blocked = counts.alias("c").join(sums.alias("s"), same("c", "s")).select("c.g", "v", "c", block.alias("b"))
+    ends = F.sum("n").over(W.partitionBy("g").orderBy("b").rowsBetween(W.unboundedPreceding, W.currentRow))
+    by_block = blocked.groupBy("g", "b").agg(F.sum("c").alias("n")).withColumn("end", ends)
+    last = F.col("runs") - 1
+    wanted = sums.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), at.cast("long").alias("at")) for k, at in enumerate((F.floor(last * p), F.floor(last / 2), F.ceil(last / 2)))])).alias("w")).select("g", "w.k", "w.at")
+    hit = wanted.alias("w").join(by_block.alias("b"), same("w", "b") & (F.col("at") < F.col("end")) & (F.col("at") >= F.col("end") - F.col("n"))).select("w.g", "k", "at", "b", (F.col("end") - F.col("n")).alias("before"))
+    upto = F.col("before") + F.sum("c").over(W.partitionBy("h.g", "k").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    inside = hit.alias("h").join(blocked.alias("c"), same("h", "c") & (F.col("h.b") == F.col("c.b"))).select("h.g", "k", "at", "v", upto.alias("upto")).filter("upto > at")
+    found = inside.groupBy("g").agg(*[F.min(F.when(F.col("k") == k, F.col("v"))).alias(f"v{k}") for k in range(3)])
+    out = sums.alias("s").join(found.alias("f"), same("s", "f"))
+    return out.select(F.col("s.g").alias(group), "runs", ((F.col("v1") + F.col("v2")) / 2).alias("median"), F.col("v0").alias("p95"), F.when(F.col("total") > 0, F.col("runs") * 1000 / F.col("total")).alias("runs_per_s"))
 
 
 def diagnostic_summary(diagnostics: DataFrame, group: str) -> DataFrame:

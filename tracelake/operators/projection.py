@@ -204,7 +204,8 @@ def invocation_results(executions: DataFrame, exits: DataFrame, outputs: DataFra
     for several. executions of D1; exits (node_id); outputs (execution_id, output_json)."""
     last = executions.join(exits, "node_id", "left_semi").groupBy("invocation_id", "node_id").agg(F.max_by(F.struct("execution_id", "state"), F.struct("ordinal", "execution_id")).alias("x")).filter("x.state = 'completed'")
     rows = last.select("invocation_id", "node_id", "x.execution_id").join(outputs, ["invocation_id", "execution_id"], "left")
-    pair = F.concat(F.lit('"'), F.col("node_id"), F.lit('":'), F.coalesce("output_json", F.lit("null")))
+    quoted = F.regexp_extract(F.to_json(F.array("node_id")), r"(?s)^\[(.*)\]$", 1)
+    pair = F.concat(quoted, F.lit(":"), F.coalesce("output_json", F.lit("null")))
     out = rows.groupBy("invocation_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(pair)).alias("pairs"), F.first(F.coalesce("output_json", F.lit("null"))).alias("only"))
     return out.select("invocation_id", F.when(F.col("n") == 1, F.concat(F.lit('{"output":'), F.col("only"), F.lit("}"))).otherwise(F.concat(F.lit('{"outputs":{'), F.array_join("pairs", ","), F.lit("}}"))).alias("result_json"))
 

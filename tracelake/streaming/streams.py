@@ -7,48 +7,66 @@ until their sequence follows what has been applied: late ones wait, repeats are
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import ingest
+from ..operators import agent, ingest
 from ..schemas import TABLES, TERMINAL_INVOCATION
+from ..sources.journal import load_events, write_events
 
 KEY = "invocation_id"
+#: Milliseconds for which the state of an ended invocation still drops repeats.
+KEEP_MS = 3_600_000
 
 
-def tail_events(spark: SparkSession, path: str, cursors: DataFrame | None = None, files_per_trigger: int = 64) -> DataFrame:
+def tail_events(spark: SparkSession, path: str, cursors: DataFrame | None = None, files_per_trigger: int = 64, table: str = "runtime_events") -> DataFrame:
     """M1: the journal's events as a stream, past each invocation's cursor (invocation_id, cursor); the query's checkpoint
-    resumes it. Cursors are joined as a static table."""
-    events = spark.readStream.schema(TABLES["runtime_events"]).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    resumes it. Cursors are joined as a static table. `table` is runtime_events or user_events: the two journals are
+    tailed apart, and a user journal may have gaps."""
+    schema = TABLES[table]
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).select(*[c.split()[0] for c in schema.split(", ")])
     if cursors is None:
         return events
     at = cursors.select(KEY, F.col("cursor").alias("_cursor"))
     return events.join(at, KEY, "left").filter(F.col("sequence") > F.coalesce("_cursor", F.lit(0))).drop("_cursor")
 
 
+def live_unread(user_events: DataFrame, read_through: DataFrame) -> DataFrame:
+    """M1 with D18: unread counts of invocations as their user events arrive; in update mode each trigger tells the changed
+    ones. State is the set of an invocation's logical keys."""
+    return agent.unread_keys(user_events, read_through).groupBy(KEY).agg(F.size(F.collect_set("key")).cast("long").alias("unread"))
+
+
 def dedupe_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """M7: without repeats of (invocation_id, sequence) that arrive within the delay of each other."""
     stamped = events.withColumn("event_time", F.timestamp_millis("occurred_at_ms")).withWatermark("event_time", delay)
     return stamped.dropDuplicatesWithinWatermark([KEY, "sequence"]).drop("event_time")
 
 
-def stream_append(events: DataFrame, journal_path: str, conflicts_path: str, checkpoint: str):
+def stream_append(events: DataFrame, journal_path: str, conflicts_path: str, checkpoint: str, days: int = 7):
     """M3: a writer that appends each micro-batch to the journal once: known keys are left out, so a replayed batch adds
-    nothing; events that contradict stored ones go to the conflicts."""
+    nothing; events that contradict stored ones go to the batch's own folder of conflicts, which a replay overwrites.
+
+    The journal lies in folders of days (see write_events). An invocation's events lie within `days` of each other, so a
+    batch is compared with the days around its own only, and its cost doesn't grow with the journal.
+    """
     spark = events.sparkSession
-    schema = TABLES["runtime_events"]
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            spark.createDataFrame([], schema).write.mode("append").parquet(journal_path)
-            journal = spark.read.schema(schema).parquet(journal_path)
+            span = batch.agg(*[f(F.to_date(F.timestamp_millis("occurred_at_ms"))) for f in (F.min, F.max)]).first()
+            if span[0] is None:
+                return
+            write_events(spark.createDataFrame([], TABLES["runtime_events"]), journal_path)
+            journal = load_events(spark, journal_path, str(span[0] - timedelta(days)), str(span[1] + timedelta(days)))
             new, _, conflicts = ingest.append(journal, batch)
-            conflicts.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(conflicts_path)
-            new.select(*journal.columns).write.mode("append").parquet(journal_path)
+            conflicts.write.mode("overwrite").parquet(f"{conflicts_path}/batch_id={batch_id}")
+            write_events(new.select(*journal.columns), journal_path)
         finally:
             batch.unpersist()
 
@@ -82,33 +100,33 @@ HELD = "sequence array<bigint>, event_type array<string>, event_name array<strin
 FIELDS = ("sequence", "event_type", "event_name", "status", "occurred_at_ms", "wait_key", "wait_keys")
 
 
-def _stateful(events: DataFrame, step: Callable, empty: dict, state: str, out: str, output_mode: str, timeout_ms: int | None = None) -> DataFrame:
-    """step(key, fields, ready, pending) -> rows: changes the state's fields by the events that are ready. State is kept as
-    columns: the last applied sequence, the fields, and the held events."""
+def _stateful(events: DataFrame, step: Callable, empty: dict, state: str, out: str, output_mode: str, keep_ms: int, timers: bool) -> DataFrame:
+    """step(key, fields, ready, held, applied, now) -> (rows, done, wake_ms): changes the state's fields by the events that are
+    ready. State is kept as columns: the last applied sequence, the fields, and the held events. Once a step is done, the
+    state only drops repeats, and is removed after keep_ms without an event. A step that asks for it is woken in wake_ms.
+    Timers keep a query going for ever: without them a query of availableNow ends, and ages are looked at in its batches only."""
     names = [c.split()[0] for c in state.split(", ")]
 
     def run(key, pdfs: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         if group.exists:
-            applied, *rest = group.get
+            applied, done, *rest = group.get
             fields, lists = dict(zip(names, rest[: len(names)], strict=True)), rest[len(names) :]
             held = {int(r[0]): dict(zip(FIELDS, r, strict=True)) for r in zip(*lists, strict=True)} if lists[0] is not None else {}
         else:
-            applied, fields, held = 0, {k: (v.copy() if hasattr(v, "copy") else v) for k, v in empty.items()}, {}
-        late = group.hasTimedOut
-        ready, applied = _in_order(iter(()) if late else pdfs, int(applied), held)
-        rows, keep = step(key[0], fields, ready, held, applied, late)
-        if keep:
-            kept = [held[k] for k in sorted(held)]
-            group.update((applied, *[fields[n] for n in names], *[[r[f] for r in kept] for f in FIELDS]))
-            if timeout_ms:
-                group.setTimeoutDuration(timeout_ms)
-        else:
+            applied, done, fields, held = 0, False, {k: (v.copy() if hasattr(v, "copy") else v) for k, v in empty.items()}, {}
+        if group.hasTimedOut and done and not held:
             group.remove()
+            return
+        ready, applied = _in_order(iter(()) if group.hasTimedOut else pdfs, int(applied), held)
+        rows, done, wake_ms = step(key[0], fields, ready, held, applied, group.getCurrentProcessingTimeMs())
+        kept = [held[k] for k in sorted(held)]
+        group.update((applied, done, *[fields[n] for n in names], *[[r[f] for r in kept] for f in FIELDS]))
+        if timers and (done or wake_ms is not None):
+            group.setTimeoutDuration(max(1, keep_ms if wake_ms is None else wake_ms))
         if rows:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
 
-    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return _columns(events).groupBy(KEY).applyInPandasWithState(run, out, f"applied bigint, {state}, {HELD}", output_mode, kind)
+    return _columns(events).groupBy(KEY).applyInPandasWithState(run, out, f"applied bigint, done boolean, {state}, {HELD}", output_mode, GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
 
 
 def _told(row: dict) -> str | None:
@@ -122,63 +140,74 @@ def _told(row: dict) -> str | None:
     return None
 
 
-def live_projection(events: DataFrame) -> DataFrame:
+def _follow(fields: dict, ready: list[dict], held: dict) -> bool:
+    """Brings the field `state` up to date; whether the invocation has ended and nothing of it is missing."""
+    for r in ready:
+        fields["state"] = _told(r) or fields["state"]
+    return fields["state"] in TERMINAL_INVOCATION and not held
+
+
+def live_projection(events: DataFrame, keep_ms: int = KEEP_MS, timers: bool = True) -> DataFrame:
     """M2: each invocation's state, event and node event counts and open waits as of its last contiguous sequence, told again
-    whenever it has changed (update mode). Equal to the batch projection once all events are there."""
+    whenever it has changed (update mode). Equal to the batch projection once all events are there. The state of an ended
+    invocation is removed after keep_ms; later repeats would wait for what they repeat and tell nothing."""
 
-    def step(key, s, ready, held, applied, late):
+    def step(key, s, ready, held, applied, now):
         open_ = set(s["waits"])
         for r in ready:
-            s["state"] = _told(r) or s["state"]
             s["node_events"] += r["event_name"].startswith("node.")
             if r["event_name"] == "wait.created":
                 open_ |= {w for w in (r["wait_keys"] or "").split(",") if w}
             elif r["event_name"] == "wait.resumed":
                 open_.discard(r["wait_key"])
         s["waits"] = sorted(open_)
-        return ([(key, s["state"], applied, s["node_events"], ",".join(s["waits"]))] if ready else []), True
+        done = _follow(s, ready, held)
+        return ([(key, s["state"], applied, s["node_events"], ",".join(s["waits"]))] if ready else []), done, None
 
-    return _stateful(events, step, {"state": "created", "node_events": 0, "waits": []}, "state string, node_events bigint, waits array<string>", "invocation_id string, state string, through_sequence bigint, node_events bigint, open_waits string", "update")
+    return _stateful(events, step, {"state": "created", "node_events": 0, "waits": []}, "state string, node_events bigint, waits array<string>", "invocation_id string, state string, through_sequence bigint, node_events bigint, open_waits string", "update", keep_ms, timers)
 
 
-def detect_stream_end(events: DataFrame) -> DataFrame:
+def detect_stream_end(events: DataFrame, keep_ms: int = KEEP_MS, timers: bool = True) -> DataFrame:
     """M4: one row for each invocation when it is terminal and nothing before is missing. The state is then only a mark that
-    drops what comes later."""
+    drops what comes later, removed after keep_ms."""
 
-    def step(key, s, ready, held, applied, late):
+    def step(key, s, ready, held, applied, now):
         if s["ended"]:
             held.clear()
-            return [], True
-        for r in ready:
-            s["state"] = _told(r) or s["state"]
-        if s["state"] in TERMINAL_INVOCATION and not held and ready:
-            s["ended"] = True
-            return [(key, s["state"], applied)], True
-        return [], True
+            return [], True, None
+        s["ended"] = _follow(s, ready, held)
+        return ([(key, s["state"], applied)] if s["ended"] else []), s["ended"], None
 
-    return _stateful(events, step, {"state": "created", "ended": False}, "state string, ended boolean", "invocation_id string, state string, final_sequence bigint", "append")
+    return _stateful(events, step, {"state": "created", "ended": False}, "state string, ended boolean", "invocation_id string, state string, final_sequence bigint", "append", keep_ms, timers)
 
 
-def detect_gaps(events: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
-    """M5: an invocation is degraded while events wait for a missing one longer than the timeout: (invocation_id, expected,
-    got, status). It is healthy again when the gap closes."""
+def detect_gaps(events: DataFrame, timeout_ms: int = 60_000, keep_ms: int = KEEP_MS, timers: bool = True) -> DataFrame:
+    """M5: an invocation is degraded once events have waited for a missing one for the timeout, whatever else arrives
+    meanwhile: (invocation_id, expected, got, status), told again when another one is missing. It is healthy again when
+    no event is missing."""
 
-    def step(key, s, ready, held, applied, late):
-        if late and held:
-            s["degraded"] = True
-            return [(key, applied + 1, min(held), "degraded")], True
-        if s["degraded"] and not held:
-            s["degraded"] = False
-            return [(key, applied + 1, None, "healthy")], True
-        return [], True
+    def step(key, s, ready, held, applied, now):
+        done = _follow(s, ready, held)
+        if not held:
+            was, s["degraded"], s["expected"], s["since"] = s["degraded"], False, 0, 0
+            return ([(key, applied + 1, None, "healthy")] if was else []), done, None
+        if s["expected"] != applied + 1:
+            s["expected"], s["since"], s["told"] = applied + 1, now, 0
+        left = s["since"] + timeout_ms - now
+        if left > 0:
+            return [], False, left
+        got, told = min(held), s["told"]
+        s["degraded"], s["told"] = True, got
+        return ([(key, applied + 1, got, "degraded")] if told != got else []), False, None
 
-    return _stateful(events, step, {"degraded": False}, "degraded boolean", "invocation_id string, expected bigint, got bigint, status string", "update", timeout_ms)
+    return _stateful(events, step, {"state": "created", "degraded": False, "expected": 0, "since": 0, "told": 0}, "state string, degraded boolean, expected bigint, since bigint, told bigint", "invocation_id string, expected bigint, got bigint, status string", "update", keep_ms, timers)
 
 
-def waits_open(events: DataFrame) -> DataFrame:
-    """M8: changes of waits in the order of their events: (invocation_id, wait_key, is_open, created_at_ms, waited_ms)."""
+def waits_open(events: DataFrame, keep_ms: int = KEEP_MS, timers: bool = True) -> DataFrame:
+    """M8: changes of waits in the order of their events: (invocation_id, wait_key, is_open, created_at_ms, waited_ms). The
+    state of an ended invocation is removed after keep_ms."""
 
-    def step(key, s, ready, held, applied, late):
+    def step(key, s, ready, held, applied, now):
         open_ = dict(zip(s["waits"], s["since"], strict=True))
         rows = []
         for r in ready:
@@ -190,9 +219,9 @@ def waits_open(events: DataFrame) -> DataFrame:
                 since = open_.pop(r["wait_key"])
                 rows.append((key, r["wait_key"], False, since, int(r["occurred_at_ms"]) - since))
         s["waits"], s["since"] = list(open_), list(open_.values())
-        return rows, True
+        return rows, _follow(s, ready, held), None
 
-    return _stateful(events, step, {"waits": [], "since": []}, "waits array<string>, since array<bigint>", "invocation_id string, wait_key string, is_open boolean, created_at_ms bigint, waited_ms bigint", "append")
+    return _stateful(events, step, {"state": "created", "waits": [], "since": []}, "state string, waits array<string>, since array<bigint>", "invocation_id string, wait_key string, is_open boolean, created_at_ms bigint, waited_ms bigint", "append", keep_ms, timers)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
