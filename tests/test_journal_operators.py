@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import events as H
-from tracelake.operators import agent, audit, graph, ingest, pages, state, workflow
+from tracelake.operators import agent, audit, graph, ingest, pages, projection, state, workflow
 from tracelake.schemas import TABLES
 from tracelake.streaming import streams
 
@@ -99,6 +99,51 @@ def test_replay_and_its_errors(spark):
             assert r.error.startswith({"gap": "gap: expected 2, got 3", "none": "no_operations", "unknown": "no_snapshot"}[r.invocation_id])
 
 
+def test_references_are_followed_to_the_end(spark):
+    ref = lambda i: '{"$artifact":"%s"}' % i
+    chain = [(f"a{k}", f'{{"k":{k},"in":{ref(f"a{k + 1}")}}}') for k in range(12)] + [("a12", "[1]")]
+    artifacts = [*chain, ("x", f"[{ref('y')}]"), ("y", f"[{ref('x')}]"), ("behind", ref("x")), ("self", ref("self")), ("lacks", f"[{ref('gone')},{ref('a12')}]")]
+    rows = [(1, ref("a0")), (2, f"[{ref('x')}]"), (3, f"[{ref('lacks')},{ref('a12')},{ref('nowhere')}]"), (4, "7"), (5, None), (6, ref("behind"))]
+    out = {r.id: r for r in state.hydrate_artifacts(spark.createDataFrame(rows, "id int, v string"), "id", "v", spark.createDataFrame(artifacts, "id string, payload string")).collect()}
+    v, depth = json.loads(out[1].v), 0
+    while isinstance(v, dict):
+        assert v["k"] == depth
+        v, depth = v["in"], depth + 1
+    assert (v, depth, out[1].missing, out[1].cyclic) == ([1], 12, [], [])
+    assert out[2].cyclic == ["x"] and out[2].v == '[{"$cyclic":"x"}]' and out[6].cyclic == ["behind"]
+    assert out[3].missing == ["gone", "nowhere"] and out[3].v == '[[{"$missing":"gone"},[1]],[1],{"$missing":"nowhere"}]'
+    assert out[4].v == "7" and out[5].v is None and out[5].missing == []
+
+
+def test_null_states_and_equal_values(spark):
+    rows = [(None, '{"a":1}'), ('{"a":1}', None), (None, None), ('{"a":1}', '{"a":true}'), ("1", "true")]
+    out = spark.createDataFrame(rows, "a string, b string").select(state.diff_states("a", "b").alias("e"), state.changed_paths("a", "b").alias("p")).collect()
+    assert [json.loads(r.e) for r in out] == [[{"op": "replace", "path": [], "value": {"a": 1}}], [{"op": "replace", "path": [], "value": None}], [], [], []]
+    assert [r.p for r in out] == [["/"], ["/"], [], [], []]
+    contexts = spark.createDataFrame([("c", None, 0), ("d", "{}", 1)], "context_id string, data_json string, revision long")
+    writes = spark.createDataFrame([("c", 1, "a/b", None, 0, 1)], "context_id string, write_id int, path string, value string, base_revision long, revision long")
+    got = {r.context_id: (json.loads(r.data_json), r.revision) for r in state.merge_context_writes(contexts, writes).collect()}
+    assert got == {"c": ({"a": {"b": None}}, 1), "d": ({}, 1)}
+
+
+def test_latencies_of_skewed_groups(spark):
+    rng = random.Random(8)
+    groups = {"one": [5], "same": [7] * 400, "wide": [rng.randrange(10**9) for _ in range(1001)], "skew": [1] * 900 + [10**8] * 3, None: [1, 2, 4], "none": []}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("one", None)]
+    out = {r.g: r for r in audit.latency_stats(spark.createDataFrame(rows, "g string, v long"), "g", "v").collect()}
+    assert set(out) == {g for g, vs in groups.items() if vs}
+    for g, r in out.items():
+        vs, n = sorted(groups[g]), len(groups[g])
+        assert (r.runs, r.p95, r.median) == (n, vs[int((n - 1) * 0.95)], (vs[(n - 1) // 2] + vs[n // 2]) / 2)
+
+
+def test_results_quote_node_ids(spark):
+    executions = spark.createDataFrame([("i", n, f"x{k}", 1, "completed") for k, n in enumerate(['a"b', "c\\d"])], "invocation_id string, node_id string, execution_id string, ordinal long, state string")
+    outputs = spark.createDataFrame([("i", "x0", "1"), ("i", "x1", "[2]")], "invocation_id string, execution_id string, output_json string")
+    got = projection.invocation_results(executions, executions.select("node_id"), outputs).first().result_json
+    assert json.loads(got) == {"outputs": {'a"b': 1, "c\\d": [2]}}
+
+
 def test_views_of_tagged_values(spark):
     v = {"a": {"$type": "decimal", "value": "1.5"}, "b": {"$type": "tuple", "value": [{"$type": "set", "value": [1]}]}, "c": {"$type": "artifact", "value": {"id": 1}}}
     assert state.view(v) == {"a": "1.5", "b": [[1]], "c": {"$artifact": {"id": 1}}}
