@@ -213,7 +213,7 @@ def test_token_counts_cache(spark, docs, empty):
     stored = spark.read.parquet(cache).count()
     same([tuple(r) for r in token_counts.count_tokens(docs, model, cache).collect()], want)
     whole = spark.read.parquet(cache)
-    assert stored < whole.count() and whole.select("digest").distinct().count() == len({t or "" for _, t in pairs(docs)})
+    assert stored < whole.count() == whole.select("digest").distinct().count() == len({t or "" for _, t in pairs(docs)})  # each distinct text once
     before = whole.count()
     assert token_counts.count_tokens(docs, model, cache).count() == len(want) and spark.read.parquet(cache).count() == before  # nothing is encoded again
     assert token_counts.count_tokens(empty, model, new_path(spark, "cache")).count() == 0
@@ -221,7 +221,19 @@ def test_token_counts_cache(spark, docs, empty):
 
 def test_token_counts_beyond_a_broadcast(spark, docs, monkeypatch):
     monkeypatch.setattr(token_counts, "BROADCAST_DIGESTS", 0)
-    assert token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model"), new_path(spark, "cache")).filter("n_tokens IS NULL").count() == 0
+    import sentencepiece
+
+    model = tokenizer("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=model)
+    same([tuple(r) for r in token_counts.count_tokens(docs, model, new_path(spark, "cache")).collect()], [(i, len((t or "").encode()), len(lib.encode(t or ""))) for i, t in pairs(docs)])
+
+
+def test_op3_query_marks_long_texts(spark, docs, tmp_path):
+    from tracelake.llm.queries import op3_token_counts
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op3_token_counts(spark, str(tmp_path)).collect()
+    assert all(r.over_limit == (r.n_tokens > 4096) for r in rows) and {r.over_limit for r in rows} == {True, False}
 
 
 def bmp(width, height, depth, body, coding=0, between=b"", colours=0):

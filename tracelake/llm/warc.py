@@ -15,6 +15,8 @@ from .common import map_arrow, written
 EOL = "\r\n"
 #: Payloads of fewer bytes are never written as revisits.
 REVISIT_BYTES = 100
+#: Records of an archive at most; a reader takes an archive whole.
+FILE_RECORDS = 60_000
 #: Payload bytes of the record batches that a reader yields.
 YIELD_BYTES = 4 << 20
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes long, fields map<string,string>"
@@ -66,7 +68,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         }),
         _record("metadata", _id(F.lit("metadata"), F.col("page"), F.col("digest")), date, fields, "application/warc-fields", {"WARC-Target-URI": uri, "WARC-Concurrent-To": own}),
     )).alias("value"))
-    records.write.option("lineSep", EOL + EOL).option("compression", "gzip").text(path)
+    records.write.option("maxRecordsPerFile", FILE_RECORDS).option("lineSep", EOL + EOL).option("compression", "gzip").text(path)
 
 
 def _inflated(data: bytes) -> Iterator[bytes]:
