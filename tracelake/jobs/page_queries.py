@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest as I
 from ..operators import pages as G
 from ..operators import projection as P
-from ..sources.adapters import JOURNAL_SQL, invocations, numbered_events, runtime_events, sessions, workflow_versions
+from ..sources.adapters import CUSTOMER_VERSIONS_SQL, JOURNAL_SQL, customer_versions, invocations, numbered_events, runtime_events, sessions, workflow_versions
 from ..schemas import TABLES
 from ..sources.journal import load_journal, write_events
 from ..sources.scratch import shared_folder
@@ -51,14 +51,15 @@ def a4_append_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.append(*repeated_batch(spark, sf_dir))[2].select(*SLIM.split(", "))
 
 
-@query(f"""{WITH}, inc AS (SELECT id || 'x' AS id, workflow_id, definition_hash, created_at_ms + 7 AS created_at_ms, 'v2' AS ver FROM ve WHERE id <> 'v0' UNION ALL SELECT 'v9', 'wf9', 'h9', 5, 'v2')
-SELECT COALESCE(ve.id, inc.id) AS id, COALESCE(ve.workflow_id, inc.workflow_id) AS workflow_id, COALESCE(ve.definition_hash, inc.definition_hash) AS definition_hash, COALESCE(ver, '1') AS workflow_version, COALESCE(ve.created_at_ms, inc.created_at_ms) AS created_at_ms
-FROM ve FULL JOIN inc ON ve.workflow_id = inc.workflow_id AND ve.definition_hash = inc.definition_hash""")
+@query(f"""WITH {CUSTOMER_VERSIONS_SQL}, inc AS (SELECT id || 'x' AS id, workflow_id, definition_hash, created_at_ms + 7 AS created_at_ms, 'v2' AS ver FROM cv WHERE n%3 <> 0 UNION ALL SELECT id || 'n', workflow_id, 'n' || definition_hash, created_at_ms + 9, 'v2' FROM cv WHERE n%5 = 0)
+SELECT COALESCE(cv.id, inc.id) AS id, COALESCE(cv.workflow_id, inc.workflow_id) AS workflow_id, COALESCE(cv.definition_hash, inc.definition_hash) AS definition_hash, COALESCE(ver, '1') AS workflow_version, COALESCE(cv.created_at_ms, inc.created_at_ms) AS created_at_ms
+FROM cv FULL JOIN inc ON cv.workflow_id = inc.workflow_id AND cv.definition_hash = inc.definition_hash""")
 def a2_upsert_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = workflow_versions(spark, sf_dir)
-    newer = v.filter("id <> 'v0'").withColumn("id", F.concat("id", F.lit("x"))).withColumn("created_at_ms", F.col("created_at_ms") + 7).withColumn("workflow_version", F.lit("v2"))
-    extra = v.filter("id = 'v0'").withColumns({"id": F.lit("v9"), "workflow_id": F.lit("wf9"), "definition_hash": F.lit("h9"), "created_at_ms": F.lit(5).cast("long"), "workflow_version": F.lit("v2")})
-    return I.upsert_versions(v, newer.union(extra)).select("id", "workflow_id", "definition_hash", "workflow_version", "created_at_ms")
+    v = customer_versions(spark, sf_dir)
+    later = lambda rows, mark, ms: rows.withColumns({"id": F.concat("id", F.lit(mark)), "created_at_ms": F.col("created_at_ms") + ms, "workflow_version": F.lit("v2")}).drop("n")
+    newer = later(v.filter("n % 3 <> 0"), "x", 7)
+    extra = later(v.filter("n % 5 = 0").withColumn("definition_hash", F.concat(F.lit("n"), "definition_hash")), "n", 9)
+    return I.upsert_versions(v.drop("n"), newer.union(extra)).select("id", "workflow_id", "definition_hash", "workflow_version", "created_at_ms")
 
 
 def admitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -292,12 +293,12 @@ def f3_order_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.order_diagnostics(d, "p_brand").select(F.col("p_partkey").alias("id"), "rank")
 
 
-@query(f"{WITH}, l AS (SELECT id || 'l' AS id, workflow_id, definition_hash FROM ve WHERE id <> 'v1' UNION ALL SELECT 'live', 'wfL', 'hL'), d AS (SELECT id, workflow_id, definition_hash FROM ve WHERE id <> 'v3'), u AS (SELECT * FROM d UNION ALL SELECT * FROM l WHERE (workflow_id, definition_hash) NOT IN (SELECT (workflow_id, definition_hash) FROM d)) SELECT *, definition_hash IN ('h0', 'h2') AS registered FROM u")
+@query(f"WITH {CUSTOMER_VERSIONS_SQL}, l AS (SELECT id || 'l' AS id, workflow_id, definition_hash FROM cv WHERE n%3 <> 1 UNION ALL SELECT id || 'm', workflow_id, 'm' || definition_hash FROM cv WHERE n%5 = 0), d AS (SELECT id, workflow_id, definition_hash FROM cv WHERE n%4 <> 3), u AS (SELECT * FROM d UNION ALL SELECT * FROM l WHERE (workflow_id, definition_hash) NOT IN (SELECT (workflow_id, definition_hash) FROM d)) SELECT *, (workflow_id, definition_hash) IN (SELECT (workflow_id, definition_hash) FROM cv WHERE n%2 = 0) AS registered FROM u")
 def g1_version_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = workflow_versions(spark, sf_dir).select("id", "workflow_id", "definition_hash")
-    live = v.filter("id <> 'v1'").withColumn("id", F.concat("id", F.lit("l")))
-    extra = v.filter("id = 'v0'").select(F.lit("live").alias("id"), F.lit("wfL").alias("workflow_id"), F.lit("hL").alias("definition_hash"))
-    return G.version_directory(v.filter("id <> 'v3'"), v.filter(F.col("definition_hash").isin("h0", "h2")), live.union(extra)).select("id", "workflow_id", "definition_hash", "registered")
+    v = customer_versions(spark, sf_dir).select("id", "workflow_id", "definition_hash", "n")
+    live = v.filter("n % 3 <> 1").withColumn("id", F.concat("id", F.lit("l")))
+    extra = v.filter("n % 5 = 0").withColumns({"id": F.concat("id", F.lit("m")), "definition_hash": F.concat(F.lit("m"), "definition_hash")})
+    return G.version_directory(v.filter("n % 4 <> 3"), v.filter("n % 2 = 0"), live.union(extra)).select("id", "workflow_id", "definition_hash", "registered")
 
 
 @query(f"{WITH} SELECT DISTINCT invocation_id, instance_key FROM ev WHERE event_name = 'node.skipped' EXCEPT SELECT invocation_id, instance_key FROM ev WHERE event_name = 'node.skipped' AND sequence <= 5")

@@ -144,6 +144,18 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version for each customer, of 97 workflows (SQL: `cv`)."""
+    n = F.col("c_custkey").cast("long")
+    s = n.cast("string")
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("v"), s).alias("id"), F.concat(F.lit("wf"), (n % 97).cast("string")).alias("workflow_id"), F.lit("1").alias("workflow_version"), F.lit("ir1").alias("ir_version"),
+        F.lit("c1").alias("compiler_version"), F.concat(F.lit("h"), s).alias("definition_hash"), F.concat(F.lit('{"n":'), s, F.lit("}")).alias("definition_json"), (n * 1000).alias("created_at_ms"), n.alias("n"))
+
+
+CUSTOMER_VERSIONS_SQL = "cv AS (SELECT 'v' || c_custkey AS id, 'wf' || c_custkey%97 AS workflow_id, 'h' || c_custkey AS definition_hash, CAST(c_custkey AS BIGINT)*1000 AS created_at_ms, c_custkey AS n FROM customer)"
+
+
 def workflow_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A version for each nation key below 5."""
     n = F.col("n_nationkey").cast("long")
