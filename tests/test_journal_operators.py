@@ -190,6 +190,25 @@ def test_skips_stop_at_a_fan_in(spark):
     assert {r.node_id for r in graph.propagate_skips(edges, decisions, none).collect()} == set("bef")
 
 
+def test_strong_components_of_random_graphs(spark):
+    rng = random.Random(23)
+    nodes, edges, want = [], [], {}
+    for r in range(6):
+        n = rng.randrange(1, 15)
+        own = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(2 * n + 1))]
+        nodes += [(f"r{r}", f"n{i:02}") for i in range(n)]
+        edges += [(f"r{r}", f"n{a:02}", f"n{b:02}") for a, b in own]
+        reach = {i: {i} for i in range(n)}
+        for _ in range(n):
+            for a, b in own:
+                reach[a] |= reach[b]
+        for i in range(n):
+            mates = [j for j in range(n) if j in reach[i] and i in reach[j]]
+            want[f"r{r}", f"n{i:02}"] = (f"n{min(mates):02}", len(mates) > 1 or (i, i) in own)
+    out = graph.strong_components(spark.createDataFrame(nodes, "revision_id string, node_id string"), spark.createDataFrame(edges, "revision_id string, from string, to string")).collect()
+    assert {(r.revision_id, r.node_id): (r.component_id, r.is_cycle) for r in out} == want and len(out) == len(want)
+
+
 def test_loop_conflict(spark):
     loops = spark.createDataFrame([("l", "back", "back"), ("l", "exit", "exit")], "loop_id string, edge_id string, role string")
     d = spark.createDataFrame([("s1", "back", True), ("s1", "exit", True), ("s2", "back", True), ("s2", "exit", False), ("s3", "back", False), ("s3", "exit", False), ("s4", "back", True)], "scope_key string, edge_id string, selected boolean")
