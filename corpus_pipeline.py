@@ -18,8 +18,8 @@ from tracelake.llm.simhash import one_of_each
 
 #: Documents below this share of rank agreement with every language are rejected, whatever the labelled documents score.
 LEAST_SCORE = 0.05
-#: Word fingerprints of a document, for candidates; with six, nearly all pairs at a five-word similarity of 0.8 are candidates.
-WORD_PRINTS = 6
+#: Word fingerprints of a document, for candidates; with eight, nearly all pairs at a five-word similarity of 0.8 are candidates.
+WORD_PRINTS = 8
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
