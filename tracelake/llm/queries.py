@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import conversations, prefix_trie, word_bpe
 from .common import held_out, new_path, table
 from .decontam import leaks
 from .langid import identify, learn
@@ -81,9 +82,25 @@ def op10_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", size("text").alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), F.col(shard).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.digests(conversations.repair(damaged, times=F.col("times")))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokenizer("word_bpe_49k.json")
+    coded = word_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "ids")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return word_bpe.decode(coded, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.conversations(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_transactions, op2_benchmark_leaks, op3_token_counts, op4_media_tiles, op5_length_buckets, op6_subword_lattice, op7_simhash_components, op8_token_files, op9_language_profiles, op10_two_pass_shuffle)
+    for f in (op1_warc_transactions, op2_benchmark_leaks, op3_token_counts, op4_media_tiles, op5_length_buckets, op6_subword_lattice, op7_simhash_components, op8_token_files, op9_language_profiles, op10_two_pass_shuffle, op11_conversation_repair, op12_word_bpe, op13_prefix_trie)
 }
 
 ORACLE_SQL = {
