@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, text_chunks, unclashed
-from .token_chunks import PLACED, _Kept
+from .token_chunks import CACHE_CHARS, PLACED
 
+#: Chunks, and words, that one worker keeps at least; at most twice as many.
+KEPT = 150_000
 #: Symbols of a short word; the scans of longer ones would cost their square.
 SHORT = 64
 NO_RANK = 1 << 30
+NO_PAIR = NO_RANK << 8
 #: Chunks of these characters alone are their own normal form but for case; the marks among them are no letters or digits.
 LATIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]*")
 LATIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u017f0-9]+")
@@ -30,6 +34,25 @@ LATIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 FILE_STEPS = ["NFC", "Replace", "Lowercase"]
 _loaded: dict[str, WordBpe] = {}
+_tokens: dict[str, pa.Array] = {}
+
+
+class _Memo(dict):
+    """A bounded memo of `make` in two generations: what a full one held stays at hand until the next is full."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= KEPT:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class WordBpe:
@@ -49,21 +72,22 @@ class WordBpe:
         added = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.added = added
-        tokens = {i: t for t, i in [*self.ids.items(), *added.items()]}
-        self.tokens = pa.array([tokens.get(i, "") for i in range(max(tokens) + 1)], pa.string())
-        self.rank = {tuple(pair): r for r, pair in enumerate(model["merges"])}
-        self._tables()
+        merges = [tuple(pair) for pair in model["merges"]]
+        #: By the merged part: rank and length of the left part, in one number. Each part is made by one pair.
+        self.pair = {a + b: r << 8 | len(a) for r, (a, b) in enumerate(merges)}
+        if len(self.pair) < len(merges) or max(map(len, self.pair), default=0) > 255:
+            raise ValueError(f"{path}: two merges make one token, or a token is too long")
+        self._tables(merges)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = iter(range(256, 512))
         #: Bytes as the characters that the vocabulary writes for them: the printable ones stand for themselves.
         self.chars = {b: b if b in shown else next(hidden) for b in range(256)}
-        self.words = _Kept(lambda word: np.array(self.merge(word), "<i4").tobytes())
-        self.latin = _Kept(lambda word: self.words[word if word.isascii() else word.encode().decode("latin1").translate(self.chars)])
-        self.kept = _Kept(self._chunk)
+        self.words = _Memo(lambda word: array("i", self.merge(word)).tobytes())
+        self.kept = _Memo(self._chunk)
 
-    def _tables(self) -> None:
+    def _tables(self, merges: list[tuple[str, str]]) -> None:
         """Pairs of ids as sorted keys, with their ranks and results, for long words."""
-        pairs = np.array([[self.ids[a], self.ids[b], self.ids[a + b]] for a, b in self.rank], np.int64).reshape(-1, 3)
+        pairs = np.array([[self.ids[a], self.ids[b], self.ids[a + b]] for a, b in merges], np.int64).reshape(-1, 3)
         keys = pairs[:, 0] << 32 | pairs[:, 1]
         order = np.argsort(keys)
         self.keys, self.key_rank, self.result = keys[order], order.astype(np.int32), pairs[:, 2].astype(np.int32)
@@ -77,16 +101,21 @@ class WordBpe:
         boundary of the least rank goes, and the ranks beside it are looked up again."""
         if len(word) > SHORT:
             return self._merge_long(word)
-        s, rank = word + self.end, self.rank
+        s, get = word + self.end, self.pair.get
         bounds = [*range(len(word)), len(s)]
-        ranks = [rank.get((s[a:b], s[b:c]), NO_RANK) for a, b, c in zip(bounds, bounds[1:], bounds[2:])]
-        while ranks and (least := min(ranks)) < NO_RANK:
+
+        def rank(a: int, b: int, c: int) -> int:
+            pair = get(s[a:c], NO_PAIR)
+            return pair if pair & 255 == b - a else NO_PAIR
+
+        ranks = [*map(rank, bounds, bounds[1:], bounds[2:])]
+        while ranks and (least := min(ranks)) < NO_PAIR:
             i = ranks.index(least)
             del bounds[i + 1], ranks[i]
-            for k in (i - 1, i):
-                if 0 <= k < len(ranks):
-                    a, b, c = bounds[k : k + 3]
-                    ranks[k] = rank.get((s[a:b], s[b:c]), NO_RANK)
+            if i:
+                ranks[i - 1] = rank(*bounds[i - 1 : i + 2])
+            if i < len(ranks):
+                ranks[i] = rank(*bounds[i : i + 3])
         return [self.ids[s[a:b]] for a, b in zip(bounds, bounds[1:])]
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -120,7 +149,8 @@ class WordBpe:
     def _chunk(self, chunk: str) -> bytes:
         """Ids of text between spaces. Special strings are cut out before anything else."""
         if self.latin_holds and LATIN.fullmatch(chunk) and not (self.special and self.special.search(chunk)):
-            return b"".join(map(self.latin.__getitem__, LATIN_WORD.findall(chunk.lower())))
+            words = LATIN_WORD.findall(chunk.lower())
+            return b"".join([self.words[w if w.isascii() else w.encode().decode("latin1").translate(self.chars)] for w in words])
         out = []
         for part in self.special.split(chunk) if self.special else [chunk]:
             if part in self.added:
@@ -146,18 +176,28 @@ class WordBpe:
             parts.append(pool[np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
         return np.concatenate(parts), np.diff(before[first - first[0]])
 
-    def decode_all(self, ids: pa.ListArray) -> pa.Array:
-        """The tokens of each list, joined by spaces: the file names no decoder, so the library joins them so."""
-        offsets = ids.offsets
-        flat = ids.values.slice(offsets[0].as_py(), offsets[-1].as_py() - offsets[0].as_py())
-        lists = pa.LargeListArray.from_arrays(pc.subtract(offsets, offsets[0]).cast(pa.int64()), self.tokens.take(flat).cast(pa.large_string()))
-        return pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
-
     @staticmethod
     def of(path: str) -> WordBpe:
         return _loaded.get(path) or _loaded.setdefault(path, WordBpe(path))
 
 
+def token_texts(path: str) -> pa.Array:
+    """The token of each id, added ones included."""
+    if path not in _tokens:
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        texts = {i: t for t, i in file["model"]["vocab"].items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
+        _tokens[path] = pa.array([texts.get(i, "") for i in range(max(texts) + 1)], pa.large_string())
+    return _tokens[path]
+
+
+def decoded(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The tokens of each list, joined by spaces: the file names no decoder, so the library joins them so."""
+    lo, hi = ids.offsets[0].as_py(), ids.offsets[-1].as_py()
+    lists = pa.LargeListArray.from_arrays(pc.subtract(ids.offsets, lo).cast(pa.int64()), tokens.take(ids.values.slice(lo, hi - lo)))
+    return pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
+
+
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the column `ids` (array<int>): what the tokenizers library gives for the whole text without added special
     tokens, truncation or padding; special strings inside a text are one id each.
@@ -187,12 +227,12 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", text: str = "deco
     text = unclashed(rows, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordBpe.of(vocabulary)
+        tokens = token_texts(vocabulary)
         for batch in batches:
             at = batch.schema.get_field_index(ids)
             for lo in range(0, len(batch), 1024):
                 part = batch.slice(lo, 1024)
                 lists = pa.array(part.column(at).to_pylist(), pa.list_(pa.int32())) if part.column(at).null_count else part.column(at)
-                yield pa.RecordBatch.from_arrays([*part.columns, coder.decode_all(lists).fill_null("").cast(pa.string())], [*part.schema.names, text])
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded(lists, tokens).fill_null("").cast(pa.string())], [*part.schema.names, text])
 
     return rows.mapInArrow(run, rows.withColumn(text, F.lit(None).cast("string")).schema)
