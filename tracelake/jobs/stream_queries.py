@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.adapters import JOURNAL_SQL, invocations, runtime_events, user_events
-from ..sources.journal import load_events
+from ..schemas import TABLES
+from ..sources.adapters import JOURNAL_SQL, USER_EVENTS_SQL, invocations, runtime_events, sessions, user_events
 from ..sources.scratch import shared_folder
+from ..streaming import appends as A
+from ..streaming import live
 from ..streaming import streams as M
+from . import agent_queries, projection_queries  # noqa: F401  their SQL
 from .registry import ORACLE_SQL, query
 
 WITH = f"WITH {JOURNAL_SQL}"
@@ -62,9 +65,87 @@ def m2_live_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{WITH} SELECT id, invocation_id, sequence FROM ev")
 def m3_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return committed(spark, sf_dir).read("runtime_events").select("id", "invocation_id", "sequence")
+
+
+def committed(spark: SparkSession, sf_dir: str):
+    """The store that a stream of both journals, with repeats, has been committed to."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    e = runtime_events(spark, sf_dir).withColumn("state", F.when(F.col("event_name").startswith("invocation."), F.col("status"))).withColumn("error_json", F.when(F.col("event_name") == "invocation.failed", F.col("timing_json")))
+    own = A.items(e.union(e.filter("sequence % 4 = 0")))
+    own.repartition(4, F.xxhash64("id", F.lit(1))).write.parquet(f"{base}/items")
+    store = A.journal_store(spark, f"{base}/store")
+    A.admit(store, invocations(spark, sf_dir).withColumn("durable_sequence", F.lit(0).cast("long")).withColumn("state", F.lit("created")), sessions(spark, sf_dir))
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/items")
+    A.stream_commits(stream, store, f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return store
+
+
+@query(f"""{WITH}, t AS (SELECT invocation_id AS id, max(sequence) AS durable_sequence, max(ms) AS updated_at_ms, arg_max(struct_pack(s := status, q := t_queue, r := t_run, f := event_name = 'invocation.failed'), sequence) FILTER (event_name LIKE 'invocation.%') AS l FROM ev GROUP BY 1)
+SELECT id, COALESCE(l.s, 'created') AS state, durable_sequence, updated_at_ms, CASE WHEN l.f THEN '{{"queue":' || l.q || ',"run":' || l.r || '}}' END AS error_json FROM t""")
+def m3_stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return committed(spark, sf_dir).read("invocations").select("id", "state", "durable_sequence", "updated_at_ms", "error_json")
+
+
+@query(f"""{WITH}, {USER_EVENTS_SQL} SELECT journal, invocation_id, CAST(sequence AS BIGINT) AS sequence, verdict FROM (
+SELECT 'user_events' AS journal, invocation_id, sequence, CASE WHEN conv_id%7=0 THEN 'unknown' ELSE 'new' END AS verdict FROM ue
+UNION ALL SELECT 'user_events', invocation_id, sequence, CASE WHEN conv_id%7=0 THEN 'unknown' WHEN sequence%2=0 THEN 'duplicate' ELSE 'conflict' END FROM ue WHERE sequence%3=0)""")
+def m3_stream_user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User events in two commits, the second with repeats and contradictions of the first; some invocations aren't admitted."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    store, u = A.journal_store(spark, f"{base}/store"), user_events(spark, sf_dir)
+    none = runtime_events(spark, sf_dir).limit(0)
+    owners = u.select(F.col("invocation_id").alias("id")).distinct().filter(F.col("id").cast("long") % 7 != 0)
+    A.admit(store, owners.select(*[(F.col("id") if c == "id" else F.lit(None)).cast(t).alias(c) for c, t in (x.split() for x in TABLES["invocations"].split(", "))]), spark.createDataFrame([], TABLES["sessions"]))
+    A.commit_batch(store, A.items(none, u), 1)
+    again = u.filter("sequence % 3 = 0").withColumn("occurred_at_ms", F.col("occurred_at_ms") + F.col("sequence") % 2)
+    second = A.items(none, again)
+    A.commit_batch(store, second, 2)
+    key = ("journal", "invocation_id", "sequence")
+    new = store.read("user_events").select(F.lit("user_events").alias("journal"), *key[1:], F.lit("new").alias("verdict"))
+    told = [store.read(t).select(*key, F.lit(v).alias("verdict")) for t, v in (("conflicts", "conflict"), ("unknown", "unknown"))]
+    same = A.classify(store, second, store.manifest()).filter("verdict = 'duplicate'").select(*key, "verdict")
+    return new.union(told[0]).union(told[1]).union(same)
+
+
+def live_rows(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
     base, stream = journal(spark, sf_dir, repeats=True)
-    M.stream_append(stream, f"{base}/journal", f"{base}/conflicts", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return load_events(spark, f"{base}/journal").select("id", "invocation_id", "sequence")
+    return live.view(live.latest(ran(live.live_projection(stream, parts=(part,), timers=False), base, "update")), part)
+
+
+@query(ORACLE_SQL["d1_node_executions"])
+def m2_live_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_queries.with_code(live_rows(spark, sf_dir, "execution"), "error", "error_code").drop("timing_json")
+
+
+@query(ORACLE_SQL["d2_nodes"])
+def m2_live_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_queries.with_code(live_rows(spark, sf_dir, "node"), "latest_error", "latest_error_code").drop("latest_timing")
+
+
+@query(ORACLE_SQL["d3_edges"])
+def m2_live_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live_rows(spark, sf_dir, "edge")
+
+
+@query(ORACLE_SQL["d4_operator_rollup"])
+def m2_live_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live_rows(spark, sf_dir, "rollup")
+
+
+@query(ORACLE_SQL["d5_operator_states"])
+def m2_live_call_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live_rows(spark, sf_dir, "call_state")
+
+
+@query(ORACLE_SQL["d6_active_waits"])
+def m2_live_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live_rows(spark, sf_dir, "wait")
+
+
+@query(ORACLE_SQL["d8_latest_phase"])
+def m2_live_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live_rows(spark, sf_dir, "phase")
 
 
 @query(f"{WITH} SELECT id AS invocation_id, state, durable_sequence AS final_sequence FROM iv WHERE state IN ('completed', 'failed', 'cancelled', 'interrupted')")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from ..schemas import ACTIVE_INVOCATION, DELTA_TYPES, TERMINAL_NODE
 
 #: The fields that decide whether two events of one key are the same event.
-EVENT_FIELDS = ("schema_version", "event_type", "event_name", "subject_type", "subject_id", "occurred_at_ms", "elapsed_ns", "status", "timing_json", "payload_json", "input_json", "output_json", "operations_json", "id")
+EVENT_FIELDS = ("id", "schema_version", "event_type", "event_name", "subject_type", "subject_id", "occurred_at_ms", "elapsed_ns", "status", "timing_json", "payload_json", "input_json", "output_json", "operations_json")
 USER_EVENT_FIELDS = ("id", "session_id", "schema_version", "type", "data_json", "node_id", "workflow_path_json", "node_execution_id", "operator_call_id", "occurred_at_ms")
 
 
@@ -61,16 +59,24 @@ def append_artifacts(artifacts: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def fold_events(invocations: DataFrame, batch: DataFrame) -> DataFrame:
-    """Each invocation's state and times from its last event in the batch (invocation_id, sequence, state,
-    occurred_at_ms; a null state leaves the old one); the durable sequence never goes back."""
-    last = batch.groupBy("invocation_id").agg(F.max("sequence").alias("_seq"), F.max_by("state", F.when(F.col("state").isNotNull(), F.col("sequence"))).alias("_state"), F.max_by("occurred_at_ms", "sequence").alias("_at"))
+    """Each invocation's state, mode, result, error and times from its last event in the batch (invocation_id, sequence,
+    state, occurred_at_ms; execution_mode, result_json and error_json if the batch has them). A null state or mode leaves
+    the old one; result and error are the last event's, null or not, wherever it tells a state. The durable sequence
+    never goes back. Batches are taken in order, unless invocations has the column state_sequence: then an event older than
+    the one that told the stored state changes nothing, and batches may come in any order."""
+    told = F.when(F.col("state").isNotNull(), F.col("sequence"))
+    own = [c for c in ("result_json", "error_json") if c in batch.columns]
+    mode = [F.max_by("execution_mode", F.when(F.col("execution_mode").isNotNull(), F.col("sequence"))).alias("_execution_mode")] if "execution_mode" in batch.columns else []
+    last = batch.groupBy("invocation_id").agg(F.max("sequence").alias("_seq"), F.max_by(F.struct("state", *own, "sequence"), told).alias("_told"), F.max_by("occurred_at_ms", "sequence").alias("_at"), *mode)
     rows = invocations.join(last, invocations["id"] == last["invocation_id"], "left").drop("invocation_id")
-    return (
-        rows.withColumn("state", F.coalesce("_state", "state"))
-        .withColumn("durable_sequence", F.greatest("durable_sequence", "_seq"))
-        .withColumn("updated_at_ms", F.coalesce("_at", "updated_at_ms"))
-        .drop("_seq", "_state", "_at")
-    )
+    if "state_sequence" in invocations.columns:
+        newer = F.coalesce(F.col("_told.sequence") > F.coalesce("state_sequence", F.lit(0)), F.lit(False))
+        rows = rows.withColumn("_told", F.when(newer, F.col("_told"))).withColumn("_at", F.when(F.col("_seq") > F.col("durable_sequence"), F.col("_at")))
+    changed = {"state": F.coalesce("_told.state", "state"), "durable_sequence": F.greatest("durable_sequence", "_seq"), "updated_at_ms": F.coalesce("_at", "updated_at_ms")}
+    changed |= {c: F.when(F.col("_told").isNotNull(), F.col(f"_told.{c}")).otherwise(F.col(c)) for c in own}
+    changed |= {"state_sequence": F.coalesce("_told.sequence", "state_sequence")} if "state_sequence" in invocations.columns else {}
+    changed |= {"execution_mode": F.coalesce("_execution_mode", "execution_mode")} if mode else {}
+    return rows.withColumns(changed).select(*invocations.columns)
 
 
 def fold_sessions(sessions: DataFrame, invocations: DataFrame) -> DataFrame:

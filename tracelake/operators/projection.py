@@ -18,10 +18,15 @@ COUNTERS = ("operator_call_count", "failed_operator_call_count", "retry_count",
 def prepare(events: DataFrame, through: int | None = None) -> DataFrame:
     """Events with the parsed payload `p`, the derived node, execution, edge and call ids, and `branch`, the first
     projection rule that applies. Repeats of (invocation_id, sequence) are dropped; later ones than `through` too."""
-    name, p = F.col("event_name"), F.col("p")
     rows = events if through is None else events.filter(F.col("sequence") <= through)
     rows = rows.select("invocation_id", "sequence", "event_type", "event_name", "subject_id", "occurred_at_ms", "elapsed_ns", "status", "timing_json", "payload_json")
-    rows = rows.repartition("invocation_id").dropDuplicates(["invocation_id", "sequence"]).withColumn("p", F.from_json("payload_json", PAYLOAD)).drop("payload_json")
+    return derive(rows.repartition("invocation_id").dropDuplicates(["invocation_id", "sequence"]))
+
+
+def derive(rows: DataFrame) -> DataFrame:
+    """The columns that prepare() adds, for batches and streams."""
+    name, p = F.col("event_name"), F.col("p")
+    rows = rows.withColumn("p", F.from_json("payload_json", PAYLOAD)).drop("payload_json")
     branch = (
         F.when(name.startswith("invocation."), "invocation")
         .when(name.startswith("node."), "node")
