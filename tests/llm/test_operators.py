@@ -338,9 +338,14 @@ def test_pack(spark, docs, empty, monkeypatch):
     assert packing.pack(empty, words()).count() == 0
 
 
-def test_binned_rounds_up_by_little(spark):
-    got = spark.range(20001).withColumnRenamed("id", "n").select("n", packing.binned(F.col("n")).alias("b")).collect()
-    assert all(r.n <= r.b <= r.n * 1.001 + 1 for r in got) and all(r.n == r.b for r in got if r.n <= 2048)
+def test_pack_is_optimal_for_long_lengths(spark):
+    rng = random.Random(12)
+    sizes = sorted(rng.randint(2_000, 9_000) for _ in range(30))
+    rows = packing.pack(spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n long"), F.col("n"), budget=20_000, buckets=3).collect()
+    distinct = sorted({*sizes})
+    best = min(sum(min(b for b in (*cut, distinct[-1]) if b >= n) for n in sizes) for cut in itertools.combinations(distinct[:-1], 2))
+    assert sum(r.padded_tokens for r in rows) == best and {r.padded_tokens for r in rows} <= {*sizes}
+
 
 
 @pytest.mark.parametrize("few", [0, 40, 10_000])
@@ -691,3 +696,40 @@ def test_offsets(spark):
     assert all(r.start == sum(i % 5 for i in range(r.k)) for r in rows)
     rows = offsets(counts, "k", "n", within="g", block=16).collect()
     assert all(r.start == sum(i % 5 for i in range(r.k) if i % 2 == r.k % 2) for r in rows)
+
+
+def test_leaks_compare_bytes(spark, monkeypatch):
+    """Words whose hashes are made equal are told apart by their bytes, in long texts too."""
+    item = "the quick brown fox jumps over a lazy dog today and then sleeps for hours"
+    other = item.replace("brown", "brawn").replace("lazy", "hazy").replace("jumps", "dumps").replace("sleeps", "sweeps").replace("hours", "tours")
+    docs = spark.createDataFrame([(1, item), (2, other), (3, other + " " + item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {(r.doc_id, r.distance) for r in decontam.leaks(docs, bench).collect()} == {(1, 0), (3, 0)}
+    plain = decontam.word_hashes
+    same = {int(plain(np.frombuffer(b.encode(), np.uint8), np.array([0, 5]))[0][0]): int(plain(np.frombuffer(a.encode(), np.uint8), np.array([0, 5]))[0][0]) for a, b in (("brown", "brawn"), ("jumps", "dumps"), ("hours", "tours"))}
+
+    def colliding(data, off):
+        hashes, where = plain(data, off)
+        return np.array([same.get(int(h), int(h)) for h in hashes], np.uint64), where
+
+    data, off = np.frombuffer(other.encode(), np.uint8), np.array([0, len(other)])
+    monkeypatch.setattr(decontam, "word_hashes", colliding)
+    own = colliding(np.frombuffer(item.encode(), np.uint8), np.array([0, len(item)]))[0][:-1]
+    items = decontam.Items.of([7], [own], 0.8, [item.encode()])
+    found = decontam.search_text(items, items.filters(), data, off)
+    assert [(i, d) for _, i, d, _ in found] == [(0, 2)]
+    starts = decontam.word_starts(data, off)[3]
+    assert decontam.exactly(items, data, starts, 0, found[0][2], found[0][3]) is None
+    both = np.frombuffer(f"{other} {item}".encode(), np.uint8)
+    assert decontam.exactly(items, both, decontam.word_starts(both, np.array([0, len(both)]))[3], 0, 2, 15) == (0, 30)
+
+
+def test_pieces_cut_no_word():
+    for text in ("漢字かな" * 400_000, "слово" * 300_000 + " " + "и" * 900_000, "ab " * 900_000, "x" * 3_000_000):
+        data = np.frombuffer(text.encode(), np.uint8)
+        cut = list(decontam.pieces(data))
+        assert cut[0][0] == 0 and cut[-1][1] == len(data) and all(a[1] == b[0] for a, b in itertools.pairwise(cut))
+        whole = decontam.word_hashes(data, np.array([0, len(data)]))[0][:-1]
+        parts = np.concatenate([decontam.word_hashes(data[a:b], np.array([0, b - a]))[0][:-1] for a, b in cut])
+        assert (whole == parts).all()
+        assert len(cut) > 1 or text[0] == "x"

@@ -63,9 +63,9 @@ def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lead, size, np.where(code < len(_kinds), _kinds[np.minimum(code, len(_kinds) - 1)], 0)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets): 64-bit hashes of the words of texts that lie end to end. A zero follows each text's words."""
-    n = len(off) - 1
+def word_starts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(norm, inside, start, starts) of texts that lie end to end: their bytes in lower case, zero outside words; whether a
+    byte is in a word; whether one begins there; and where words begin."""
     norm = _word_bytes[data]
     lead, size, kind = characters(data)
     for k in range(4):
@@ -79,7 +79,20 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     start[after] = inside[after]
     heads = off[:-1][np.diff(off) > 0]
     start[heads] = inside[heads]
-    starts = np.flatnonzero(start)
+    return norm, inside, start, np.flatnonzero(start)
+
+
+def words_at(data: np.ndarray, starts: np.ndarray, lo: int, hi: int) -> list[bytes]:
+    """The words lo to hi of a text, as normalised bytes."""
+    begin, end = int(starts[lo]), int(starts[hi]) if hi < len(starts) else len(data)
+    norm, _, _, own = word_starts(data[begin:end], np.array([0, end - begin]))
+    return [norm[a:b].tobytes().rstrip(b"\0") for a, b in zip(own, [*own[1:], end - begin])]
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): 64-bit hashes of the words of texts that lie end to end. A zero follows each text's words."""
+    n = len(off) - 1
+    norm, inside, start, starts = word_starts(data, off)
     power = np.cumprod(np.full(4096, _odd))
     hashes = np.zeros(len(starts), np.uint64)
     if len(starts):
@@ -177,10 +190,11 @@ class Items:
     most: list[int]  # largest accepted edit distance
     #: By length of the runs, or by (size, repeat) of the walks: keys in order, item, place in the item.
     tables: dict[int | tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    texts: list[bytes] = ()
 
     @staticmethod
-    def of(ids: list, words: list[np.ndarray], similarity: float) -> Items:
-        items, rows = Items(ids, words, [int((1 - similarity) * len(w) + 1e-9) for w in words], {}), {}
+    def of(ids: list, words: list[np.ndarray], similarity: float, texts: list[bytes] = ()) -> Items:
+        items, rows = Items(ids, words, [int((1 - similarity) * len(w) + 1e-9) for w in words], {}, texts), {}
         for i, w in enumerate(words):
             for start, length in cuts(len(w), items.most[i]) if 0 < len(w) < SHORT else ():
                 rows.setdefault(length, []).append((int(runs(w[start : start + length], length)[0]), i, start))
@@ -299,18 +313,48 @@ def matches(items: Items, filters: dict, hashes: np.ndarray, off: np.ndarray) ->
     return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
 
+def pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about SEARCHED_BYTES of a text that cut no word: they end at an ASCII break, or else at a character that ends
+    words or is a word of its own; a word longer than that is never cut."""
+    lo = 0
+    while lo < len(data):
+        hi, at = len(data), lo + SEARCHED_BYTES
+        while at < len(data):
+            window = data[at : at + SEARCHED_BYTES]
+            breaks = np.flatnonzero(_word_bytes[window] == 0)
+            if not len(breaks):
+                lead, _, kind = characters(window)
+                breaks = lead[kind > 0]
+            if len(breaks):
+                hi = at + int(breaks[0])
+                break
+            at += SEARCHED_BYTES
+        yield lo, hi
+        lo = hi
+
+
+def exactly(items: Items, data: np.ndarray, starts: np.ndarray, item: int, distance: int, end: int) -> tuple[int, int] | None:
+    """(distance, end) of a match by the words' bytes: that of the hashes if all equal hashes are equal words, or else the
+    best one of the whole text, if there is one."""
+    most, code = items.most[item], {}
+    own = np.frombuffer(items.texts[item], np.uint8)
+    begins = word_starts(own, np.array([0, len(own)]))[3]
+    coded = lambda words: np.array([code.setdefault(w, len(code)) for w in words], np.int64)
+    a = coded(words_at(own, begins, 0, len(begins))) if len(begins) else np.zeros(0, np.int64)
+    lo = max(0, end - len(a) - most)
+    found = edit_span(a, coded(words_at(data, starts, lo, end)), most) if end > lo else None
+    if found and found[0] <= distance:
+        return distance, end
+    found = edit_span(a, coded(words_at(data, starts, 0, len(starts))), most) if len(starts) else None
+    return found
+
+
 def search_text(items: Items, filters: dict, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
     """matches() of texts that lie end to end. A text above SEARCHED_BYTES is hashed and searched piece by piece: pieces of
     the text end at ASCII breaks, and pieces of its words overlap by more than any match and its slack."""
     if len(off) != 2 or len(data) <= 2 * SEARCHED_BYTES:
         return matches(items, filters, *word_hashes(data, off))
-    parts, lo = [], 0
-    while lo < len(data):
-        breaks = np.flatnonzero(_word_bytes[data[lo + SEARCHED_BYTES : lo + 2 * SEARCHED_BYTES]] == 0)
-        hi = lo + SEARCHED_BYTES + int(breaks[0]) if len(breaks) else len(data)
-        parts.append(word_hashes(data[lo:hi], np.array([0, hi - lo]))[0][:-1])
-        lo = hi
-    words = np.concatenate(parts)
+    words = np.concatenate([word_hashes(data[lo:hi], np.array([0, hi - lo]))[0][:-1] for lo, hi in pieces(data)])
     room = max((len(w) + 4 * max(4, m) + 4 for w, m in zip(items.words, items.most, strict=True)), default=0)
     step, best = max(SEARCHED_BYTES // 6, 4 * room), {}
     for lo in range(0, max(1, len(words) - room), step):
@@ -324,8 +368,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col
     """(id, item_id, distance, item_words, end_word): a row for each document row and benchmark item of which it holds a
     passage within an edit distance of (1 - similarity) of the item's words.
 
-    Documents are read in place and nothing is shuffled. Each hit of a hash is verified exactly, so there are no false
-    rows; an exact copy is found by every walk, and of the passages at the limit of similarity the share that REPEATS
+    Documents are read in place and nothing is shuffled. Each match of the hashes is verified by the words' bytes, so there
+    are no false rows; an exact copy is found by every walk, and of the passages at the limit of similarity the share that REPEATS
     tells. The benchmark is the query set: its items go to the tasks WORDS_A_PASS words at a time, and each such block
     takes a pass over the documents. With several blocks each is written and its broadcast is dropped before the next.
 
@@ -338,8 +382,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col
     schema = f"id {id_type}, item_id {item_type}, distance int, item_words int, end_word int"
     kind = benchmark.select(item_id).limit(0).toArrow().schema.field(0).type
 
-    def search(ids: list, words: list[np.ndarray]) -> tuple[DataFrame, Broadcast]:
-        shared = docs.sparkSession.sparkContext.broadcast(Items.of(ids, words, similarity))
+    def search(ids: list, words: list[np.ndarray], texts: list[bytes]) -> tuple[DataFrame, Broadcast]:
+        shared = docs.sparkSession.sparkContext.broadcast(Items.of(ids, words, similarity, texts))
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
@@ -347,7 +391,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col
                 return
             for whole in batches:
                 for batch, data, off in text_chunks(whole, "text", SEARCHED_BYTES):
-                    found = search_text(items, filters, data, off)
+                    found, starts = [], {}
+                    for d, i, distance, end in search_text(items, filters, data, off):
+                        own = data[off[d] : off[d + 1]]
+                        if d not in starts:
+                            starts = {d: np.concatenate([lo + word_starts(own[lo:hi], np.array([0, hi - lo]))[3] for lo, hi in pieces(own)])}
+                        if exact := exactly(items, own, starts[d], i, distance, end):
+                            found.append((d, i, *exact))
                     if found:
                         doc, item, distance, end = zip(*found, strict=True)
                         of = batch.column("id").take(pa.array(doc))
@@ -356,17 +406,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col
 
         return rows.mapInArrow(each, schema), shared
 
-    out, ids, words, held = [], [], [], 0
+    out, ids, words, texts, held = [], [], [], [], 0
     for row in benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).toLocalIterator():
         data = np.frombuffer((row["t"] or "").encode(), np.uint8)
         own = word_hashes(data, np.array([0, len(data)]))[0][:-1]
         if ids and held + len(own) > WORDS_A_PASS:
-            found, shared = search(ids, words)
+            found, shared = search(ids, words, texts)
             out.append(written(found, "leaks"))
             shared.destroy()
-            ids, words, held = [], [], 0
+            ids, words, texts, held = [], [], [], 0
         ids.append(row["i"])
         words.append(own)
+        texts.append(data.tobytes())
         held += len(own)
-    out.append(search(ids, words)[0])
+    out.append(search(ids, words, texts)[0])
     return reduce(DataFrame.union, out).withColumnsRenamed({"id": id_col, "item_id": item_id if item_id != id_col else f"item_{item_id}"})

@@ -13,13 +13,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, written
+from .common import mix64, text_chunks, written
 
 LOG10 = float(np.log(10))
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 200_000
+#: Bytes of text after which it does so at the latest.
+COUNTED_BYTES = 1 << 26
 #: Most frequent words that documents look up without a shuffle; all other words are joined.
 HEAD = 100_000
+#: Bytes of such a word at most, so that their table is bounded by bytes too.
+HEAD_BYTES = 64
+#: Text bytes whose words are looked up at once.
+LOOKED_UP = 1 << 21
 #: Factors of the vocabulary's scores that are tried on the training words; the likeliest is taken.
 SCALES = (0.8, 1.0, 1.25)
 #: Words of one length below which each is scored by itself and not beside the others.
@@ -202,6 +208,7 @@ def word_counts(docs: DataFrame, train: Column, text_col: str) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Counter[bytes] = Counter()
         other: set[bytes] = set()
+        held = 0
 
         def out() -> pa.RecordBatch:
             rest = other - known.keys()
@@ -212,9 +219,12 @@ def word_counts(docs: DataFrame, train: Column, text_col: str) -> DataFrame:
 
         for b in batches:
             for text, learn in zip(b.column("text").cast(pa.binary()), b.column("train").to_pylist(), strict=True):
-                (known if learn else other).update(words_of(text.as_py()))
-                if len(known) + len(other) >= COUNTED:
+                text = text.as_py() or b""
+                (known if learn else other).update(words_of(text))
+                held += len(text)
+                if len(known) + len(other) >= COUNTED or held >= COUNTED_BYTES:
                     yield out()
+                    held = 0
         yield out()
 
     rows = docs.select(F.col(text_col).alias("text"), train.alias("train"))
@@ -250,7 +260,7 @@ def score(docs: DataFrame, train: Column, model: str, id_col: str = "doc_id", te
     `score` is log10 of the probability that a source of independent pieces and an end makes the text's words, summed
     over all segmentations: pieces never cross a space, so it is the sum over words, each by a forward recursion in log
     space. The pieces' weights are the vocabulary's own scores; the training rows give their scale and the end (see fit). `base_score` is the add-half word unigram of the same training rows. Counts, vocabulary and lattice scores
-    are tables over all distinct words; a document's words among the `head` most frequent (a bounded broadcast) are
+    are tables over all distinct words; a document's words among the `head` most frequent of up to HEAD_BYTES (a bounded broadcast) are
     added up where it is read, and all its others are joined to the table.
 
     Words: A to Z in lower case, split at space and bytes 9 to 13; one end is added and counted as a token. Null and
@@ -273,7 +283,7 @@ def score(docs: DataFrame, train: Column, model: str, id_col: str = "doc_id", te
             yield pa.record_batch([b.column("word"), b.column("c"), pa.array(base(c)), pa.array(lattice.word_logp(b.column("word").to_pylist(), count=False)[0][0] / LOG10)], ["word", "c", "base", "lp"])
 
     words = written(counts.mapInArrow(each, "word binary, c long, base double, lp double"), "scores")
-    top = words.orderBy(F.desc("c"), "word").limit(head).toArrow()
+    top = words.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head).toArrow()
     known = {w: (int(c > 0), b, p) for w, c, b, p in zip(*(top.column(x).to_pylist() for x in ("word", "c", "base", "lp")), strict=True)}
     common = spark.sparkContext.broadcast(known)
     end_base, end_lp = float(base(ends)), log_end / LOG10
@@ -282,8 +292,7 @@ def score(docs: DataFrame, train: Column, model: str, id_col: str = "doc_id", te
         """One row of each document, with word null, and one for each of its words that isn't common."""
         table, row = common.value, TaskContext.get().partitionId() << 33
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for part, _, _ in text_chunks(b, "text", LOOKED_UP):
                 index, word, times, tokens, seen, bases, scores = [], [], [], [], [], [], []
                 for i, text in enumerate(part.column("text").cast(pa.binary())):
                     all_words = words_of(text.as_py())

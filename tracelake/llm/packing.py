@@ -11,19 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import offsets, unclashed, written
 
-#: Lengths are kept exactly up to this many, and to this many steps an octave above; so the histogram is bounded.
-STEPS = 1024
 #: Rows of a group that one task orders, on average.
 GROUP_ROWS = 20_000
 
 
-def binned(length: Column) -> Column:
-    """The length, rounded up to STEPS steps an octave: exact below 2 * STEPS, within 0.1 % above."""
-    shift = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - int(math.log2(STEPS)))
-    step = F.expr("1L").cast("long") * F.pow(F.lit(2.0), shift).cast("long")
-    return (F.ceil(length / step) * step).cast("long")
-
-
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most `buckets` runs of the sorted distinct lengths, so that padding each row to its bound
     wastes the fewest tokens.
@@ -62,8 +53,9 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
 def pack(docs: DataFrame, length: Column, budget: int = 16_384, buckets: int = 16, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """Length buckets and batches of padded rows that hold at most `budget` tokens.
 
-    The global histogram of lengths (bounded, see STEPS) goes to the driver, where dynamic programming chooses the
-    bounds. Inside a bucket rows are ordered by groups of a seeded hash of the id; a group's first place is the number
+    The exact global histogram of lengths goes to the driver, where dynamic programming chooses the bounds. n distinct
+    lengths need n * n / 2 tokens at least, so 10 ** 13 tokens have 4.5 million of them at most (16 bytes each). Inside
+    a bucket rows are ordered by groups of a seeded hash of the row; a group's first place is the number
     of rows in the groups before it, so no task orders a whole bucket, and batches run on from group to group. Each batch
     has budget // bound rows, at least one: a longer document is a batch of its own, marked `over_budget`.
 
@@ -73,14 +65,15 @@ def pack(docs: DataFrame, length: Column, budget: int = 16_384, buckets: int = 1
     """
     keep = [id_col] if keep is None else keep
     names = [unclashed(docs.select(*keep), n) for n in ("n_tokens", "bucket", "padded_tokens", "batch", "slot", "over_budget")]
-    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(length, F.lit(0)).cast("long").alias("n"), F.xxhash64(F.lit(5), F.col(id_col)).alias("h"))
-    rows = written(rows, "lengths").withColumn("bin", binned(F.col("n")))
-    histogram = rows.groupBy("bin").agg(F.count("*").alias("c")).orderBy("bin").toArrow()
-    lengths, counts = histogram.column("bin").to_numpy(), histogram.column("c").to_numpy()
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(length, F.lit(0)).cast("long").alias("n"), F.xxhash64(F.lit(5), *hashed).alias("h"))
+    rows = written(rows, "lengths")
+    histogram = rows.groupBy("n").agg(F.count("*").alias("c")).orderBy("n").toArrow()
+    lengths, counts = histogram.column("n").to_numpy(), histogram.column("c").to_numpy()
     bounds = best_bounds(lengths, counts, buckets) or [0]
     groups = max(1, math.ceil(int(counts.sum()) / GROUP_ROWS))
     bound = F.array(*[F.lit(b).cast("long") for b in bounds])
-    rows = rows.withColumn("bucket", F.size(F.filter(bound, lambda b: b < F.col("bin"))).cast("long")).withColumn("padded", F.element_at(bound, (F.col("bucket") + 1).cast("int")))
+    rows = rows.withColumn("bucket", F.size(F.filter(bound, lambda b: b < F.col("n"))).cast("long")).withColumn("padded", F.element_at(bound, (F.col("bucket") + 1).cast("int")))
     rows = rows.withColumn("g", F.pmod("h", F.lit(groups)))
     sizes = rows.groupBy("bucket", "g").agg(F.count("*").alias("c"))
     starts = offsets(sizes, "g", "c", within="bucket").select("bucket", "g", "start")

@@ -18,6 +18,8 @@ BUCKET = 4096
 #: Texts and shingles of a block; a task compares two blocks of a candidate group. Larger groups have more blocks.
 BLOCK_TEXTS = 512
 BLOCK_SHINGLES = 1 << 19
+#: Texts of a large group that each of its blocks meets before pairs of blocks do.
+LEADERS = 8
 
 
 def simhash(words: list[bytes], width: int) -> int:
@@ -273,10 +275,10 @@ def _verified(docs: DataFrame, similarity: float, width: int, prints: int, radiu
     texts = texts.join(suspects, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))).select("node", "group", "text")
     held = written(map_arrow(texts, sets, "node long, group long, size long, shingles array<long>").dropDuplicates(["node"]), "shingles")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    dealt = held.join(written(held.groupBy("group").agg(F.greatest(blocks, F.lit(1)).alias("blocks")), "blocks"), "group")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+    leaders = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(LEADERS)]))
+    groups = written(held.groupBy("group").agg(F.greatest(blocks, F.lit(1)).alias("blocks"), leaders.alias("leaders")), "blocks")
+    dealt = held.join(groups, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
 
     def verified(t: pa.Table) -> pa.Table:
         node = t.column("node").to_numpy()
@@ -284,7 +286,16 @@ def _verified(docs: DataFrame, similarity: float, width: int, prints: int, radiu
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": node[linked], "b": node[label[linked]]})
 
-    links = written(dealt.groupBy("group", "i", "j").applyInArrow(verified, "a long, b long"), "verified")
+    # Each block with the group's leaders first: that links a class of near copies as a whole, with each text sent once.
+    first = dealt.withColumn("i", F.explode(F.when(F.array_contains("leaders", F.col("node")), every).otherwise(F.array("own"))))
+    links = written(first.select("group", "i", "node", "shingles").groupBy("group", "i").applyInArrow(verified, "a long, b long"), "verified")
+    so_far = written(components(links), "roots").withColumnRenamed("root", "_root")
+    apart = held.select("group", "node").join(so_far, "node", "left").groupBy("group").agg((F.min(F.coalesce("_root", "node")) < F.max(F.coalesce("_root", "node"))).alias("apart")).filter("apart")
+    open_ = written(apart.join(groups.filter("blocks > 1"), "group").select("group"), "open")
+    if not open_.isEmpty():  # what is left in several parts meets in all pairs of blocks
+        rest = dealt.join(open_, "group").withColumn("other", F.explode(F.filter(every, lambda k: k != F.col("own"))))
+        rest = rest.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+        links = links.union(written(rest.groupBy("group", "i", "j").applyInArrow(verified, "a long, b long"), "verified"))
     roots = written(components(links), "roots").withColumnRenamed("root", "_root")
     rooted = written(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("_root", "node").alias("root")), "rooted")
     lowest = written(rooted.groupBy("root").agg(F.min("first").alias("low")), "lowest")
@@ -297,8 +308,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, prints
 
     The groups of near word fingerprints (see near_duplicates) are only candidates: every pair of texts inside such a
     group is compared by its shingles, and what agrees less is no link. Equal words are one node, so copies are compared
-    once. A group above BLOCK_TEXTS or BLOCK_SHINGLES is dealt into blocks, and each pair of blocks is a task's group,
-    so a large group spreads over tasks and no pair is left out. Rows without words are copies of each other. Rows with
+    once. A group above BLOCK_TEXTS or BLOCK_SHINGLES is dealt into blocks, each a task's group, and LEADERS of its
+    texts meet all of them; that joins a class of near copies, however large, with each text sent once. Where a group is
+    in several parts then, each pair of its blocks is compared, so no link is left out. Rows without words are copies of each other. Rows with
     null ids are compared like others; a class of null ids only has a null component_id.
     """
     rows, classes = _verified(docs, similarity, width, prints, radius, id_col, text_col)
