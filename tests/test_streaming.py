@@ -12,7 +12,7 @@ from tracelake.schemas import TABLES
 from tracelake.sources.adapters import invocations, runtime_events, sessions
 from tracelake.sources import store as store_module
 from tracelake.sources.store import TableStore
-from tracelake.streaming import appends, live
+from tracelake.streaming import appends, health, live, streams
 
 DATA = "/root/testdata/sf0.001"
 EVENT = TABLES["runtime_events"] + ", " + appends.FOLD
@@ -149,3 +149,55 @@ def test_live_projection_from_a_cursor(spark, tmp_path):
     cursors = spark.createDataFrame([("b", None, None, 6, None)], live.TOLD)
     rows = live.latest(ran(live.live_projection(streamed(spark, f"{tmp_path}/in", files=1), cursors, ("invocation",), timers=False), f"{tmp_path}/o", "update"))
     assert {r.invocation_id: (r.state, r.through_sequence) for r in live.view(rows, "invocation").collect()} == {"a": ("completed", 2), "b": ("failed", 9)}
+
+
+def run_health(spark, path, name, **k):
+    s = lambda table, schema: spark.readStream.schema(schema).parquet(f"{path}/{table}/*")
+    stream = health.journal_health(s("r", TABLES["runtime_events"]), s("u", TABLES["user_events"]), s("m", health.MARKS), timeout_ms=0, **k)
+    return ran(stream, f"{path}/{name}", "update")
+
+
+def test_two_journals_and_marks(spark, tmp_path):
+    plain = [c.split()[0] for c in TABLES["runtime_events"].split(", ")]
+    put = lambda n, rows, users, marks: [df.coalesce(1).write.parquet(f"{tmp_path}/{t}/{n}") for t, df in (("r", events(spark, rows).select(plain)), ("u", user_events(spark, users)), ("m", spark.createDataFrame(marks, health.MARKS)))]
+    told = lambda: [(r.invocation_id, r.journal, r.status, r.expected, r.got) for r in run_health(spark, tmp_path, "o", timers=False).orderBy("batch_id", "told").collect()]
+    put(1, [event("a", 1, "invocation.completed"), event("b", 2), event("c", 1)], [("a", 3, "x"), ("a", 9, "x"), ("b", 1, "x")], [("a", "user", "degraded", 0, 5), ("c", "runtime", "durable", 1, 5)])
+    want = [("a", "user", "degraded", None, None), ("b", "runtime", "degraded", 1, 2)]
+    assert sorted(told()) == want  # a is terminal, but its runtime journal isn't settled
+    put(2, [event("b", 1), event("c", 2, "invocation.failed"), event("b", 2)], [], [("a", "runtime", "durable", 0, 6), ("a", "runtime", "durable", 1, 7)])
+    more = [("a", "runtime", "ended", 1, None), ("b", "runtime", "healthy", None, None)]
+    assert sorted(told()) == sorted(want + more)  # c is durable up to event 1 only
+    put(3, [event("a", 1, "invocation.completed"), event("a", 7), event("b", 1)], [("a", 3, "x")], [("c", "runtime", "memory_only", 0, 9), ("a", "runtime", "unserializable", 0, 9)])
+    assert sorted(told()) == sorted([*want, *more, ("c", "runtime", "ended", 2, None)])
+
+
+def test_a_repeat_after_expiry_raises_no_alarm(spark, tmp_path):
+    """The state of an ended invocation has shrunk to its last sequence when a repeat of its second event comes."""
+    import time
+
+    plain = [c.split()[0] for c in TABLES["runtime_events"].split(", ")]
+    put = lambda n, rows: events(spark, rows).select(plain).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    put(1, [event("a", 1), event("a", 2, "invocation.completed")])
+    s = lambda: spark.readStream.schema(TABLES["runtime_events"]).parquet(f"{tmp_path}/in/*")
+    made = {"gaps": streams.detect_gaps(s(), timeout_ms=0, keep_ms=1), "live": live.live_projection(s(), keep_ms=1, parts=("invocation", "execution"))}
+    running = [df.writeStream.outputMode("update").foreachBatch(lambda b, n, name=name: b.write.mode("overwrite").parquet(f"{tmp_path}/{name}/batch_id={n}")).option("checkpointLocation", f"{tmp_path}/ck{name}").trigger(processingTime="500 milliseconds").start() for name, df in made.items()]
+    seen = lambda q: sum(p.numInputRows for p in q.recentProgress)
+
+    def wait(n):
+        end = time.time() + 60
+        while min(map(seen, running)) < n and time.time() < end:
+            time.sleep(0.3)
+
+    try:
+        wait(2)
+        for n, rows in ((2, [event("z", 1)]), (3, [event("z", 2)]), (4, [event("a", 2, "invocation.completed")])):
+            time.sleep(2)  # timers of the end fire meanwhile
+            put(n, rows)
+            wait(n + 1)
+        time.sleep(1)
+    finally:
+        for q in running:
+            q.stop()
+    assert spark.read.schema("invocation_id string, status string").parquet(f"{tmp_path}/gaps").filter("invocation_id = 'a'").count() == 0
+    rows = spark.read.schema(live.TOLD).parquet(f"{tmp_path}/live")
+    assert {(r.invocation_id, r.through_sequence) for r in rows.filter("part = 'invocation'").collect()} >= {("a", 2), ("z", 2)} and rows.filter("invocation_id = 'a' AND part = 'invocation'").count() <= 2

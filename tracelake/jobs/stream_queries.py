@@ -12,7 +12,7 @@ from ..schemas import TABLES
 from ..sources.adapters import JOURNAL_SQL, USER_EVENTS_SQL, invocations, runtime_events, sessions, user_events
 from ..sources.scratch import shared_folder
 from ..streaming import appends as A
-from ..streaming import live
+from ..streaming import health, live
 from ..streaming import streams as M
 from . import agent_queries, projection_queries  # noqa: F401  their SQL
 from .registry import ORACLE_SQL, query
@@ -164,6 +164,42 @@ def m5_detect_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_batch(out, "invocation_id").filter("status = 'degraded'")
 
 
+def healthy(spark: SparkSession, sf_dir: str, events: DataFrame, marks: DataFrame) -> DataFrame:
+    """What three streams tell of invocations: events, the even ones once more as user events, and marks."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events.repartition(4, F.xxhash64("id", F.lit(1))).write.parquet(f"{base}/runtime")
+    u = events.filter("sequence % 2 = 0").select(*[(F.col(c) if c in events.columns else F.lit(None)).cast(t).alias(c) for c, t in (x.split() for x in TABLES["user_events"].split(", "))])
+    u.repartition(2).write.parquet(f"{base}/user")
+    marks.repartition(2).write.parquet(f"{base}/marks")
+    streams = [M.tail_events(spark, f"{base}/runtime", files_per_trigger=2), M.tail_events(spark, f"{base}/user", files_per_trigger=2, table="user_events"), spark.readStream.schema(health.MARKS).option("maxFilesPerTrigger", 1).parquet(f"{base}/marks")]
+    return ran(health.journal_health(*streams, timeout_ms=0, timers=False), base, "update")
+
+
+def marks(spark: SparkSession, sf_dir: str, status: dict[int, str], journal: dict[int, str], behind: dict[int, int], mod: int) -> DataFrame:
+    """A mark, and an older one that doesn't count, of invocations whose session's number modulo `mod` has a status."""
+    rest = F.col("session_id").cast("long") % mod
+    pick = lambda of: F.coalesce(*[F.when(rest == k, F.lit(v)) for k, v in of.items()])
+    rows = invocations(spark, sf_dir).select(F.col("id").alias("invocation_id"), pick(journal).alias("journal"), pick(status).alias("status"), (F.col("durable_sequence") - F.coalesce(pick(behind), F.lit(0))).alias("durable_sequence"), F.lit(2).cast("long").alias("marked_at_ms")).filter("status IS NOT NULL")
+    return rows.union(rows.withColumn("status", F.lit("pending")).withColumn("marked_at_ms", F.lit(1).cast("long")))
+
+
+@query(f"{WITH} SELECT id AS invocation_id, state, durable_sequence AS final_sequence, CASE user_id%4 WHEN 0 THEN 'durable' WHEN 1 THEN 'degraded' END AS persistence FROM iv WHERE state IN ('completed', 'failed', 'cancelled', 'interrupted') AND user_id%4 < 2")
+def m4_settled_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends need a settled mark: durable up to the last event, or degraded; durable but behind, or no mark at all, is no end."""
+    m = marks(spark, sf_dir, {0: "durable", 1: "degraded", 2: "durable"}, dict.fromkeys(range(3), "runtime"), {2: 1}, 4)
+    return health.ends(healthy(spark, sf_dir, runtime_events(spark, sf_dir), m))
+
+
+@query(f"""{WITH}, kept AS (SELECT invocation_id, user_id, sequence FROM ev WHERE ms % 5 <> 3), n AS (SELECT *, row_number() OVER (PARTITION BY invocation_id ORDER BY sequence) AS place FROM kept),
+g AS (SELECT invocation_id, min(place) AS expected, min(sequence) AS got FROM n WHERE sequence <> place GROUP BY 1)
+SELECT iv.id AS invocation_id, 'runtime' AS journal, CASE WHEN user_id%4=2 THEN 'unserializable' ELSE 'degraded' END AS status, expected, got FROM iv LEFT JOIN g ON g.invocation_id = iv.id WHERE expected IS NOT NULL OR user_id%4=2
+UNION ALL SELECT id, 'user', 'degraded', NULL, NULL FROM iv WHERE user_id%4=1""")
+def m5_journal_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A runtime journal that lacks a fifth of its events, and marks of both journals."""
+    m = marks(spark, sf_dir, {1: "degraded", 2: "unserializable"}, {1: "user", 2: "runtime"}, {}, 4)
+    return health.last_health(healthy(spark, sf_dir, runtime_events(spark, sf_dir).filter("occurred_at_ms % 5 <> 3"), m)).filter("status <> 'healthy'")
+
+
 @query(f"{WITH} SELECT session_id, CAST(count(*) AS BIGINT) AS events, max(ms) AS last_at_ms FROM ev JOIN iv ON iv.id = invocation_id GROUP BY 1")
 def m6_session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, stream = journal(spark, sf_dir)

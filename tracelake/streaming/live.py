@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -242,6 +242,13 @@ class LiveProjection(StatefulProcessor):
         return iter(())
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """Sets the state store that map state needs, where the session has another."""
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(conf, "") or ""):
+        spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def live_projection(events: DataFrame, initial: DataFrame | None = None, parts: tuple[str, ...] = tuple(PARTS), keep_ms: int = KEEP_MS, mark_ms: int = MARK_MS, timers: bool = True) -> DataFrame:
     """M2: the rows of D1-D8 that a trigger's events change (update mode): invocation_id, part, key, through_sequence, body.
     `view` makes a part's columns of them. After the last trigger they equal the batch operators on the same journal.
@@ -257,9 +264,7 @@ def live_projection(events: DataFrame, initial: DataFrame | None = None, parts:
 
     The state store must be RocksDB (spark.sql.streaming.stateStore.providerClass); it is set where the session has none.
     """
-    spark = events.sparkSession
-    if "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") or ""):
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    use_rocksdb(events.sparkSession)
     seed = None if initial is None else initial.select(*[c.split()[0] for c in TOLD.split(", ")]).groupBy("invocation_id")
     return _flat(events).groupBy("invocation_id").transformWithState(LiveProjection(parts, keep_ms, mark_ms, timers), TOLD, "update", "processingTime" if timers else "none", seed)
 

@@ -21,6 +21,8 @@ from ..sources.journal import load_events, write_events
 KEY = "invocation_id"
 #: Milliseconds for which the state of an ended invocation still drops repeats.
 KEEP_MS = 3_600_000
+#: Milliseconds for which its last sequence is kept after that.
+MARK_MS = 30 * 24 * 3_600_000
 
 
 def tail_events(spark: SparkSession, path: str, cursors: DataFrame | None = None, files_per_trigger: int = 64, table: str = "runtime_events") -> DataFrame:
@@ -103,30 +105,38 @@ FIELDS = ("sequence", "event_type", "event_name", "status", "occurred_at_ms", "w
 def _stateful(events: DataFrame, step: Callable, empty: dict, state: str, out: str, output_mode: str, keep_ms: int, timers: bool) -> DataFrame:
     """step(key, fields, ready, held, applied, now) -> (rows, done, wake_ms): changes the state's fields by the events that are
     ready. State is kept as columns: the last applied sequence, the fields, and the held events. Once a step is done, the
-    state only drops repeats, and is removed after keep_ms without an event. A step that asks for it is woken in wake_ms.
+    state only drops repeats; after keep_ms without an event it shrinks to the last sequence, which goes MARK_MS later, so a
+    late repeat changes nothing and raises no alarm. A step that asks for it is woken in wake_ms.
     Timers keep a query going for ever: without them a query of availableNow ends, and ages are looked at in its batches only."""
     names = [c.split()[0] for c in state.split(", ")]
 
     def run(key, pdfs: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         if group.exists:
-            applied, done, *rest = group.get
+            applied, done, marked, *rest = group.get
             fields, lists = dict(zip(names, rest[: len(names)], strict=True)), rest[len(names) :]
             held = {int(r[0]): dict(zip(FIELDS, r, strict=True)) for r in zip(*lists, strict=True)} if lists[0] is not None else {}
         else:
-            applied, done, fields, held = 0, False, {k: (v.copy() if hasattr(v, "copy") else v) for k, v in empty.items()}, {}
+            applied, done, marked, fields, held = 0, False, False, {k: (v.copy() if hasattr(v, "copy") else v) for k, v in empty.items()}, {}
+        if done and marked:
+            if group.hasTimedOut:
+                group.remove()
+            else:  # repeats, or events after the end
+                group.setTimeoutDuration(MARK_MS)
+            return
         if group.hasTimedOut and done and not held:
-            group.remove()
+            group.update((applied, True, True, *[empty[n] for n in names], *[[] for _ in FIELDS]))
+            group.setTimeoutDuration(MARK_MS)
             return
         ready, applied = _in_order(iter(()) if group.hasTimedOut else pdfs, int(applied), held)
         rows, done, wake_ms = step(key[0], fields, ready, held, applied, group.getCurrentProcessingTimeMs())
         kept = [held[k] for k in sorted(held)]
-        group.update((applied, done, *[fields[n] for n in names], *[[r[f] for r in kept] for f in FIELDS]))
+        group.update((applied, done, False, *[fields[n] for n in names], *[[r[f] for r in kept] for f in FIELDS]))
         if timers and (done or wake_ms is not None):
             group.setTimeoutDuration(max(1, keep_ms if wake_ms is None else wake_ms))
         if rows:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
 
-    return _columns(events).groupBy(KEY).applyInPandasWithState(run, out, f"applied bigint, done boolean, {state}, {HELD}", output_mode, GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
+    return _columns(events).groupBy(KEY).applyInPandasWithState(run, out, f"applied bigint, done boolean, marked boolean, {state}, {HELD}", output_mode, GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
 
 
 def _told(row: dict) -> str | None:
