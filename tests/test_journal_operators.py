@@ -373,3 +373,68 @@ def test_stream_append_replays_and_reads_near_days_only(spark, tmp_path):
     assert keys() == want and conflicts() == [("a", 1, "other")]
     run("another")  # all batches once more, as after a lost checkpoint
     assert keys() == want and set(conflicts()) == {("a", 1, "other")}
+
+
+def test_any_exception_is_tried_again_and_mapping_errors_are_final(spark):
+    df = spark.createDataFrame([("a",), ("bad",)], "x string")
+
+    def once(x, seen=[]):  # noqa: B006  counts its calls
+        seen.append(x)
+        if len(seen) % 2:
+            raise ValueError("first time")
+        return x
+
+    def mapping(x):
+        if x == "bad":
+            raise KeyError("no such input")
+        return x + x
+
+    rows = {r.x: r for r in workflow.call_with_retry(df.coalesce(1), "x", [once], 3, mapping=mapping).collect()}
+    assert rows["a"].output == "aa" and [a.error for a in rows["a"].attempts] == ["first time", None]
+    assert rows["bad"].output is None and "no such input" in rows["bad"].error and rows["bad"].attempts == []
+
+
+def test_usage_needs_all_counters(spark):
+    df = spark.createDataFrame([("x", *range(7)), ("x", *[None] * 7), ("x", *range(7))], "execution_id string, " + ", ".join(f"{c} long" for c in audit.USAGE))
+    row = audit.resource_usage(df).first()
+    assert [row[c] for c in audit.USAGE] == [2 * k for k in range(7)]
+    with pytest.raises(Exception, match="concurrency_wait_ns"):
+        audit.resource_usage(df.drop("concurrency_wait_ns"))
+
+
+def test_fold_takes_result_error_and_mode(spark):
+    from tracelake.operators import ingest
+
+    inv = spark.createDataFrame([("i", "s", "v", "n", "running", "live", "full", 1, None, "old", None, None, 1, 1)], TABLES["invocations"])
+    batch = spark.createDataFrame([("i", 3, "failed", "test", None, "E", 9), ("i", 2, "completed", None, "R", None, 8), ("i", 4, None, None, None, None, 10)], "invocation_id string, sequence long, state string, execution_mode string, result_json string, error_json string, occurred_at_ms long")
+    r = ingest.fold_events(inv, batch).first()
+    assert (r.state, r.execution_mode, r.result_json, r.error_json, r.durable_sequence, r.updated_at_ms) == ("failed", "test", None, "E", 4, 10)
+    late = ingest.fold_events(inv.withColumn("state_sequence", F.lit(5).cast("long")).withColumn("durable_sequence", F.lit(5).cast("long")), batch).first()
+    assert (late.state, late.result_json, late.durable_sequence, late.updated_at_ms, late.state_sequence) == ("running", "old", 5, 1, 5)
+
+
+def test_loop_headers_wait_for_entries_then_for_back_edges(spark):
+    edges = spark.createDataFrame([("in", "h"), ("back", "h"), ("body", "b"), ("out", "z")], "edge_id string, to string")
+    headers = spark.createDataFrame([("h", "L", "in", "entry"), ("h", "L", "back", "back")], "node_id string, loop_id string, edge_id string, role string")
+    scope = lambda *f: [{"loop_id": k, "iteration": n} for k, n in f]
+    told = [("i", scope(("L", 0)), "in", True), ("i", scope(("L", 1)), "back", True), ("i", scope(("L", 2)), "back", False), ("j", scope(("O", 3), ("L", 0)), "in", False), ("j", scope(), "out", False), ("k", scope(("L", 1)), "in", True)]
+    decisions = spark.createDataFrame(told, "invocation_id string, scope array<struct<loop_id: string, iteration: int>>, edge_id string, selected boolean")
+    got = {(r.invocation_id, r.node_id, tuple((f.loop_id, f.iteration) for f in r.scope)): r.status for r in audit.fan_in_loops(edges, decisions, headers).collect()}
+    assert got == {("i", "h", (("L", 0),)): "ready", ("i", "h", (("L", 1),)): "ready", ("i", "h", (("L", 2),)): "skipped", ("j", "h", (("O", 3), ("L", 0))): "loop_skipped", ("j", "z", ()): "skipped", ("k", "h", (("L", 1),)): "pending"}
+
+
+def test_trees_lose_their_large_parts_first(spark):
+    import hashlib
+    import json
+
+    inner = "é" * 50
+    rows = [(1, "i", json.dumps({"k": [inner, inner, {"$artifact": "x"}], "n": 1})), (2, "i", json.dumps(inner)), (3, "j", json.dumps([9] * 60)), (4, "j", None), (5, "j", "[1, 2]"), (6, "i", json.dumps([inner]))]
+    out, parts = state.externalize_trees(spark.createDataFrame(rows, "id long, owner string, v string"), "owner", "v", 100)
+    body = json.dumps(inner)
+    ref = '{"$artifact":"' + hashlib.sha256(body.encode()).hexdigest() + '"}'
+    got = {r.id: r.v for r in out.collect()}
+    assert (got[2], got[4], got[5], got[6]) == (ref, None, "[1, 2]", "[" + ref + "]")
+    assert got[1] != rows[0][2] and got[3].startswith('{"$artifact"')
+    made = {(r.owner, r.sha256): (r.payload, r.uses, r.size_bytes) for r in parts.collect()}
+    assert made["i", hashlib.sha256(body.encode()).hexdigest()] == (body, 3, len(body)) and len(made) == 3
+    assert state._shrunk(json.dumps([0] * 900 + [1]), 10_000)[1] == []

@@ -83,9 +83,12 @@ def d10_parallel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("failures", failures).withColumn("operator_ids", F.array_join("operator_ids", ",")).drop("failure_samples")
 
 
-@query(f"WITH {ATTEMPTS_SQL} SELECT execution_id, CAST(sum(duration_ns) AS BIGINT) AS duration_ns, CAST(sum(duration_ns//2) AS BIGINT) AS execution_ns, CAST(sum(duration_ns) AS BIGINT)//1000000 AS duration_ms FROM att GROUP BY 1")
+@query(f"""WITH {ATTEMPTS_SQL} SELECT execution_id, CAST(sum(duration_ns) AS BIGINT) AS duration_ns, CAST(sum(duration_ns//2) AS BIGINT) AS execution_ns, CAST(sum(duration_ns//3) AS BIGINT) AS concurrency_wait_ns, CAST(sum(CASE WHEN chunks%2=0 THEN chunks ELSE 0 END) AS BIGINT) AS thread_pool_queue_ns,
+CAST(sum(seq*1000) AS BIGINT) AS retry_backoff_ns, CAST(sum(chunks*7) AS BIGINT) AS stream_consumption_ns, CAST(sum(l_linenumber) AS BIGINT) AS stream_reduction_ns, CAST(sum(duration_ns) AS BIGINT)//1000000 AS duration_ms FROM att GROUP BY 1""")
 def d11_resource_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.resource_usage(attempts(spark, sf_dir).withColumn("execution_ns", F.expr("duration_ns div 2")))
+    chunks = F.col("chunks")
+    counters = {"execution_ns": F.expr("duration_ns div 2"), "concurrency_wait_ns": F.expr("duration_ns div 3"), "thread_pool_queue_ns": F.when(chunks % 2 == 0, chunks), "retry_backoff_ns": F.col("seq") * 1000, "stream_consumption_ns": chunks * 7, "stream_reduction_ns": F.col("l_linenumber").cast("long")}
+    return A.resource_usage(attempts(spark, sf_dir).withColumns(counters))
 
 
 @query(f"""WITH {ATTEMPTS_SQL}, e AS (SELECT 'i' || l_partkey%50 AS invocation_id, 'n' || l_linenumber AS node_id, execution_id || '-' || seq AS execution_id, CAST(execution_id AS BIGINT) * 1000 + seq AS sequence, CASE WHEN chunks%2=0 THEN duration_ns//1000000 ELSE 0 END AS duration_ms, started_at_ms, ended_at_ms FROM att),
@@ -190,6 +193,24 @@ def j10_fan_in_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.fan_in_status(*edge_decisions(spark, sf_dir))
 
 
+LOOPS_SQL = """he AS (SELECT edge_id, t AS n, CASE WHEN split_part(edge_id, '>', 1) < t THEN 'entry' ELSE 'back' END AS role FROM eg WHERE t IN ('n1', 'n2')),
+ds AS (SELECT invocation_id, k%3 AS it, edge_id, bool_or(selected) AS selected FROM ev WHERE edge_id IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+@query(f"""{WITH}, {EDGES_SQL}, {LOOPS_SQL}, tt AS (SELECT DISTINCT invocation_id, it, t AS n, CASE WHEN t IN ('n1', 'n2') THEN CASE WHEN it = 0 THEN 'entry' ELSE 'back' END END AS role FROM ds JOIN eg USING (edge_id)),
+nd AS (SELECT tt.*, eg.edge_id FROM tt JOIN eg ON eg.t = tt.n WHERE role IS NULL UNION ALL SELECT tt.*, he.edge_id FROM tt JOIN he ON he.n = tt.n AND he.role = tt.role)
+SELECT invocation_id, it AS iteration, n AS node_id, count(*) AS incoming, count(selected) AS decided, CASE WHEN count(selected) < count(*) THEN 'pending' WHEN bool_or(selected) THEN 'ready' WHEN role = 'entry' THEN 'loop_skipped' ELSE 'skipped' END AS status
+FROM nd LEFT JOIN ds USING (invocation_id, it, edge_id) GROUP BY 1, 2, 3, role""")
+def j10_fan_in_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loops with headers n1 and n2, whose edges from smaller nodes are entries; the iteration of both is k % 3."""
+    e = P.prepare(runtime_events(spark, sf_dir)).filter("branch = 'edge'").join(numbered_events(spark, sf_dir).select("invocation_id", "sequence", "k"), ["invocation_id", "sequence"]).withColumn("edge_id", F.col("p.edge_id"))
+    edges = e.select("edge_id", F.substring_index("edge_id", ">", -1).alias("to")).distinct()
+    frame = lambda loop: F.struct(F.lit(loop).alias("loop_id"), (F.col("k") % 3).alias("iteration"))
+    decisions = e.select("invocation_id", F.array(frame("n1"), frame("n2")).alias("scope"), "edge_id", F.coalesce(F.col("p.selected"), F.lit(False)).alias("selected"))
+    headers = edges.filter(F.col("to").isin("n1", "n2")).select(F.col("to").alias("node_id"), F.col("to").alias("loop_id"), "edge_id", F.when(F.substring_index("edge_id", ">", 1) < F.col("to"), "entry").otherwise("back").alias("role"))
+    return A.fan_in_loops(edges, decisions, headers).select("invocation_id", F.col("scope")[0]["iteration"].alias("iteration"), "node_id", "incoming", "decided", "status")
+
+
 @query(f"""{WITH}, {EDGES_SQL}, le AS (SELECT 'loop_' || CASE WHEN t IN ('n0', 'n1') THEN 0 ELSE 1 END AS loop_id, edge_id, CASE WHEN t IN ('n0', 'n2') THEN 'back' ELSE 'exit' END AS role FROM eg), q AS (SELECT DISTINCT loop_id, scope_key FROM dc JOIN le USING (edge_id)),
 a AS (SELECT q.loop_id, q.scope_key, count(*) > count(selected) AS open, COALESCE(bool_or(role = 'back' AND selected), FALSE) AS b, COALESCE(bool_or(role = 'exit' AND selected), FALSE) AS x FROM q JOIN le ON le.loop_id = q.loop_id LEFT JOIN dc ON dc.scope_key = q.scope_key AND dc.edge_id = le.edge_id GROUP BY 1, 2)
 SELECT loop_id, scope_key, CASE WHEN open THEN 'incomplete' WHEN b AND x THEN 'conflict' WHEN b THEN 'continue' WHEN x THEN 'exit' ELSE 'dead_end' END AS outcome FROM a""")

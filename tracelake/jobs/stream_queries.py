@@ -178,7 +178,7 @@ def healthy(spark: SparkSession, sf_dir: str, events: DataFrame, marks: DataFram
 def marks(spark: SparkSession, sf_dir: str, status: dict[int, str], journal: dict[int, str], behind: dict[int, int], mod: int) -> DataFrame:
     """A mark, and an older one that doesn't count, of invocations whose session's number modulo `mod` has a status."""
     rest = F.col("session_id").cast("long") % mod
-    pick = lambda of: F.coalesce(*[F.when(rest == k, F.lit(v)) for k, v in of.items()])
+    pick = lambda of: F.coalesce(F.lit(None), *[F.when(rest == k, F.lit(v)) for k, v in of.items()])
     rows = invocations(spark, sf_dir).select(F.col("id").alias("invocation_id"), pick(journal).alias("journal"), pick(status).alias("status"), (F.col("durable_sequence") - F.coalesce(pick(behind), F.lit(0))).alias("durable_sequence"), F.lit(2).cast("long").alias("marked_at_ms")).filter("status IS NOT NULL")
     return rows.union(rows.withColumn("status", F.lit("pending")).withColumn("marked_at_ms", F.lit(1).cast("long")))
 

@@ -73,6 +73,12 @@ def l5_replicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("event_id").agg(F.max(F.col("k") * (F.col("item_index") + 1) % 7).alias("choice"))
 
 
+def _mapped(x: str) -> str:
+    if int(x) % 11 == 5:
+        raise ValueError("bad mapping")
+    return x
+
+
 def _first(x: str) -> str:
     if int(x) % 3 == 0:
         raise RuntimeError("busy")
@@ -87,10 +93,12 @@ def _second(x: str) -> str:
     return f"b{x}"
 
 
-@query(f"WITH e AS (SELECT event_id, {K} AS k FROM events) SELECT event_id, CASE WHEN k%3=0 THEN CASE WHEN k%2<>0 THEN 'b' || k END WHEN k%7<>0 THEN 'a' || k END AS output, CASE WHEN k%3=0 THEN CASE WHEN k%2=0 THEN 'down' END WHEN k%7=0 THEN 'bad input' END AS error, CASE WHEN k%3=0 THEN CASE WHEN k%2=0 THEN 'normal,retry,fallback,retry' ELSE 'normal,retry,fallback' END ELSE 'normal' END AS reasons FROM e")
+@query(f"""WITH e AS (SELECT event_id, {K} AS k FROM events), f AS (SELECT *, k%3=0 OR k%7=0 AS again, k%11=5 AS unmapped FROM e)
+SELECT event_id, CASE WHEN unmapped THEN NULL WHEN NOT again THEN 'a' || k WHEN k%2<>0 THEN 'b' || k END AS output, CASE WHEN unmapped THEN 'bad mapping' WHEN again AND k%2=0 THEN 'down' END AS error,
+CASE WHEN unmapped THEN '' WHEN NOT again THEN 'normal' WHEN k%2=0 THEN 'normal,retry,fallback,retry' ELSE 'normal,retry,fallback' END AS reasons FROM f""")
 def l6_call_with_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("event_id", F.col("k").cast("string").alias("x"))
-    out = L.call_with_retry(e, "x", [_first, _second], 2)
+    out = L.call_with_retry(e, "x", [_first, _second], 2, mapping=_mapped)
     return out.select("event_id", "output", "error", F.array_join(F.transform("attempts", lambda a: a["reason"]), ",").alias("reasons"))
 
 
@@ -192,3 +200,52 @@ def h7_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     v = F.concat(F.lit('{"b" : '), F.col("p_size").cast("string"), F.lit(', "a": [1, "é"]}'))
     return p.select(F.col("p_partkey").alias("id"), S.canonical_json(v).alias("canonical"))
+
+
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree for each document: a text, a list and a small value, the first two at times large (SQL: `tr`)."""
+    n, m = F.col("n_chars") % 20000, F.col("doc_id") % 5000
+    big = F.concat(F.lit('{"big":"'), F.repeat(F.lit("x"), n.cast("int")), F.lit('","in":{"list":['), F.repeat(F.lit("7,"), m.cast("int")), F.lit('7]},"s":'), F.col("doc_id").cast("string"), F.lit("}"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("owner"), big.alias("v"))
+
+
+TREES_SQL = """tr AS (SELECT doc_id, COALESCE(source, 'none') AS owner, '"' || repeat('x', n_chars%20000) || '"' AS big, '[' || repeat('7,', doc_id%5000) || '7]' AS list FROM documents),
+ts AS (SELECT *, CASE WHEN strlen(big) > 8192 THEN sha256(big) END AS big_sha, CASE WHEN strlen(list) > 8192 THEN sha256(list) END AS list_sha FROM tr),
+tb AS (SELECT *, CASE WHEN big_sha IS NULL THEN big ELSE '{"$artifact":"' || big_sha || '"}' END AS b, '{"list":' || CASE WHEN list_sha IS NULL THEN list ELSE '{"$artifact":"' || list_sha || '"}' END || '}' AS l0 FROM ts),
+ti AS (SELECT *, CASE WHEN strlen(l0) > 8192 THEN sha256(l0) END AS in_sha, CASE WHEN strlen(l0) > 8192 THEN '{"$artifact":"' || sha256(l0) || '"}' ELSE l0 END AS i FROM tb),
+t0 AS (SELECT *, '{"big":' || b || ',"in":' || i || ',"s":' || doc_id || '}' AS v0 FROM ti),
+tv AS (SELECT *, CASE WHEN strlen(v0) > 8192 THEN sha256(v0) END AS sha, CASE WHEN strlen(v0) > 8192 THEN '{"$artifact":"' || sha256(v0) || '"}' ELSE v0 END AS v FROM t0)"""
+
+
+@query(f"WITH {TREES_SQL} SELECT doc_id, owner, v FROM tv")
+def i6_externalize_tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.externalize_trees(trees(spark, sf_dir), "owner", "v")[0]
+
+
+@query(f"""WITH {TREES_SQL}, a AS (SELECT owner, big_sha AS sha256, big AS p FROM tv UNION ALL SELECT owner, list_sha, list FROM tv UNION ALL SELECT owner, in_sha, l0 FROM tv UNION ALL SELECT owner, sha, v0 FROM tv)
+SELECT owner, sha256, CAST(max(strlen(p)) AS BIGINT) AS size_bytes, count(*) AS uses FROM a WHERE sha256 IS NOT NULL GROUP BY 1, 2""")
+def i6_externalize_tree_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.externalize_trees(trees(spark, sf_dir), "owner", "v")[1].drop("payload")
+
+
+@query("SELECT doc_id, strlen(repeat('x', n_chars%20000)) + 2 * (doc_id%5000) + 33 + strlen(CAST(doc_id AS VARCHAR)) AS n, 0 AS missing FROM documents")
+def i6_externalize_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees' parts taken out and put back (C8): their lengths, as before."""
+    rows, parts = S.externalize_trees(trees(spark, sf_dir), "owner", "v")
+    back = S.hydrate_artifacts(rows, "doc_id", "v", parts.select(F.col("sha256").alias("id"), "payload"))
+    return back.select("doc_id", F.length("v").cast("long").alias("n"), F.size("missing").alias("missing"))
+
+
+@query(f"""{WITH}, b AS (SELECT invocation_id, max(sequence) FILTER (event_name IN ('wait.created', 'invocation.running', 'node.completed', 'node.failed', 'node.skipped')) AS p, max(sequence) AS l FROM ev GROUP BY 1),
+r AS (SELECT b.*, CASE WHEN durable_sequence%2=0 THEN durable_sequence//2 ELSE 0 END AS base FROM b JOIN iv ON iv.id = invocation_id),
+m AS (SELECT invocation_id, base, CASE WHEN p > base THEN p WHEN l - base >= 4 THEN l END AS upto, CASE WHEN p > base THEN 'recovery_point' ELSE 'interval' END AS reason FROM r),
+n AS (SELECT ev.invocation_id, node, arg_max(k, sequence) AS v FROM ev JOIN m ON m.invocation_id = ev.invocation_id AND sequence <= upto WHERE event_name LIKE 'node.%' GROUP BY 1, 2),
+g AS (SELECT invocation_id, string_agg('"' || node || '":' || v, ',' ORDER BY node) AS s FROM n GROUP BY 1)
+SELECT m.invocation_id, upto AS event_sequence, '{{"nodes":{{' || COALESCE(s, '') || '}}}}' AS state_json, base AS from_sequence, reason, CAST(NULL AS VARCHAR) AS error FROM m LEFT JOIN g ON g.invocation_id = m.invocation_id WHERE upto IS NOT NULL""")
+def i7_checkpoint_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the invocations have a checkpoint in their middle; the batch is all events after it and some before."""
+    i, e = invocations(spark, sf_dir), edit_journal(spark, sf_dir)
+    genesis = i.select(F.col("id").alias("invocation_id"), F.lit('{"nodes":{}}').alias("state_json"))
+    middle = i.filter("durable_sequence % 2 = 0").select(F.col("id").alias("invocation_id"), F.expr("durable_sequence div 2").alias("target_sequence"))
+    stored = S.replay_state(genesis.withColumn("event_sequence", F.lit(0).cast("long")), e, middle).select("invocation_id", F.col("target_sequence").alias("event_sequence"), "state_json")
+    return S.checkpoint_states(genesis, stored, e, 4)

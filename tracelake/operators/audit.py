@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import cut
 
 #: The counters of a resource usage, in nanoseconds.
-USAGE = ("duration_ns", "execution_ns", "thread_pool_queue_ns", "retry_backoff_ns", "stream_consumption_ns", "stream_reduction_ns", "waiting_ns")
+USAGE = ("duration_ns", "execution_ns", "concurrency_wait_ns", "thread_pool_queue_ns", "retry_backoff_ns", "stream_consumption_ns", "stream_reduction_ns")
 
 
 def snapshot_asof(genesis: DataFrame, recovery: DataFrame, targets: DataFrame) -> DataFrame:
@@ -73,8 +73,9 @@ def parallel_summary(attempts: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def resource_usage(attempts: DataFrame) -> DataFrame:
-    """Sums of the usage counters of each execution, and whole milliseconds of its duration."""
-    out = attempts.groupBy("execution_id").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in USAGE if c in attempts.columns])
+    """Sums of the seven usage counters (USAGE) of each execution, nulls being 0, and whole milliseconds of its duration.
+    A counter that the attempts lack is an error."""
+    out = attempts.groupBy("execution_id").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in USAGE])
     return out.withColumn("duration_ms", F.expr("duration_ns div 1000000"))
 
 
@@ -209,6 +210,33 @@ def fan_in_status(edges: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.select("scope_key", F.col("to").alias("node_id"), "incoming", "decided", F.when(F.col("decided") < F.col("incoming"), "pending").when(F.col("any"), "ready").otherwise("skipped").alias("status"))
 
 
+def fan_in_loops(edges: DataFrame, decisions: DataFrame, headers: DataFrame) -> DataFrame:
+    """J10 with loops: the status of each node instance (invocation_id, scope, node_id), as fan_in_status tells it, where
+    loops are entered and repeated.
+
+    edges (edge_id, to); decisions (invocation_id, scope, edge_id, selected), by the scope of the edge's target: an array of
+    struct<loop_id, iteration>, the outermost loop first. headers (node_id, loop_id, edge_id, role): the entry and back
+    edges of each loop's header, as natural_loops gives them. In iteration 0 a header waits for its loop's entry edges
+    alone, later for its back edges alone; any other node waits for all its edges. A header that nothing has selected in
+    iteration 0 is `loop_skipped`: the loop as a whole is (propagate_skips takes it from there).
+
+    Each instance meets its own node's edges only; what is decided is joined to them by (scope, edge).
+    """
+    told = decisions.groupBy("invocation_id", "scope", "edge_id").agg(F.bool_or("selected").alias("selected"))
+    touched = told.join(edges, "edge_id").select("invocation_id", "scope", F.col("to").alias("node_id")).distinct()
+    own = headers.groupBy("node_id").agg(F.first("loop_id").alias("loop_id"))
+    rows = touched.join(own, "node_id", "left")
+    frame = F.element_at(F.filter("scope", lambda f: f["loop_id"] == F.col("loop_id")), -1)
+    rows = rows.withColumn("role", F.when(F.col("loop_id").isNotNull(), F.when(F.coalesce(frame["iteration"], F.lit(0)) == 0, "entry").otherwise("back")))
+    plain = rows.filter("role IS NULL").join(edges.select(F.col("to").alias("node_id"), "edge_id"), "node_id")
+    headed = rows.filter("role IS NOT NULL").join(headers.select("node_id", "role", "edge_id"), ["node_id", "role"])
+    columns = ["invocation_id", "scope", "node_id", "role", "edge_id"]
+    asked = plain.select(columns).union(headed.select(columns)).join(told, ["invocation_id", "scope", "edge_id"], "left")
+    out = asked.groupBy("invocation_id", "scope", "node_id", "role").agg(F.count("*").alias("incoming"), F.count("selected").alias("decided"), F.coalesce(F.bool_or("selected"), F.lit(False)).alias("any"))
+    none = F.when(F.col("role") == "entry", "loop_skipped").otherwise("skipped")
+    return out.select("invocation_id", "scope", "node_id", "incoming", "decided", F.when(F.col("decided") < F.col("incoming"), "pending").when(F.col("any"), "ready").otherwise(none).alias("status"))
+
+
 def loop_outcomes(loop_edges: DataFrame, decisions: DataFrame) -> DataFrame:
     """Of each loop iteration: incomplete while an edge is undecided, else continue, exit, conflict or dead_end.
     loop_edges (loop_id, edge_id, role back|exit); decisions (scope_key, edge_id, selected)."""

@@ -61,13 +61,18 @@ def replicate(df: DataFrame, count: int) -> DataFrame:
 ATTEMPT = T.StructType([T.StructField("operator_index", T.IntegerType()), T.StructField("attempt_index", T.IntegerType()), T.StructField("reason", T.StringType()), T.StructField("error", T.StringType())])
 
 
-def call_with_retry(df: DataFrame, value: str, functions: list[Callable[[str], str]], max_attempts: int, budget: int | None = None) -> DataFrame:
-    """Df with `output`, `error` and `attempts`: each function is tried up to `max_attempts` times on the value, then the
-    next one; attempts count against `budget` together. A ValueError is final (mapping errors aren't retried)."""
+def call_with_retry(df: DataFrame, value: str, functions: list[Callable[[str], str]], max_attempts: int, budget: int | None = None, mapping: Callable[[str], str] | None = None) -> DataFrame:
+    """Df with `output`, `error` and `attempts`: each function is tried up to `max_attempts` times on the value, whatever it
+    raises, then the next one; attempts count against `budget` together. `mapping` makes the functions' input of the
+    value before the first attempt: an error of it is final, with no attempt."""
     schema = T.StructType([*df.schema.fields, T.StructField("output", T.StringType()), T.StructField("error", T.StringType()), T.StructField("attempts", T.ArrayType(ATTEMPT))])
 
     def one(x) -> tuple:
         tried: list[dict] = []
+        try:
+            x = mapping(x) if mapping else x
+        except Exception as e:  # noqa: BLE001  the caller's function
+            return None, str(e), tried
         for i, f in enumerate(functions):
             for n in range(max_attempts):
                 if budget is not None and len(tried) >= budget:
@@ -75,8 +80,6 @@ def call_with_retry(df: DataFrame, value: str, functions: list[Callable[[str], s
                 reason = "retry" if n else "fallback" if i else "normal"
                 try:
                     out = f(x)
-                except ValueError as e:
-                    return None, str(e), [*tried, {"operator_index": i, "attempt_index": n, "reason": reason, "error": str(e)}]
                 except Exception as e:  # noqa: BLE001  any failure of the caller's function is an attempt
                     tried.append({"operator_index": i, "attempt_index": n, "reason": reason, "error": str(e)})
                 else:
