@@ -345,12 +345,12 @@ def test_states_of_ended_invocations_are_removed(spark, tmp_path):
     rows = [stream_row(1, "invocation.completed"), stream_row(1, "invocation.running", invocation_id="k")]
     spark.createDataFrame(rows, fields).coalesce(1).write.parquet(f"{tmp_path}/in")
     made = {"m2": (streams.live_projection, "update"), "m4": (streams.detect_stream_end, "append"), "m8": (streams.waits_open, "append"), "m5": (streams.detect_gaps, "update")}
-    queries = [f(spark.readStream.schema(fields).parquet(f"{tmp_path}/in"), keep_ms=500).writeStream.format("noop").outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(processingTime="1 second").start() for name, (f, mode) in made.items()]
+    queries = [f(spark.readStream.schema(fields).parquet(f"{tmp_path}/in"), keep_ms=500, mark_ms=500).writeStream.format("noop").outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(processingTime="1 second").start() for name, (f, mode) in made.items()]
     left = lambda name: sorted(r.key[0] for r in spark.read.format("statestore").load(f"{tmp_path}/{name}").collect())
     try:
         for _ in range(60):
             time.sleep(1)
-            if all(q.lastProgress and q.lastProgress["batchId"] > 2 for q in queries):
+            if all(q.lastProgress and q.lastProgress["batchId"] > 3 for q in queries):
                 break
     finally:
         for q in queries:
@@ -438,3 +438,46 @@ def test_trees_lose_their_large_parts_first(spark):
     made = {(r.owner, r.sha256): (r.payload, r.uses, r.size_bytes) for r in parts.collect()}
     assert made["i", hashlib.sha256(body.encode()).hexdigest()] == (body, 3, len(body)) and len(made) == 3
     assert state._shrunk(json.dumps([0] * 900 + [1]), 10_000)[1] == []
+
+
+def test_dominators_by_taking_nodes_away():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(400):
+        names = [f"n{k}" for k in range(rng.randint(1, 9))]
+        succ = {}
+        for _ in range(rng.randint(0, 16)):
+            succ.setdefault(rng.choice(names), []).append(rng.choice(names))
+        entries = [x for x in names if not any(x in v for v in succ.values())]
+
+        def reach(without):
+            seen, todo = set(), [e for e in entries if e != without]
+            while todo:
+                if (x := todo.pop()) not in seen:
+                    seen.add(x)
+                    todo += [m for m in succ.get(x, ()) if m != without]
+            return seen
+
+        tree = graph._Dominators(entries, succ)
+        assert set(tree.order) == reach(None)
+        for x in tree.order:
+            want = {d for d in tree.order if d == x or x not in reach(d)}
+            assert set(tree.of(x)) == want == {d for d in tree.order if tree.over(d, x)}
+
+
+def test_edits_lead_from_one_tree_to_the_other():
+    import copy
+    import random
+
+    rng = random.Random(4)
+
+    def tree(depth=0):
+        if depth > 3 or rng.random() < 0.4:
+            return rng.choice([1, True, None, "a", [1], [1, 2], [1, 2, 3], {}, 0])
+        return {rng.choice("ab/~c"): tree(depth + 1) for _ in range(rng.randint(0, 3))}
+
+    for _ in range(3000):
+        a, b = {"r": tree()}, {"r": tree(), **({"z": 1} if rng.random() < 0.3 else {})}
+        assert state.apply_edits(copy.deepcopy(a), state.edits(a, b)) == b
+        assert bool(state.edits(a, b)) == (a != b) == bool(state.differing(a, b))

@@ -102,10 +102,10 @@ HELD = "sequence array<bigint>, event_type array<string>, event_name array<strin
 FIELDS = ("sequence", "event_type", "event_name", "status", "occurred_at_ms", "wait_key", "wait_keys")
 
 
-def _stateful(events: DataFrame, step: Callable, empty: dict, state: str, out: str, output_mode: str, keep_ms: int, timers: bool) -> DataFrame:
+def _stateful(events: DataFrame, step: Callable, empty: dict, state: str, out: str, output_mode: str, keep_ms: int, timers: bool, mark_ms: int) -> DataFrame:
     """step(key, fields, ready, held, applied, now) -> (rows, done, wake_ms): changes the state's fields by the events that are
     ready. State is kept as columns: the last applied sequence, the fields, and the held events. Once a step is done, the
-    state only drops repeats; after keep_ms without an event it shrinks to the last sequence, which goes MARK_MS later, so a
+    state only drops repeats; after keep_ms without an event it shrinks to the last sequence, which goes mark_ms later, so a
     late repeat changes nothing and raises no alarm. A step that asks for it is woken in wake_ms.
     Timers keep a query going for ever: without them a query of availableNow ends, and ages are looked at in its batches only."""
     names = [c.split()[0] for c in state.split(", ")]
@@ -121,11 +121,11 @@ def _stateful(events: DataFrame, step: Callable, empty: dict, state: str, out: s
             if group.hasTimedOut:
                 group.remove()
             else:  # repeats, or events after the end
-                group.setTimeoutDuration(MARK_MS)
+                group.setTimeoutDuration(max(1, mark_ms))
             return
         if group.hasTimedOut and done and not held:
             group.update((applied, True, True, *[empty[n] for n in names], *[[] for _ in FIELDS]))
-            group.setTimeoutDuration(MARK_MS)
+            group.setTimeoutDuration(max(1, mark_ms))
             return
         ready, applied = _in_order(iter(()) if group.hasTimedOut else pdfs, int(applied), held)
         rows, done, wake_ms = step(key[0], fields, ready, held, applied, group.getCurrentProcessingTimeMs())
@@ -157,7 +157,7 @@ def _follow(fields: dict, ready: list[dict], held: dict) -> bool:
     return fields["state"] in TERMINAL_INVOCATION and not held
 
 
-def live_projection(events: DataFrame, keep_ms: int = KEEP_MS, timers: bool = True) -> DataFrame:
+def live_projection(events: DataFrame, keep_ms: int = KEEP_MS, timers: bool = True, mark_ms: int = MARK_MS) -> DataFrame:
     """M2: each invocation's state, event and node event counts and open waits as of its last contiguous sequence, told again
     whenever it has changed (update mode). Equal to the batch projection once all events are there. The state of an ended
     invocation is removed after keep_ms; later repeats would wait for what they repeat and tell nothing."""
@@ -174,10 +174,10 @@ def live_projection(events: DataFrame, keep_ms: int = KEEP_MS, timers: bool = Tr
         done = _follow(s, ready, held)
         return ([(key, s["state"], applied, s["node_events"], ",".join(s["waits"]))] if ready else []), done, None
 
-    return _stateful(events, step, {"state": "created", "node_events": 0, "waits": []}, "state string, node_events bigint, waits array<string>", "invocation_id string, state string, through_sequence bigint, node_events bigint, open_waits string", "update", keep_ms, timers)
+    return _stateful(events, step, {"state": "created", "node_events": 0, "waits": []}, "state string, node_events bigint, waits array<string>", "invocation_id string, state string, through_sequence bigint, node_events bigint, open_waits string", "update", keep_ms, timers, mark_ms)
 
 
-def detect_stream_end(events: DataFrame, keep_ms: int = KEEP_MS, timers: bool = True) -> DataFrame:
+def detect_stream_end(events: DataFrame, keep_ms: int = KEEP_MS, timers: bool = True, mark_ms: int = MARK_MS) -> DataFrame:
     """M4: one row for each invocation when it is terminal and nothing before is missing. The state is then only a mark that
     drops what comes later, removed after keep_ms."""
 
@@ -188,10 +188,10 @@ def detect_stream_end(events: DataFrame, keep_ms: int = KEEP_MS, timers: bool =
         s["ended"] = _follow(s, ready, held)
         return ([(key, s["state"], applied)] if s["ended"] else []), s["ended"], None
 
-    return _stateful(events, step, {"state": "created", "ended": False}, "state string, ended boolean", "invocation_id string, state string, final_sequence bigint", "append", keep_ms, timers)
+    return _stateful(events, step, {"state": "created", "ended": False}, "state string, ended boolean", "invocation_id string, state string, final_sequence bigint", "append", keep_ms, timers, mark_ms)
 
 
-def detect_gaps(events: DataFrame, timeout_ms: int = 60_000, keep_ms: int = KEEP_MS, timers: bool = True) -> DataFrame:
+def detect_gaps(events: DataFrame, timeout_ms: int = 60_000, keep_ms: int = KEEP_MS, timers: bool = True, mark_ms: int = MARK_MS) -> DataFrame:
     """M5: an invocation is degraded once events have waited for a missing one for the timeout, whatever else arrives
     meanwhile: (invocation_id, expected, got, status), told again when another one is missing. It is healthy again when
     no event is missing."""
@@ -210,10 +210,10 @@ def detect_gaps(events: DataFrame, timeout_ms: int = 60_000, keep_ms: int = KEEP
         s["degraded"], s["told"] = True, got
         return ([(key, applied + 1, got, "degraded")] if told != got else []), False, None
 
-    return _stateful(events, step, {"state": "created", "degraded": False, "expected": 0, "since": 0, "told": 0}, "state string, degraded boolean, expected bigint, since bigint, told bigint", "invocation_id string, expected bigint, got bigint, status string", "update", keep_ms, timers)
+    return _stateful(events, step, {"state": "created", "degraded": False, "expected": 0, "since": 0, "told": 0}, "state string, degraded boolean, expected bigint, since bigint, told bigint", "invocation_id string, expected bigint, got bigint, status string", "update", keep_ms, timers, mark_ms)
 
 
-def waits_open(events: DataFrame, keep_ms: int = KEEP_MS, timers: bool = True) -> DataFrame:
+def waits_open(events: DataFrame, keep_ms: int = KEEP_MS, timers: bool = True, mark_ms: int = MARK_MS) -> DataFrame:
     """M8: changes of waits in the order of their events: (invocation_id, wait_key, is_open, created_at_ms, waited_ms). The
     state of an ended invocation is removed after keep_ms."""
 
@@ -231,7 +231,7 @@ def waits_open(events: DataFrame, keep_ms: int = KEEP_MS, timers: bool = True) -
         s["waits"], s["since"] = list(open_), list(open_.values())
         return rows, _follow(s, ready, held), None
 
-    return _stateful(events, step, {"state": "created", "waits": [], "since": []}, "state string, waits array<string>, since array<bigint>", "invocation_id string, wait_key string, is_open boolean, created_at_ms bigint, waited_ms bigint", "append", keep_ms, timers)
+    return _stateful(events, step, {"state": "created", "waits": [], "since": []}, "state string, waits array<string>, since array<bigint>", "invocation_id string, wait_key string, is_open boolean, created_at_ms bigint, waited_ms bigint", "append", keep_ms, timers, mark_ms)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
