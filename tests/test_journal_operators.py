@@ -481,3 +481,42 @@ def test_edits_lead_from_one_tree_to_the_other():
         a, b = {"r": tree()}, {"r": tree(), **({"z": 1} if rng.random() < 0.3 else {})}
         assert state.apply_edits(copy.deepcopy(a), state.edits(a, b)) == b
         assert bool(state.edits(a, b)) == (a != b) == bool(state.differing(a, b))
+
+
+def test_json_schemas_reach_nested_parts(spark):
+    from tracelake.functions.json_schema import json_problems
+
+    schema = {"type": "object", "required": ["n"], "additionalProperties": False, "properties": {"n": {"type": ["integer", "null"]}, "a": {"type": "array", "items": {"type": "object", "properties": {"u": {"enum": ["x", 1, None]}}}}}}
+    want = {
+        '{"n":1}': [], '{"n":null,"a":[]}': [], '{"n":12345678901234567890}': [], '{"n":"1"}': ["type:/n"], '{"n":1.5}': ["type:/n"], "[]": ["type:$"], "null": ["type:$"], "{": ["no_json"], None: ["no_json"],
+        '{"n":1,"b":2}': ["extra:/b"], '{"a":[{"u":"x"},{"u":1},{"u":null}]}': ["missing:/n"], '{"n":1,"a":[{"u":2},{"u":3},5]}': ["enum:/a/*/u", "type:/a/*"], '{"n":1,"a":{}}': ["type:/a"],
+    }
+    df = spark.createDataFrame([(k,) for k in want], "t string")
+    assert {r.t: sorted(r.p) for r in df.select("t", json_problems("t", schema).alias("p")).collect()} == want
+
+
+def test_changes_are_told_by_trigger(spark, tmp_path):
+    fields = TABLES["runtime_events"]
+    put = lambda n, rows: spark.createDataFrame(rows, fields).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    owners = spark.createDataFrame([("i", "s"), ("j", "s"), ("k", "t")], "id string, session_id string")
+    run = lambda: streams.session_changes(spark.readStream.schema(fields).parquet(f"{tmp_path}/in/*"), owners, f"{tmp_path}/out", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    put(1, [stream_row(1, "node.running"), stream_row(2, "node.running"), stream_row(1, "node.running", invocation_id="k")])
+    run()
+    put(2, [stream_row(1, "node.running", invocation_id="j")])
+    run()
+    told = sorted((r.batch_id, r.session_id, r.invocation_id, r.events, r.through_sequence) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert told == [(0, "s", "i", 2, 2), (0, "t", "k", 1, 1), (1, "s", "j", 1, 1)]
+
+
+def test_change_against_a_baseline(spark):
+    stats = spark.createDataFrame([("a", 2.0, 10.0), ("b", 3.0, 5.0), ("c", None, None)], "g string, median double, runs_per_s double")
+    rows = {r.g: (r.latency_change_percent, r.throughput_change_percent) for r in audit.latency_change(stats, stats.filter("g = 'a'"), "g").collect()}
+    assert rows == {"a": (0.0, 0.0), "b": (50.0, -50.0), "c": (None, None)}
+    assert audit.latency_change(stats, stats.filter("g = 'z'"), "g").filter("latency_change_percent IS NOT NULL").count() == 0
+
+
+def test_sizes_of_all_tables(spark):
+    one = {t: spark.createDataFrame([], s) for t, s in TABLES.items()}
+    one["invocations"] = spark.createDataFrame([("i", "s", "v", "n", "running", "live", "full", 1, "{}", None, "[1]", '{"a":1}', 1, 1)], TABLES["invocations"])
+    rows = {r.part: (r.rows, r.size) for r in audit.journal_sizes(one).collect()}
+    assert rows["invocations"] == (1, 12) and rows["genesis"] == (1, 7) and rows["artifacts"] == (0, 0) and len(rows) == len(audit.SIZED)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.json_schema import json_problems
 from ..operators import agent as A
 from ..operators import ingest as I
 from ..sources.adapters import DELTA_CHARS, USER_EVENTS_SQL, table, user_events
@@ -145,6 +146,40 @@ def k8_validate_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.validate_tool_calls(*calls(spark, sf_dir), max_repairs=1)
 
 
+#: Arguments of a tool: a count, a unit, and nested filters.
+ARGUMENTS = {
+    "type": "object", "required": ["n"], "additionalProperties": False,
+    "properties": {"n": {"type": "integer"}, "unit": {"enum": ["day", "week"]}, "where": {"type": "object", "required": ["field"], "properties": {"field": {"type": "string"}, "in": {"type": "array", "items": {"type": ["integer", "null"]}}}}},
+}
+
+
+def schema_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call for each line item, with arguments that break the schema in one of seven ways, or in none."""
+    k = F.col("l_partkey") % 8
+    n = F.col("l_partkey").cast("string")
+    made = F.when(k == 0, F.concat(F.lit('{"n":'), n, F.lit(',"unit":"day","where":{"field":"x","in":[1,null]}}'))).when(k == 1, F.concat(F.lit('{"n":"'), n, F.lit('"}'))).when(k == 2, '{"unit":"week"}').when(k == 3, '{"n":1,"unit":"year"}')
+    made = made.when(k == 4, '{"n":1,"more":2,"most":3}').when(k == 5, '{"n":1,"where":{"in":[1,"2"]}}').when(k == 6, '{"n":1.5,"where":[]}').otherwise("[1")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", made.alias("raw_arguments"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey%8 WHEN 0 THEN '' WHEN 1 THEN 'type:/n' WHEN 2 THEN 'missing:/n' WHEN 3 THEN 'enum:/unit' WHEN 4 THEN 'extra:/more;extra:/most' WHEN 5 THEN 'missing:/where/field;type:/where/in/*' WHEN 6 THEN 'type:/n;type:/where' ELSE 'no_json' END AS problems FROM lineitem""")
+def k8_argument_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_arguments(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(json_problems("raw_arguments", ARGUMENTS), ";").alias("problems"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS o, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS BIGINT) AS i, l_partkey AS p FROM lineitem)
+SELECT o AS conversation_id, i AS call_index, CASE WHEN p%8 <> 0 THEN 'invalid_arguments' END AS error FROM c""")
+def k8_validate_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    i = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")).cast("long")
+    rows = table(spark, sf_dir, "lineitem").withColumn("i", i).withColumn("call_key", F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_orderkey", "i")]))
+    made = schema_arguments(spark, sf_dir).select("l_partkey", "raw_arguments").dropDuplicates(["l_partkey"])
+    c = rows.join(made, "l_partkey").select(F.col("l_orderkey").alias("conversation_id"), F.lit(0).cast("long").alias("response_index"), F.col("i").alias("call_index"), F.col("call_key").alias("id"), F.lit("search").alias("name"), "raw_arguments")
+    tools = c.select("name").distinct().withColumn("required", F.array(F.lit("n")))
+    return A.validate_tool_calls(c, tools, 1, {"search": ARGUMENTS}).select("conversation_id", "call_index", "error")
+
+
 @query(f"""WITH {CALLS_SQL}, m AS (SELECT o, -1 AS i, 'assistant' AS role, NULL AS id, 'r' || o AS content FROM ce GROUP BY o UNION ALL SELECT o, i, 'tool', id, CASE WHEN error IS NOT NULL THEN '{{"error":{{"type":"tool_arguments_validation_error","tool":"' || name || '","message":"' || error || '","raw_arguments":"' || replace(args, '"', '\\"') || '"}}}}' WHEN p%5=0 THEN '{{"error":{{"type":"tool_execution_error","tool":"' || name || '","exception_type":"E","message":"m' || p || '"}}}}' ELSE 'out' || p END FROM ce)
 SELECT o AS response_id, string_agg(role || '/' || COALESCE(id, '') || '/' || content, '|' ORDER BY i) AS messages FROM m GROUP BY 1""")
 def k9_tool_result_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

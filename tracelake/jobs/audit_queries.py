@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import events as H
 from ..operators import audit as A
 from ..operators import projection as P
-from ..sources.adapters import JOURNAL_SQL, invocations, numbered_events, runtime_events
+from ..sources.adapters import JOURNAL_SQL, invocations, numbered_events, runtime_events, sessions
+from ..sources.scratch import cut
 from .projection_queries import EXEC_SQL, prepared
 from .registry import query
 
@@ -116,6 +117,25 @@ def d14_latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.latency_stats(runs, "g", "v")
 
 
+@query(f"""{WITH}, r AS (SELECT id, workflow_version_id AS g, updated_at_ms - created_at_ms AS v FROM iv), s AS (SELECT g, count(*) AS runs, quantile_cont(v, 0.5) AS median, count(*) * 1000 / sum(v) AS runs_per_s FROM r GROUP BY 1), b AS (SELECT * FROM s WHERE g = 'v0')
+SELECT s.g, s.runs, s.median, s.runs_per_s, (s.median / b.median - 1) * 100 AS latency_change_percent, (s.runs_per_s / b.runs_per_s - 1) * 100 AS throughput_change_percent FROM s CROSS JOIN b""")
+def d14_latency_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions against the first one."""
+    runs = invocations(spark, sf_dir).select(F.col("workflow_version_id").alias("g"), (F.col("updated_at_ms") - F.col("created_at_ms")).alias("v"))
+    stats = cut(A.latency_stats(runs, "g", "v"))
+    return A.latency_change(stats, stats.filter("g = 'v0'"), "g").drop("p95")
+
+
+@query(f"""{WITH} SELECT 'invocations' AS part, count(*) AS rows, CAST(COALESCE(sum(CASE WHEN event_mode = 'full' THEN 2 ELSE 0 END), 0) AS BIGINT) AS size FROM iv
+UNION ALL SELECT 'genesis', count(*), CAST(COALESCE(sum(CASE WHEN event_mode = 'full' THEN 2 ELSE 0 END), 0) AS BIGINT) FROM iv UNION ALL SELECT 'context', count(*), CAST(2 * count(*) AS BIGINT) FROM se
+UNION ALL SELECT 'recovery', count(*), CAST(COALESCE(sum(length('{{"n":' || durable_sequence || '}}')), 0) AS BIGINT) FROM iv WHERE event_mode <> 'minimal' UNION ALL SELECT 'artifacts', count(*), CAST(sum(strlen(text)) AS BIGINT) FROM documents""")
+def d13_journal_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = invocations(spark, sf_dir)
+    recovery = i.filter("event_mode <> 'minimal'").select(F.concat(F.lit('{"n":'), F.col("durable_sequence").cast("string"), F.lit("}")).alias("state_json"))
+    artifacts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("text").cast("binary").alias("payload_blob"))
+    return A.journal_sizes({"invocations": i, "sessions": sessions(spark, sf_dir), "runtime_recovery_states": recovery, "artifacts": artifacts})
+
+
 @query("SELECT p_brand AS workflow, count(*) FILTER (p_size%3=0) = 0 AS ok, count(*) FILTER (p_size%3=0) AS errors, count(*) FILTER (p_size%3=1) AS warnings, count(*) FILTER (p_size%3=2) AS infos FROM part GROUP BY 1")
 def d17_diagnostic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")

@@ -207,6 +207,14 @@ def m6_session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_batch(out, "session_id").select("session_id", "events", "last_at_ms")
 
 
+@query(f"{WITH} SELECT iv.session_id, iv.id AS invocation_id, CAST(count(*) AS BIGINT) AS events, max(sequence) AS through_sequence FROM ev JOIN iv ON iv.id = invocation_id GROUP BY 1, 2")
+def m6_session_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of all triggers together."""
+    base, stream = journal(spark, sf_dir)
+    M.session_changes(stream, invocations(spark, sf_dir), f"{base}/out", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("session_id", "invocation_id").agg(F.sum("events").alias("events"), F.max("through_sequence").alias("through_sequence"))
+
+
 @query(f"{WITH} SELECT id, invocation_id, sequence FROM ev")
 def m7_dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, stream = journal(spark, sf_dir, repeats=True)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.json_schema import json_problems
 from ..schemas import DELTA_TYPES
 
 #: The event types that belong to a conversation, and the request fields that options can't override.
@@ -172,13 +173,16 @@ def validate_messages(messages: DataFrame) -> DataFrame:
     return messages.withColumn("problems", F.array_compact(F.array(role, reasoning, options)))
 
 
-def validate_tool_calls(calls: DataFrame, tools: DataFrame, max_repairs: int) -> DataFrame:
+def validate_tool_calls(calls: DataFrame, tools: DataFrame, max_repairs: int, schemas: dict[str, dict] | None = None) -> DataFrame:
     """K8: calls (conversation_id, response_index, call_index, id, name, raw_arguments) with the first error that applies, and
     placeholders for empty ids and names; `exhausted` once a response fails after `max_repairs` failed ones. tools (name,
-    required array): arguments must be a JSON object that has all required keys."""
+    required array): arguments must be a JSON object that has all required keys, and must fit the tool's JSON schema where
+    `schemas` has one by its name (types, enums, extra keys, nested objects and lists; see json_schema)."""
     rows = calls.join(tools.withColumnRenamed("name", "_tool").withColumn("_known", F.lit(True)), F.col("name") == F.col("_tool"), "left")
     parsed = F.from_json("raw_arguments", "map<string,string>")
     bad = parsed.isNull() | F.exists(F.coalesce("required", F.array().cast("array<string>")), lambda k: ~F.coalesce(F.map_contains_key(parsed, k), F.lit(False)))
+    for name, schema in (schemas or {}).items():
+        bad = bad | F.coalesce((F.col("name") == name) & (F.size(json_problems("raw_arguments", schema)) > 0), F.lit(False))
     error = F.when(F.trim("id") == "", "empty_id").when(F.trim("name") == "", "empty_name").when(F.col("_known").isNull(), "unknown_tool").when(bad, "invalid_arguments")
     rows = rows.withColumn("error", error)
     own = W.partitionBy("conversation_id", "response_index")

@@ -106,6 +106,30 @@ def journal_size(events: DataFrame, columns: tuple[str, ...] = ("timing_json", "
     return events.withColumn("_size", size).rollup("event_type").agg(F.count("*").alias("rows"), F.sum("_size").alias("json_chars"))
 
 
+#: By part of a journal: its table and the columns that are its size.
+SIZED = {
+    "runtime_events": ("runtime_events", ("timing_json", "payload_json", "input_json", "output_json", "operations_json")),
+    "user_events": ("user_events", ("data_json", "workflow_path_json")),
+    "invocations": ("invocations", ("input_json", "result_json", "error_json", "genesis_state_json")),
+    "genesis": ("invocations", ("genesis_state_json",)),
+    "context": ("sessions", ("context_json",)),
+    "recovery": ("runtime_recovery_states", ("state_json",)),
+    "artifacts": ("artifacts", ("payload_blob",)),
+}
+
+
+def journal_sizes(journal: dict[str, DataFrame]) -> DataFrame:
+    """D13 over all tables: (part, rows, size) for each part of SIZED whose table the journal has: its rows, and the characters
+    of its JSON columns or the bytes of its payloads. Each part is one aggregate with map-side sums."""
+    out = None
+    for part, (table, columns) in SIZED.items():
+        if table in journal:
+            size = sum((F.coalesce(F.length(c), F.lit(0)) for c in columns), F.lit(0)).cast("long")
+            one = journal[table].agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).select(F.lit(part).alias("part"), "rows", "size")
+            out = one if out is None else out.union(one)
+    return out
+
+
 #: Blocks that the range of a group's values is cut into.
 VALUE_BLOCKS = 4096
 
@@ -133,6 +157,15 @@ def latency_stats(runs: DataFrame, group: str, value: str, p: float = 0.95) -> D
     return out.select(F.col("s.g").alias(group), "runs", ((F.col("v1") + F.col("v2")) / 2).alias("median"), F.col("v0").alias("p95"), F.when(F.col("total") > 0, F.col("runs") * 1000 / F.col("total")).alias("runs_per_s"))
 
 
+def latency_change(stats: DataFrame, baseline: DataFrame, group: str) -> DataFrame:
+    """D14 against a baseline: stats (of latency_stats) with the change of the median and of the throughput in percent against
+    `baseline`, one row of the same columns; null where that is zero or not there."""
+    base = baseline.select(F.col("median").alias("_median"), F.col("runs_per_s").alias("_rate")).limit(1)
+    rows = stats.withColumn("_one", F.lit(1)).join(F.broadcast(base.withColumn("_one", F.lit(1))), "_one", "left")
+    change = lambda now, old: (F.try_divide(F.col(now), F.col(old)) - 1) * 100
+    return rows.withColumns({"latency_change_percent": change("median", "_median"), "throughput_change_percent": change("runs_per_s", "_rate")}).drop("_one", "_median", "_rate")
+
+
 def diagnostic_summary(diagnostics: DataFrame, group: str) -> DataFrame:
     """Counts by severity, and whether there is no error."""
     out = diagnostics.groupBy(group).pivot("severity", ["error", "warning", "info"]).count().fillna(0, ["error", "warning", "info"])

@@ -81,6 +81,19 @@ def session_activity(events: DataFrame, invocations: DataFrame) -> DataFrame:
     return events.join(owner, KEY).groupBy("session_id").agg(F.count("*").alias("events"), F.max("occurred_at_ms").alias("last_at_ms"), F.approx_count_distinct(KEY).alias("invocations"))
 
 
+def session_changes(events: DataFrame, invocations: DataFrame, path: str, checkpoint: str):
+    """M6: a writer that tells each trigger's changed invocations: (session_id, invocation_id, events, through_sequence), a row
+    each, in the trigger's own folder batch_id=n. Nothing is kept between triggers, so nothing grows; a batch that runs
+    again replaces its folder. Repeats of events count as changes unless dedupe_stream comes before."""
+    owner = invocations.select(F.col("id").alias(KEY), "session_id")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        changed = batch.groupBy(KEY).agg(F.count("*").alias("events"), F.max("sequence").alias("through_sequence")).join(owner, KEY)
+        changed.select("session_id", KEY, "events", "through_sequence").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
 def _in_order(pdfs: Iterator[pd.DataFrame], applied: int, held: dict[int, dict]) -> tuple[list[dict], int]:
     """Events that can be applied now, in order; the others stay in `held`."""
     for pdf in pdfs:
