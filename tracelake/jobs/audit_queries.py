@@ -157,6 +157,32 @@ def e4_output_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.output_view(done, e.filter("event_name = 'node.running'").select("invocation_id", F.col("sequence").alias("viewer_sequence")))
 
 
+DONE_SQL = "d AS (SELECT invocation_id, node, sequence, k FROM ev WHERE event_name = 'node.completed'), q AS (SELECT DISTINCT invocation_id, sequence AS viewer_sequence FROM ev WHERE event_name = 'node.running')"
+
+
+def done_and_viewers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = runtime_events(spark, sf_dir)
+    done = e.filter("event_name = 'node.completed'").select("invocation_id", F.get_json_object("payload_json", "$.node_id").alias("node_id"), "sequence", F.lit("completed").alias("state"), "output_json")
+    return done, e.filter("event_name = 'node.running'").select("invocation_id", F.col("sequence").alias("viewer_sequence"))
+
+
+@query(f"{WITH}, {DONE_SQL} SELECT q.invocation_id, viewer_sequence, (SELECT count(*) FROM d WHERE d.invocation_id = q.invocation_id AND d.sequence <= viewer_sequence) AS seen FROM q")
+def e4_output_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.output_lists(*done_and_viewers(spark, sf_dir))[1]
+
+
+@query(f"""{WITH}, {DONE_SQL}, p AS (SELECT *, CAST(row_number() OVER (PARTITION BY invocation_id ORDER BY sequence) AS BIGINT) AS place FROM d)
+SELECT q.invocation_id, viewer_sequence, 'first' AS node, p.node AS node_id, place, sequence, '{{"v":' || k || '}}' AS output_json FROM q JOIN p ON p.invocation_id = q.invocation_id AND p.sequence <= viewer_sequence AND p.node = 'n0'
+UNION ALL SELECT q.invocation_id, viewer_sequence, NULL, p.node, place, sequence, '{{"v":' || k || '}}' FROM q JOIN p ON p.invocation_id = q.invocation_id AND p.sequence <= viewer_sequence""")
+def e4_output_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All outputs of a node by its alias, and the timeline, of every viewer."""
+    done, viewers = done_and_viewers(spark, sf_dir)
+    outputs, views = A.output_lists(done, viewers)
+    node = F.explode(F.array(F.lit("first"), F.lit(None).cast("string"))).alias("node")
+    aliases = spark.createDataFrame([("first", "n0")], "alias string, node_id string")
+    return A.read_outputs(outputs, views, viewers.distinct().select("invocation_id", "viewer_sequence", node), aliases)
+
+
 @query("""WITH o AS (SELECT p_brand AS c, 'p' || p_partkey AS id, p_size AS pr, p_partkey%5<>0 AS en, p_partkey = min(p_partkey) OVER (PARTITION BY p_brand) AS df, p_partkey, CASE length(p_brand) + CAST(right(p_brand, 1) AS INT) % 3 - length(p_brand) WHEN 0 THEN 'priority' WHEN 1 THEN 'first_available' ELSE 'default' END AS mode, right(p_brand, 1) IN ('1', '2', '3') AS fb, max(p_partkey) OVER (PARTITION BY p_brand) AS mx FROM part),
 k AS (SELECT *, CASE WHEN p_partkey = mx THEN 0 ELSE 1 END AS pf FROM o WHERE en AND p_partkey%7<>0),
 r AS (SELECT c, id, row_number() OVER (PARTITION BY c ORDER BY pf, CASE WHEN mode = 'default' AND NOT df THEN 1 ELSE 0 END, CASE WHEN mode = 'first_available' THEN 0 ELSE -pr END, id) AS n, fb FROM k)

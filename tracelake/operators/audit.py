@@ -186,6 +186,32 @@ def output_view(executions: DataFrame, viewers: DataFrame) -> DataFrame:
     return rows.filter("_viewer = 1 AND visible > 0").select("invocation_id", F.col("sequence").alias("viewer_sequence"), "node_id", F.col("latest.output_json").alias("latest"), F.col("latest.sequence").alias("latest_sequence"), F.col("visible").alias("all_count"))
 
 
+def output_lists(executions: DataFrame, viewers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """E4 as lists: (outputs, views). outputs has the completed outputs of each invocation once, in order: `place` in its
+    timeline and `node_place` among its node's. views (invocation_id, viewer_sequence, seen) tells how many of the timeline a
+    viewer sees; so a viewer's lists are the places up to `seen`, and viewers times outputs is never built."""
+    own = W.partitionBy("invocation_id").orderBy("sequence")
+    done = executions.filter("state = 'completed'")
+    outputs = done.select("invocation_id", "node_id", "sequence", "output_json", F.row_number().over(own).cast("long").alias("place"), F.row_number().over(W.partitionBy("invocation_id", "node_id").orderBy("sequence")).cast("long").alias("node_place"))
+    one = lambda df, at, viewer: df.select("invocation_id", at.alias("sequence"), F.lit(viewer).alias("_viewer"))
+    both = one(done, F.col("sequence"), 0).union(one(viewers, F.col("viewer_sequence"), 1).distinct())
+    seen = F.sum(1 - F.col("_viewer")).over(W.partitionBy("invocation_id").orderBy("sequence", "_viewer").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return outputs, both.withColumn("seen", seen).filter("_viewer = 1").select("invocation_id", F.col("sequence").alias("viewer_sequence"), "seen")
+
+
+def read_outputs(outputs: DataFrame, views: DataFrame, asks: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """E4, `all` and `timeline`: the outputs that each asked viewer sees, in order by `place`. asks (invocation_id,
+    viewer_sequence, node): a node id or an alias (aliases: alias, node_id) for `all`, null for the whole timeline. Only what
+    is asked for is listed; a node that isn't known has no rows."""
+    rows = asks.join(views, ["invocation_id", "viewer_sequence"])
+    if aliases is not None:
+        rows = rows.join(aliases.select(F.col("alias").alias("node"), F.col("node_id").alias("_real")), "node", "left").withColumn("_node", F.coalesce("_real", "node")).drop("_real")
+    else:
+        rows = rows.withColumn("_node", F.col("node"))
+    joined = rows.join(outputs, "invocation_id").filter((F.col("place") <= F.col("seen")) & (F.col("_node").isNull() | (F.col("_node") == F.col("node_id"))))
+    return joined.select("invocation_id", "viewer_sequence", "node", "node_id", "place", "sequence", "output_json")
+
+
 def rank_candidates(operators: DataFrame, policies: DataFrame) -> DataFrame:
     """Candidates of each capability in the order they are tried. operators (capability_id, operator_id, priority,
     enabled, is_default); policies (capability_id, mode, preferred array, excluded array, allow_fallback). A capability
