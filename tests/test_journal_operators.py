@@ -520,3 +520,15 @@ def test_sizes_of_all_tables(spark):
     one["invocations"] = spark.createDataFrame([("i", "s", "v", "n", "running", "live", "full", 1, "{}", None, "[1]", '{"a":1}', 1, 1)], TABLES["invocations"])
     rows = {r.part: (r.rows, r.size) for r in audit.journal_sizes(one).collect()}
     assert rows["invocations"] == (1, 12) and rows["genesis"] == (1, 7) and rows["artifacts"] == (0, 0) and len(rows) == len(audit.SIZED)
+
+
+def test_newest_conflicts_are_those_of_pairs(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [("c", n, rng.randint(0, 40), rng.randint(1, 40), rng.choice(["a", "a/b", "a/b/c", "a/bc", "b", "b/x", "a/b/c/d"])) for n in range(150)]
+    df = spark.createDataFrame(rows, "context_id string, write_id long, base_revision long, revision long, path string")
+    newest = {}
+    for r in audit.context_conflicts(df).collect():
+        newest[r.write_id] = max(newest.get(r.write_id, (0, 0)), (rows[r.other_id][3], r.other_id))
+    assert {r.write_id: (r.other_revision, r.other_id) for r in audit.newest_conflicts(df).collect()} == newest

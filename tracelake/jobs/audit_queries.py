@@ -59,12 +59,20 @@ def c7_incoming_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 PATHS_SQL = "w AS (SELECT 'c' || user_id%40 AS context_id, event_id AS write_id, event_id - 1 - k%60 AS base_revision, event_id AS revision, 'data/a' || k%5 || CASE WHEN k%4=0 THEN '' ELSE '/b' || k%3 || CASE WHEN k%4=3 THEN '/c' ELSE '' END END AS path FROM ev WHERE event_type = 'state_change')"
 
 
-@query(f"""{WITH}, {PATHS_SQL} SELECT w.context_id, w.write_id, w.path, o.write_id AS other_id FROM w JOIN w o ON w.context_id = o.context_id AND o.revision > w.base_revision AND o.revision < w.revision AND (w.path = o.path OR starts_with(w.path, o.path || '/') OR starts_with(o.path, w.path || '/'))""")
-def c9_context_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def path_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, k = numbered_events(spark, sf_dir).filter("event_name LIKE 'node.%' OR event_name LIKE 'invocation.%'"), F.col("k")
     tail = F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("/b"), (k % 3).cast("string"), F.when(k % 4 == 3, "/c").otherwise("")))
-    writes = e.select(F.concat(F.lit("c"), (F.col("user_id") % 40).cast("string")).alias("context_id"), F.col("event_id").alias("write_id"), (F.col("event_id") - 1 - k % 60).alias("base_revision"), F.col("event_id").alias("revision"), F.concat(F.lit("data/a"), (k % 5).cast("string"), tail).alias("path"))
-    return A.context_conflicts(writes)
+    return e.select(F.concat(F.lit("c"), (F.col("user_id") % 40).cast("string")).alias("context_id"), F.col("event_id").alias("write_id"), (F.col("event_id") - 1 - k % 60).alias("base_revision"), F.col("event_id").alias("revision"), F.concat(F.lit("data/a"), (k % 5).cast("string"), tail).alias("path"))
+
+
+@query(f"""{WITH}, {PATHS_SQL} SELECT w.context_id, w.write_id, w.path, o.write_id AS other_id FROM w JOIN w o ON w.context_id = o.context_id AND o.revision > w.base_revision AND o.revision < w.revision AND (w.path = o.path OR starts_with(w.path, o.path || '/') OR starts_with(o.path, w.path || '/'))""")
+def c9_context_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.context_conflicts(path_writes(spark, sf_dir))
+
+
+@query(f"""{WITH}, {PATHS_SQL} SELECT w.context_id, w.write_id, w.path, arg_max(o.write_id, o.revision) AS other_id, max(o.revision) AS other_revision FROM w JOIN w o ON w.context_id = o.context_id AND o.revision > w.base_revision AND o.revision < w.revision AND (w.path = o.path OR starts_with(w.path, o.path || '/') OR starts_with(o.path, w.path || '/')) GROUP BY 1, 2, 3""")
+def c9_newest_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.newest_conflicts(path_writes(spark, sf_dir))
 
 
 @query(f"""WITH {ATTEMPTS_SQL}, u AS (SELECT CAST(o_orderkey AS VARCHAR) AS execution_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'pending' END AS state FROM orders),

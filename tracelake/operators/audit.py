@@ -51,6 +51,24 @@ def context_conflicts(writes: DataFrame) -> DataFrame:
     return both.filter("other_id <> write_id AND other_revision > base_revision AND other_revision < revision").select("context_id", "write_id", "path", "other_id").distinct()
 
 
+def newest_conflicts(writes: DataFrame) -> DataFrame:
+    """C9 without pairs: (context_id, write_id, path, other_id, other_revision) of each write that conflicts, with the newest
+    other that it conflicts with: the greatest revision below its own, of overlapping paths, if that is above its base.
+
+    Each write is a row at its path and at all above it. In the order of revisions a running maximum at a path knows the
+    newest write of it and the newest of it or below; a write asks for the first at what is above it, and for the second
+    at its own path. So a path with a million writes is sorted once, and nothing meets. Writes of one revision don't see
+    each other; of several newest ones the greatest write_id is told."""
+    parts = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    rows = writes.select("context_id", "write_id", "base_revision", "revision", "path", F.explode(ups).alias("at")).withColumn("own", F.col("at") == F.col("path"))
+    before = W.partitionBy("context_id", "at").orderBy("revision").rangeBetween(W.unboundedPreceding, -1)
+    one = F.struct(F.col("revision").alias("r"), F.col("write_id").alias("id"))
+    newest = F.when(F.col("own"), F.max(one).over(before)).otherwise(F.max(F.when(F.col("own"), one)).over(before))
+    out = rows.withColumn("newest", newest).groupBy("context_id", "write_id", "path", "base_revision").agg(F.max("newest").alias("n"))
+    return out.filter("n.r > base_revision").select("context_id", "write_id", "path", F.col("n.id").alias("other_id"), F.col("n.r").alias("other_revision"))
+
+
 def parallel_summary(attempts: DataFrame, units: DataFrame) -> DataFrame:
     """A summary of each execution's parallel calls. attempts (execution_id, seq, operator_id, reason, error_code,
     duration_ns, streaming, chunks, started_at_ms, ended_at_ms); units (execution_id, unit_id, state)."""
