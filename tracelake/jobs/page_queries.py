@@ -195,6 +195,21 @@ def c4_invocation_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.invocation_neighbors(i, i.filter("created_at_ms % 4 = 1"), "older", 2).select("session_id", "anchor_id", "id", "position", "has_more")
 
 
+@query(f"""{WITH}, r AS (SELECT a.session_id, a.id AS anchor_id, b.id, row_number() OVER (PARTITION BY a.id ORDER BY b.created_at_ms, b.id) AS n FROM iv a JOIN iv b ON b.session_id = a.session_id AND (b.created_at_ms, b.id) > (a.created_at_ms, a.id))
+SELECT session_id, anchor_id, id, CAST(n AS BIGINT) AS position, has_more FROM (SELECT *, max(n) OVER (PARTITION BY anchor_id) > 3 AS has_more FROM r) WHERE n <= 3""")
+def c4_newer_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every invocation as an anchor."""
+    i = invocations(spark, sf_dir)
+    return G.invocation_neighbors(i, i, "newer", 3).select("session_id", "anchor_id", "id", "position", "has_more")
+
+
+@query(f"{WITH} SELECT CASE WHEN user_id%2=0 THEN session_id ELSE 'none' END AS session_id, id || CASE WHEN user_id%3=0 THEN '?' ELSE '' END AS id, CASE WHEN user_id%3=0 THEN 'unknown_anchor' ELSE 'other_session' END AS error FROM iv WHERE user_id%3=0 OR user_id%2=1")
+def c4_anchor_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, u = invocations(spark, sf_dir), F.col("session_id").cast("long")
+    anchors = i.select(F.when(u % 2 == 0, F.col("session_id")).otherwise("none").alias("session_id"), F.concat("id", F.when(u % 3 == 0, "?").otherwise("")).alias("id"))
+    return G.anchor_errors(i, anchors)
+
+
 @query(f"""{WITH}, d AS (SELECT id, state, updated_at_ms, durable_sequence FROM iv WHERE created_at_ms % 5 <> 0), l AS (SELECT id, 'running' AS state, updated_at_ms + created_at_ms % 3 - 1 AS updated_at_ms, durable_sequence + 1 AS durable_sequence FROM iv WHERE created_at_ms % 7 <> 0),
 j AS (SELECT d.id AS di, l.id AS li, d.state AS ds, l.state AS ls, d.updated_at_ms AS du, l.updated_at_ms AS lu, d.durable_sequence AS dq, l.durable_sequence AS lq, d.id IS NOT NULL AND (l.id IS NULL OR d.updated_at_ms > l.updated_at_ms OR (d.updated_at_ms = l.updated_at_ms AND d.state IN ('completed','failed','cancelled','interrupted'))) AS keep FROM d FULL JOIN l USING (id))
 SELECT COALESCE(li, di) AS id, CASE WHEN keep THEN ds ELSE ls END AS state, CASE WHEN keep THEN du ELSE lu END AS updated_at_ms, COALESCE(lq, dq) AS durable_sequence FROM j""")

@@ -95,18 +95,27 @@ def session_directory(sessions: DataFrame, invocations: DataFrame) -> DataFrame:
 
 def invocation_neighbors(invocations: DataFrame, anchors: DataFrame, direction: str, limit: int) -> DataFrame:
     """C4: the `limit` nearest invocations of the same session before (`older`) or after (`newer`) each anchor by
-    (created_at_ms, id); `position` ascends in time; has_more tells of further ones. anchors (session_id, id)."""
+    (created_at_ms, id); `position` ascends in time; has_more tells of further ones. anchors (session_id, id).
+
+    A session is read once in order, and each row knows the limit + 1 rows beside it: all invocations as anchors cost
+    rows times limit. Anchors that aren't in their session have no rows here; anchor_errors() tells them."""
     if direction not in ("older", "newer"):
         raise ValueError("direction must be older or newer")
-    at = invocations.join(anchors.select("session_id", "id"), ["session_id", "id"], "left_semi")
-    at = at.select("session_id", F.col("id").alias("anchor_id"), F.struct("created_at_ms", "id").alias("_at"))
-    rows = invocations.join(at, "session_id").withColumn("_key", F.struct("created_at_ms", "id"))
-    rows = rows.filter(F.col("_key") < F.col("_at") if direction == "older" else F.col("_key") > F.col("_at"))
-    w = W.partitionBy("session_id", "anchor_id")
-    near = w.orderBy(F.desc("_key") if direction == "older" else F.asc("_key"))
-    rows = rows.withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= limit + 1)
-    rows = rows.withColumn("has_more", F.max("_n").over(w) > limit).filter(F.col("_n") <= limit)
-    return rows.withColumn("position", F.row_number().over(w.orderBy("_key")).cast("long")).drop("_n", "_key", "_at")
+    order = W.partitionBy("session_id").orderBy("created_at_ms", "id")
+    near = order.rowsBetween(-limit - 1, -1) if direction == "older" else order.rowsBetween(1, limit + 1)
+    run = F.collect_list(F.struct(*invocations.columns)).over(near)
+    rows = invocations.select("session_id", F.col("id").alias("anchor_id"), run.alias("_run"))
+    rows = rows.join(anchors.select("session_id", F.col("id").alias("anchor_id")).distinct(), ["session_id", "anchor_id"], "left_semi").withColumn("has_more", F.size("_run") > limit)
+    first = F.greatest(F.lit(1), F.size("_run") - limit + 1) if direction == "older" else F.lit(1)
+    rows = rows.select("anchor_id", "has_more", F.posexplode(F.slice("_run", first, F.lit(limit))).alias("_p", "_r"))
+    return rows.select("_r.*", "anchor_id", "has_more", (F.col("_p") + 1).cast("long").alias("position"))
+
+
+def anchor_errors(invocations: DataFrame, anchors: DataFrame) -> DataFrame:
+    """C4: the anchors (session_id, id) that have no neighbours to tell, with `unknown_anchor` or `other_session`."""
+    known = invocations.select("id", F.col("session_id").alias("_own"))
+    error = F.when(F.col("_own").isNull(), "unknown_anchor").when(F.col("_own") != F.col("session_id"), "other_session")
+    return anchors.join(known, "id", "left").select("session_id", "id", error.alias("error")).filter("error IS NOT NULL")
 
 
 def overlay(durable: DataFrame, live: DataFrame) -> DataFrame:
