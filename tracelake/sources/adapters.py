@@ -157,12 +157,8 @@ CUSTOMER_VERSIONS_SQL = "cv AS (SELECT 'v' || c_custkey AS id, 'wf' || c_custkey
 
 
 def workflow_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A version for each nation key below 5."""
-    n = F.col("n_nationkey").cast("long")
-    s = n.cast("string")
-    return table(spark, sf_dir, "nation").filter(n < 5).select(
-        F.concat(F.lit("v"), s).alias("id"), F.concat(F.lit("wf"), (n % 3).cast("string")).alias("workflow_id"), F.lit("1").alias("workflow_version"), F.lit("ir1").alias("ir_version"),
-        F.lit("c1").alias("compiler_version"), F.concat(F.lit("h"), s).alias("definition_hash"), F.concat(F.lit('{"n":'), s, F.lit("}")).alias("definition_json"), (n * 1000).alias("created_at_ms"))
+    """The versions of all customers; no customer has the number of version v0."""
+    return customer_versions(spark, sf_dir).drop("n")
 
 
 #: SQL of the three tables: `iv`, `se`, `ve`. Follows EVENTS_SQL.
@@ -177,8 +173,7 @@ se AS (
   SELECT session_id AS id, 'wf' || CAST(session_id AS BIGINT)%5%3 AS workflow_id, workflow_version_id AS workflow_revision_id, 's' || session_id AS session_key,
     arg_max(id, (created_at_ms, id)) AS current_invocation_id, min(created_at_ms) AS created_at_ms, max(updated_at_ms) AS updated_at_ms
   FROM iv GROUP BY session_id, workflow_version_id),
-ve AS (
-  SELECT 'v' || n_nationkey AS id, 'wf' || n_nationkey%3 AS workflow_id, 'h' || n_nationkey AS definition_hash, CAST(n_nationkey AS BIGINT)*1000 AS created_at_ms FROM nation WHERE n_nationkey < 5)"""
+ve AS (SELECT 'v' || c_custkey AS id, 'wf' || c_custkey%97 AS workflow_id, 'h' || c_custkey AS definition_hash, CAST(c_custkey AS BIGINT)*1000 AS created_at_ms FROM customer)"""
 
 
 #: Characters of a delta that the adapter cuts assistant turns into.
