@@ -381,6 +381,32 @@ def test_lattice_takes_the_vocabularys_scores(spark):
     assert np.allclose(np.diff(logp), best * np.diff(scores))
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_expected_uses_of_pieces(monkeypatch, few):
+    monkeypatch.setattr(lattice, "FEW", few)
+    pieces = sorted({b" ", b" a", b"a", b"b", b"ab", b"ba", b" ab", b"aba"})
+    law = np.log(np.random.default_rng(1).dirichlet(np.ones(len(pieces))))
+
+    def ways(s):
+        return [[]] if not s else [[p, *rest] for p in pieces if s.startswith(p) for rest in ways(s[len(p) :])]
+
+    strings = [bytes(x) for n in range(1, 6) for x in itertools.product(b"ab", repeat=n)]
+    of, want = dict(zip(pieces, law, strict=True)), collections.Counter()
+    for s in strings:
+        each = [(math.exp(sum(of[p] for p in w)), w) for w in ways(b" " + s)]
+        for p, w in each:
+            for piece in w:
+                want[piece] += p / sum(x for x, _ in each)
+    assert np.allclose(lattice.Lattice(pieces, law).expected(strings), [want[p] for p in pieces])
+
+
+def test_held_out_texts_score_about_as_high_as_by_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = lattice.score(docs, ~held_out("doc_id", 5, 1), tokenizer("piece_bpe_32k.model")).filter("held_out").collect()
+    per = [sum(getattr(r, c) for r in rows) / sum(r.n_tokens for r in rows) for c in ("score", "base_score")]
+    assert all(math.isfinite(r.score) for r in rows) and per[0] > per[1] - 0.8, per
+
+
 def test_very_long_words_are_scored_in_time():
     import time
 

@@ -28,6 +28,10 @@ HEAD_BYTES = 64
 LOOKED_UP = 1 << 21
 #: Factors of the vocabulary's scores that are tried on the training words; the likeliest is taken.
 SCALES = (0.8, 1.0, 1.25)
+#: Steps of expectation maximisation after the vocabulary's own scores.
+STEPS = 2
+#: Pieces that each piece has been seen as beforehand, so that none is impossible.
+SEEN = 0.1
 #: Words of one length below which each is scored by itself and not beside the others.
 FEW = 10
 _odd = np.uint64(0x9E3779B97F4A7C15)
@@ -202,6 +206,69 @@ class Lattice:
         return logp, used
 
 
+    def _backward(self, block: np.ndarray, ends, total: np.ndarray) -> None:
+        """Adds to `total`, by piece, the expected uses in words of equal length over all their segmentations, under the first law."""
+        n, logp = block.shape[1], self.logp[0]
+        alpha, beta = np.zeros((n + 1, len(block))), np.full((n + 1, len(block)), -np.inf)
+        for j in range(1, n + 1):
+            top = np.full(len(block), -np.inf)
+            terms = [alpha[j - size][rows] + logp[ids] for size, rows, ids in ends[j]]
+            for (_, rows, _), term in zip(ends[j], terms, strict=True):
+                top[rows] = np.maximum(top[rows], term)
+            share = np.zeros(len(block))
+            for (_, rows, _), term in zip(ends[j], terms, strict=True):
+                share[rows] += np.exp(term - top[rows])
+            alpha[j] = top + np.log(share)
+        beta[n] = 0
+        for j in range(n, 0, -1):
+            after = beta[j] - alpha[n]
+            for size, rows, ids in ends[j]:
+                term = logp[ids] + beta[j][rows]
+                beta[j - size][rows] = np.logaddexp(beta[j - size][rows], term)
+                np.add.at(total, ids, np.exp(alpha[j - size][rows] + logp[ids] + after[rows]))
+
+    def _backward_one(self, word: bytes, total: np.ndarray) -> None:
+        """_backward() of one word that is long or alone in its length."""
+        n = len(word)
+        found: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(i + 1, min(n, i + self.most) + 1):
+                piece = word[i:j]
+                if piece not in self.starts:
+                    break
+                if (at := self.at.get(piece)) is not None:
+                    found[j].append((i, at, self.laws_of[at][0]))
+        alpha, beta = [0.0] * (n + 1), [-math.inf] * n + [0.0]
+        for j in range(1, n + 1):
+            terms = [alpha[i] + p for i, _, p in found[j]]
+            top = max(terms)
+            alpha[j] = top + math.log(sum(math.exp(t - top) for t in terms))
+        for j in range(n, 0, -1):
+            for i, at, p in found[j]:
+                term = p + beta[j]
+                high, low = max(beta[i], term), min(beta[i], term)
+                beta[i] = high + math.log1p(math.exp(low - high)) if high > -math.inf else high
+                total[at] += math.exp(min(0.0, alpha[i] + term - alpha[n]))
+
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """By piece, its expected number of uses in the words, each taken once, over all their segmentations."""
+        total = np.zeros(len(self.pieces))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(size[order])) + 1) if len(order) else []:
+            n = int(size[own[0]]) + 1
+            if len(own) < FEW:
+                for i in own:
+                    self._backward_one(b" " + words[i], total)
+                continue
+            step = min(1 << 13, max(FEW, (1 << 20) // n))
+            for lo in range(0, len(own), step):
+                at = own[lo : lo + step]
+                block = np.frombuffer(b"".join(b" " + words[i] for i in at), np.uint8).reshape(len(at), n)
+                self._backward(block, self.edges(block), total)
+        return total
+
+
 def word_counts(docs: DataFrame, train: Column, text_col: str) -> DataFrame:
     """(word, c): each distinct word of all rows and its count in the training rows (0 if it is in others only)."""
 
@@ -254,12 +321,37 @@ def fit(words: DataFrame, end_count: int, model: str, scales: tuple[float, ...]
     return pieces, weights(scores, scales[best], end), float(np.log(end))
 
 
+def learn(words: DataFrame, pieces: list[bytes], logp: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Log probabilities of the pieces after some steps of expectation maximisation over the distinct training words.
+
+    Each word counts once: the pieces stand in for words that aren't known, which are like the seldom ones. A step is a
+    pass over the words; sums for each piece, as many as the vocabulary has, reach the driver.
+    """
+    for _ in range(steps):
+        now = logp
+
+        def sums(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            lattice, total = Lattice(pieces, now), np.zeros(len(pieces))
+            for b in batches:
+                total += lattice.expected(b.column("word").to_pylist())
+            at = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(at), pa.array(total[at])], ["piece", "uses"])
+
+        found = words.filter("c > 0").mapInArrow(sums, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+        uses = np.full(len(pieces), SEEN)
+        uses[found.column("piece").to_numpy()] += found.column("uses").to_numpy()
+        logp = np.log(uses / uses.sum())
+    return logp
+
+
 def score(docs: DataFrame, train: Column, model: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
-    `score` is log10 of the probability that a source of independent pieces and an end makes the text's words, summed
-    over all segmentations: pieces never cross a space, so it is the sum over words, each by a forward recursion in log
-    space. The pieces' weights are the vocabulary's own scores; the training rows give their scale and the end (see fit). `base_score` is the add-half word unigram of the same training rows. Counts, vocabulary and lattice scores
+    `score` is log10 of the text's probability under a lattice of each word: the word as a whole, if the training rows have
+    it, beside all its segmentations into the vocabulary's pieces. A whole word has its count less a discount (that of
+    Ney, from the words seen once and twice); what the discounts leave goes to the pieces, whose weights begin with the
+    vocabulary's own scores and are learned from the distinct training words (see fit and learn). Words and the end are
+    drawn one by one, so the probabilities of all texts add up to one at most. `base_score` is the add-half word unigram of the same training rows. Counts, vocabulary and lattice scores
     are tables over all distinct words; a document's words among the `head` most frequent of up to HEAD_BYTES (a bounded broadcast) are
     added up where it is read, and all its others are joined to the table.
 
@@ -270,23 +362,31 @@ def score(docs: DataFrame, train: Column, model: str, id_col: str = "doc_id", te
     train = F.coalesce(train, F.lit(False))
     counts = written(word_counts(docs, train, text_col), "words")
     ends = docs.filter(train).count()
-    sums = counts.filter("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    sums = counts.filter("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     n, v = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
+    of_words = sums["n"] or 0
+    discount = (sums["once"] + 1) / (sums["once"] + 2 * sums["twice"] + 2)
+    left = discount * sums["v"] / of_words if of_words else 1.0
+    end = (ends + 1) / (n + 2)
     base = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    pieces, logp, log_end = fit(counts, ends, model)
+    pieces, logp, _ = fit(counts, ends, model)
+    logp = learn(counts, pieces, logp - np.logaddexp.reduce(logp))
     shared = spark.sparkContext.broadcast((pieces, logp))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shared.value)
         for b in batches:
             c = b.column("c").to_numpy()
-            yield pa.record_batch([b.column("word"), b.column("c"), pa.array(base(c)), pa.array(lattice.word_logp(b.column("word").to_pylist(), count=False)[0][0] / LOG10)], ["word", "c", "base", "lp"])
+            spelt = lattice.word_logp(b.column("word").to_pylist(), count=False)[0][0] + math.log(left)
+            whole = np.log(np.maximum(c - discount, 1e-300) / max(of_words, 1))
+            lp = (np.where(c > 0, np.logaddexp(whole, spelt), spelt) + math.log1p(-end)) / LOG10
+            yield pa.record_batch([b.column("word"), b.column("c"), pa.array(base(c)), pa.array(lp)], ["word", "c", "base", "lp"])
 
     words = written(counts.mapInArrow(each, "word binary, c long, base double, lp double"), "scores")
     top = words.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head).toArrow()
     known = {w: (int(c > 0), b, p) for w, c, b, p in zip(*(top.column(x).to_pylist() for x in ("word", "c", "base", "lp")), strict=True)}
     common = spark.sparkContext.broadcast(known)
-    end_base, end_lp = float(base(ends)), log_end / LOG10
+    end_base, end_lp = float(base(ends)), math.log10(end)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row of each document, with word null, and one for each of its words that isn't common."""
