@@ -171,6 +171,22 @@ def test_two_journals_and_marks(spark, tmp_path):
     assert sorted(told()) == sorted([*want, *more, ("c", "runtime", "ended", 2, None)])
 
 
+def test_ends_are_taken_back_by_what_comes_later(spark, tmp_path):
+    """Each end seems whole until the next file comes; of `b`, event 3 never comes."""
+    plain = [c.split()[0] for c in TABLES["runtime_events"].split(", ")]
+    put = lambda n, rows, marks: [df.coalesce(1).write.parquet(f"{tmp_path}/{t}/{n}") for t, df in (("r", events(spark, rows).select(plain)), ("u", user_events(spark, [("x", 1, "x")])), ("m", spark.createDataFrame(marks, health.MARKS)))]
+    told, end = [], []
+    put(1, [event(i, 1, "invocation.completed") for i in "abc"], [(i, "runtime", "unserializable", 1, 5) for i in "abc"])
+    for n, rows in ((2, []), (3, [event("a", 2), event("b", 2, "invocation.failed"), event("b", 4), event("c", 2)]), (4, [event("a", 3, "invocation.failed"), event("b", 1, "invocation.completed")])):
+        put(n, rows, [])
+        told.append(run_health(spark, tmp_path, "o", timers=False, final=False))
+        s = spark.readStream.schema(TABLES["runtime_events"]).parquet(f"{tmp_path}/r/*")
+        end.append(streams.stream_ends(ran(streams.detect_stream_end(s, timers=False), f"{tmp_path}/e")))
+    of = lambda df: sorted((r.invocation_id, r.state, r.final_sequence) for r in df.collect())
+    assert of(health.ends(told[-1])) == of(end[-1]) == [("a", "failed", 3), ("c", "completed", 2)]
+    assert sorted((r.invocation_id, r.status, r.expected, r.got) for r in health.last_health(told[-1]).filter("journal = 'runtime'").collect()) == [("a", "unserializable", None, None), ("b", "unserializable", 3, 4), ("c", "unserializable", None, None)]
+
+
 def test_a_repeat_after_expiry_raises_no_alarm(spark, tmp_path):
     """The state of an ended invocation has shrunk to its last sequence when a repeat of its second event comes."""
     import time

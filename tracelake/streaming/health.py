@@ -23,8 +23,8 @@ _HEAD = "applied bigint, waiting bigint, state string, ended boolean, since bigi
 class JournalHealth(StatefulProcessor):
     """See journal_health()."""
 
-    def __init__(self, timeout_ms: int, keep_ms: int, mark_ms: int, timers: bool) -> None:
-        self.timeout_ms, self.keep_ms, self.mark_ms, self.timers = timeout_ms, keep_ms, mark_ms, timers
+    def __init__(self, timeout_ms: int, keep_ms: int, mark_ms: int, timers: bool, final: bool) -> None:
+        self.timeout_ms, self.keep_ms, self.mark_ms, self.timers, self.final = timeout_ms, keep_ms, mark_ms, timers, final
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -42,16 +42,20 @@ class JournalHealth(StatefulProcessor):
             if r["kind"] == "mark":
                 if r["journal"] not in marks or r["marked_at_ms"] > marks[r["journal"]][2]:
                     marks[r["journal"]] = (r["status"], r["sequence"], r["marked_at_ms"])
-            elif r["kind"] == "runtime" and r["sequence"] > h["applied"] and not h["ended"]:
+            elif r["kind"] == "runtime" and r["sequence"] > h["applied"] and not (h["ended"] and self.final):
                 arrived.setdefault(r["sequence"], r["told"])
-        if h["ended"]:  # what comes now is a repeat, or too late
+        newer = {}
+        if not (h["ended"] and self.final):
+            for journal, mark in marks.items():
+                old = self.marks.getValue((journal,))
+                if old is None or mark[2] > old[2]:
+                    newer[journal] = mark
+        if h["ended"] and not arrived and not newer:  # what comes now is a repeat, or too late
             self._wake(h, timerValues.getCurrentProcessingTimeInMs())
             self.head.update(tuple(h.values()))
             return
-        for journal, mark in marks.items():
-            old = self.marks.getValue((journal,))
-            if old is None or mark[2] > old[2]:
-                self.marks.updateValue((journal,), mark)
+        for journal, mark in newer.items():
+            self.marks.updateValue((journal,), mark)
         before = h["applied"]
         while True:
             at, there = (h["applied"] + 1,), h["applied"] + 1 in arrived
@@ -86,10 +90,14 @@ class JournalHealth(StatefulProcessor):
             if said != h[journal]:
                 h[journal], h["told"] = said, h["told"] + 1
                 yield _ROW(key, journal, new, *where, None, None, h["told"])
+        was, h["ended"] = h["ended"], False
         settled = runtime is not None and runtime[0] in SETTLED and (runtime[0] != "durable" or runtime[1] >= h["applied"])
         if h["state"] in TERMINAL_INVOCATION and not h["waiting"] and settled:
             h["ended"], h["told"] = True, h["told"] + 1
             yield _ROW(key, "runtime", "ended", h["applied"], None, h["state"], runtime[0], h["told"])
+        elif was:
+            h["told"] += 1
+            yield _ROW(key, "runtime", "open", None, None, h["state"], runtime[0] if runtime is not None else None, h["told"])
         self._wake(h, now)
         self.head.update(tuple(h.values()))
 
@@ -124,7 +132,7 @@ class JournalHealth(StatefulProcessor):
             self.head.clear()
 
 
-def journal_health(runtime_events: DataFrame, user_events: DataFrame, marks: DataFrame, timeout_ms: int = 60_000, keep_ms: int = KEEP_MS, mark_ms: int = MARK_MS, timers: bool = True) -> DataFrame:
+def journal_health(runtime_events: DataFrame, user_events: DataFrame, marks: DataFrame, timeout_ms: int = 60_000, keep_ms: int = KEEP_MS, mark_ms: int = MARK_MS, timers: bool = True, final: bool = True) -> DataFrame:
     """M4 and M5: what changes in an invocation's health (HEALTH, update mode; `told` counts the words on it), from three
     streams: the runtime journal, the user journal, and the writer's marks (MARKS; the one with the greatest marked_at_ms
     counts for its journal, runtime or user).
@@ -135,6 +143,10 @@ def journal_health(runtime_events: DataFrame, user_events: DataFrame, marks: Dat
     nothing before is missing, and its persistence is settled (memory_only, degraded, unserializable, or durable up to
     the last event); `expected` is then the last sequence.
 
+    An end is final, and what comes later is too late, where events come about in order. Where they come in any order
+    (final=False), what no event tells of yet can't be missed: a later event or a newer mark takes an end back, and the
+    invocation is told to be `ended` once more, or `open`. The last word holds.
+
     After an end only its mark stays, first for keep_ms with the rest and then for mark_ms alone: repeats raise no alarm.
     Without timers ages are looked at in the batches only, and a query of availableNow ends. State store: see
     live_projection().
@@ -147,15 +159,16 @@ def journal_health(runtime_events: DataFrame, user_events: DataFrame, marks: Dat
     rows = runtime_events.select("invocation_id", *columns("runtime", F.col("sequence"), told, none("string"), none("string"), none("bigint")))
     rows = rows.union(user_events.select("invocation_id", *columns("user", F.col("sequence"), none("string"), none("string"), none("string"), none("bigint"))))
     rows = rows.union(marks.select("invocation_id", *columns("mark", F.coalesce("durable_sequence", F.lit(0)), none("string"), F.col("journal"), F.col("status"), F.col("marked_at_ms"))))
-    return rows.groupBy("invocation_id").transformWithState(JournalHealth(timeout_ms, keep_ms, mark_ms, timers), HEALTH, "update", "processingTime" if timers else "none")
+    return rows.groupBy("invocation_id").transformWithState(JournalHealth(timeout_ms, keep_ms, mark_ms, timers, final), HEALTH, "update", "processingTime" if timers else "none")
 
 
 def ends(health: DataFrame) -> DataFrame:
-    """M4: (invocation_id, state, final_sequence, persistence) of the ended invocations."""
-    return health.filter("status = 'ended'").select("invocation_id", "state", F.col("expected").alias("final_sequence"), "persistence")
+    """M4: (invocation_id, state, final_sequence, persistence) of the ended invocations, of rows that have been kept."""
+    rows = health.filter("status IN ('ended', 'open')").groupBy("invocation_id").agg(F.max_by(F.struct("status", "state", F.col("expected").alias("final_sequence"), "persistence"), "told").alias("l"))
+    return rows.select("invocation_id", "l.*").filter("status = 'ended'").drop("status")
 
 
 def last_health(health: DataFrame) -> DataFrame:
     """M5: the last word on each invocation's journals, of rows that have been kept."""
-    rows = health.filter("status <> 'ended'").groupBy("invocation_id", "journal").agg(F.max_by(F.struct("status", "expected", "got"), "told").alias("l"))
+    rows = health.filter("status NOT IN ('ended', 'open')").groupBy("invocation_id", "journal").agg(F.max_by(F.struct("status", "expected", "got"), "told").alias("l"))
     return rows.select("invocation_id", "journal", "l.*")
