@@ -151,6 +151,50 @@ def test_live_projection_from_a_cursor(spark, tmp_path):
     assert {r.invocation_id: (r.state, r.through_sequence) for r in live.view(rows, "invocation").collect()} == {"a": ("completed", 2), "b": ("failed", 9)}
 
 
+class Held:
+    """A state variable as a dict; counts the calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.of = {}
+
+    def __getattribute__(self, name):
+        if name not in ("of", "calls") and not name.startswith("__"):
+            Held.calls += 1
+        return object.__getattribute__(self, name)
+
+    def get(self):
+        return object.__getattribute__(self, "of").get(())
+
+    getValue, containsKey = lambda self, k: self.of.get(k), lambda self, k: k in self.of
+    update, updateValue, removeKey = lambda self, v: self.of.update({(): v}), lambda self, k, v: self.of.update({k: v}), lambda self, k: self.of.pop(k)
+    exists = lambda self: bool(self.of)
+
+
+def test_short_invocations_take_few_calls_of_the_state():
+    """A trigger reads and writes them once; long ones tell the same."""
+    import random
+    from types import SimpleNamespace
+
+    e = [{"branch": "node", "event_name": "node.running", "event_type": "t", "execution_id": f"x{n % 4}", "node_id": f"n{n % 3}", "state": "running", "occurred_at_ms": n} if n % 3 else {"branch": "wait_created", "event_name": "wait.created", "event_type": "wait", "waits": [{"wait_key": f"w{n % 2}"}], "occurred_at_ms": n} for n in range(1, 41)]
+    rows = [{"sequence": n, "event": json.dumps(x)} for n, x in enumerate(e, 1)]
+    random.Random(3).shuffle(rows)
+    told, calls = {}, {}
+    for together in (0, 900, live.TOGETHER):
+        made = {}
+        handle = SimpleNamespace(getValueState=lambda name, *_, made=made: made.setdefault(name, Held()), getMapState=lambda name, *_, made=made: made.setdefault(name, Held()))
+        p = live.LiveProjection(tuple(live.PARTS), 1, 1, False, False, together)
+        p.init(handle)
+        Held.calls, out = 0, {}
+        for lo in range(0, 40, 10):
+            for r in p.handleInputRows(("a",), iter([*rows[lo : lo + 10], *rows[: lo // 2]]), SimpleNamespace()):
+                out[r.part, r.key] = (r.through_sequence, r.body)
+        told[together], calls[together] = out, Held.calls
+    assert told[0] == told[900] == told[live.TOGETHER] and told[0]["invocation", ""][0] == 40
+    assert calls[live.TOGETHER] <= 2 * 4 < calls[0]
+
+
 def run_health(spark, path, name, **k):
     s = lambda table, schema: spark.readStream.schema(schema).parquet(f"{path}/{table}/*")
     stream = health.journal_health(s("r", TABLES["runtime_events"]), s("u", TABLES["user_events"]), s("m", health.MARKS), timeout_ms=0, **k)
