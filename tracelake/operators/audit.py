@@ -233,11 +233,13 @@ def read_outputs(outputs: DataFrame, views: DataFrame, asks: DataFrame, aliases:
 def rank_candidates(operators: DataFrame, policies: DataFrame) -> DataFrame:
     """Candidates of each capability in the order they are tried. operators (capability_id, operator_id, priority,
     enabled, is_default); policies (capability_id, mode, preferred array, excluded array, allow_fallback). A capability
-    with no candidate left has one row with a null operator and an error."""
-    rows = policies.join(operators.filter("enabled"), "capability_id", "left")
-    rows = rows.withColumn("_out", F.coalesce(F.array_contains("excluded", F.col("operator_id")), F.lit(False)))
-    kept = rows.filter(F.col("operator_id").isNotNull() & ~F.col("_out"))
-    at = F.coalesce(F.array_position("preferred", F.col("operator_id")), F.lit(0))
+    with no candidate left has one row with a null operator and an error. A capability has one policy; its lists are joined as
+    rows, so that no candidate carries or scans them."""
+    key = ["capability_id", "operator_id"]
+    rows = policies.drop("preferred", "excluded").join(operators.filter("enabled AND operator_id IS NOT NULL"), "capability_id")
+    places = policies.select("capability_id", F.posexplode("preferred").alias("_at", "operator_id")).groupBy(*key).agg(F.min("_at").alias("_at"))
+    kept = rows.join(policies.select("capability_id", F.explode("excluded").alias("operator_id")), key, "left_anti").join(places, key, "left")
+    at = F.coalesce(F.col("_at") + 1, F.lit(0))
     preferred = F.when(at > 0, at).otherwise(1 << 30)
     default = F.when(F.col("mode") == "default", F.when(F.col("is_default"), 0).otherwise(1)).otherwise(0)
     priority = F.when(F.col("mode") == "first_available", 0).otherwise(-F.col("priority"))
