@@ -177,8 +177,9 @@ def validate_tool_calls(calls: DataFrame, tools: DataFrame, max_repairs: int, sc
     """K8: calls (conversation_id, response_index, call_index, id, name, raw_arguments) with the first error that applies, and
     placeholders for empty ids and names; `exhausted` once a response fails after `max_repairs` failed ones. tools (name,
     required array): arguments must be a JSON object that has all required keys, and must fit the tool's JSON schema where
-    `schemas` has one by its name (types, enums, extra keys, nested objects and lists; see json_schema)."""
-    rows = calls.join(tools.withColumnRenamed("name", "_tool").withColumn("_known", F.lit(True)), F.col("name") == F.col("_tool"), "left")
+    `schemas` has one by its name (types, enums, extra keys, nested objects and lists; see json_schema). Tools are few
+    and are broadcast: dealt by name, all calls of a tool would be one task's."""
+    rows = calls.join(F.broadcast(tools.withColumnRenamed("name", "_tool").withColumn("_known", F.lit(True))), F.col("name") == F.col("_tool"), "left")
     parsed = F.from_json("raw_arguments", "map<string,string>")
     bad = parsed.isNull() | F.exists(F.coalesce("required", F.array().cast("array<string>")), lambda k: ~F.coalesce(F.map_contains_key(parsed, k), F.lit(False)))
     for name, schema in (schemas or {}).items():
