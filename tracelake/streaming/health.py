@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..schemas import TERMINAL_INVOCATION
 from .live import KEEP_MS, MARK_MS, use_rocksdb
+from .streams import BUNDLES, by_bundles
 
 #: A persistence status after which nothing more is written, and those that tell of a failure.
 SETTLED = ("memory_only", "durable", "degraded", "unserializable")
@@ -18,13 +20,89 @@ MARKS = "invocation_id string, journal string, status string, durable_sequence b
 HEALTH = "invocation_id string, journal string, status string, expected bigint, got bigint, state string, persistence string, told bigint"
 _ROW = Row(*[c.split()[0] for c in HEALTH.split(", ")])
 _HEAD = "applied bigint, waiting bigint, state string, ended boolean, since bigint, runtime string, user string, timer bigint, told bigint"
+_NAMES = [c.split()[0] for c in _HEAD.split(", ")]
+_NEW = (0, 0, "created", False, 0, "healthy", "healthy", None, 0)
+
+
+class _Map(dict):
+    """A map that is at hand, with the calls of a map state."""
+
+    getValue, containsKey, updateValue, removeKey = dict.get, dict.__contains__, dict.__setitem__, dict.__delitem__  # noqa: N815
+
+
+def _arrived(h: dict, held, marks, texts: Iterable[str], now: int, final: bool) -> bool:
+    """Brings an invocation's head, waiting events and marks up to date; False if there is nothing new after its end.
+    A text is an event's `sequence {told}`, a mark's {fields}, or empty for a user event, whose invocation is looked at."""
+    over, arrived, newest = h["ended"] and final, {}, {}
+    for text in texts:
+        if text.startswith("{"):
+            m = json.loads(text)
+            journal, mark = m.get("journal"), (m.get("status"), m["sequence"], m.get("marked_at_ms"))
+            if journal not in newest or mark[2] > newest[journal][2]:
+                newest[journal] = mark
+        elif text and not over:
+            n, _, told = text.partition(" ")
+            if int(n) > h["applied"]:
+                arrived.setdefault(int(n), json.loads(told)["told"] if told else None)
+    newer = {}
+    if not over:
+        for journal, mark in newest.items():
+            old = marks.getValue((journal,))
+            if old is None or mark[2] > old[2]:
+                newer[journal] = mark
+    if h["ended"] and not arrived and not newer:  # what comes now is a repeat, or too late
+        return False
+    for journal, mark in newer.items():
+        marks.updateValue((journal,), mark)
+    before = h["applied"]
+    while True:
+        at, there = (h["applied"] + 1,), h["applied"] + 1 in arrived
+        told = arrived.pop(at[0], None)
+        if h["waiting"] and (found := held.getValue(at)) is not None:
+            told, there, h["waiting"] = found[0], True, h["waiting"] - 1
+            held.removeKey(at)
+        if not there:
+            break
+        h["applied"] += 1
+        h["state"] = told or h["state"]
+    for n, told in arrived.items():
+        if not h["waiting"] or not held.containsKey((n,)):
+            held.updateValue((n,), (told,))
+            h["waiting"] += 1
+    if not h["waiting"]:
+        h["since"] = 0
+    elif h["applied"] != before or not h["since"]:
+        h["since"] = now
+    return True
+
+
+def _told(key: str, h: dict, held, marks, now: int, timeout_ms: int) -> Iterator[Row]:
+    """What has changed since the last word on this invocation."""
+    runtime, user = marks.getValue(("runtime",)), marks.getValue(("user",))
+    gap = h["waiting"] and now - h["since"] >= timeout_ms
+    expected, got = (h["applied"] + 1, min(k[0] for k in held.keys())) if gap else (None, None)
+    marked = runtime[0] if runtime is not None and runtime[0] in FAILED else "healthy"
+    status = marked if marked == "unserializable" else "degraded" if gap else marked
+    for journal, new, where in (("runtime", status, (expected, got)), ("user", user[0] if user is not None and user[0] in FAILED else "healthy", (None, None))):
+        said = new if where[0] is None else f"{new} {where[0]} {where[1]}"
+        if said != h[journal]:
+            h[journal], h["told"] = said, h["told"] + 1
+            yield _ROW(key, journal, new, *where, None, None, h["told"])
+    was, h["ended"] = h["ended"], False
+    settled = runtime is not None and runtime[0] in SETTLED and (runtime[0] != "durable" or runtime[1] >= h["applied"])
+    if h["state"] in TERMINAL_INVOCATION and not h["waiting"] and settled:
+        h["ended"], h["told"] = True, h["told"] + 1
+        yield _ROW(key, "runtime", "ended", h["applied"], None, h["state"], runtime[0], h["told"])
+    elif was:
+        h["told"] += 1
+        yield _ROW(key, "runtime", "open", None, None, h["state"], runtime[0] if runtime is not None else None, h["told"])
 
 
 class JournalHealth(StatefulProcessor):
-    """See journal_health()."""
+    """journal_health() with timers: a state for each invocation."""
 
-    def __init__(self, timeout_ms: int, keep_ms: int, mark_ms: int, timers: bool, final: bool) -> None:
-        self.timeout_ms, self.keep_ms, self.mark_ms, self.timers, self.final = timeout_ms, keep_ms, mark_ms, timers, final
+    def __init__(self, timeout_ms: int, keep_ms: int, mark_ms: int, final: bool) -> None:
+        self.timeout_ms, self.keep_ms, self.mark_ms, self.final = timeout_ms, keep_ms, mark_ms, final
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -33,78 +111,17 @@ class JournalHealth(StatefulProcessor):
         self.marks = handle.getMapState("marks", "journal string", "status string, durable_sequence bigint, marked_at_ms bigint")
 
     def _read(self) -> dict:
-        names = [c.split()[0] for c in _HEAD.split(", ")]
-        return dict(zip(names, self.head.get() if self.head.exists() else (0, 0, "created", False, 0, "healthy", "healthy", None, 0), strict=True))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
-        h, arrived, marks = self._read(), {}, {}
-        for r in rows:
-            if r["kind"] == "mark":
-                if r["journal"] not in marks or r["marked_at_ms"] > marks[r["journal"]][2]:
-                    marks[r["journal"]] = (r["status"], r["sequence"], r["marked_at_ms"])
-            elif r["kind"] == "runtime" and r["sequence"] > h["applied"] and not (h["ended"] and self.final):
-                arrived.setdefault(r["sequence"], r["told"])
-        newer = {}
-        if not (h["ended"] and self.final):
-            for journal, mark in marks.items():
-                old = self.marks.getValue((journal,))
-                if old is None or mark[2] > old[2]:
-                    newer[journal] = mark
-        if h["ended"] and not arrived and not newer:  # what comes now is a repeat, or too late
-            self._wake(h, timerValues.getCurrentProcessingTimeInMs())
-            self.head.update(tuple(h.values()))
-            return
-        for journal, mark in newer.items():
-            self.marks.updateValue((journal,), mark)
-        before = h["applied"]
-        while True:
-            at, there = (h["applied"] + 1,), h["applied"] + 1 in arrived
-            told = arrived.pop(at[0], None)
-            if h["waiting"] and (found := self.held.getValue(at)) is not None:
-                told, there, h["waiting"] = found[0], True, h["waiting"] - 1
-                self.held.removeKey(at)
-            if not there:
-                break
-            h["applied"] += 1
-            h["state"] = told or h["state"]
-        for n, told in arrived.items():
-            if not h["waiting"] or not self.held.containsKey((n,)):
-                self.held.updateValue((n,), (told,))
-                h["waiting"] += 1
-        now = timerValues.getCurrentProcessingTimeInMs()
-        if not h["waiting"]:
-            h["since"] = 0
-        elif h["applied"] != before or not h["since"]:
-            h["since"] = now
-        yield from self._told(key[0], h, now)
-
-    def _told(self, key: str, h: dict, now: int) -> Iterator[Row]:
-        """What has changed since the last word on this invocation."""
-        runtime, user = self.marks.getValue(("runtime",)), self.marks.getValue(("user",))
-        gap = h["waiting"] and now - h["since"] >= self.timeout_ms
-        expected, got = (h["applied"] + 1, min(k[0] for k in self.held.keys())) if gap else (None, None)
-        marked = runtime[0] if runtime is not None and runtime[0] in FAILED else "healthy"
-        status = marked if marked == "unserializable" else "degraded" if gap else marked
-        for journal, new, where in (("runtime", status, (expected, got)), ("user", user[0] if user is not None and user[0] in FAILED else "healthy", (None, None))):
-            said = new if where[0] is None else f"{new} {where[0]} {where[1]}"
-            if said != h[journal]:
-                h[journal], h["told"] = said, h["told"] + 1
-                yield _ROW(key, journal, new, *where, None, None, h["told"])
-        was, h["ended"] = h["ended"], False
-        settled = runtime is not None and runtime[0] in SETTLED and (runtime[0] != "durable" or runtime[1] >= h["applied"])
-        if h["state"] in TERMINAL_INVOCATION and not h["waiting"] and settled:
-            h["ended"], h["told"] = True, h["told"] + 1
-            yield _ROW(key, "runtime", "ended", h["applied"], None, h["state"], runtime[0], h["told"])
-        elif was:
-            h["told"] += 1
-            yield _ROW(key, "runtime", "open", None, None, h["state"], runtime[0] if runtime is not None else None, h["told"])
+        return dict(zip(_NAMES, self.head.get() or _NEW, strict=True))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        h, now = self._read(), timerValues.getCurrentProcessingTimeInMs()
+        if _arrived(h, self.held, self.marks, (r["event"] for r in rows), now, self.final):
+            yield from _told(key[0], h, self.held, self.marks, now, self.timeout_ms)
         self._wake(h, now)
         self.head.update(tuple(h.values()))
 
     def _wake(self, h: dict, now: int) -> None:
         """A timer for the oldest gap, and one that takes an ended invocation's state away."""
-        if not self.timers:
-            return
         if h["timer"] is not None:
             self.handle.deleteTimer(h["timer"])
             h["timer"] = None
@@ -122,7 +139,9 @@ class JournalHealth(StatefulProcessor):
             return
         h["timer"] = None
         if not h["ended"]:
-            yield from self._told(key[0], h, now)
+            yield from _told(key[0], h, self.held, self.marks, now, self.timeout_ms)
+            self._wake(h, now)
+            self.head.update(tuple(h.values()))
         elif self.marks.exists():
             self.marks.clear()
             h["timer"] = now + self.mark_ms
@@ -132,7 +151,19 @@ class JournalHealth(StatefulProcessor):
             self.head.clear()
 
 
-def journal_health(runtime_events: DataFrame, user_events: DataFrame, marks: DataFrame, timeout_ms: int = 60_000, keep_ms: int = KEEP_MS, mark_ms: int = MARK_MS, timers: bool = True, final: bool = True) -> DataFrame:
+def _advance(timeout_ms: int, final: bool):
+    """The same without timers, on a state that is at hand (see streams.Bundles)."""
+
+    def advance(key: str, kept: list | None, texts: list[str], now: int) -> tuple[list, list[Row]]:
+        head, waiting, said = kept or (_NEW, [], [])
+        h, held, marks = dict(zip(_NAMES, head, strict=True)), _Map(((n,), (told,)) for n, told in waiting), _Map(((journal,), mark) for journal, mark in said)
+        rows = list(_told(key, h, held, marks, now, timeout_ms)) if _arrived(h, held, marks, texts, now, final) else []
+        return [list(h.values()), [(n, told) for (n,), (told,) in held.items()], [(journal, mark) for (journal,), mark in marks.items()]], rows
+
+    return advance
+
+
+def journal_health(runtime_events: DataFrame, user_events: DataFrame, marks: DataFrame, timeout_ms: int = 60_000, keep_ms: int = KEEP_MS, mark_ms: int = MARK_MS, timers: bool = True, final: bool = True, bundles: int = BUNDLES) -> DataFrame:
     """M4 and M5: what changes in an invocation's health (HEALTH, update mode; `told` counts the words on it), from three
     streams: the runtime journal, the user journal, and the writer's marks (MARKS; the one with the greatest marked_at_ms
     counts for its journal, runtime or user).
@@ -148,18 +179,19 @@ def journal_health(runtime_events: DataFrame, user_events: DataFrame, marks: Dat
     invocation is told to be `ended` once more, or `open`. The last word holds.
 
     After an end only its mark stays, first for keep_ms with the rest and then for mark_ms alone: repeats raise no alarm.
-    Without timers ages are looked at in the batches only, and a query of availableNow ends. State store: see
-    live_projection().
+    Without timers ages are looked at in the batches only, and a query of availableNow ends; invocations then are dealt to a
+    number of bundles, which a checkpoint fixes (see streams.Bundles). State store: see live_projection().
     """
-    use_rocksdb(runtime_events.sparkSession)
     name = F.col("event_name")
     told = F.when(name.startswith("invocation."), F.coalesce("status", F.substring_index(name, ".", -1))).when(name == "wait.created", "waiting").when((F.col("event_type") == "recovery") & name.endswith("interrupted"), "interrupted")
-    none = lambda kind: F.lit(None).cast(kind)
-    columns = lambda kind, sequence, t, journal, status, at: [F.lit(kind).alias("kind"), sequence.alias("sequence"), t.alias("told"), journal.alias("journal"), status.alias("status"), at.alias("marked_at_ms")]
-    rows = runtime_events.select("invocation_id", *columns("runtime", F.col("sequence"), told, none("string"), none("string"), none("bigint")))
-    rows = rows.union(user_events.select("invocation_id", *columns("user", F.col("sequence"), none("string"), none("string"), none("string"), none("bigint"))))
-    rows = rows.union(marks.select("invocation_id", *columns("mark", F.coalesce("durable_sequence", F.lit(0)), none("string"), F.col("journal"), F.col("status"), F.col("marked_at_ms"))))
-    return rows.groupBy("invocation_id").transformWithState(JournalHealth(timeout_ms, keep_ms, mark_ms, timers, final), HEALTH, "update", "processingTime" if timers else "none")
+    event = F.concat(F.col("sequence").cast("string"), F.when(told.isNotNull(), F.concat(F.lit(" "), F.to_json(F.struct(told.alias("told"))))).otherwise(""))
+    mark = F.to_json(F.struct("journal", "status", F.coalesce("durable_sequence", F.lit(0)).alias("sequence"), "marked_at_ms"))
+    texts = [df.select("invocation_id", text.alias("event")) for df, text in ((runtime_events, event), (user_events, F.lit("")), (marks, mark))]
+    rows = texts[0].union(texts[1]).union(texts[2])
+    if not timers:
+        return by_bundles(rows, _advance(timeout_ms, final), HEALTH, "update", bundles)
+    use_rocksdb(runtime_events.sparkSession)
+    return rows.groupBy("invocation_id").transformWithState(JournalHealth(timeout_ms, keep_ms, mark_ms, final), HEALTH, "update", "processingTime")
 
 
 def ends(health: DataFrame) -> DataFrame:
